@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import line_quality
+from trialspark.llm import bpe, line_quality, near_duplicates
 from trialspark.llm.common import table
 
 
@@ -12,5 +13,17 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_line_quality": op8_line_quality}
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op5_order_minhash": op5_order_minhash,
+    "op8_line_quality": op8_line_quality,
+    "op10_forced_bpe": op10_forced_bpe,
+}
 ORACLES = {"op8_line_quality": line_quality.SQL.format(docs="documents")}
