@@ -156,7 +156,7 @@ def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...]
                 rows.append([OUTPUTS[o][1](ids, bpe) for o in outputs])
             yield pd.DataFrame(rows, columns=list(outputs))
 
-    of = F.pandas_udf(run, returnType=f"struct<{kinds}>", functionType=F.PandasUDFType.SCALAR_ITER)
+    of = F.pandas_udf(run, returnType=f"struct<{kinds}>")
     out = docs.withColumn("_bpe", of(F.col(text)))
     return out.drop(*outputs).select(*[c for c in docs.columns if c not in outputs], *[F.col(f"_bpe.{o}") for o in outputs])
 

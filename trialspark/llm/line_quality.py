@@ -88,7 +88,8 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_documents: int = M
     keyed = F.transform(kept, lambda x: F.struct(_line_key(x).alias("line"), _count_words(x).alias("n")))
     lines = base.select("host", "doc", F.explode(keyed).alias("x")).groupBy("host", "doc", F.col("x.line.a").alias("a"), F.col("x.line.b").alias("b")).agg(F.sum("x.n").alias("n_words"))
     sizes = docs.select(F.col(host).alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
-    counts = lines.groupBy("host", "a", "b").agg(F.count("*").alias("n"))
+    # n_words is never null; counting it keeps this branch's shuffle the same as the other's, so that Spark makes it once
+    counts = lines.groupBy("host", "a", "b").agg(F.count("n_words").alias("n"))
     above = (
         counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
         .where(F.col("n") > F.greatest(F.lit(min_documents), F.col("n_docs") * F.lit(float(max_share))))
@@ -99,33 +100,36 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_documents: int = M
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", host: str = "source", *, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+    docs: DataFrame, text: str = "text", host: str = "source", *, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, clean: bool = True
 ) -> DataFrame:
     """docs with struct columns `rules` (word_features), `removed_words` (long), `clean_text` and `kept`.
 
+    clean=False leaves out the text and clean_text, so that no text is shuffled.
+
     Every row of docs comes back once, repeated rows too, whatever its id. Null text counts as empty: no words, base
     failed, not kept, clean_text null. A null host is a host of its own. An empty table gives an empty table. Columns
     of docs that have a name of ours are replaced. Ties do not occur: a limit is passed only by a larger count.
     """
-    of, doc, hit = fresh(docs, "of_host"), fresh(docs, "doc_md5"), fresh(docs, "hit")
+    of, doc, hit, key = (fresh(docs, x) for x in ("of_host", "doc_md5", "hit", "text_md5"))
     frequent = frequent_lines(docs, text, host, min_documents, max_share)
     per_doc = frequent.groupBy(F.col("host").alias(of), F.col("doc").alias(doc)).agg(
         F.struct(F.sum("n_words").alias("n"), F.collect_list(F.struct("a", "b")).alias("lines")).alias(hit)
     )
-    joined = docs.drop("rules", "removed_words", "clean_text", "kept").join(
-        per_doc, F.md5(F.coalesce(F.col(text), F.lit(""))).eqNullSafe(F.col(doc)) & F.col(host).eqNullSafe(F.col(of)), "left"
-    )
-    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col(hit)["lines"], _line_key(x))))
-    removed = F.coalesce(F.col(hit)["n"], F.lit(0)).cast("long")
-    out = joined.withColumn("rules", word_features(F.col(text))).withColumn("removed_words", removed)
-    out = out.withColumn("clean_text", F.when(F.col(hit).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    own = docs.drop("rules", "removed_words", "clean_text", "kept").withColumn(key, F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("rules", word_features(F.col(text)))
+    if not clean:
+        own = own.drop(text)
+    joined = own.join(per_doc, F.col(key).eqNullSafe(F.col(doc)) & F.col(host).eqNullSafe(F.col(of)), "left")
+    out = joined.withColumn("removed_words", F.coalesce(F.col(hit)["n"], F.lit(0)).cast("long"))
+    if clean:
+        left = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col(hit)["lines"], _line_key(x))))
+        out = out.withColumn("clean_text", F.when(F.col(hit).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
     enough = F.col("rules.n_words") - F.col("removed_words") >= F.col("rules.n_words") * F.lit(float(min_left))
-    return out.withColumn("kept", ~F.col("rules.base_failed") & enough).drop(of, doc, hit)
+    return out.withColumn("kept", ~F.col("rules.base_failed") & enough).drop(of, doc, hit, key)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row a document: its counts, base_failed, removed_words and kept."""
-    out = quality_rules(docs.select("doc_id", "text", "source"))
+    out = quality_rules(docs.select("doc_id", "text", "source"), clean=False)
     return out.select("doc_id", "rules.*", "removed_words", "kept")
 
 
