@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import bpe, line_quality, near_duplicates
+from trialspark.llm import bpe, line_quality, near_duplicates, secret_scan
 from trialspark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -22,8 +26,9 @@ def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_automaton": op3_secret_automaton,
     "op5_order_minhash": op5_order_minhash,
     "op8_line_quality": op8_line_quality,
     "op10_forced_bpe": op10_forced_bpe,
 }
-ORACLES = {"op8_line_quality": line_quality.SQL.format(docs="documents")}
+ORACLES = {"op3_secret_automaton": secret_scan.SQL, "op8_line_quality": line_quality.SQL.format(docs="documents")}
