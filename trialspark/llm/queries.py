@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import bpe, line_quality, near_duplicates, secret_scan
+from trialspark.llm import bpe, line_quality, near_duplicates, secret_scan, source_mix
 from trialspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op3_secret_automaton": op3_secret_automaton,
     "op5_order_minhash": op5_order_minhash,
     "op8_line_quality": op8_line_quality,
+    "op9_source_mix": op9_source_mix,
     "op10_forced_bpe": op10_forced_bpe,
 }
 ORACLES = {"op3_secret_automaton": secret_scan.SQL, "op8_line_quality": line_quality.SQL.format(docs="documents")}
