@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import bpe, line_quality, near_duplicates, secret_scan, source_mix
+from trialspark.llm import audio_media, bpe, chat_format, line_quality, near_duplicates, secret_scan, source_mix
 from trialspark.llm.common import table
 
 
+def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_media.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(table(spark, sf_dir, "documents"))
 
@@ -30,10 +38,16 @@ def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
     "op3_secret_automaton": op3_secret_automaton,
     "op5_order_minhash": op5_order_minhash,
+    "op7_audio_media": op7_audio_media,
     "op8_line_quality": op8_line_quality,
     "op9_source_mix": op9_source_mix,
     "op10_forced_bpe": op10_forced_bpe,
 }
-ORACLES = {"op3_secret_automaton": secret_scan.SQL, "op8_line_quality": line_quality.SQL.format(docs="documents")}
+ORACLES = {
+    "op2_chat_format": chat_format.SQL,
+    "op3_secret_automaton": secret_scan.SQL,
+    "op8_line_quality": line_quality.SQL.format(docs="documents"),
+}
