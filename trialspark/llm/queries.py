@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import audio_media, bpe, chat_format, line_quality, near_duplicates, secret_scan, source_mix
+from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, shard_packing, source_mix
 from trialspark.llm.common import table
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_secret_automaton": op3_secret_automaton,
+    "op4_best_fit_shards": op4_best_fit_shards,
     "op5_order_minhash": op5_order_minhash,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_audio_media": op7_audio_media,
     "op8_line_quality": op8_line_quality,
     "op9_source_mix": op9_source_mix,
