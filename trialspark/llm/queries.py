@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, shard_packing, source_mix
+from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, shard_packing, source_mix, url_templates
 from trialspark.llm.common import table
 
 
@@ -21,6 +22,13 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a page is that of the document with its number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judged(pages, labels, url_templates.RULES).drop("url")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(table(spark, sf_dir, "conversations"))
 
@@ -46,6 +54,7 @@ def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_templates": op1_url_templates,
     "op2_chat_format": op2_chat_format,
     "op3_secret_automaton": op3_secret_automaton,
     "op4_best_fit_shards": op4_best_fit_shards,
