@@ -166,6 +166,12 @@ class Audio:
         return sum(n / r for r, n in sorted(by_rate.items()))
 
 
+def _checks(data: bytes, f: Frame) -> bool:
+    """Whether a protected frame's checksum holds for its header's last bytes and its side information."""
+    at = f.start
+    return crc16(data[at + 2 : at + 4] + data[at + HEADER + CHECK : at + f.body]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def parsed(data: bytes) -> Audio:
     """Tags, frames, checks and seek table of any bytes; without a frame, an Audio without frames."""
     out, at, end = Audio(), 0, len(data)
@@ -187,8 +193,10 @@ def parsed(data: bytes) -> Audio:
     synced = False
     while at < end:
         f = frame_at(data, at)
-        if f and not synced:  # a lone header may be chance: the next one, or the end, must confirm it
-            f = f if at + f.length == end or frame_at(data, at + f.length) else None
+        good = f is not None and (not f.protected or _checks(data, f))
+        if f and not (at + f.length == end or frame_at(data, at + f.length)):
+            # no header follows: chance, unless the chain led here and the frame is sound and like the one before it
+            f = f if synced and good and out.frames and (out.frames[-1].rate, out.frames[-1].side) == (f.rate, f.side) else None
         if not f:
             synced = False
             near = data.find(b"\xff", at + 1)
@@ -199,7 +207,6 @@ def parsed(data: bytes) -> Audio:
         synced = True
         if f.protected:
             out.checked += 1
-            good = crc16(data[at + 2 : at + 4] + data[at + HEADER + CHECK : at + f.body]) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.bad_checks += not good
         mark = at + f.body
         if not out.frames and out.vbr_frames is None and data[mark : mark + 4] in (b"Xing", b"Info"):

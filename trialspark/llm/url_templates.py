@@ -5,8 +5,8 @@ are counted once, with their labelled pages; all that follows works on these cou
 node's literal children become one wildcard if there are more than MAX_CHILDREN of them or if a child is rare. The
 literal children that stay are put in the order of their labelled bad share, and neighbours that a two-proportion test
 cannot tell apart, with enough labels on both sides, are merged into one branch. Each node's share of bad pages is
-smoothed towards its parent's, from the whole table down through the host, and a template is rejected if it is at
-least THRESHOLD.
+smoothed towards its parent's, from the whole table down through the host, and a template is rejected if it is above
+THRESHOLD. A host without a labelled page has no purity, and nothing of it is rejected.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ MAX_CHILDREN, MIN_PAGES = 16, 3
 DEPTH = 6
 #: Labelled pages both of two branches need to be merged, and the greatest |z| at which they are.
 MIN_LABELLED, MAX_Z = 5, 1.0
-#: Weight of the parent's share in pages, and the smoothed share of bad pages that rejects a template.
+#: Weight of the parent's share in pages, and the smoothed share of bad pages above which a template is rejected.
 PRIOR, THRESHOLD = 10.0, 0.5
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -100,7 +100,7 @@ def _level(shapes: DataFrame, depth: int) -> DataFrame:
 def template_tree(pages: DataFrame) -> DataFrame:
     """(host, shape, template, purity) of pages (host, shape, bad); bad is null where a page has no label.
 
-    purity is the template's smoothed share of good pages.
+    purity is the template's smoothed share of good pages, null where the host has no labelled page.
     """
     one = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     shapes = stored(one, "url-shapes")
@@ -115,7 +115,10 @@ def template_tree(pages: DataFrame) -> DataFrame:
         done = ended if done is None else done.union(ended)
         if level.where(~F.col("ended")).isEmpty():
             break
-    return done.select("host", "shape", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), (1 - F.col("prior")).alias("purity"))
+    marked = shapes.groupBy(F.col("host").alias("of")).agg(F.sum("labelled").alias("known"))
+    purity = F.when(F.col("known") > 0, 1 - F.col("prior"))
+    named = done.join(marked, F.col("host") == F.col("of"))
+    return named.select("host", "shape", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), purity.alias("purity"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
@@ -136,7 +139,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str], url: str
     tree = template_tree(seen).select(F.col("host").alias("t_host"), F.col("shape").alias("t_shape"), "template", "purity")
     out = own.join(tree, (F.col("host") == F.col("t_host")) & (F.col(shape) == F.col("t_shape")))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") <= 1 - THRESHOLD, "block").otherwise("allow")
+    method = F.when(F.col("purity") < 1 - THRESHOLD, "block").otherwise("allow")
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).drop("t_host", "t_shape", shape)
 
 
