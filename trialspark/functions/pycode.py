@@ -112,7 +112,7 @@ def canonical_json(value) -> str:
         if isinstance(x, complex):
             return {"__complex__": [x.real, x.imag]}
         if isinstance(x, set | frozenset):
-            return {"__set__": sorted((plain(y) for y in x), key=lambda y: json.dumps(y, sort_keys=True))}
+            return {"__set__": sorted(x, key=canonical_json)}
         raise TypeError(f"{type(x).__name__} has no JSON form")
 
     return json.dumps(value, sort_keys=True, separators=(",", ":"), default=plain)
