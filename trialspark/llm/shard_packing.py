@@ -3,7 +3,7 @@
 Rows with equal texts are one group. Groups are summed first, so copies cost nothing below. Packing has two levels,
 each best-fit-decreasing over a sorted list of the bins' free space: groups are dealt by hash to buckets and packed,
 bucket by bucket on the executors, into bundles of a fixed capacity (a small part of a shard); then the bundles, whose
-number is bounded by BUNDLES a shard and the buckets, are packed into the shards, with the least capacity for which
+number is bounded by BUNDLES a shard and MAX_BUCKETS, are packed into the shards, with the least capacity for which
 they fit. A group above a bundle's capacity is a bundle of its own.
 """
 
@@ -20,6 +20,8 @@ from trialspark.llm.common import stored
 SHARDS, OVERHEAD = 24, 8
 #: Bundles that fill a shard, groups a bucket, rows of a shard that one task numbers.
 BUNDLES, BUCKET, ROWS = 200, 20_000, 50_000
+#: Buckets at most, so that the bundles that the driver packs stay bounded; beyond, buckets grow.
+MAX_BUCKETS = 10_000
 
 
 def best_fit(sizes: list[int], capacity: int, bins: int | None = None) -> list[int] | None:
@@ -77,7 +79,7 @@ def assigned(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("size")), "shard-groups")
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity = max(1, total // (shards * BUNDLES))
-    buckets = max(1, -(-n // BUCKET))
+    buckets = min(max(1, -(-n // BUCKET)), MAX_BUCKETS)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["size", "grp"], ascending=[False, True])
