@@ -145,7 +145,8 @@ def _same(a: str, b: str) -> Column:
 def taken_pieces(placed: DataFrame, targets: DataFrame) -> DataFrame:
     """pieces with `times`, how often the mix takes the block; blocks that it does not take are left out."""
     times = draws(targets).groupBy("source", "block").agg(F.count("*").alias("times")).select(F.col("source").alias("of"), F.col("block").alias("ob"), "times")
-    return pieces(placed).join(times, _same("source", "of") & (F.col("block") == F.col("ob"))).drop("of", "ob")
+    # times is as large as the mix, which the planner cannot see: it must not be broadcast
+    return pieces(placed).join(times.hint("merge"), _same("source", "of") & (F.col("block") == F.col("ob"))).drop("of", "ob")
 
 
 def mix(docs: DataFrame) -> DataFrame:
