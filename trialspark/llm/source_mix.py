@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import WORD, let, stored, words
 
 BLOCK, SLOTS, REPEATS, GROUP = 64, 1024, 3, 20_000
+DRAWS_A_TASK = 100_000
 #: Weights of the sources in the order of their names, repeated.
 WEIGHTS = (1, 2, 3)
 SEED = 20240611
@@ -97,7 +98,10 @@ def draws(targets: DataFrame) -> DataFrame:
     A source's draws are made in runs of 4096 that are first spread over the tasks.
     """
     runs = targets.where("quota > 0").select("source", "n_blocks", "quota", "first_draw", "draws", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / 4096).cast("long"))).alias("run"))
-    spread = runs.repartition("source", "run")
+    # a stated number of tasks: by their bytes the few rows of runs would be one task, though they become all draws
+    parallelism = targets.sparkSession.sparkContext.defaultParallelism
+    drawn = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    spread = runs.repartition(max(2 * parallelism, drawn // DRAWS_A_TASK + 1), "source", "run")
     each = spread.withColumn("n", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("quota") - 1))))
     lap, place = F.floor(F.col("n") / F.col("n_blocks")).cast("long"), F.col("n") % F.col("n_blocks")
     block = permuted(place, F.col("n_blocks"), F.col("key") + lap * 15485863)
