@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import WORD, let, stored, words
 
-BLOCK, SLOTS, REPEATS, GROUP = 64, 1024, 3, 20_000
+BLOCK, SLOTS, REPEATS, GROUP = 64, 1024, 3, 4_000
 DRAWS_A_TASK = 100_000
 #: Weights of the sources in the order of their names, repeated.
 WEIGHTS = (1, 2, 3)
