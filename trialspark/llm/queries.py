@@ -69,4 +69,5 @@ ORACLES = {
     "op2_chat_format": chat_format.SQL,
     "op3_secret_automaton": secret_scan.SQL,
     "op8_line_quality": line_quality.SQL.format(docs="documents"),
+    "op9_source_mix": source_mix.SQL,
 }

@@ -43,15 +43,17 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     and rows by a function of the column. A place of n or more is permuted again; there are fewer than a of them.
     """
     a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
-    b = F.expr("0") + F.floor((n + a - 1) / a).cast("long")
+    b = F.floor((n + a - 1) / a).cast("long")
 
     def once(at: Column, a: Column, b: Column) -> Column:
         grid = F.struct((at % a).alias("l"), F.floor(at / a).cast("long").alias("r"))
-        for i in range(_ROUNDS):
-            k = key + F.lit(7919 * (i + 1)).cast("long")
-            grid = let(grid, lambda g, k=k: F.struct(((g["l"] + _scramble(g["r"], k)) % a).alias("l"), g["r"].alias("r")))
-            grid = let(grid, lambda g, k=k: F.struct(g["l"].alias("l"), ((g["r"] + _scramble(g["l"], k + 104729)) % b).alias("r")))
-        return let(grid, lambda g: g["r"] * a + g["l"])
+
+        def half(g: Column, i: Column) -> Column:
+            k, even = key + F.floor(i / 2) * 7919, i % 2 == 0
+            l_moved, r_moved = (g["l"] + _scramble(g["r"], k)) % a, (g["r"] + _scramble(g["l"], k + 104729)) % b
+            return F.struct(F.when(even, l_moved).otherwise(g["l"]).alias("l"), F.when(even, g["r"]).otherwise(r_moved).alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(2), F.lit(2 * _ROUNDS + 1)), grid, half, lambda g: g["r"] * a + g["l"])
 
     sides = F.struct(a.alias("a"), b.alias("b"))
     walk = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), F.lit(-1).cast("long"), lambda at, i: F.when((i > 1) & (at < n), at).otherwise(once(F.when(i == 1, x).otherwise(at), s["a"], s["b"])))
@@ -191,3 +193,51 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
     return each.select(*docs.columns)
+
+
+def _scramble_sql(rows: str, x: str, key: str, name: str) -> str:
+    """rows with a column `name` that holds _scramble(x, key): a nested query for each line of it."""
+    one = f"select *, (({x} % {_P} + {key}) % {_P} * {_M1} + 11) % {_P} as y1 from ({rows})"
+    two = f"select *, (y1 * {_M2} + (y1 >> 15)) % {_P} as y2 from ({one})"
+    return f"select * exclude (y1, y2), (y2 * {_M3} + (y2 >> 13)) % {_P} as {name} from ({two})"
+
+
+def _sql(docs: str = "documents") -> str:
+    """DuckDB SQL for mix()."""
+    step = "select source, t, n, k, a, b, i, pos % a as l, pos // a as r from walk where i = 0 or (pos >= n and i < 16)"
+    for i in range(_ROUNDS):
+        step = f"select * replace ((l + s) % a as l) from ({_scramble_sql(step, 'r', f'(k + {7919 * (i + 1)})', 's')})"
+        step = f"select * exclude (s) from ({step})"
+        step = f"select * replace ((r + s) % b as r) from ({_scramble_sql(step, 'l', f'(k + {7919 * (i + 1) + 104729})', 's')})"
+        step = f"select * exclude (s) from ({step})"
+    grouped = _scramble_sql("select * from d", f"abs(coalesce(doc_id, -1) % {_P})", str(SEED), "h")
+    return f"""
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size, md5(coalesce(text, '')) as tie from {docs}),
+g as (select * exclude (h), h % greatest(1, (select cast(ceil(count(*) / {GROUP}) as bigint) from d)) as grp from ({grouped})),
+b as (select source, grp, sum(words) over (partition by source order by grp) - words as before from (select source, grp, sum(size) as words from g group by all)),
+p as (select g.doc_id, g.source, g.size, cast(before + sum(size) over (partition by g.source, g.grp order by doc_id nulls first, tie rows between unbounded preceding and current row) - size as bigint) as start
+      from g join b on g.source is not distinct from b.source and g.grp = b.grp),
+s1 as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) - 1 as rank from d group by source),
+s2 as (select *, {list(WEIGHTS)}[rank % {len(WEIGHTS)} + 1] as weight from s1),
+s3 as (select *, cast(source_size as double) / weight as ratio, sum(source_size) over () as total, sum(weight) over () as w,
+      coalesce(sum(source_size) over o, 0) * {REPEATS} as capped, coalesce(sum(weight) over o, 0) as used
+      from s2 window o as (order by cast(source_size as double) / weight, rank rows between unbounded preceding and 1 preceding)),
+s4 as (select *, cast(total - capped as double) / (w - used) as share from s3),
+level as (select max(share) as share from (select share from s4 where share * weight <= source_size * {REPEATS} order by ratio, rank limit 1)),
+s5 as (select s4.source, source_size, rank, least(coalesce(level.share * weight, cast(source_size * {REPEATS} as double)), cast(source_size * {REPEATS} as double)) as target,
+      (source_size + {BLOCK - 1}) // {BLOCK} as nb from s4, level),
+s6 as (select *, (rank * 1299709 + {SEED}) % {_P} as k,
+      case when source_size > 0 then least(cast(floor(target * nb / source_size + 0.5) as bigint), nb * {REPEATS}) else 0 end as quota from s5),
+t as (select source, nb as n, k + (t // nb) * 15485863 as k, t, t % nb as x from (select *, unnest(range(0, quota)) as t from s6)),
+walk as (select source, t, n, k, a, (n + a - 1) // a as b, x as pos, 0 as i from (select *, greatest(cast(ceil(sqrt(n)) as bigint), 1) as a from t)
+  union all select source, t, n, k, a, b, r * a + l as pos, i + 1 as i from ({step})),
+times as (select source, pos as block, count(*) as times from walk where i > 0 and pos < n group by all),
+piece as (select source, start, block, least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}) as n
+      from (select *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) as block from p where size > 0)),
+taken as (select piece.source, start, cast(sum(n * times) as bigint) as taken from piece join times on piece.source is not distinct from times.source and piece.block = times.block group by piece.source, start)
+select p.doc_id, p.size, s6.source_size, s6.target, coalesce(taken.taken, 0) as taken from p join s6 on p.source is not distinct from s6.source
+left join taken on p.source is not distinct from taken.source and p.start = taken.start and p.size > 0
+"""
+
+
+SQL = _sql()
