@@ -49,7 +49,6 @@ def word_features(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(words(t), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r")))
-    n, r = counted["n"].cast("long"), counted["r"].cast("long")
 
     def as_struct(c: Column) -> Column:
         n, r = c["n"].cast("long"), c["r"].cast("long")
