@@ -17,10 +17,13 @@ def rate(condition: Column) -> Column:
 
 
 def binomial(n: Column, k: Column) -> Column:
-    """n over k in exact integers; n and k are non-negative bigint columns and the value fits a bigint."""
-    return F.when(k > n, F.lit(0).cast("long")).otherwise(
-        F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), F.lit(1).cast("long"), lambda a, i: F.when(i > k, a).otherwise(F.floor((a * (n - k + i)).cast("decimal(38,0)") / i.cast("decimal(20,0)")).cast("long")))
-    )
+    """n over k in exact integers; n and k are non-negative bigint columns and the value fits a bigint.
+
+    Each step multiplies before it divides, so every quotient is whole; decimals keep the product exact.
+    """
+    one = F.lit(1).cast("long")
+    step = lambda a, i: F.when(i > k, a).otherwise(F.floor((a * (n - k + i)).cast("decimal(38,0)") / i.cast("decimal(20,0)")).cast("long"))
+    return F.when(k > n, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(one, F.greatest(k, one)), one, step))
 
 
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:

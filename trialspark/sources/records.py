@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.clustering import task_shards
+
 SAMPLING = "struct<temperature:double,top_p:double,do_sample:boolean,max_output_tokens:bigint,seed:bigint,seed_offset:bigint,stop_sequences:array<string>>"
 GENERATION = f"struct<prompt:string,generation_text:string,input_tokens:bigint,output_tokens:bigint,total_tokens:bigint,latency_seconds:double,sampling:{SAMPLING},model_name:string,provider_name:string,metadata:variant>"
 VERIFICATION = "struct<verification_passed:boolean,verification_score:double,scope:string,verifier_name:string,stdout:string,stderr:string,error_type:string>"
@@ -78,12 +80,8 @@ def task_ids(text: str) -> list[str]:
 
 def sample_rows(candidates: DataFrame, code: str) -> DataFrame:
     """What an evaluator reads: task and solution, and the row's number, counted by range so that no task numbers all rows."""
-    from trialspark.operators.clustering import task_shards
-
     sizes = candidates.groupBy("task_id").agg(F.count("*").alias("n"))
     rank = task_shards(sizes, 1).withColumnRenamed("shard", "task_rank").join(sizes, "task_id")
-    from pyspark.sql import Window
-
     blocks = rank.withColumn("block", F.floor(F.col("task_rank") / 10_000))
     totals = blocks.groupBy("block").agg(F.sum("n").alias("t"))
     until = totals.withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
