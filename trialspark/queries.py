@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions import pycode, scalars
-from trialspark.operators import bootstrap, clustering, curves, integrity, metrics, policies, replay, selection, trajectory
+from trialspark.operators import bootstrap, clustering, curves, integrity, metrics, policies, replay, selection, tasks, trajectory
 from trialspark.sources import records, views
 from trialspark.sources.views import ATTEMPTS_SQL, CAND_SQL, KS, POOL_SIZE, table
 
@@ -671,3 +671,47 @@ def falling_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unknown_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
     return integrity.unknown_tasks(asked, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id")))
+
+
+# Task suites --------------------------------------------------------------------------------------------------------
+
+
+def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.with_split(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")), "split-1")
+
+
+@query("select distinct o_orderkey as task_id from orders where cast('0x' || substr(sha256('split-1' || cast(o_orderkey as varchar)), 1, 16) as ubigint) % 5 = 0 order by 1 limit 50 offset 10")
+def task_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.task_slice(_suite(spark, sf_dir), "development", 10, 50)
+
+
+@query("select task_id from (select distinct o_orderkey as task_id from orders) order by sha256('sample-1' || cast(task_id as varchar)) limit 100")
+def hash_ordered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.hash_ordered_sample(_suite(spark, sf_dir), "sample-1", 100)
+
+
+@query("select event_id, cast(user_id as varchar) as run, event_type as policy, 'full' as budget from events")
+def annotated_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts whose metadata gets the run's values; the run's policy replaces the one that was there."""
+    own = table(spark, sf_dir, "events").withColumn("metadata", F.create_map(F.lit("run"), F.col("user_id").cast("string"), F.lit("policy"), F.lit("old")))
+    done = tasks.annotated(own, "metadata", {"policy": F.col("event_type"), "budget": F.lit("full")})
+    return done.select("event_id", *[F.col("metadata")[k].alias(k) for k in ("run", "policy", "budget")])
+
+
+@query("""with s as (select event_id, event_type as policy, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as call from events)
+select event_id, case when call = 0 then 'return wrong' else 'return right' end as reply from s""")
+def scripted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scripted provider's replies, call by call, the last one again and again."""
+    from trialspark.plans.studies import scripted
+
+    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
+    calls = table(spark, sf_dir, "events").select("event_id", F.lit("best_of_n").alias("policy"), nth.alias("call"))
+    return scripted(calls, 100).select("event_id", "reply")
+
+
+@query("select l_orderkey * 10 + l_linenumber as shard, '--read-only' as flag, count(*) as n from lineitem where l_returnflag = 'R' group by all union all select l_orderkey * 10 + l_linenumber, '--network=none', count(*) from lineitem where l_linestatus = 'O' group by all")
+def sandbox_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container commands that lack a required flag."""
+    words = F.array_compact(F.array(F.lit("run"), F.when(F.col("l_returnflag") != "R", "--read-only"), F.when(F.col("l_linestatus") != "O", "--network=none")))
+    commands = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("shard"), words.alias("command"))
+    return integrity.sandbox_flags(commands, ["--read-only", "--network=none"]).groupBy("shard", "flag").agg(F.count("*").alias("n"))
