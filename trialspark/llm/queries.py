@@ -66,6 +66,7 @@ QUERIES = {
     "op10_forced_bpe": op10_forced_bpe,
 }
 ORACLES = {
+    "op1_url_templates": url_templates.SQL,
     "op2_chat_format": chat_format.SQL,
     "op3_secret_automaton": secret_scan.SQL,
     "op8_line_quality": line_quality.SQL.format(docs="documents"),

@@ -145,3 +145,56 @@ def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str], url: str
 
 #: The rules of op1.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def _level_sql(depth: int) -> str:
+    """The tables of one level, from v{depth} to v{depth + 1}."""
+    d, lit = depth, "not starts_with({0}, '{{')"
+    sums = "cast(sum(pages) as bigint) as pages, cast(sum(labelled) as bigint) as labelled, cast(sum(bad) as bigint) as bad, max(prior) as prior"
+    return f"""
+st{d} as (select *, coalesce(shape[{d + 1}], '{{end}}') as segment from v{d} where not ended),
+ch{d} as (select host, node, segment, {sums} from st{d} group by all),
+nm{d} as (select *, case when {lit.format('segment')} and (fan > {MAX_CHILDREN} or pages < {MIN_PAGES}) then '{{*}}' else segment end as branch
+  from (select *, count(*) filter ({lit.format('segment')}) over (partition by host, node) as fan from ch{d})),
+br{d} as (select host, node, branch, starts_with(branch, '{{') as special, {sums} from nm{d} group by all),
+lg{d} as (select *, lag(labelled) over w as n2, lag(bad) over w as b2 from br{d} window w as (partition by host, node, special order by bad / greatest(labelled, 1), branch)),
+ap{d} as (select *, case when not special and least(labelled, n2) >= {MIN_LABELLED} and n2 is not null and
+    abs(bad / labelled - b2 / n2) / sqrt(greatest((bad + b2) / (labelled + n2) * (1 - (bad + b2) / (labelled + n2)), cast(1e-9 as double)) * (1 / labelled + 1 / n2)) <= {MAX_Z} then 0 else 1 end as apart from lg{d}),
+ru{d} as (select *, sum(apart) over (partition by host, node, special order by bad / greatest(labelled, 1), branch) as run from ap{d}),
+me{d} as (select host, node, special, run, (sum(bad) + {PRIOR} * max(prior)) / (sum(labelled) + {PRIOR}) as share, string_agg(branch, '|' order by branch) as name from ru{d} group by all),
+v{d + 1} as materialized (select s.host, s.shape, case when s.shape[{d + 1}] is null then s.node else s.node || '/' || m.name end as node, case when s.shape[{d + 1}] is null then s.prior else cast(m.share as double) end as prior,
+    s.pages, s.labelled, s.bad, s.shape[{d + 1}] is null as ended
+  from st{d} s join nm{d} n on s.host = n.host and s.node = n.node and s.segment = n.segment join ru{d} r on n.host = r.host and n.node = r.node and n.branch = r.branch
+  join me{d} m on r.host = m.host and r.node = m.node and r.special = m.special and r.run = m.run)"""
+
+
+def _sql() -> str:
+    """DuckDB SQL for op1: judged() over pages with the labels of documents."""
+    rule, verdict = "null", f"case when purity < {1 - THRESHOLD} then 'block' else 'allow' end"
+    for text in sorted(RULES, key=len):
+        own, _, rest = text.partition("/")
+        fits = f"(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '/{rest}')"
+        rule, verdict = f"case when {fits} then '{text}' else {rule} end", f"case when {fits} then '{RULES[text]}' else {verdict} end"
+    ending, levels = r"\.[A-Za-z0-9]{1,5}$", DEPTH + 2
+    named = rf"""case when regexp_matches(regexp_replace(x, '{ending}', ''), '^\d{{4}}-\d{{2}}(-\d{{2}})?$') then '{{date}}' || regexp_extract(x, '{ending}') when regexp_matches(regexp_replace(x, '{ending}', ''), '^\d+$') then '{{number}}' || regexp_extract(x, '{ending}')
+      when regexp_matches(regexp_replace(x, '{ending}', ''), '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(regexp_replace(x, '{ending}', ''), '\d') then '{{hex}}' || regexp_extract(x, '{ending}') when length(regexp_replace(x, '{ending}', '')) > 40 then '{{long}}' || regexp_extract(x, '{ending}') else x end"""
+    done = " union all ".join(f"select host, shape, node, prior from v{d} where ended" for d in range(1, levels + 1))
+    return f"""
+with u as (select page_id, coalesce(case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end, '') as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (select page_id, translate(raw, '{LETTERS}', '{LETTERS.lower()}') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+w as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p),
+own as materialized (select page_id, host, path, list_concat(list_transform(parts[1:{DEPTH}], lambda x: {named}), case when len(parts) > {DEPTH} then ['{{tail}}'] else [] end) as shape from w),
+marks as (select doc_id, max(cast(quality = 0 or toxic = 1 as integer)) as bad from labels where (quality = 0 or toxic = 1) is not null group by doc_id),
+shapes as materialized (select host, shape, count(*) as pages, count(bad) as labelled, cast(coalesce(sum(bad), 0) as bigint) as bad from own left join marks on page_id = doc_id group by host, shape),
+overall as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) as o from shapes),
+hosts as (select host, (sum(bad) + {PRIOR} * max(o)) / (sum(labelled) + {PRIOR}) as prior, sum(labelled) as known from shapes, overall group by host),
+v0 as (select shapes.host, shape, '' as node, cast(prior as double) as prior, pages, labelled, bad, false as ended from shapes join hosts on shapes.host = hosts.host),
+{",".join(map(_level_sql, range(levels)))},
+tree as (select d.host, shape, case when node = '' then '/' else node end as template, case when known > 0 then 1 - d.prior end as purity from ({done}) d join hosts on d.host = hosts.host)
+select page_id, own.host, path, {rule.replace('host', 'own.host')} as rule, template, purity, {verdict.replace('host', 'own.host')} as verdict
+from own join tree on own.host = tree.host and own.shape = tree.shape
+"""
+
+
+SQL = _sql()
