@@ -6,9 +6,10 @@ A selector sees candidates' public columns only. Labels are joined by task and c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_rate, pass_at_k
@@ -25,14 +26,26 @@ def _prefixes(candidates: DataFrame, ks: list[int]) -> DataFrame:
     return candidates.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in ks]), lambda k: F.col("candidate_index") < k)))
 
 
+def _first_sample() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _first_base_pass() -> Column:
+    return F.coalesce(F.min(F.when(F.col("base_passed"), F.col("candidate_index"))), F.lit(0)).cast("long")
+
+
+#: Selectors as aggregates over a prefix's public columns, so that one pass serves all of them.
+SELECTORS = {"first_base_pass": _first_base_pass, "first_sample": _first_sample}
+
+
 def first_sample(candidates: DataFrame, ks: list[int]) -> DataFrame:
-    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(F.lit(0).cast("long").alias("selected_index"))
+    """(task_id, k, selected_index): the first candidate."""
+    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_sample().alias("selected_index"))
 
 
 def first_base_pass(candidates: DataFrame, ks: list[int]) -> DataFrame:
-    """The first publicly passing candidate of the prefix, the first of all if none passes."""
-    chosen = F.coalesce(F.min(F.when(F.col("base_passed"), F.col("candidate_index"))), F.lit(0)).cast("long")
-    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(chosen.alias("selected_index"))
+    """(task_id, k, selected_index): the first publicly passing candidate of the prefix, the first of all if none passes."""
+    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_base_pass().alias("selected_index"))
 
 
 def custom_selector(choose: Callable[[pd.DataFrame], int]) -> Callable[[DataFrame, list[int]], DataFrame]:
@@ -52,32 +65,41 @@ def custom_selector(choose: Callable[[pd.DataFrame], int]) -> Callable[[DataFram
     return select
 
 
-SELECTORS = {"first_base_pass": first_base_pass, "first_sample": first_sample}
+def _by_index(value: str) -> Column:
+    """candidate_index -> value over a task's candidates, of which a pool has a bounded few."""
+    return F.map_from_entries(F.collect_list(F.struct("candidate_index", value)))
+
 
+def observations(candidates: DataFrame, hidden: DataFrame, ks: list[int], custom: dict | None = None, pool_size: int = 4) -> DataFrame:
+    """One row for each task, k and selector; Pass@k counts correct candidates in the whole pool.
 
-def observations(candidates: DataFrame, hidden: DataFrame, ks: list[int], selectors: dict | None = None, pool_size: int = 4) -> DataFrame:
-    """One row for each task, k and selector; Pass@k counts correct candidates in the whole pool."""
+    Public columns are read once and hidden ones once, each summed by task, and the two sums are joined: choices are
+    made before that join. custom is a dict of functions of (candidates, ks) in place of SELECTORS.
+    """
     ks = eligible_ks(ks, pool_size)
-    chosen = None
-    for name, select in (selectors or SELECTORS).items():
-        one = select(candidates, ks).withColumn("selector_name", F.lit(name))
-        chosen = one if chosen is None else chosen.unionByName(one)
-    key = ["task_id", "candidate_index"]
-    graded = candidates.select(*key, "base_passed").join(hidden, key)
-    correct = _prefixes(hidden, ks).groupBy("task_id", "k").agg(F.bool_or("plus_passed").alias("prefix_has_correct"))
-    total = hidden.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("plus_passed").alias("correct_in_pool"))
-    joined = chosen.join(graded.withColumnRenamed("candidate_index", "selected_index"), ["task_id", "selected_index"]).join(correct, ["task_id", "k"]).join(total, "task_id")
+    public = public_only(_prefixes(candidates, ks)).groupBy("task_id", "k")
+    if custom is None:
+        named = public.agg(_by_index("base_passed").alias("base"), *[of().alias(name) for name, of in SELECTORS.items()])
+        choices = F.explode(F.array(*[F.struct(F.lit(n).alias("selector_name"), F.col(n).alias("selected_index")) for n in SELECTORS]))
+        chosen = named.select("task_id", "k", "base", choices.alias("s")).select("task_id", "k", "base", "s.*")
+    else:
+        picks = [select(candidates, ks).withColumn("selector_name", F.lit(name)) for name, select in custom.items()]
+        chosen = public.agg(_by_index("base_passed").alias("base")).join(reduce(DataFrame.unionByName, picks), ["task_id", "k"])
+    first_correct = F.min(F.when(F.col("plus_passed"), F.col("candidate_index")))
+    labels = hidden.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("plus_passed").alias("correct_in_pool"), first_correct.alias("first_correct"), _by_index("plus_passed").alias("plus"))
+    joined = chosen.join(labels, "task_id").withColumn("prefix_has_correct", F.coalesce(F.col("first_correct") < F.col("k"), F.lit(False)))
+    plus = F.col("plus")[F.col("selected_index")]
     return joined.select(
         "task_id",
         "selector_name",
         "k",
         "selected_index",
-        F.col("base_passed").alias("selected_base_passed"),
-        F.col("plus_passed").alias("selected_plus_passed"),
+        F.col("base")[F.col("selected_index")].alias("selected_base_passed"),
+        plus.alias("selected_plus_passed"),
         "correct_in_pool",
         "prefix_has_correct",
         pass_at_k(F.col("n"), F.col("correct_in_pool"), F.col("k")).alias("pass_at_k"),
-        (as_rate(F.col("prefix_has_correct")) - as_rate(F.col("plus_passed"))).alias("selection_regret"),
+        (as_rate(F.col("prefix_has_correct")) - as_rate(plus)).alias("selection_regret"),
     )
 
 
