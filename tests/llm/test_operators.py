@@ -122,6 +122,16 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         assert near_duplicates.aligned(a, b, 2, 2) <= table[-1][-1]
 
 
+def test_similarity_of_exactly_the_least_is_a_link():
+    for short, long in ((12, 15), (24, 30), (48, 60), (52, 65), (56, 70), (88, 110)):
+        w = [f"w{i}" for i in range(long + 4)]
+        assert near_duplicates.similarity(w[: short + 4], w) == pytest.approx(0.8)
+        assert near_duplicates.similarity(w[: short + 3], w) == 0
+    for n in range(9, 400, 9):  # 8 n of 9 n shingles each aligned, then their ends differ
+        a, b = ([f"w{i}" for i in range(8 * n + 4)] + [f"{x}{i}" for i in range(n)] for x in "ab")
+        assert near_duplicates.similarity(a, b) == pytest.approx(0.8)
+
+
 def test_secret_spans_equal_a_search_by_regex(docs, empty):
     rng = random.Random(4)
     parts = ["password", "PassWd", "secret", "token", "api", "_", "key", '"', "'", " ", ":", "=", "AKIA", "AKI", "ABC12345678901", "f" * 15, "a", "0123456789", "deadbeef", "é", "ghp_", "x" * 20, "xoxb-", "AIza", "sk_live_", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "\n"]

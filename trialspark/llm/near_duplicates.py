@@ -15,6 +15,7 @@ is left out.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -145,7 +146,7 @@ def similarity(a: list[str], b: list[str], least: float = SIMILARITY) -> float:
     n, m = len(x), len(y)
     if not n or not m:
         return float(n == m)
-    need = int(-(-least * (n + m) // (1 + least)))
+    need = math.ceil(least * (n + m) / (1 + least) - 1e-9)  # a sum that divides evenly must not be rounded up
     if need > min(n, m):
         return 0.0
     found = aligned(x, y, n - need, m - need)
@@ -187,7 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _pairs(a, b, na, nb):
     """struct(a, b) in order, null where the texts are one or their lengths rule out the similarity."""
     short, long = F.greatest(F.least(na, nb) - SHINGLE + 1, F.lit(1)), F.greatest(na, nb) - SHINGLE + 1
-    return F.when((a != b) & (short >= SIMILARITY * long), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+    return F.when((a != b) & (short + 1e-9 >= SIMILARITY * long), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
 
 
 def candidate_pairs(shared: DataFrame) -> DataFrame:
