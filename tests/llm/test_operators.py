@@ -122,6 +122,24 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         assert near_duplicates.aligned(a, b, 2, 2) <= table[-1][-1]
 
 
+def test_every_pair_of_a_large_bucket_is_compared(spark):
+    rng = random.Random(8)
+    word = lambda: f"o{rng.randrange(10**9)}"
+    passage = [word() for _ in range(88)]
+    made = []
+    for _ in range(60):  # two texts that share the passage and two more words; 0.81 between them, 0.78 or less to others
+        more = [word(), word()]
+        made += [passage + more + [word() for _ in range(10)] for _ in range(2)]
+    made += [passage + [word() for _ in range(12)] for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    bands = {r.rep: set(r.bands) for r in near_duplicates.sketches(docs).collect()}
+    of = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) > 0]
+    assert len(near) > 50
+    assert [p for p in near if of[p[0]] != of[p[1]]] == []
+    assert len(set(of.values())) == len(made) - len(near)
+
+
 def test_similarity_of_exactly_the_least_is_a_link():
     for short, long in ((12, 15), (24, 30), (48, 60), (52, 65), (56, 70), (88, 110)):
         w = [f"w{i}" for i in range(long + 4)]

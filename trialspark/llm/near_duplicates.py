@@ -9,8 +9,9 @@ offsets that a similarity of 0.8 allows, has aligned / (n + m - aligned) >= 0.8.
 A bucket of up to SMALL texts is compared pair by pair. A larger one is compared with two leaders, one by a hash of the
 text and one by a hash of text and key, so that each of the BANDS buckets of a text gives it other partners. Then, in
 turns while more than LEAST_YIELD of the comparisons are links, the members of a bucket that are not in its largest
-component are each compared with two members of that. A turn's work is linear in the rows of a bucket, and no member
-is left out.
+component are each compared with two members of that. Leaders and turns only save work. At the end all pairs of a
+bucket that are still in two components are compared, but for those that their lengths or a map of their shingles rule
+out for certain. So the classes are the components of the links among all candidates.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from trialspark.llm.common import WORD, fresh, stored, words
 SHINGLE, SIMILARITY = 5, 0.8
 TUPLE, ROWS, BANDS = 2, 2, 12
 SMALL = 6
+#: Bits of a text's shingle map, and the members of a bucket that meet in one group of a join.
+MAP_BITS, CELL = 1024, 500
 #: Comparisons across components go on while more than this share of them are links.
 LEAST_YIELD = 0.002
 
@@ -44,11 +47,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def band_keys(word_hashes: np.ndarray) -> np.ndarray | None:
-    """The band keys of one text from the hashes of its words; None for no words."""
+def labelled_shingles(word_hashes: np.ndarray) -> np.ndarray:
+    """The hashes of a text's shingles in order, each with its occurrence number; there is a word at least."""
     n = len(word_hashes)
-    if not n:
-        return None
     k = min(SHINGLE, n)
     grams = np.zeros(n - k + 1, _U)
     for j in range(k):
@@ -62,7 +63,21 @@ def band_keys(word_hashes: np.ndarray) -> np.ndarray | None:
         nth = np.empty(len(ranked), _U)
         nth[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(_U)
         grams = grams + nth * _U(0xD6E8FEB86659FD93)
-    labelled = _mix(grams)
+    return _mix(grams)
+
+
+def shingle_map(labelled: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits in words of 64, one set for each hash that is there.
+
+    A bit that one text has and another has not is a shingle of the first that the second lacks.
+    """
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(labelled >> _U(32)) % _U(MAP_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def band_keys(labelled: np.ndarray) -> np.ndarray:
+    """The band keys of one text from its labelled shingles."""
     tuples = np.empty(ROWS * BANDS, _U)
     step = max(1, 1_000_000 // len(labelled))
     for lo in range(0, ROWS * BANDS, step):
@@ -91,17 +106,16 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lists = batch.column("words")
         flat, at = lists.flatten().to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
         at = at - at[0] if len(at) else at
-        keys = [band_keys(flat[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "doc_id", "n_words", "bands"]
-        )
+        texts = [labelled_shingles(flat[lo:hi]) if hi > lo else None for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        made = [pa.array([None if t is None else f(t) for t in texts], pa.list_(pa.int64())) for f in (band_keys, shingle_map)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), *made], names=["node", "doc_id", "n_words", "bands", "map"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, rep, n_rows, n_words, bands): one row a distinct text; docs has doc_id and text. Null texts are left out."""
+    """(node, rep, n_rows, n_words, bands, map): one row a distinct text; docs has doc_id and text. Null texts are left out."""
     hashed = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    rows = hashed.mapInArrow(_sketch_batches, "node string, doc_id long, n_words long, bands array<long>")
-    return rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
+    rows = hashed.mapInArrow(_sketch_batches, "node string, doc_id long, n_words long, bands array<long>, map array<long>")
+    return rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"), F.first("map").alias("map"))
 
 
 def aligned(a: list, b: list, below: int, above: int) -> int:
@@ -240,6 +254,33 @@ def _across(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return others.select(F.explode(F.array(*[_pairs(x["node"], F.col("node"), x["n"], F.col("n_words")) for x in leads])).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
 
 
+def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b): all pairs of a bucket in two components, without those that cannot have the similarity.
+
+    Ruled out are pairs by their lengths, and pairs whose shingle maps differ in more bits than shingles may be left
+    over. Within a bucket the members outside its largest component meet all members. Both sides are dealt to cells, so
+    that about CELL of one meet CELL of the other in a group.
+    """
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    tops = per.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    cells = tops.select("key", F.col("top.label").alias("top"), F.ceil(F.col("all") / CELL).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("top.size")) / CELL).cast("int").alias("high"))
+    sized = F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("n")
+    rows = stored(named.join(cells, "key").join(nodes.select("node", "map"), "node").select("key", "node", "label", sized, "map", (F.col("label") != F.col("top")).alias("other"), "wide", "high"), "meeting")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    what = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "map", "other")]
+    left = rows.where("other").select("key", own(F.col("high")).alias("i"), each(F.col("wide")).alias("j"), *what("l"))
+    right = rows.select("key", each(F.col("high")).alias("i"), own(F.col("wide")).alias("j"), *what("r"))
+    n, m = F.col("l_n"), F.col("r_n")
+    need = F.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9)
+    lacks = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(1, MAP_BITS // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
+    once = ~F.col("r_other") | (F.col("l_node") < F.col("r_node"))
+    near = (F.col("l_label") != F.col("r_label")) & once & (F.least(n, m) >= need) & (lacks("l_map", "r_map") <= n - need) & (lacks("r_map", "l_map") <= m - need)
+    met = left.hint("merge").join(right, ["key", "i", "j"]).where(near)
+    return met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+
+
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, rep, n_rows, class_id, n_links) for each distinct text and the links (a, b) between texts."""
     docs = docs.select("doc_id", "text")
@@ -260,8 +301,14 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if n_found <= LEAST_YIELD * n_more:
             break
         tested = stored(tested.union(more), "pairs")
+    large = shared.where(F.col("size") > SMALL).select("key", "node", "n_words")
+    rest = stored(remaining_pairs(large, labels, nodes).join(tested.union(more), ["a", "b"], "left_anti"), "pairs")
+    found = stored(verified(rest, texts), "links")
+    if not found.isEmpty():
+        links = stored(links.union(found), "links")
+        labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    labelled = nodes.drop("bands", "n_words").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    labelled = nodes.drop("bands", "n_words", "map").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     named = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
     return stored(labelled.join(named, "label").drop("label"), "classes"), links
 
