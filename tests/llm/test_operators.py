@@ -140,6 +140,30 @@ def test_every_pair_of_a_large_bucket_is_compared(spark):
     assert len(set(of.values())) == len(made) - len(near)
 
 
+def test_classes_do_not_hang_on_when_the_turns_end(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LEAST_YIELD", 1.0)  # as with many fruitless comparisons elsewhere
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    made = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice((2, 3, 4))):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        made.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    bands = {r.rep: set(r.bands) for r in near_duplicates.sketches(docs).collect()}
+    of = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) > 0]
+    assert [p for p in near if of[p[0]] != of[p[1]]] == []
+
+
+def test_components_that_take_up_links(spark):
+    frame = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
+    old, new = [("a", "b"), ("c", "d"), ("e", "f")], [("d", "e"), ("g", "h"), ("b", "i")]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(near_duplicates.joined(near_duplicates.components(frame(old)), frame(new))) == rows(near_duplicates.components(frame(old + new)))
+
+
 def test_similarity_of_exactly_the_least_is_a_link():
     for short, long in ((12, 15), (24, 30), (48, 60), (52, 65), (56, 70), (88, 110)):
         w = [f"w{i}" for i in range(long + 4)]

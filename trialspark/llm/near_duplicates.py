@@ -33,7 +33,7 @@ TUPLE, ROWS, BANDS = 2, 2, 12
 SMALL = 6
 #: Bits of a text's shingle map, and the members of a bucket that meet in one group of a join.
 MAP_BITS, CELL = 1024, 500
-#: Comparisons across components go on while more than this share of them are links.
+#: Turns across components go on while more than this share of their comparisons are links; what they leave is compared after them.
 LEAST_YIELD = 0.002
 
 _U = np.uint64
@@ -231,6 +231,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, label) after the links of found (a, b) between components, without walking the old links again."""
+    at = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    ends = found.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    named = stored(ends.select("a", "b", F.coalesce("a_label", "a").alias("u"), F.coalesce("b_label", "b").alias("v")), "ends")
+    further = components(named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+    new = named.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node"))
+    after = further.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    return stored(labels.union(new).join(after, "label", "left").select("node", F.coalesce("last", "label").alias("label")), "labels")
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold two components or more, one of them of two members or more."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -297,7 +308,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         n_found, n_more = found.count(), more.count()
         if n_found:
             links, turn = stored(links.union(found), "links"), turn + 1
-            labels = components(links)
+            labels = joined(labels, found)
         if n_found <= LEAST_YIELD * n_more:
             break
         tested = stored(tested.union(more), "pairs")
@@ -306,7 +317,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(verified(rest, texts), "links")
     if not found.isEmpty():
         links = stored(links.union(found), "links")
-        labels = components(links)
+        labels = joined(labels, found)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = nodes.drop("bands", "n_words", "map").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     named = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
