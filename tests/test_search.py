@@ -264,3 +264,12 @@ def test_streamed_stops_equal_the_batch_form(spark, sf, tmp_path):
     nth = F.row_number().over(Window.partitionBy("task_id", "policy_name").orderBy("ts"))
     want = events.withColumn("calls", nth).where("verification_passed").groupBy("task_id", "policy_name").agg(F.min("calls").alias("calls"))
     assert got.select("task_id", "policy_name", "calls").exceptAll(want.select("task_id", "policy_name", F.col("calls").cast("long"))).count() == 0 and got.count() == want.count()
+
+
+def test_pass_at_k_by_task_keeps_tasks_of_any_size(spark, monkeypatch):
+    made = [(7, i < 3) for i in range(60)] + [(8, i == 0) for i in range(100_000)] + [(9, i == 0) for i in range(4)]
+    monkeypatch.setattr(queries.views, "candidates", lambda *_: spark.createDataFrame(made, "task_id long, plus_passed boolean"))
+    got = {(r.task_id, r.k): r.pass_at_k for r in queries.QUERIES["pass_at_k_by_task"](spark, "").collect()}
+    assert got[7, 2] == pytest.approx(1 - (57 * 56) / (60 * 59))
+    assert got[8, 4] == pytest.approx(4 / 100_000)
+    assert len(got) == 9

@@ -29,8 +29,8 @@ def binomial(n: Column, k: Column) -> Column:
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     """The chance that k of n candidates, drawn without replacement, hold one of the c correct ones."""
     n, c, k = (x.cast("long") for x in (n, c, k))
-    none = F.lit(1.0) - binomial(n - c, k).cast("double") / binomial(n, k).cast("double")
-    return F.when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(none)
+    missed = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.lit(1.0), lambda a, i: F.when(i > k, a).otherwise(a * (n - c - i + 1).cast("double") / (n - i + 1).cast("double")))
+    return F.when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(F.lit(1.0) - missed)
 
 
 def tokens(text: Column) -> Column:
