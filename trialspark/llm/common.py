@@ -1,17 +1,24 @@
-"""What the training-data operators share: words, shared-folder tables, small expression helpers."""
+"""What the training-data operators share: words, shared-folder tables, joins on hot keys, small expression helpers."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters that are neither a blank nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that joined_copies() broadcasts, at most.
+HOT_KEYS = 1_000
 
 _own_folder: list[str] = []
+#: Paths of stored tables that are still there.
+_stored: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +27,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or on one machine our own where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="trialspark-"))
     return f"file://{_own_folder[0]}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what led to it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+def _written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _stored[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what led to it.
+
+    The table goes when the scratch() around it ends, or else when Python ends.
+    """
+    return _written(df, label)[1]
+
+
+def _remove(paths: list[str]) -> None:
+    for path in paths:
+        spark = _stored.pop(path, None)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    _remove(list(_stored))
+
+
+class Kept:
+    """What outlives a scratch(): tables stored by stored() of its own."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path, out = _written(df, label)
+        self.paths.add(path)
+        return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Kept]:
+    """Tables stored inside are deleted at the end, but for the kept ones; nothing lazy may still read the others."""
+    before, kept = set(_stored), Kept()
+    try:
+        yield kept
+    finally:
+        _remove([p for p in _stored if p not in before and p not in kept.paths and _stored[p] is spark])
+
+
+def joined_copies(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column, name: str) -> DataFrame:
+    """rows with the other columns of table's row of the same key as a struct `name`, null where there is none.
+
+    weight is how many of rows have the key. Keys with more than 1 / HOT_KEYS of all rows, of which there are fewer than
+    HOT_KEYS, are joined by broadcast; their rows go on under names of their own made of spread, so that no key, however
+    hot, gathers its rows in one task. table has each key once; a null key finds nothing.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    k, hot, cold, by = (fresh(rows, x) for x in ("join_key", "join_hot", "join_cold", "join_by"))
+    packed = lambda as_: [F.col(key).alias(k), F.struct(*[c for c in table.columns if c != key]).alias(as_)]
+    few = F.broadcast(table.where(F.col(weight) > total // HOT_KEYS).select(*packed(hot)))
+    others = table.where(F.col(weight) <= total // HOT_KEYS).select(*packed(cold))
+    first = rows.join(few, F.col(key) == F.col(k), "left").drop(k)
+    named = first.withColumn(by, F.when(F.col(hot).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit("#"), spread.cast("string"))))
+    return named.join(others, F.col(by) == F.col(k), "left").withColumn(name, F.coalesce(hot, cold)).drop(k, by, hot, cold)
 
 
 def let(value: Column, body) -> Column:
@@ -53,3 +124,9 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def columns_but(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df but for those of these names, in any case of letters."""
+    gone = {n.lower() for n in names}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]

@@ -6,35 +6,36 @@ smallest labelled shingles and keep them in text order; ROWS such tuples make a
 candidates. A candidate pair is a link if the best alignment of the two shingle sequences, searched only in the band of
 offsets that a similarity of 0.8 allows, has aligned / (n + m - aligned) >= 0.8. Classes are connected components.
 
-A bucket of up to SMALL texts is compared pair by pair. A larger one is compared with two leaders, one by a hash of the
-text and one by a hash of text and key, so that each of the BANDS buckets of a text gives it other partners. Then, in
-turns while more than LEAST_YIELD of the comparisons are links, the members of a bucket that are not in its largest
-component are each compared with two members of that. Leaders and turns only save work. At the end all pairs of a
-bucket that are still in two components are compared, but for those that their lengths or a map of their shingles rule
-out for certain. So the classes are the components of the links among all candidates.
+A bucket of up to SMALL texts is compared pair by pair. A larger one is first compared with two leaders, one by a hash
+of the text and one by a hash of text and key; that only saves work. Then, in every bucket that still holds two
+components, each member outside its largest component is compared with all members. Both sides are dealt to cells of
+bounded size. A cell counts exactly how many shingles its pairs share, drops those that share too few to be links, and
+aligns the others, the nearest first, unless they have become one component. So the classes are the components of the
+links among all candidates, whatever the sizes of buckets and whatever the leaders are.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import WORD, fresh, stored, words
+from trialspark.llm.common import WORD, fresh, joined_copies, scratch, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 TUPLE, ROWS, BANDS = 2, 2, 12
 SMALL = 6
-#: Bits of a text's shingle map, and the members of a bucket that meet in one group of a join.
-MAP_BITS, CELL = 1024, 500
-#: Turns across components go on while more than this share of their comparisons are links; what they leave is compared after them.
-LEAST_YIELD = 0.002
+#: Words of one side of a cell, about; a longer text is a side of its own. Pairs of texts that are split at a time.
+CELL_WORDS, AT_ONCE = 100_000, 200
+#: Columns of a cell's table of shingles that are multiplied at a time.
+COLUMNS = 4096
 
 _U = np.uint64
 _SEEDS = np.random.default_rng(20240611).integers(1, 2**63, size=(3, ROWS * BANDS), dtype=np.uint64) | _U(1)
@@ -66,16 +67,6 @@ def labelled_shingles(word_hashes: np.ndarray) -> np.ndarray:
     return _mix(grams)
 
 
-def shingle_map(labelled: np.ndarray) -> np.ndarray:
-    """MAP_BITS bits in words of 64, one set for each hash that is there.
-
-    A bit that one text has and another has not is a shingle of the first that the second lacks.
-    """
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[(labelled >> _U(32)) % _U(MAP_BITS)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def band_keys(labelled: np.ndarray) -> np.ndarray:
     """The band keys of one text from its labelled shingles."""
     tuples = np.empty(ROWS * BANDS, _U)
@@ -106,16 +97,18 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lists = batch.column("words")
         flat, at = lists.flatten().to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
         at = at - at[0] if len(at) else at
-        texts = [labelled_shingles(flat[lo:hi]) if hi > lo else None for lo, hi in zip(at[:-1], at[1:], strict=True)]
-        made = [pa.array([None if t is None else f(t) for t in texts], pa.list_(pa.int64())) for f in (band_keys, shingle_map)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), *made], names=["node", "doc_id", "n_words", "bands", "map"])
+        keys = [band_keys(labelled_shingles(flat[lo:hi])) if hi > lo else None for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        made = [pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), *made], names=["node", "doc_id", "n_words", "bands"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, rep, n_rows, n_words, bands, map): one row a distinct text; docs has doc_id and text. Null texts are left out."""
-    hashed = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    rows = hashed.mapInArrow(_sketch_batches, "node string, doc_id long, n_words long, bands array<long>, map array<long>")
-    return rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"), F.first("map").alias("map"))
+    """(node, rep, n_rows, n_words, bands): one row a distinct text; docs has doc_id and text. Null texts are left out."""
+    hashed = docs.where(F.col("text").isNotNull()).select(
+        F.md5("text").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")
+    )
+    rows = hashed.mapInArrow(_sketch_batches, "node string, doc_id long, n_words long, bands array<long>")
+    return rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
 
 
 def aligned(a: list, b: list, below: int, above: int) -> int:
@@ -154,28 +147,62 @@ def aligned(a: list, b: list, below: int, above: int) -> int:
     return head + tail + done + width - band.bit_count()
 
 
-def similarity(a: list[str], b: list[str], least: float = SIMILARITY) -> float:
-    """The ordered overlap of the five-word shingles of two lists of words; 0 where it is below `least`."""
-    x, y = (list(zip(*(w[i : len(w) - k + 1 + i] for i in range(k)), strict=True)) for w in (a, b) for k in [max(1, min(SHINGLE, len(a), len(b)))])
+_words_of = re.compile(WORD).findall
+
+
+def shingle_numbers(texts: list[str]) -> list[np.ndarray]:
+    """The shingles of each text in order, as numbers that are equal where and only where shingles are.
+
+    A text of fewer than SHINGLE words is one shingle; one without words has none.
+    """
+    names: dict[str, int] = {}
+    numbered = []
+    for t in texts:
+        w = _words_of(t)
+        numbered.append([names.setdefault(x, len(names) + 1) for x in w] + [0] * (SHINGLE - len(w) if w else 0))
+    flat = np.fromiter((x for n in numbered for x in n), np.int64)
+    lengths = np.array([len(n) for n in numbered], np.int64)
+    grams, kinds = flat, len(names) + 1
+    for k in range(1, SHINGLE):  # each round appends a word; windows that cross texts are cut away below
+        following = np.zeros(len(flat), np.int64)
+        following[: max(len(flat) - k, 0)] = flat[k:]
+        distinct, grams = np.unique(grams * (len(names) + 1) + following, return_inverse=True)
+        kinds = len(distinct)
+    ends = np.cumsum(lengths)
+    return [grams[end - n : max(end - SHINGLE + 1, end - n)] for n, end in zip(lengths, ends, strict=True)]
+
+
+def least_aligned(n, m):
+    """The shingles that must be aligned for SIMILARITY; a sum that divides evenly is not rounded up."""
+    return np.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9)
+
+
+def is_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sequences of shingles have an ordered overlap of SIMILARITY or more."""
+    n, m = len(x), len(y)
+    if not n or not m:
+        return n == m
+    need = int(least_aligned(n, m))
+    return need <= min(n, m) and aligned(x.tolist(), y.tolist(), n - need, m - need) >= need
+
+
+def similarity(a: list[str], b: list[str]) -> float:
+    """The ordered overlap of the shingles of two lists of words."""
+    x, y = shingle_numbers([" ".join(a), " ".join(b)])
     n, m = len(x), len(y)
     if not n or not m:
         return float(n == m)
-    need = math.ceil(least * (n + m) / (1 + least) - 1e-9)  # a sum that divides evenly must not be rounded up
-    if need > min(n, m):
-        return 0.0
-    found = aligned(x, y, n - need, m - need)
-    s = found / (n + m - found)
-    return s if s >= least - 1e-12 else 0.0
+    found = aligned(x.tolist(), y.tolist(), n, m)
+    return found / (n + m - found)
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    find = re.compile(WORD).findall
     for batch in batches:
-        x, y = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
-        yes = pa.array([similarity(find(s), find(t)) > 0 for s, t in zip(x, y, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(yes)
+        for lo in range(0, len(batch), AT_ONCE):
+            part = batch.slice(lo, AT_ONCE)
+            shingles = shingle_numbers(part.column("text_a").to_pylist() + part.column("text_b").to_pylist())
+            yes = pa.array([is_link(shingles[i], shingles[i + len(part)]) for i in range(len(part))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(yes)
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -195,7 +222,8 @@ def texts_of(docs: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are links."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a string, b string")
 
 
@@ -215,133 +243,168 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, for all nodes of links (a, b).
+    """(node, label): a label for each node of links (a, b), the same within a connected component and only there.
 
-    Each round takes the least label around a node, then the label of that label, until nothing changes.
+    By randomised contraction: a round maps each node to the one within two steps of it that comes first by a hash of
+    node and round; both ends of the links are replaced, links within a node and repeated ones go. A star or a clique
+    is one node after a round, and any graph shrinks by a constant factor. The maps are composed from the last, and
+    smallest, to the first.
     """
-    edges = stored(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    edges, maps = links.select(F.col("a").alias("u"), F.col("b").alias("v")), []
     while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        labels = stored(lower.join(jump, lower.label == jump["at"]).select("node", "was", F.least("label", "further").alias("label")), "labels")
-        if labels.where("label <> was").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-
-
-def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels (node, label) after the links of found (a, b) between components, without walking the old links again."""
-    at = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-    ends = found.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    named = stored(ends.select("a", "b", F.coalesce("a_label", "a").alias("u"), F.coalesce("b_label", "b").alias("v")), "ends")
-    further = components(named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
-    new = named.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node"))
-    after = further.select(F.col("node").alias("label"), F.col("label").alias("last"))
-    return stored(labels.union(new).join(after, "label", "left").select("node", F.coalesce("last", "label").alias("label")), "labels")
-
-
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold two components or more, one of them of two members or more."""
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    keys = per.groupBy("key").agg(F.count("*").alias("parts"), F.max("size").alias("top")).where("parts > 1 and top > 1")
-    return members.join(keys.select("key"), "key", "left_semi")
-
-
-def _across(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs between the largest component of a bucket and each member of its others, where that has two members or more.
-
-    The partners are two of three members that hashes of text, key and turn choose, so buckets and turns bring other ones.
+        first = lambda x, r=len(maps): F.struct(F.xxhash64(x, F.lit(r)).alias("h"), F.col(x).alias("to"))
+        both = edges.union(edges.select("v", "u"))
+        near = both.groupBy("u").agg(F.min(first("v")).alias("f")).select(F.col("u").alias("v"), F.least("f", first("u")).alias("f"))
+        further = both.join(near, "v").groupBy("u").agg(F.min("f").alias("f"))
+        maps.append(stored(further.select(F.col("u").alias("node"), F.col("f.to").alias("label")), "contraction"))
+        end = lambda x: maps[-1].select(F.col("node").alias(x), F.col("label").alias(f"{x}_to"))
+        ends = edges.join(end("u"), "u").join(end("v"), "v").where("u_to <> v_to")
+        edges = stored(ends.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct(), "contracted")
+        if edges.isEmpty():
+            break
+    labels = maps.pop()
+    while maps:
+        labels = stored(relabelled(maps.pop(), labels), "labels")
+    return labels
+
+
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (label, others) with the label of their label in labels (node, label), if it has one."""
+    after = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    return rows.join(after, "label", "left").withColumn("label", F.coalesce("last", "label")).select(*rows.columns)
+
+
+def between(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links found (a, b) as links between labels; a node without a label is its own."""
+    ends = relabelled(found.select("b", F.col("a").alias("label")), labels).withColumnRenamed("label", "a")
+    other = relabelled(ends.select("a", F.col("b").alias("label")), labels).withColumnRenamed("label", "b")
+    return other.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of left shares with each of right, repeated ones counted; no alignment is longer."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    lengths = [len(x) for x in (*left, *right)]
+    row, flat = np.repeat(np.arange(len(lengths)), lengths), np.concatenate([*left, *right]).astype(np.int64)
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(flat))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    _, column = np.unique(flat * (nth.max(initial=0) + 1) + nth, return_inverse=True)
+    on_left = row < len(left)
+    both = np.intersect1d(column[on_left], column[~on_left])
+    kept = np.isin(column, both)
+    row, column = row[kept], np.searchsorted(both, column[kept])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, len(both), COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        table = np.zeros((len(lengths), min(COLUMNS, len(both) - lo)), np.float32)
+        table[row[part], column[part] - lo] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+def cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): links that join the components of a cell, whose rows are (node, label, text, other, left).
+
+    Every pair of a left and a right row of two labels is either ruled out by what it shares, aligned, or in one
+    component by links already found.
     """
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    one = lambda i: F.min(F.struct(F.xxhash64("node", "key", F.lit(3 * turn + i)).alias("p"), "node", F.col("n_words").alias("n")))
-    per = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.array(*map(one, range(3))).alias("some"))
-    best = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "label", "some")).alias("top")).where("parts > 1 and top.size > 1")
-    others = named.join(best, "key").where(F.col("label") != F.col("top.label"))
-    at = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(3)).cast("int")
-    leads = [F.get("top.some", (at + i) % 3) for i in range(2)]
-    return others.select(F.explode(F.array(*[_pairs(x["node"], F.col("node"), x["n"], F.col("n_words")) for x in leads])).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
-
-
-def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b): all pairs of a bucket in two components, without those that cannot have the similarity.
-
-    Ruled out are pairs by their lengths, and pairs whose shingle maps differ in more bits than shingles may be left
-    over. Within a bucket the members outside its largest component meet all members. Both sides are dealt to cells, so
-    that about CELL of one meet CELL of the other in a group.
+    sides = [cell[cell["left"]], cell[~cell["left"]]]
+    if not all(len(s) for s in sides):
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
+    shingles = shingle_numbers([*sides[0]["text"], *sides[1]["text"]])
+    left, right = shingles[: len(sides[0])], shingles[len(sides[0]) :]
+    n, m = (np.array([len(x) for x in s], float) for s in (left, right))
+    need = least_aligned(n[:, None], m[None, :])
+    near = need <= np.minimum(n[:, None], m[None, :])
+    labels, codes = np.unique(np.concatenate([s["label"] for s in sides]).astype(str), return_inverse=True)
+    of = codes[: len(left)], codes[len(left) :]
+    near &= of[0][:, None] != of[1][None, :]
+    nodes = [s["node"].to_numpy(str) for s in sides]
+    # two members outside the largest component meet twice, and are compared once
+    near &= ~sides[1]["other"].to_numpy(bool)[None, :] | (nodes[0][:, None] < nodes[1][None, :])
+    out = []
+    if near.any():
+        shared = shared_counts(left, right)
+        near &= shared >= need
+        i, j = np.nonzero(near)
+        parent = list(range(len(labels)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for k in np.argsort(need[i, j] - shared[i, j], kind="stable"):
+            u, v = root(of[0][i[k]]), root(of[1][j[k]])
+            if u != v and is_link(left[i[k]], right[j[k]]):
+                parent[u] = v
+                out.append(sorted((nodes[0][i[k]], nodes[1][j[k]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+
+def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of each bucket of members (key, node, n_words).
+
+    In a bucket with two components or more, the members outside the largest one meet all members. Both sides are dealt
+    by a hash to cells of about CELL_WORDS words a side, so no task holds a bucket.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    tops = per.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    cells = tops.select("key", F.col("top.label").alias("top"), F.ceil(F.col("all") / CELL).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("top.size")) / CELL).cast("int").alias("high"))
-    sized = F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("n")
-    rows = stored(named.join(cells, "key").join(nodes.select("node", "map"), "node").select("key", "node", "label", sized, "map", (F.col("label") != F.col("top")).alias("other"), "wide", "high"), "meeting")
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    what = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "map", "other")]
-    left = rows.where("other").select("key", own(F.col("high")).alias("i"), each(F.col("wide")).alias("j"), *what("l"))
-    right = rows.select("key", each(F.col("high")).alias("i"), own(F.col("wide")).alias("j"), *what("r"))
-    n, m = F.col("l_n"), F.col("r_n")
-    need = F.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9)
-    lacks = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(1, MAP_BITS // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
-    once = ~F.col("r_other") | (F.col("l_node") < F.col("r_node"))
-    near = (F.col("l_label") != F.col("r_label")) & once & (F.least(n, m) >= need) & (lacks("l_map", "r_map") <= n - need) & (lacks("r_map", "l_map") <= m - need)
-    met = left.hint("merge").join(right, ["key", "i", "j"]).where(near)
-    return met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
-
-
-def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, rep, n_rows, class_id, n_links) for each distinct text and the links (a, b) between texts."""
+    per = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n_words").alias("words"))
+    top = F.max_by(F.struct("label", "words"), F.struct("size", "label")).alias("top")
+    tops = per.groupBy("key").agg(F.sum("words").alias("all"), top, F.count("*").alias("parts")).where("parts > 1")
+    sides = lambda w: F.greatest(F.ceil(w / CELL_WORDS), F.lit(1)).cast("int")
+    cells = tops.select("key", F.col("top.label").alias("most"), sides(F.col("all")).alias("wide"), sides(F.col("all") - F.col("top.words")).alias("high"))
+    rows = named.join(cells, "key").withColumn("other", F.col("label") != F.col("most")).join(texts, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    right = F.transform(each("high"), lambda i: place(i, own("wide"), False))
+    left = F.transform(each("wide"), lambda j: place(own("high"), j, True))
+    places = F.when(F.col("other"), F.concat(right, left)).otherwise(right)
+    dealt = rows.select("key", "node", "label", "text", "other", F.explode(places).alias("at")).select("key", "at.*", "node", "label", "text", "other")
+    return dealt.groupBy("key", "i", "j").applyInPandas(cell_links, "a string, b string").distinct()
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(node, rep, n_rows, class_id): one row a distinct text, class_id being the least rep of its class."""
     docs = docs.select("doc_id", "text")
-    nodes = stored(sketches(docs), "sketches")
-    shared = stored(shared_buckets(nodes), "shared")
-    texts = stored(texts_of(docs, shared, nodes), "near-texts")
-    tested = stored(candidate_pairs(shared), "pairs")
-    links = stored(verified(tested, texts), "links")
-    labels = components(links)
-    mixed, turn = stored(_mixed(shared.select("key", "node", "n_words"), labels), "mixed"), 0  # components only grow: later turns need no other rows
-    while True:  # every link found joins two components, so this ends
-        more = stored(_across(mixed, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verified(more, texts), "links")
-        n_found, n_more = found.count(), more.count()
-        if n_found:
-            links, turn = stored(links.union(found), "links"), turn + 1
-            labels = joined(labels, found)
-        if n_found <= LEAST_YIELD * n_more:
-            break
-        tested = stored(tested.union(more), "pairs")
-    large = shared.where(F.col("size") > SMALL).select("key", "node", "n_words")
-    rest = stored(remaining_pairs(large, labels, nodes).join(tested.union(more), ["a", "b"], "left_anti"), "pairs")
-    found = stored(verified(rest, texts), "links")
-    if not found.isEmpty():
-        links = stored(links.union(found), "links")
-        labels = joined(labels, found)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    labelled = nodes.drop("bands", "n_words", "map").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    named = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return stored(labelled.join(named, "label").drop("label"), "classes"), links
+    with scratch(docs.sparkSession) as made:
+        nodes = stored(sketches(docs), "sketches")
+        shared = stored(shared_buckets(nodes), "shared")
+        texts = stored(texts_of(docs, shared, nodes), "near-texts")
+        labels = components(stored(verified(candidate_pairs(shared), texts), "links"))
+        large = shared.where(F.col("size") > SMALL).select("key", "node", "n_words")
+        more = components(stored(between(links_across(large, labels, texts), labels), "links"))
+        known = nodes.select("node", "rep", "n_rows", F.col("node").alias("label"))
+        named = stored(relabelled(relabelled(known, labels), more), "named")
+        least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+        out = named.join(least, "label").select("node", "rep", "n_rows", "class_id")
+        return made.stored(out, "classes")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, kept): one row for each row of docs (doc_id, text, others ignored).
+    """(doc_id, class_id, n_copies, kept): one row for each row of docs (doc_id, text; other columns are ignored).
 
-    class_id is the least doc_id of the class. n_copies counts the rows with this very text, n_links the other texts
-    that it links to among the pairs compared. kept marks the rows whose doc_id is class_id. A null text is in no
-    class: class_id is its doc_id, no copies, kept. Empty texts are copies of each other. Texts without words and with
-    different blanks are not compared. Repeated rows stay repeated. A null doc_id counts as larger than all others.
+    class_id is the least doc_id of the class. n_copies counts the rows with this very text. kept marks the rows whose
+    doc_id is class_id. A null text is in no class: class_id is its doc_id, one copy, kept. Empty texts are copies of
+    each other. Texts without words and with different blanks are not compared. Repeated rows stay repeated. A null
+    doc_id counts as larger than all others. Texts are taken whole: a very long one costs its task memory in proportion
+    to its words. An empty table gives an empty table.
     """
-    classes, _ = text_classes(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("node"))
-    out = rows.join(classes, "node", "left")
+    classes = text_classes(docs)
+    out = joined_copies(rows, classes, "node", "n_rows", F.xxhash64("doc_id"), "class")
     some = F.col("node").isNotNull()
     return out.select(
         "doc_id",
-        F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(some, F.col("n_rows")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(some, F.col("doc_id").eqNullSafe(F.col("class_id"))).otherwise(True).alias("kept"),
+        F.when(some, F.col("class.class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(some, F.col("class.n_rows")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
+        F.when(some, F.col("doc_id").eqNullSafe(F.col("class.class_id"))).otherwise(True).alias("kept"),
     )
 
 
@@ -350,7 +413,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The class's row is found by text and id, a key that no group of copies makes hot; repeated rows are dropped.
     """
-    classes, _ = text_classes(docs)
+    classes = text_classes(docs)
     node, key, of = fresh(docs, "node_md5"), fresh(docs, "keep_id"), fresh(docs, "keep_node")
     firsts = classes.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias(of)).select(F.col("class_id").alias(key), of)
     rows = docs.withColumn(node, F.md5("text"))
