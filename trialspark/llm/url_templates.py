@@ -1,27 +1,27 @@
 """URL filtering by a path-template tree per host.
 
-Paths are cut into segments, and segments of digits, hex or dates are named by their class. Distinct shapes of a host
-are counted once, with their labelled pages; all that follows works on these counts. Level by level from the root, a
-node's literal children become one wildcard if there are more than MAX_CHILDREN of them or if a child is rare. The
-literal children that stay are put in the order of their labelled bad share, and neighbours that a two-proportion test
-cannot tell apart, with enough labels on both sides, are merged into one branch. Each node's share of bad pages is
-smoothed towards its parent's, from the whole table down through the host, and a template is rejected if it is above
-THRESHOLD. A host without a labelled page has no purity, and nothing of it is rejected.
+Paths are cut into segments, and segments of digits, hex or dates are named by their class; a brace in a literal is
+doubled, so no literal can be taken for a class. Distinct shapes of a host are counted once, with their labelled pages;
+all that follows works on these counts. Level by level from the root, the literal children of a node that have fewer
+than MIN_LABELLED labelled pages, however many, become one wildcard, unless there is just one. The others are put into RANGES ranges by their
+labelled bad share; from the least range on, a two-proportion test compares each range with the pooled run before it,
+and what it cannot tell apart is one branch. A branch that one shape is left in is a leaf; others go on to the end of
+their paths. Each branch's share of bad pages is smoothed towards its parent's, from the whole table down through the
+host, and a template is rejected if it is above THRESHOLD. A host without a labelled page has no purity, and nothing of
+it is rejected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import fresh, stored
+from trialspark.llm.common import columns_but, fresh, joined_copies, stored
 
-#: Literal children a node keeps at most, and the pages a child needs to stay a literal.
-MAX_CHILDREN, MIN_PAGES = 16, 3
-#: Levels that are told apart; deeper segments are one tail.
-DEPTH = 6
-#: Labelled pages both of two branches need to be merged, and the greatest |z| at which they are.
-MIN_LABELLED, MAX_Z = 5, 1.0
+#: Labelled pages that a child needs to stay a literal, ranges of the bad share, and the greatest |z| at which ranges merge.
+MIN_LABELLED, RANGES, MAX_Z = 5, 20, 1.0
 #: Weight of the parent's share in pages, and the smoothed share of bad pages above which a template is rejected.
 PRIOR, THRESHOLD = 10.0, 0.5
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,74 +51,104 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
 
 
 def segments(path: Column) -> Column:
-    """The path's segments, the classes of variable ones in braces; more than DEPTH are one tail."""
+    """The path's segments: classes of variable ones in braces, with a file ending; literals with braces doubled."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    stem, ending = lambda x: F.regexp_replace(x, r"\.[A-Za-z0-9]{1,5}$", ""), lambda x: F.regexp_extract(x, r"\.[A-Za-z0-9]{1,5}$", 0)
+    ending = r"\.[A-Za-z0-9]{1,5}$"
 
     def named(x: Column) -> Column:
-        s = stem(x)
+        s = F.regexp_replace(x, ending, "")
         kind = (
-            F.when(s.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), "{date}").when(s.rlike(r"^\d+$"), "{number}")
-            .when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike(r"\d"), "{hex}").when(F.length(s) > 40, "{long}")
+            F.when(s.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), "{date}")
+            .when(s.rlike(r"^\d+$"), "{number}")
+            .when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike(r"\d"), "{hex}")
+            .when(F.length(s) > 40, "{long}")
         )
-        return F.when(kind.isNull(), x).otherwise(F.concat(kind, ending(x)))
+        return F.when(kind.isNull(), F.replace(x, F.lit("{"), F.lit("{{"))).otherwise(F.concat(kind, F.regexp_extract(x, ending, 0)))
+
+    return F.transform(parts, named)
+
+
+def merged_ranges(ranges: Column) -> Column:
+    """array<struct<range,run>> of an array of structs (range, n, b), at most RANGES, with labelled and bad pages.
+
+    run is the least range of the branch that a range belongs to.
+    """
+    kind = "struct<n:bigint,b:bigint,run:int,out:array<struct<range:int,run:int>>>"
+
+    def step(a: Column, x: Column) -> Column:
+        n, b = a["n"] + x["n"], a["b"] + x["b"]
+        p = b / n
+        z = F.abs(a["b"] / a["n"] - x["b"] / x["n"]) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (F.lit(1.0) / a["n"] + F.lit(1.0) / x["n"]))
+        alike = F.when(a["n"] > 0, z <= MAX_Z).otherwise(False)
+        run = F.when(alike, a["run"]).otherwise(x["range"])
+        placed = F.struct(x["range"].alias("range"), run.alias("run"))
+        pooled = [F.when(alike, whole).otherwise(own) for whole, own in ((n, x["n"]), (b, x["b"]))]
+        return F.struct(pooled[0].alias("n"), pooled[1].alias("b"), run.alias("run"), F.concat(a["out"], F.array(placed)).alias("out")).cast(kind)
 
-    tail = F.when(F.size(parts) > DEPTH, F.array(F.lit("{tail}"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(F.slice(parts, 1, DEPTH), named), tail)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(-1).alias("run"), F.array().alias("out")).cast(kind)
+    return F.aggregate(F.array_sort(ranges), none, step, lambda a: a["out"])
+
+
+_COUNTS = ("pages", "labelled", "bad", "shapes")
 
 
 def _level(shapes: DataFrame, depth: int) -> DataFrame:
     """shapes (host, shape, node, prior, pages, labelled, bad) one level down: node is the template so far."""
-    there = F.get("shape", F.lit(depth))
-    step = shapes.withColumn("segment", F.coalesce(there, F.lit("{end}")))
-    children = step.groupBy("host", "node", "segment").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")], F.first("prior").alias("prior"))
-    literal = ~F.col("segment").startswith("{")
-    fan = children.where(literal).groupBy("host", "node").agg(F.count("*").alias("fan"))
-    sized = children.join(fan, ["host", "node"], "left")
-    branch = F.when(literal & ((F.col("fan") > MAX_CHILDREN) | (F.col("pages") < MIN_PAGES)), "{*}").otherwise(F.col("segment"))
-    named = sized.withColumn("branch", branch)
-    branches = named.groupBy("host", "node", "branch").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")], F.first("prior").alias("prior"))
-    # at most MAX_CHILDREN literals a node are left, so what a window holds is bounded
-    beside = Window.partitionBy("host", "node", F.col("branch").startswith("{")).orderBy((F.col("bad") / F.greatest("labelled", F.lit(1))).asc(), "branch")
-    n1, n2 = F.col("labelled"), F.lag("labelled").over(beside)
-    b1, b2 = F.col("bad"), F.lag("bad").over(beside)
-    pooled = (b1 + b2) / (n1 + n2)
-    z = F.abs(b1 / n1 - b2 / n2) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n1 + 1 / n2))
-    alike = ~F.col("branch").startswith("{") & (F.least(n1, n2) >= MIN_LABELLED) & (F.when(F.least(n1, n2) > 0, z) <= MAX_Z)
-    runs = branches.withColumn("apart", F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("apart").over(beside))
-    runs = runs.withColumn("special", F.col("branch").startswith("{"))
-    merged = runs.groupBy("host", "node", "special", "run").agg(*[F.sum(c).alias(f"m_{c}") for c in ("pages", "labelled", "bad")], F.first("prior").alias("m_prior"), F.array_join(F.array_sort(F.collect_list("branch")), "|").alias("m_name"))
-    smoothed = (F.col("m_bad") + PRIOR * F.col("m_prior")) / (F.col("m_labelled") + PRIOR)
-    to = runs.select("host", "node", "branch", "special", "run").join(merged, ["host", "node", "special", "run"])
-    to = to.select("host", "node", "branch", F.concat("node", F.lit("/"), F.col("m_name")).alias("below"), smoothed.alias("share"))
-    mapped = named.select("host", "node", "segment", "branch").join(to, ["host", "node", "branch"]).drop("branch")
+    sums = lambda *more: [*[F.sum(c).alias(c) for c in _COUNTS], F.max("prior").alias("prior"), *more]
+    step = shapes.drop("ended").withColumn("segment", F.coalesce(F.get("shape", F.lit(depth)), F.lit("{end}"))).withColumn("shapes", F.lit(1))
+    children = step.groupBy("host", "node", "segment").agg(*sums())
+    special = F.col("segment").startswith("{") & ~F.col("segment").startswith("{{")
+    known = ~special & (F.col("labelled") >= MIN_LABELLED)
+    at = F.least(F.floor(F.col("bad") * RANGES / F.col("labelled")), F.lit(RANGES - 1)).cast("int")
+    kind = F.when(special, F.col("segment")).when(~known, "{*}").otherwise("{~}")
+    kinds = children.withColumn("range", F.when(known, at).otherwise(-1)).withColumn("kind", kind)
+    groups = kinds.groupBy("host", "node", "kind", "range").agg(*sums(F.count("*").alias("children"), F.min("segment").alias("one")))
+    point = F.struct("range", F.col("labelled").alias("n"), F.col("bad").alias("b"))
+    arrays = groups.where("range >= 0").groupBy("host", "node").agg(F.collect_list(point).alias("r"))
+    runs = arrays.select("host", "node", F.explode(merged_ranges(F.col("r"))).alias("x")).select("host", "node", "x.range", "x.run")
+    placed = groups.join(runs, ["host", "node", "range"], "left").withColumn("run", F.coalesce("run", F.lit(-1)))
+    branches = placed.groupBy("host", "node", "kind", "run").agg(*sums(F.sum("children").alias("children"), F.min("one").alias("one")))
+    alone = (F.col("children") == 1) & F.col("kind").isin("{*}", "{~}")
+    name = F.when(alone, F.col("one")).when(F.col("run") < 0, F.col("kind")).otherwise(F.concat(F.lit("{~"), F.col("run"), F.lit("}")))
+    smoothed = (F.col("bad") + PRIOR * F.col("prior")) / (F.col("labelled") + PRIOR)
+    to = branches.select("host", "node", "kind", "run", name.alias("name"), smoothed.alias("share"), F.col("shapes").alias("left"))
+    # from segment to range, from range to run; the table between has some RANGES rows a node
+    named = placed.select("host", "node", "kind", "range", "run").join(to, ["host", "node", "kind", "run"]).drop("run")
+    mapped = kinds.select("host", "node", "segment", "kind", "range").join(named, ["host", "node", "kind", "range"]).drop("kind", "range")
     down = step.join(mapped, ["host", "node", "segment"])
-    ended = F.get("shape", F.lit(depth)).isNull()
-    return down.select("host", "shape", F.when(ended, F.col("node")).otherwise(F.col("below")).alias("node"), F.when(ended, F.col("prior")).otherwise(F.col("share")).alias("prior"), "pages", "labelled", "bad", ended.alias("ended"))
+    end = F.col("segment") == "{end}"
+    rest = F.array_join(F.slice("shape", depth + 2, F.greatest(F.size("shape") - depth - 1, F.lit(0))), "/")
+    below = F.concat("node", F.lit("/"), "name")
+    node = F.when(end, F.col("node")).when((F.col("left") == 1) & (rest != ""), F.concat(below, F.lit("/"), rest)).otherwise(below)
+    return down.select("host", "shape", node.alias("node"), F.col("share").alias("prior"), "pages", "labelled", "bad", (end | (F.col("left") == 1)).alias("ended"))
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
-    """(host, shape, template, purity) of pages (host, shape, bad); bad is null where a page has no label.
+    """(host, shape, pages, template, purity) of pages (host, shape, bad); bad is null where a page has no label.
 
     purity is the template's smoothed share of good pages, null where the host has no labelled page.
     """
-    one = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    shapes = stored(one, "url-shapes")
+    known = F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))
+    shapes = stored(pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), known.alias("bad")), "url-shapes")
     total, bad = shapes.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (bad + 1) / (total + 2)
-    hosts = shapes.groupBy("host").agg(((F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)).alias("prior"))
-    level = shapes.join(hosts, "host").withColumn("node", F.lit("")).withColumn("ended", F.lit(False))
-    done = None
-    for depth in range(DEPTH + 2):
-        level = stored(_level(level.where(~F.col("ended")), depth), "url-level")
-        ended = level.where("ended")
-        done = ended if done is None else done.union(ended)
-        if level.where(~F.col("ended")).isEmpty():
+    hosts = shapes.groupBy("host").agg(((F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)).alias("prior"), F.sum("labelled").alias("known"))
+    level, done, depth = shapes.join(hosts.select("host", "prior"), "host").withColumn("node", F.lit("")), [], 0
+    while True:
+        level = stored(_level(level, depth), "url-level")
+        done.append(level.where("ended"))
+        level, depth = level.where(~F.col("ended")), depth + 1
+        if level.isEmpty():
             break
-    marked = shapes.groupBy(F.col("host").alias("of")).agg(F.sum("labelled").alias("known"))
+    marked = hosts.select(F.col("host").alias("of"), "known")
     purity = F.when(F.col("known") > 0, 1 - F.col("prior"))
-    named = done.join(marked, F.col("host") == F.col("of"))
-    return named.select("host", "shape", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), purity.alias("purity"))
+    named = reduce(DataFrame.union, done).join(marked, F.col("host") == F.col("of"))
+    return named.select("host", "shape", "pages", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), purity.alias("purity"))
+
+
+def _shape_key(host: str, shape: str) -> Column:
+    """One string for a host and shape; neither hosts nor segments hold a slash."""
+    return F.md5(F.concat(F.col(host), F.lit("/"), F.array_join(shape, "/")))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
@@ -126,46 +156,59 @@ def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str], url: str
 
     Every row of pages comes back once: repeated rows too. A null or malformed url has empty host and path and is
     judged by the template of that empty path. A page with several labels is bad if one of them is. A rule's verdict
-    goes before the template's. Same-named columns of pages are replaced; labels of no page and null labels are
-    ignored. An empty table gives an empty table.
+    goes before the template's. Columns of pages with these names, in any case, are replaced, others stay; labels of no
+    page and null labels are ignored. Whole urls are used, however long. An empty table gives an empty table.
     """
-    ours = ("host", "path", "rule", "template", "purity", "verdict", "shape", "bad")
-    kept = pages.drop(*[c for c in pages.columns if c.lower() in ours])
+    ours = ("host", "path", "rule", "template", "purity", "verdict")
+    kept = pages.select(*columns_but(pages, *ours))
     host, path = url_parts(F.col(url))
-    shape = fresh(kept, "shape")
-    own = kept.withColumn("host", host).withColumn("path", path).withColumn(shape, segments(F.col("path")))
-    marks = labels.where("bad is not null").groupBy(F.col("page_id").alias("l_id")).agg(F.max("bad").alias("bad"))
-    seen = own.select("page_id", "host", F.col(shape).alias("shape")).join(marks, F.col("page_id") == F.col("l_id"), "left").select("host", "shape", "bad")
-    tree = template_tree(seen).select(F.col("host").alias("t_host"), F.col("shape").alias("t_shape"), "template", "purity")
-    out = own.join(tree, (F.col("host") == F.col("t_host")) & (F.col(shape) == F.col("t_shape")))
+    own = kept.withColumn("host", host).withColumn("path", path)
+    shape, key, named = (fresh(own, x) for x in ("shape", "shape_key", "tree"))
+    own = own.withColumn(shape, segments(F.col("path")))
+    marks = labels.where("bad is not null").groupBy(F.col("page_id").alias("l_id")).agg(F.max("bad").alias("l_bad"))
+    seen = own.select("page_id", "host", F.col(shape).alias("shape")).join(marks, F.col("page_id") == F.col("l_id"), "left")
+    tree = template_tree(seen.select("host", "shape", F.col("l_bad").alias("bad")))
+    of = tree.select(_shape_key("host", "shape").alias("key"), "pages", "template", "purity")
+    keyed = own.withColumn(key, _shape_key("host", shape))
+    out = joined_copies(keyed, of.withColumnRenamed("key", key), key, "pages", F.xxhash64("page_id"), named)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") < 1 - THRESHOLD, "block").otherwise("allow")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).drop("t_host", "t_shape", shape)
+    method = F.when(F.col(named)["purity"] < 1 - THRESHOLD, "block").otherwise("allow")
+    made = [rule.alias("rule"), F.col(named)["template"].alias("template"), F.col(named)["purity"].alias("purity"), F.coalesce(verdict, method).alias("verdict")]
+    return out.select(*columns_but(kept), "host", "path", *made)
 
 
 #: The rules of op1.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 
-def _level_sql(depth: int) -> str:
-    """The tables of one level, from v{depth} to v{depth + 1}."""
-    d, lit = depth, "not starts_with({0}, '{{')"
-    sums = "cast(sum(pages) as bigint) as pages, cast(sum(labelled) as bigint) as labelled, cast(sum(bad) as bigint) as bad, max(prior) as prior"
+#: Levels that the SQL spells out; the given tables' paths are shorter.
+SQL_LEVELS = 6
+
+
+def _level_sql(d: int) -> str:
+    """The tables of one level, from v{d} to v{d + 1}."""
+    special = "(starts_with(segment, '{') and not starts_with(segment, '{{'))"
+    sums = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in _COUNTS) + ", max(prior) as prior"
+    p = "((x.b + y.b) / (x.n + y.n))"
+    z = f"abs(x.b / x.n - y.b / y.n) / sqrt(greatest({p} * (1 - {p}), cast(1e-9 as double)) * (1 / x.n + 1 / y.n))"
     return f"""
-st{d} as (select *, coalesce(shape[{d + 1}], '{{end}}') as segment from v{d} where not ended),
+st{d} as (select *, coalesce(shape[{d + 1}], '{{end}}') as segment, 1 as shapes from v{d} where not ended),
 ch{d} as (select host, node, segment, {sums} from st{d} group by all),
-nm{d} as (select *, case when {lit.format('segment')} and (fan > {MAX_CHILDREN} or pages < {MIN_PAGES}) then '{{*}}' else segment end as branch
-  from (select *, count(*) filter ({lit.format('segment')}) over (partition by host, node) as fan from ch{d})),
-br{d} as (select host, node, branch, starts_with(branch, '{{') as special, {sums} from nm{d} group by all),
-lg{d} as (select *, lag(labelled) over w as n2, lag(bad) over w as b2 from br{d} window w as (partition by host, node, special order by bad / greatest(labelled, 1), branch)),
-ap{d} as (select *, case when not special and least(labelled, n2) >= {MIN_LABELLED} and n2 is not null and
-    abs(bad / labelled - b2 / n2) / sqrt(greatest((bad + b2) / (labelled + n2) * (1 - (bad + b2) / (labelled + n2)), cast(1e-9 as double)) * (1 / labelled + 1 / n2)) <= {MAX_Z} then 0 else 1 end as apart from lg{d}),
-ru{d} as (select *, sum(apart) over (partition by host, node, special order by bad / greatest(labelled, 1), branch) as run from ap{d}),
-me{d} as (select host, node, special, run, (sum(bad) + {PRIOR} * max(prior)) / (sum(labelled) + {PRIOR}) as share, string_agg(branch, '|' order by branch) as name from ru{d} group by all),
-v{d + 1} as materialized (select s.host, s.shape, case when s.shape[{d + 1}] is null then s.node else s.node || '/' || m.name end as node, case when s.shape[{d + 1}] is null then s.prior else cast(m.share as double) end as prior,
-    s.pages, s.labelled, s.bad, s.shape[{d + 1}] is null as ended
-  from st{d} s join nm{d} n on s.host = n.host and s.node = n.node and s.segment = n.segment join ru{d} r on n.host = r.host and n.node = r.node and n.branch = r.branch
-  join me{d} m on r.host = m.host and r.node = m.node and r.special = m.special and r.run = m.run)"""
+ki{d} as (select *, case when not {special} and labelled >= {MIN_LABELLED} then cast(least(floor(bad * {RANGES} / labelled), {RANGES - 1}) as integer) end as range,
+  case when {special} then segment when labelled < {MIN_LABELLED} then '{{*}}' else '{{~}}' end as kind from ch{d}),
+gr{d} as (select host, node, kind, range, {sums}, count(*) as children, min(segment) as one from ki{d} group by host, node, kind, range),
+ar{d} as (select host, node, list_reduce(list({{'n': labelled, 'b': bad, 'run': range, 'places': [{{'range': range, 'run': range}}]}} order by range),
+    lambda x, y: case when {z} <= {MAX_Z} then {{'n': x.n + y.n, 'b': x.b + y.b, 'run': x.run, 'places': list_append(x.places, {{'range': y.run, 'run': x.run}})}}
+      else {{'n': y.n, 'b': y.b, 'run': y.run, 'places': list_concat(x.places, y.places)}} end) as r from gr{d} where range is not null group by host, node),
+ru{d} as (select host, node, x.range, x.run from (select host, node, unnest(r.places) as x from ar{d})),
+pl{d} as (select gr{d}.*, run from gr{d} left join ru{d} using (host, node, range)),
+br{d} as (select host, node, kind, run, (cast(sum(bad) as double) + {PRIOR} * max(prior)) / (cast(sum(labelled) as double) + {PRIOR}) as share, sum(shapes) as remain,
+  case when sum(children) = 1 and kind in ('{{*}}', '{{~}}') then min(one) when run is null then kind else '{{~' || run || '}}' end as name from pl{d} group by host, node, kind, run),
+v{d + 1} as materialized (select s.host, s.shape, case when s.segment = '{{end}}' then s.node when remain = 1 and len(s.shape) > {d + 1} then s.node || '/' || name || '/' || array_to_string(s.shape[{d + 2}:], '/') else s.node || '/' || name end as node,
+    share as prior, s.pages, s.labelled, s.bad, s.segment = '{{end}}' or remain = 1 as ended
+  from st{d} s join ki{d} k on s.host = k.host and s.node = k.node and s.segment = k.segment
+  join pl{d} p on k.host = p.host and k.node = p.node and k.kind = p.kind and k.range is not distinct from p.range
+  join br{d} b on p.host = b.host and p.node = b.node and p.kind = b.kind and p.run is not distinct from b.run)"""
 
 
 def _sql() -> str:
@@ -175,22 +218,22 @@ def _sql() -> str:
         own, _, rest = text.partition("/")
         fits = f"(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '/{rest}')"
         rule, verdict = f"case when {fits} then '{text}' else {rule} end", f"case when {fits} then '{RULES[text]}' else {verdict} end"
-    ending, levels = r"\.[A-Za-z0-9]{1,5}$", DEPTH + 2
+    ending = r"\.[A-Za-z0-9]{1,5}$"
     named = rf"""case when regexp_matches(regexp_replace(x, '{ending}', ''), '^\d{{4}}-\d{{2}}(-\d{{2}})?$') then '{{date}}' || regexp_extract(x, '{ending}') when regexp_matches(regexp_replace(x, '{ending}', ''), '^\d+$') then '{{number}}' || regexp_extract(x, '{ending}')
-      when regexp_matches(regexp_replace(x, '{ending}', ''), '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(regexp_replace(x, '{ending}', ''), '\d') then '{{hex}}' || regexp_extract(x, '{ending}') when length(regexp_replace(x, '{ending}', '')) > 40 then '{{long}}' || regexp_extract(x, '{ending}') else x end"""
-    done = " union all ".join(f"select host, shape, node, prior from v{d} where ended" for d in range(1, levels + 1))
+      when regexp_matches(regexp_replace(x, '{ending}', ''), '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(regexp_replace(x, '{ending}', ''), '\d') then '{{hex}}' || regexp_extract(x, '{ending}') when length(regexp_replace(x, '{ending}', '')) > 40 then '{{long}}' || regexp_extract(x, '{ending}') else replace(x, '{{', '{{{{') end"""
+    done = " union all ".join(f"select host, shape, node, prior from v{d} where ended" for d in range(1, SQL_LEVELS + 1))
     return f"""
 with u as (select page_id, coalesce(case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end, '') as rest from pages),
 h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
 p as (select page_id, translate(raw, '{LETTERS}', '{LETTERS.lower()}') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
 w as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p),
-own as materialized (select page_id, host, path, list_concat(list_transform(parts[1:{DEPTH}], lambda x: {named}), case when len(parts) > {DEPTH} then ['{{tail}}'] else [] end) as shape from w),
+own as materialized (select page_id, host, path, list_transform(parts, lambda x: {named}) as shape from w),
 marks as (select doc_id, max(cast(quality = 0 or toxic = 1 as integer)) as bad from labels where (quality = 0 or toxic = 1) is not null group by doc_id),
 shapes as materialized (select host, shape, count(*) as pages, count(bad) as labelled, cast(coalesce(sum(bad), 0) as bigint) as bad from own left join marks on page_id = doc_id group by host, shape),
 overall as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) as o from shapes),
-hosts as (select host, (sum(bad) + {PRIOR} * max(o)) / (sum(labelled) + {PRIOR}) as prior, sum(labelled) as known from shapes, overall group by host),
+hosts as (select host, (cast(sum(bad) as double) + {PRIOR} * max(o)) / (cast(sum(labelled) as double) + {PRIOR}) as prior, sum(labelled) as known from shapes, overall group by host),
 v0 as (select shapes.host, shape, '' as node, cast(prior as double) as prior, pages, labelled, bad, false as ended from shapes join hosts on shapes.host = hosts.host),
-{",".join(map(_level_sql, range(levels)))},
+{",".join(map(_level_sql, range(SQL_LEVELS)))},
 tree as (select d.host, shape, case when node = '' then '/' else node end as template, case when known > 0 then 1 - d.prior end as purity from ({done}) d join hosts on d.host = hosts.host)
 select page_id, own.host, path, {rule.replace('host', 'own.host')} as rule, template, purity, {verdict.replace('host', 'own.host')} as verdict
 from own join tree on own.host = tree.host and own.shape = tree.shape
