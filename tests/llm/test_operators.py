@@ -1,11 +1,13 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,10 +70,9 @@ def test_boilerplate_lines_go_and_depleted_documents_fail(spark):
     assert got[98].clean_text == "all rights reserved" and not got[99].kept and got[99].clean_text.strip() == ""
 
 
-def jaccard(a, b):
-    sh = lambda w: set(zip(*(w[i:] for i in range(5)), strict=False)) or {tuple(w)}
-    x, y = sh(WORDS(a)), sh(WORDS(b))
-    return len(x & y) / len(x | y)
+def shingle_set(text):
+    w = WORDS(text)
+    return set(zip(*(w[i:] for i in range(5)), strict=False)) or {tuple(w)}
 
 
 def test_near_duplicates(docs, empty, rows):
@@ -79,10 +80,11 @@ def test_near_duplicates(docs, empty, rows):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     named = {r.doc_id: r.class_id for r in got}
     text = {r[0]: r[1] for r in rows}
-    ids = [i for i in text if text[i] is not None and WORDS(text[i]) and len(text[i]) < 5000 and i is not None]
+    ids = [i for i in text if text[i] is not None and WORDS(text[i]) and i is not None]
+    sets = {i: shingle_set(text[i]) for i in ids}
     for i in ids:
         for j in ids:
-            s = jaccard(text[i], text[j])
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
             if s >= 0.8:
                 assert named[i] == named[j], (i, j, s)
             if named[i] == named[j]:  # classes of this table have a common base
@@ -134,14 +136,14 @@ def test_every_pair_of_a_large_bucket_is_compared(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
     bands = {r.rep: set(r.bands) for r in near_duplicates.sketches(docs).collect()}
     of = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()}
-    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) > 0]
+    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) >= 0.8]
     assert len(near) > 50
     assert [p for p in near if of[p[0]] != of[p[1]]] == []
     assert len(set(of.values())) == len(made) - len(near)
 
 
-def test_classes_do_not_hang_on_when_the_turns_end(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LEAST_YIELD", 1.0)  # as with many fruitless comparisons elsewhere
+def test_classes_do_not_hang_on_the_size_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CELL_WORDS", 2000)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(200)]
     made = []
@@ -153,25 +155,73 @@ def test_classes_do_not_hang_on_when_the_turns_end(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
     bands = {r.rep: set(r.bands) for r in near_duplicates.sketches(docs).collect()}
     of = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()}
-    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) > 0]
+    near = [(i, j) for i in of for j in range(i) if bands[i] & bands[j] and near_duplicates.similarity(made[i], made[j]) >= 0.8]
     assert [p for p in near if of[p[0]] != of[p[1]]] == []
+    parent = {i: i for i in of}
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for i, j in near:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert of == {i: root(i) for i in of}
+
+
+def test_components_are_those_of_a_search(spark):
+    rng = random.Random(6)
+    name = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    links = [(i, i + 1) for i in range(300) if i % 50] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    links = [p for p in links if p[0] != p[1]]
+    parent = {i: i for p in links for i in p}
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for i, j in links:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = defaultdict(set)
+    for i in parent:
+        want[root(i)].add(name(i))
+    got = defaultdict(set)
+    for r in near_duplicates.components(spark.createDataFrame([(name(i), name(j)) for i, j in links], "a string, b string")).collect():
+        got[r.label].add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert near_duplicates.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_shared_shingles_are_counted_exactly():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(30)]
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))]
+    want, got = [shingles(t.split()) for t in texts], near_duplicates.shingle_numbers(texts)
+    named = {}
+    assert all(len(x) == len(y) and all(named.setdefault(k, i) == i for i, k in zip(x.tolist(), y, strict=True)) for x, y in zip(got, want, strict=True))
+    assert len(set(named.values())) == len(named)
+    counts = near_duplicates.shared_counts(got[:10], got[10:])
+    assert all(counts[i, j] == sum((Counter(want[i]) & Counter(want[10 + j])).values()) for i in range(10) for j in range(20))
 
 
 def test_components_that_take_up_links(spark):
     frame = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
-    old, new = [("a", "b"), ("c", "d"), ("e", "f")], [("d", "e"), ("g", "h"), ("b", "i")]
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(near_duplicates.joined(near_duplicates.components(frame(old)), frame(new))) == rows(near_duplicates.components(frame(old + new)))
+    old, new = [("a", "b"), ("c", "d"), ("e", "f")], [("d", "e"), ("g", "h"), ("b", "i"), ("a", "i")]
+
+    def groups(df):
+        out = defaultdict(set)
+        for r in df.collect():
+            out[r.label].add(r.node)
+        return sorted(map(sorted, out.values()))
+
+    labels = near_duplicates.components(frame(old))
+    more = near_duplicates.components(near_duplicates.between(frame(new), labels))
+    nodes = spark.createDataFrame([(x, x) for x in "abcdefghi"], "node string, label string")
+    got = near_duplicates.relabelled(near_duplicates.relabelled(nodes, labels), more)
+    assert groups(got) == groups(near_duplicates.components(frame(old + new)))
 
 
 def test_similarity_of_exactly_the_least_is_a_link():
+    link = lambda a, b: near_duplicates.is_link(*near_duplicates.shingle_numbers([" ".join(a), " ".join(b)]))
     for short, long in ((12, 15), (24, 30), (48, 60), (52, 65), (56, 70), (88, 110)):
         w = [f"w{i}" for i in range(long + 4)]
-        assert near_duplicates.similarity(w[: short + 4], w) == pytest.approx(0.8)
-        assert near_duplicates.similarity(w[: short + 3], w) == 0
+        assert link(w[: short + 4], w) and near_duplicates.similarity(w[: short + 4], w) == pytest.approx(0.8)
+        assert not link(w[: short + 3], w)
     for n in range(9, 400, 9):  # 8 n of 9 n shingles each aligned, then their ends differ
         a, b = ([f"w{i}" for i in range(8 * n + 4)] + [f"{x}{i}" for i in range(n)] for x in "ab")
-        assert near_duplicates.similarity(a, b) == pytest.approx(0.8)
+        assert link(a, b) and near_duplicates.similarity(a, b) == pytest.approx(0.8)
+    assert link(["a"], ["a"]) and not link(["a"], ["b"]) and not link([], ["a"]) and link(["a", "b"], ["a", "b"])
 
 
 def test_secret_spans_equal_a_search_by_regex(docs, empty):
@@ -278,18 +328,72 @@ def test_language_id_on_held_out_rows(spark, docs, empty):
     assert len(held) > 40 and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id >= 900) and all(0 <= r.score <= 1 for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
-    assert language_id.held_out_predictions(empty).count() == 0 and language_id.held_out_predictions(docs).count() == docs.count()
-
-
-def test_kneser_ney_probabilities_sum_to_one():
-    import numpy as np
-
-    grams, _ = language_id._windows(["abab", "abba", "cab"], language_id.ORDER)
-    distinct, counts = np.unique(grams, axis=0, return_counts=True)
-    model = language_id.fitted(distinct, counts)
-    for context in distinct[:6, :-1]:
-        every = np.array([[*context, c] for c in np.unique(grams)])
-        assert (2.0 ** -model.bits(every)).sum() == pytest.approx(1 - model.levels[0].left[0] * model.floor, abs=0.2)
+    assert language_id.held_out_predictions(empty).collect() == []
+
+
+def kneser_ney(texts):
+    """p(character | four before it) by dictionaries, for the words of texts."""
+    counts = [None] * 5 + [Counter()]
+    for w in re.findall(r"[^\W\d_]+", " ".join(texts).lower()):
+        padded = " " * 4 + w + " "
+        counts[5].update(padded[i : i + 5] for i in range(len(padded) - 4))
+    for n in range(4, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    less = []
+    for c in counts[1:]:
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        less.append(min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        c, d = counts[len(gram)], less[len(gram) - 1]
+        after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return (max(c[gram] - d, 0) + d * len(after) * p(gram[1:])) / sum(after)
+
+    return p, counts[5], {g for c in counts[1:] for g in c if len(g) == 1}
+
+
+@pytest.mark.parametrize("part_grams", [10**6, 5])
+def test_kneser_ney_equals_dictionaries(spark, part_grams):
+    texts = {"x": ["abab Abba cab", "baobab cab", None], "y": ["zab azza", "1 2 éa éa"], "z": ["7 !"]}
+    rows = [(lang, t) for lang, ts in texts.items() for t in ts] + [(None, "nothing")]
+    languages = language_id.trained(spark.createDataFrame(rows, "lang string, text string"), part_grams)
+    assert languages.names == ["x", "y"] and (len(languages.parts) > 3) == (part_grams == 5)
+    for k, lang in enumerate(languages.names):
+        p, seen, alphabet = kneser_ney([t for t in texts[lang] if t])
+        asked = sorted(seen) + ["    q", "abab?", "zzzzz", "baobé", "   ab"] + [g[:4] + c for g in list(seen)[:5] for c in alphabet]
+        for gram in asked:
+            points = np.array([[ord(c) for c in gram]], np.uint64)
+            number = int(language_id._pair(points)[0]) % len(languages.parts)
+            bits = languages.parts[number].value.models[k].bits(points)[0]
+            assert 2.0**-bits == pytest.approx(p(gram), abs=1e-9), (lang, gram)
+        context = sorted(seen)[0][:4]
+        assert sum(p(context + c) for c in alphabet) + p(context + "?") == pytest.approx(1)
+
+
+def test_language_id_in_parts_and_odd_cases(spark, docs, rows):
+    by_id = lambda got: sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9), r.rejected) for r in got), key=str)
+    whole = by_id(language_id.held_out_predictions(docs).collect())
+    assert whole == by_id(language_id.held_out_predictions(docs, part_grams=300).collect())
+    assert Counter(r[0] for r in whole) == Counter(r[0] for r in rows) and all(0 <= r[3] <= 1 for r in whole)
+    assert all(r[2] == "und" and r[4] for r in whole if r[0] in (300, 301, 302))
+    one = language_id.held_out_predictions(docs.withColumn("lang", F.lit("en"))).collect()
+    assert {r.lang_pred for r in one} == {"en", "und"} and all(0 <= r.score <= 1 for r in one)
+    none = language_id.held_out_predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(none) == len(rows) and all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in none)
+    learned = language_id.trained(docs.where("lang is not null"))
+    clash = language_id.predicted(docs.select("doc_id", "text", F.lit(1).alias("LANG_PRED"), F.lit(2).alias("lang_scored"), F.lit(3).alias("Score")), learned)
+    assert clash.columns == ["doc_id", "text", "lang_scored", "lang_pred", "score", "rejected"]
+    assert all(r.lang_scored == 2 and r.lang_pred in ("de", "en", "und") for r in clash.collect())
+
+
+def test_curve_is_finite_for_separable_data():
+    for x, y in (([0.1, 0.2, 3.0, 4.0], [0, 0, 1, 1]), ([5.0] * 9, [1] * 9), ([0.0], [0]), ([1e3, 1e-9], [1, 0]), ([2.0, 1.0], [0, 1])):
+        slope, shift = language_id.logistic(np.array(x), np.array(y, float), 4.0, 0.0)
+        assert np.isfinite([slope, shift]).all() and slope >= 0
 
 
 def test_shards(docs, empty, rows):
@@ -360,9 +464,63 @@ def test_urls(spark):
     assert url_templates.judged(pages.limit(0), labels, url_templates.RULES).count() == 0
 
 
-def test_similar_branches_merge_and_many_become_a_wildcard(spark):
+def test_branches_merge_by_the_pooled_run_and_rare_ones_become_a_wildcard(spark):
     made = [(i, f"http://h.org/{'abc'[i % 3]}/{i}") for i in range(90)] + [(1000 + i, f"http://w.org/user{i}x/{i}") for i in range(50)]
     labels = spark.createDataFrame([(i, i % 6 == 0 or i % 6 == 4) for i in range(90)], "page_id long, bad boolean")
     tree = url_templates.judged(spark.createDataFrame(made, "page_id long, url string"), labels, {}).select("host", "template").distinct().collect()
     names = {(r.host, r.template) for r in tree}
-    assert ("w.org", "/{*}/{number}") in names and any("|" in t for h, t in names if h == "h.org")
+    assert ("w.org", "/{*}/{number}") in names and {t for h, t in names if h == "h.org"} == {"/c/{number}", "/{~10}/{number}"}
+
+
+def test_ranges_of_the_bad_share_merge_by_a_test_with_the_pooled_run(spark):
+    def brute(ranges):
+        out, n, b, run = {}, 0, 0, None
+        for r, rn, rb in sorted(ranges):
+            if n:
+                p = (b + rb) / (n + rn)
+                z = abs(b / n - rb / rn) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n + 1 / rn))
+            if n and z <= url_templates.MAX_Z:
+                n, b = n + rn, b + rb
+            else:
+                n, b, run = rn, rb, r
+            out[r] = run
+        return out
+
+    rng = random.Random(3)
+    cases = []
+    for _ in range(60):
+        at = sorted(rng.sample(range(20), rng.randint(1, 12)))
+        cases.append([(r, n, min(n, int((r + 0.5) / 20 * n))) for r in at for n in [rng.randint(5, 300)]])
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, r array<struct<range:int,n:bigint,b:bigint>>")
+    for row in df.select("i", url_templates.merged_ranges(F.col("r")).alias("m")).collect():
+        assert {x["range"]: x["run"] for x in row.m} == brute(cases[row.i])
+
+
+def test_well_labelled_sections_stay_apart_however_many_there_are(spark):
+    made, bad, i = [], [], 0
+    for k in range(60):  # sixty sections, of which the odd ones are bad, beside a thousand slugs
+        for _ in range(12):
+            made.append((i, f"http://big.org/section{k}x/{i}"))
+            bad.append((i, bool(k % 2)))
+            i += 1
+    made += [(10_000 + k, f"http://big.org/slug{k}y/1") for k in range(1000)]
+    got = url_templates.judged(spark.createDataFrame(made, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad boolean"), {}).collect()
+    verdict = {r.page_id: r.verdict for r in got}
+    assert all(verdict[j] == ("block" if b else "allow") for j, b in bad) and len(verdict) == len(made)
+    assert {r.template for r in got if r.page_id >= 10_000} == {"/{*}/{number}"}
+
+
+def test_braces_deep_paths_and_names_in_urls(spark):
+    deep = "/".join(f"part{k}x" for k in range(9))
+    made = [(i, f"http://a.org/{{id{i}}}/x") for i in range(60)] + [(100 + i, f"http://a.org/{i}/x") for i in range(9)] + [(200, "http://a.org/{number}/x")]
+    made += [(300 + i, f"http://d.org/{deep}/{'good' if i % 2 else 'evil'}/{i}") for i in range(40)] + [(400, f"http://e.org/{deep}"), (401, "http://f.org/" + "y/" * 2000)]
+    pages = spark.createDataFrame([(i, u, 1, 2, 3) for i, u in made], "page_id long, url string, Shape int, bad int, tree int")
+    labels = spark.createDataFrame([(300 + i, not i % 2) for i in range(40)], "page_id long, bad boolean")
+    got = {r.page_id: r for r in url_templates.judged(pages, labels, {}).collect()}
+    assert len(got) == len(made) and all((r.Shape, r.bad, r.tree) == (1, 2, 3) for r in got.values())
+    assert {got[i].template for i in range(60)} == {"/{*}/x"} == {got[200].template}
+    assert {got[100 + i].template for i in range(9)} == {"/{number}/x"}
+    assert all(got[300 + i].verdict == ("allow" if i % 2 else "block") for i in range(40))
+    assert got[301].template == f"/{deep}/good/{{number}}" and got[401].template == "/" + "y/" * 1999 + "y"
+
+
