@@ -10,34 +10,42 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What a fenced block is, and how a line at which code can start begins.
 _FENCE = re.compile(r"```(?:python|py)?\s*(.*?)```", re.IGNORECASE | re.DOTALL)
-_STARTS = re.compile(r"^(?:def |class |import |from |@|async def )", re.MULTILINE)
+_STARTS = re.compile(r"^(?:async\s+def|def|class|import|from\s+\S+\s+import)\b", re.MULTILINE)
 
 
 def _parses(text: str) -> bool:
     try:
         ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
     return True
 
 
-def extracted(text: str) -> str:
-    """All fenced blocks, joined by a blank line; else the text if it parses; else the longest prefix that parses from the
-    first line that looks like code; else the text."""
+def extracted(text: str, entrypoint: str | None = None) -> str:
+    """The code of an answer.
+
+    All fenced blocks, joined by a blank line; else the text if it parses; else, from the first line at which code can
+    start and that has one, the longest run of lines that parses; else the text. Definitions of the entrypoint are
+    tried before other starts.
+    """
     blocks = [b.strip() for b in _FENCE.findall(text)]
     if blocks:
-        return "\n\n".join(blocks)
+        return "\n\n".join(blocks).strip()
     whole = text.strip()
     if _parses(whole):
         return whole
-    found = _STARTS.search(text)
-    if found:
-        lines = text[found.start() :].splitlines()
-        for n in range(len(lines), 0, -1):
-            part = "\n".join(lines[:n]).strip()
-            if part and _parses(part):
-                return part
+    starts = [m.start() for m in _STARTS.finditer(whole)]
+    if entrypoint:
+        wanted = re.compile(rf"def\s+{re.escape(entrypoint)}\s*\(")
+        starts.sort(key=lambda at: wanted.match(whole, at) is None)  # the sort is stable
+    for at in starts:
+        lines = whole[at:].splitlines()
+        parts = ("\n".join(lines[:n]).strip() for n in range(len(lines), 0, -1))
+        code = next((p for p in parts if p and _parses(p)), None)
+        if code is not None:
+            return code
     return whole
 
 
@@ -61,7 +69,7 @@ def calls_of(test: str, entrypoint: str) -> list[tuple[tuple, tuple]]:
 
 
 def mutations(value) -> list:
-    """Nearby values by type; a bool is not a number here."""
+    """Nearby values by type; a bool is not a number here. The values are fixed: probes must be the same everywhere."""
     match value:
         case bool():
             return [not value]
@@ -96,8 +104,9 @@ def probes(tests: list[str], entrypoint: str, limit: int = 16) -> list[tuple[tup
 
 
 @F.pandas_udf(T.StringType())
-def extract_code(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else extracted(t))
+def extract_code(texts: pd.Series, entrypoints: pd.Series) -> pd.Series:
+    """extracted() of each text; a null entrypoint is none."""
+    return pd.Series([None if t is None else extracted(t, e) for t, e in zip(texts, entrypoints, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -30,8 +30,8 @@ def query(sql: str | None = None):
 
 # Selection ---------------------------------------------------------------------------------------------------------
 
-_CHOOSE = "cast(factorial(cast({0} as integer)) // (factorial(cast(k as integer)) * factorial(cast(greatest({0} - k, 0) as integer))) as double)"
-PASS_K = f"case when c = 0 then cast(0 as double) when n - c < k then cast(1 as double) else cast(1 as double) - {_CHOOSE.format('(n - c)')} / {_CHOOSE.format('n')} end"
+_MISSED = "list_product(list_transform(range(cast(0 as bigint), cast(k as bigint)), lambda i: cast(n - c - i as double) / cast(n - i as double)))"
+PASS_K = f"case when c = 0 then cast(0 as double) when n - c < k then cast(1 as double) else cast(1 as double) - {_MISSED} end"
 OBS = f"""{CAND},
 ks as (select cast(unnest([1, 2, 4]) as bigint) as k),
 pre as (select task_id, k, coalesce(min(case when base_passed then candidate_index end), 0) as first_pass, bool_or(plus_passed) as ok from pool join ks on candidate_index < k group by task_id, k),
@@ -85,7 +85,7 @@ def stop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.stop_counts(selection.stopping(views.pool(spark, sf_dir), POOL_SIZE))
 
 
-@query(f"""{CAND}, g as (select task_id, count(*) as n, count(*) filter (plus_passed) as c from cand group by task_id), e as (select task_id, n, c, unnest([1, 2, 4]) as k from g where n <= 20)
+@query(f"""{CAND}, g as (select task_id, count(*) as n, count(*) filter (plus_passed) as c from cand group by task_id), e as (select task_id, n, c, unnest([1, 2, 4]) as k from g)
 select task_id, n, c, cast(k as bigint) as k, case when k <= n then {PASS_K} end as pass_at_k from e""")
 def pass_at_k_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = views.candidates(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("plus_passed").alias("c"))
@@ -105,19 +105,23 @@ def exact_intervals_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded intervals of the regret, an interval for each shard of 100 tasks and selector, at the largest k."""
     observed = _observed(spark, sf_dir).where(F.col("k") == max(KS))
     sharded = observed.join(clustering.task_shards(observed, 100), "task_id")
-    return bootstrap.exact_intervals(sharded, ["selector_name", "shard"], "selection_regret", "task_id", F.col("shard"), 200)
+    return bootstrap.exact_intervals(sharded, ["selector_name", "shard"], "selection_regret", "task_id", F.col("shard"))
 
 
-@query("""with v as (select event_type, unnest(range(0, 40)) as rep, list(cast(floor(value) as bigint) order by event_id) filter (user_id < 10) as vals from events group by event_type),
-d as (select event_type, rep, list_sum(list_transform(range(0, len(vals)), lambda i: cast(vals[cast('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) as bigint) % len(vals) + 1] as double))) / len(vals) as mean from v where len(vals) > 0),
-r as (select *, row_number() over (partition by event_type order by mean) - 1 as place from d)
-select event_type, max(mean) filter (place = 0) as ci_low, max(mean) filter (place = 38) as ci_high from r group by event_type""")
+_HEAD = "cast('0x' || substr(md5({0}), 1, 8) as bigint)"
+
+
+@query(f"""with b as (select event_type, {_HEAD.format("cast(event_id as varchar)")} % 256 as block, cast(sum(cast(floor(value) as bigint)) as bigint) as s, count(*) as c from events where value is not null group by all),
+g as (select event_type, list(s order by block) as ss, list(c order by block) as cs from b group by event_type),
+e as (select event_type, ss, cs, unnest(range(0, 1000)) as rep from g),
+d as (select event_type, list_transform(range(0, len(ss)), lambda i: {_HEAD.format("'0:' || rep || ':' || i")} % len(ss) + 1) as picks, ss, cs from e),
+m as (select event_type, cast(list_sum(list_transform(picks, lambda i: ss[i])) as double) / list_sum(list_transform(picks, lambda i: cs[i])) as mean from d),
+r as (select *, row_number() over (partition by event_type order by mean) - 1 as place from m)
+select event_type, max(mean) filter (place = 24) as ci_low, max(mean) filter (place = 974) as ci_high from r group by event_type""")
 def hashed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the mean value of ten users' events, the draws by hash."""
-    some = table(spark, sf_dir, "events").where("user_id < 10")
-    lists = some.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", F.floor("value").cast("long").alias("v")))).alias("l"))
-    groups = lists.select("event_type", F.size("l").alias("n"), F.transform("l", lambda x: x["v"]).alias("values"))
-    return bootstrap.hashed_intervals(groups, ["event_type"], 40)
+    """Intervals of the mean value of each type's events, the draws by hash."""
+    events = table(spark, sf_dir, "events").withColumn("whole", F.floor("value").cast("long"))
+    return bootstrap.hashed_intervals(events, ["event_type"], "whole", "event_id", 1000)
 
 
 # Metrics ------------------------------------------------------------------------------------------------------------
@@ -506,11 +510,30 @@ def fenced_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalars.fenced_code(fenced).alias("code"))
 
 
-@query()
+_NUMBER = "cast(l_linenumber as varchar)"
+#: Answers by line number modulo 5, as {} for the number, and the code that each holds.
+_ANSWERS = (
+    ("Sure.\ndef f(x):\n    return x + {}\nThat is all.", "def f(x):\n    return x + {}"),
+    ("from here on, this is it:\nimport math\ndef f(x):\n    return {}\n", "def f(x):\n    return {}"),
+    ("Look:\n```python\na = {}\n```\nand\n```\nb = 2\n```", "a = {}\n\nb = 2"),
+    ("First a helper.\ndef g():\n    return {}\nThen the answer.\ndef f(x):\n    return g()\nDone now.", "def f(x):\n    return g()"),
+    ("  x = {}\n", "x = {}"),
+)
+
+
+def _answers_sql(which: int) -> str:
+    text = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{}", f"' || {_NUMBER} || '") + "'"
+    cases = " ".join(f"when {i} then {text(pair[which])}" for i, pair in enumerate(_ANSWERS))
+    return f"case l_linenumber % {len(_ANSWERS)} {cases} end"
+
+
+@query(f"select l_orderkey, l_linenumber, {_answers_sql(1)} as code from lineitem")
 def extracted_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-text, prefix and fenced extraction by the Python parser."""
-    lines = F.concat(F.lit("Sure.\ndef f(x):\n    return x + "), F.col("l_linenumber").cast("string"), F.lit("\nThat is all."))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pycode.extract_code(lines).alias("code"))
+    """Extraction by the Python parser: prose before code, prose like an import, fences, the entrypoint first, a whole text."""
+    number = F.col("l_linenumber").cast("string")
+    texts = F.array(*[F.replace(F.lit(t), F.lit("{}"), number) for t, _ in _ANSWERS])
+    text = F.get(texts, (F.col("l_linenumber") % len(_ANSWERS)).cast("int"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pycode.extract_code(text, F.lit("f")).alias("code"))
 
 
 @query()
