@@ -16,20 +16,11 @@ def rate(condition: Column) -> Column:
     return F.coalesce(F.avg(as_rate(condition)), F.lit(0.0))
 
 
-def binomial(n: Column, k: Column) -> Column:
-    """n over k in exact integers; n and k are non-negative bigint columns and the value fits a bigint.
-
-    Each step multiplies before it divides, so every quotient is whole; decimals keep the product exact.
-    """
-    one = F.lit(1).cast("long")
-    step = lambda a, i: F.when(i > k, a).otherwise(F.floor((a * (n - k + i)).cast("decimal(38,0)") / i.cast("decimal(20,0)")).cast("long"))
-    return F.when(k > n, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(one, F.greatest(k, one)), one, step))
-
-
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     """The chance that k of n candidates, drawn without replacement, hold one of the c correct ones."""
     n, c, k = (x.cast("long") for x in (n, c, k))
-    missed = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.lit(1.0), lambda a, i: F.when(i > k, a).otherwise(a * (n - c - i + 1).cast("double") / (n - i + 1).cast("double")))
+    none_in = lambda a, i: F.when(i > k, a).otherwise(a * ((n - c - i + 1).cast("double") / (n - i + 1).cast("double")))
+    missed = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.lit(1.0), none_in)
     return F.when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(F.lit(1.0) - missed)
 
 

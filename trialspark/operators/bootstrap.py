@@ -1,8 +1,8 @@
 """Percentile intervals of a mean by resampling.
 
 `exact_intervals` repeats a seeded generator's draws, one interval a row, in parallel over intervals. `hashed_intervals`
-draws by a hash that any engine shares and stays in DataFrame operations. For 0/1 values over many tasks,
-`binomial_intervals` draws the resampled sum directly: it is a binomial variable.
+draws blocks of rows by a hash that any engine shares and stays in DataFrame operations, however many rows a group has.
+For 0/1 values over many tasks, `binomial_intervals` draws the resampled sum directly: it is a binomial variable.
 """
 
 from __future__ import annotations
@@ -16,23 +16,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW, HIGH = 0.025, 0.975
+#: Values of a group that exact_intervals() takes, random words made at a time, and blocks of a group that are resampled.
+MAX_VALUES, WORDS, BLOCKS = 200_000, 1_000_000, 256
+
+
+def draws(n: int, count: int, seed: int) -> Iterator[np.ndarray]:
+    """Runs of `count` numbers below n, as the standard generator's randrange(n) gives them one after the other.
+
+    That takes the leading bits of its next word of 32 bits and drops results of n or more; here words come in runs.
+    """
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    bits = n.bit_length()
+    while count > 0:
+        made = words.random_raw(min(WORDS, 2 * count + 64)) >> np.uint64(32 - bits)
+        made = made[made < n][:count]
+        count -= len(made)
+        yield made.astype(np.int64)
 
 
 def percentile_interval(values: list[float], resamples: int, seed: int) -> tuple[float, float]:
     """Elements int(0.025 (R - 1)) and int(0.975 (R - 1)) of the sorted means of R resamples, in the order of values."""
     if not values:
         return 0.0, 0.0
-    n, draw = len(values), random.Random(seed).randrange
-    means = sorted(sum(values[draw(n)] for _ in range(n)) / n for _ in range(resamples))
-    return means[int(LOW * (resamples - 1))], means[int(HIGH * (resamples - 1))]
+    n, own = len(values), np.array(values, float)
+    sums, done, left = np.zeros(resamples), 0, np.zeros(0)
+    for at in draws(n, n * resamples, seed):
+        drawn = np.concatenate([left, own[at]])
+        whole = len(drawn) // n
+        sums[done : done + whole] = drawn[: whole * n].reshape(whole, n).sum(axis=1)
+        done, left = done + whole, drawn[whole * n :]
+    means = np.sort(sums / n)
+    return float(means[int(LOW * (resamples - 1))]), float(means[int(HIGH * (resamples - 1))])
 
 
 def exact_intervals(values: DataFrame, keys: list[str], value: str, position: str, seed: Column, resamples: int = 10_000) -> DataFrame:
     """(keys, ci_low, ci_high): an interval for each group, over its values in order of position.
 
-    A group's values are one task's work: give it a few thousand values at most, and binomial or hashed intervals more.
+    A group's values are one task's work: one of more than MAX_VALUES is refused, as binomial and hashed intervals take
+    groups of any size.
     """
-    lists = values.withColumn("_seed", seed).groupBy(*keys).agg(F.min("_seed").alias("_seed"), F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).cast("double").alias("v")))).alias("_v"))
+    point = F.struct(F.col(position).alias("p"), F.col(value).cast("double").alias("v"))
+    seeded = values.withColumn("_seed", seed)
+    sizes = seeded.groupBy(*keys).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest > MAX_VALUES:
+        raise ValueError(f"a group has {largest} values; exact intervals take {MAX_VALUES} at most")
+    lists = seeded.groupBy(*keys).agg(F.min("_seed").alias("_seed"), F.array_sort(F.collect_list(point)).alias("_v"))
     ready = lists.withColumn("_v", F.transform("_v", lambda x: x["v"]))
 
     @F.pandas_udf("struct<ci_low:double,ci_high:double>")
@@ -62,19 +93,28 @@ def binomial_intervals(values: DataFrame, keys: list[str], value: str, seed: int
     return sums.withColumn("_ci", run("_n", "_k", "_seed")).select(*keys, "_ci.*")
 
 
-def hashed_intervals(groups: DataFrame, keys: list[str], resamples: int, seed: int = 0) -> DataFrame:
-    """(keys, ci_low, ci_high) of groups (keys, n, values), values being an array of numbers in order.
+def hashed_intervals(values: DataFrame, keys: list[str], value: str, row: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(keys, ci_low, ci_high) of the mean of an integer column, by resampling blocks of rows.
 
-    Draw i of resample r is the value at the first 8 hex digits of md5("seed:r:i") modulo n.
+    The first 8 hex digits of md5(row) modulo BLOCKS say a row's block; a group is summed to its blocks, at most
+    BLOCKS, before anything is drawn. Draw i of resample r is the block, in order, at the first 8 hex digits of
+    md5("seed:r:i") modulo their number; a resample draws as many blocks as there are.
     """
-    reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-
-    def drawn(i: Column) -> Column:
-        head = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), i.cast("string")).cast("binary")), 1, 8)
-        return F.get("values", (F.conv(head, 16, 10).cast("long") % F.col("n")).cast("int")).cast("double")
-
-    total = F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0.0), lambda a, i: a + drawn(i))
-    means = reps.select(*keys, (total / F.col("n")).alias("mean"))
+    head = lambda x: F.conv(F.substring(F.md5(x.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    summed = values.where(F.col(value).isNotNull()).groupBy(*keys, (head(F.col(row)) % BLOCKS).alias("_block"))
+    blocks = summed.agg(F.sum(F.col(value).cast("long")).alias("s"), F.count("*").alias("c"))
+    groups = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "s", "c"))).alias("_blocks"))
+    reps = groups.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    n = F.size("_blocks")
+
+    def drawn(a: Column, i: Column) -> Column:
+        at = head(F.concat_ws(":", F.lit(str(seed)), F.col("_rep").cast("string"), i.cast("string"))) % n
+        block = F.get("_blocks", at.cast("int"))
+        return F.struct((a["s"] + block["s"]).alias("s"), (a["c"] + block["c"]).alias("c"))
+
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("c"))
+    mean = F.aggregate(F.sequence(F.lit(0), n - 1), none, drawn, lambda a: a["s"] / a["c"])
+    means = reps.select(*keys, mean.alias("mean"))
     ranked = means.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("mean")) - 1)
     pick = lambda q: F.max(F.when(F.col("at") == int(q * (resamples - 1)), F.col("mean")))
     return ranked.groupBy(*keys).agg(pick(LOW).alias("ci_low"), pick(HIGH).alias("ci_high"))

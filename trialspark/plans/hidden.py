@@ -3,24 +3,58 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Names that a selector must never see.
-HIDDEN = re.compile(r"plus|hidden", re.IGNORECASE)
+#: Names that a selector must never see: those with one of these as a whole part.
+HIDDEN = re.compile(r"(?:^|_)(?:plus|hidden)(?:_|$)", re.IGNORECASE)
 
 
 class HiddenLabelError(ValueError):
     """A table given to a selector holds, or was made from, hidden columns."""
 
 
+def names_in(kind: T.DataType) -> Iterator[str]:
+    """The names of all fields of a type, at any depth."""
+    match kind:
+        case T.StructType():
+            for field in kind.fields:
+                yield field.name
+                yield from names_in(field.dataType)
+        case T.ArrayType():
+            yield from names_in(kind.elementType)
+        case T.MapType():
+            yield from names_in(kind.keyType)
+            yield from names_in(kind.valueType)
+
+
+def carried_names(df: DataFrame) -> set[str]:
+    """The names of all columns, and fields in them, that any node of df's optimized plan puts out.
+
+    Unused columns are pruned from that plan, so what is left is what df is made from. Attributes are read one by one:
+    a plan's text leaves some out.
+    """
+    found: set[str] = set()
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        for of in (node.children(), node.innerChildren()):
+            nodes += [of.apply(i) for i in range(of.size())]
+        output = node.output()
+        for i in range(output.size()):
+            found.add(output.apply(i).name())
+            found.update(names_in(T._parse_datatype_json_string(output.apply(i).dataType().json())))
+    return found
+
+
 def public_only(df: DataFrame) -> DataFrame:
     """df itself, if neither its columns nor the columns its plan carries are hidden."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    found = [c for c in df.columns if HIDDEN.search(c)] or re.findall(r"\b(\w*(?:plus|hidden)\w*)#\d+", plan, re.IGNORECASE)
+    found = {n for n in (*df.columns, *names_in(df.schema), *carried_names(df)) if HIDDEN.search(n)}
     if found:
-        raise HiddenLabelError(f"hidden columns reach a selector: {sorted(set(found))}")
+        raise HiddenLabelError(f"hidden columns reach a selector: {sorted(found)}")
     return df
 
 
