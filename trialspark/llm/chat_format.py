@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
-A record's nested field paths, sorted and hashed, are its fingerprint; a fingerprint selects a declarative mapping, an
-SQL expression that turns the layout into an array of (role, text) turns. Fingerprints are taken from a table's schema,
-or row by row from JSON strings, whose paths come from the schema of the parsed variant.
+The nested field paths of a record, from the schema of its parsed JSON at any depth, are reduced to the slots that some
+layout knows: a slot stands for its path and all below it, and other paths are extras. The sorted slots, hashed, are
+the record's fingerprint. Each mapping declares required and optional slots, so it has a fingerprint for each choice of
+its optional slots; the one that has the record's fingerprint, or else the first one whose required slots are all
+there, turns the record into (role, text) turns. A table's schema is reduced in the same way.
 
 The template writes each turn as <|im_start|>role, newline, text, <|im_end|>, newline. In texts a backslash is doubled
 and "<|" becomes "<\\|", so no text can hold a mark, and both are undone on reading; a role is percent-encoded. The loss
@@ -13,15 +15,18 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import let
+from trialspark.llm.common import columns_but, fresh, let
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters of a conversation above which chat_digests() does not write it as JSON first: a variant has a size limit.
+MAX_JSON = 4_000_000
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -35,95 +40,159 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(paths: list[str]) -> str:
-    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
+def fingerprint(slots) -> str:
+    return hashlib.md5("\n".join(sorted(slots)).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the paths that make its fingerprint, and its turns in SQL over the record's fields."""
+    """A layout: the slots that it needs and may have, and how its turns are made.
 
-    name: str
-    paths: tuple[str, ...]
-    turns: str
+    An item of turns is (role, slots), the texts of the slots that are there joined by newlines; or (list slot, role
+    field, text field), a turn for each element of a list.
+    """
 
-    @property
-    def key(self) -> str:
-        return fingerprint(list(self.paths))
+    name: str
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
+    turns: tuple[tuple, ...] = ()
+    #: Whether the list's roles have names of their own, as ROLES says.
+    renamed: bool = False
 
+    def keys(self) -> list[str]:
+        chosen = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
+        return [fingerprint({*self.required, *c}) for c in chosen]
 
-_ROLES = "case lower({0}) when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' else {0} end"
 
+_SYSTEM = ("system", ("system",))
+#: Layouts by record, the first that fits before others; the layout of rows by turn is ROWS.
+MAPPINGS = (
+    Mapping("messages", ("messages[].content", "messages[].role"), ("system",), (_SYSTEM, ("messages", "role", "content"))),
+    Mapping("shared", ("conversations[].from", "conversations[].value"), ("system",), (_SYSTEM, ("conversations", "from", "value")), renamed=True),
+    Mapping("instruction", ("instruction", "output"), ("input", "system"), (_SYSTEM, ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("instruction-response", ("instruction", "response"), ("input", "system"), (_SYSTEM, ("user", ("instruction", "input")), ("assistant", ("response",)))),
+    Mapping("prompt", ("completion", "prompt"), ("system",), (_SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("prompt-response", ("prompt", "response"), ("system",), (_SYSTEM, ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("question", ("answer", "question"), ("system",), (_SYSTEM, ("user", ("question",)), ("assistant", ("answer",)))),
+)
+ROWS = Mapping("rows", ("conv_id", "role", "text", "turn"))
+SLOTS = sorted({s for m in MAPPINGS for s in (*m.required, *m.optional)})
+#: Roles by the names that some layouts give them: fixed values of those formats.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
-def _pairs(*pairs: tuple[str, str]) -> str:
-    return "filter(array(" + ", ".join(f"named_struct('role', '{role}', 'text', {text})" for role, text in pairs) + "), x -> x.text is not null)"
 
+def variant_paths(kind: Column) -> Column:
+    """The paths of all leaves of a type as schema_of_variant() writes it, at any depth; null where it is no object.
 
-#: Layouts by record; the layout of rows by turn is ROWS.
-MAPPINGS = (
-    Mapping("messages", ("messages[].content", "messages[].role"), "transform(messages, x -> named_struct('role', x.role, 'text', x.content))"),
-    Mapping("shared", ("conversations[].from", "conversations[].value"), f"transform(conversations, x -> named_struct('role', {_ROLES.format('x.from')}, 'text', x.value))"),
-    Mapping("instruction", ("input", "instruction", "output"), _pairs(("user", "concat(instruction, if(coalesce(input, '') = '', '', concat('\\n', input)))"), ("assistant", "output"))),
-    Mapping("instruction-response", ("instruction", "response"), _pairs(("user", "instruction"), ("assistant", "response"))),
-    Mapping("prompt", ("completion", "prompt"), _pairs(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt-response", ("prompt", "response", "system"), _pairs(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Mapping("question", ("answer", "question"), _pairs(("user", "question"), ("assistant", "answer"))),
-)
-ROWS = Mapping("rows", ("conv_id", "role", "text", "turn"), "")
-BY_KEY = {m.key: m for m in MAPPINGS}
-#: A record type that holds every layout's fields, for from_json.
-_SUPERSET = (
-    "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, instruction string, input string, output string,"
-    " response string, prompt string, completion string, system string, question string, answer string"
-)
+    The type is read token by token: a name says where the next value stands, "<" goes into it and ">" out of it.
+    """
+    name = r"`(?:[^`]|``)*`: |[A-Za-z_][A-Za-z0-9_]*: "
+    tokens = F.regexp_extract_all(kind, F.lit(name + r"|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]*\))?"), F.lit(0))
+    state = "struct<inside:array<string>,at:string,paths:array<string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        top = F.coalesce(F.get(a["inside"], F.size(a["inside"]) - 1), F.lit(""))
+        bare = F.regexp_replace(F.substr(x, F.lit(1), F.length(x) - 2), r"^`|`$", "")
+        named = F.when(top == "", bare).otherwise(F.concat(top, F.lit("."), bare))
+        into = F.when(x == "ARRAY<", F.concat(a["at"], F.lit("[]"))).otherwise(a["at"])
+        pushed = F.struct(F.concat(a["inside"], F.array(into)).alias("inside"), into.alias("at"), a["paths"].alias("paths"))
+        popped = F.struct(F.slice(a["inside"], 1, F.greatest(F.size(a["inside"]) - 1, F.lit(0))).alias("inside"), a["at"].alias("at"), a["paths"].alias("paths"))
+        here = F.struct(a["inside"].alias("inside"), named.alias("at"), a["paths"].alias("paths"))
+        leaf = F.struct(a["inside"].alias("inside"), a["at"].alias("at"), F.concat(a["paths"], F.array(a["at"])).alias("paths"))
+        next_ = F.when(x.endswith("<"), pushed).when(x == ">", popped).when(x.endswith(": "), here).otherwise(leaf)
+        return next_.cast(state)
+
+    none = F.struct(F.array().alias("inside"), F.lit("").alias("at"), F.array().alias("paths")).cast(state)
+    return F.when(kind.startswith("OBJECT<"), F.aggregate(tokens, none, step, lambda a: a["paths"]))
+
+
+def known_slots(paths: Column) -> Column:
+    """The sorted slots that paths fill. An empty list fills all slots of its elements."""
+
+    def fills(p: Column, s: str) -> Column:
+        return (p == s) | p.startswith(f"{s}.") | p.startswith(f"{s}[") | (p.endswith("[]") & F.lit(s).startswith(F.concat(p, F.lit("."))))
+
+    slot = lambda s: F.when(F.exists(paths, lambda p: fills(p, s)), F.lit(s))
+    found = [slot(s) for s in SLOTS]
+    return F.when(paths.isNotNull(), F.array_compact(F.array(*found)))
+
+
+def chosen_mapping(slots: Column) -> Column:
+    """The name of the mapping that has the fingerprint of slots, or else of the first whose required slots are there."""
+    key = F.md5(F.array_join(slots, "\n"))
+    by_key: dict[str, str] = {}
+    for m in MAPPINGS:
+        for k in m.keys():
+            by_key.setdefault(k, m.name)
+    table = F.create_map(*[F.lit(x) for pair in by_key.items() for x in pair])
+    held = [F.when(F.size(F.array_intersect(slots, F.array(*map(F.lit, m.required)))) == len(m.required), m.name) for m in MAPPINGS]
+    return F.coalesce(F.element_at(table, key), *held)
+
+
+def value_text(v: Column) -> Column:
+    """The text of a variant: a string as it is, the texts of a list's parts in a row, an object's text, content or value."""
+    get = lambda x, path: F.try_variant_get(x, path, "string")
+    of = lambda x: F.coalesce(get(x, "$.text"), get(x, "$.content"), get(x, "$.value"))
+    part = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT<"), F.coalesce(of(x), F.lit(""))).otherwise(F.coalesce(get(x, "$"), F.lit("")))
+    kind = F.schema_of_variant(v)
+    parts = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), part), "")
+    return F.when(kind.startswith("ARRAY<"), parts).when(kind.startswith("OBJECT<"), F.coalesce(of(v), get(v, "$"))).otherwise(get(v, "$"))
+
+
+def _list_turns(record: Column, slot: str, role: str, text: str, renamed: bool) -> Column:
+    """A turn for each element of a record's list."""
+    usual = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
 
+    def turn(x: Column) -> Column:
+        raw = F.try_variant_get(x, f"$.{role}", "string")
+        named = F.coalesce(F.element_at(usual, F.lower(raw)), raw) if renamed else raw
+        return F.struct(named.alias("role"), value_text(F.try_variant_get(x, f"$.{text}", "variant")).alias("text"))
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of each JSON record. Paths come from its variant's schema, types cut away; only the shapes of
-    known layouts (fields, and arrays of flat objects) are resolved, others get a fingerprint that no mapping has."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    top = F.regexp_extract_all(F.regexp_replace(kind, r"^OBJECT<|>$", ""), F.lit(r"([^:,\s]+): (ARRAY<OBJECT<[^>]*>>|[A-Z]+(?:\([^)]*\))?)"), F.lit(0))
+    return F.transform(F.coalesce(F.try_variant_get(record, f"$.{slot}", "array<variant>"), F.array().cast("array<variant>")), turn)
 
-    def paths(field: Column) -> Column:
-        name, inner = F.regexp_extract(field, r"^([^:]+): ", 1), F.regexp_extract(field, r"^[^:]+: ARRAY<OBJECT<(.*)>>$", 1)
-        nested = F.transform(F.regexp_extract_all(inner, F.lit(r"([^:,\s]+): "), F.lit(1)), lambda x: F.concat(name, F.lit("[]."), x))
-        return F.when(inner == "", F.array(name)).otherwise(nested)
 
-    return F.when(kind.startswith("OBJECT<"), F.md5(F.array_join(F.array_sort(F.flatten(F.transform(top, paths))), "\n")))
+def _one_turn(record: Column, role: str, slots: tuple[str, ...]) -> Column:
+    """A turn of the texts of slots joined by newlines, those after the first only where they are not empty; or none."""
+    first, *others = [value_text(F.try_variant_get(record, f"$.{s}", "variant")) for s in slots]
+    text = F.concat_ws("\n", first, *[F.when(t != "", t) for t in others]) if others else first
+    return F.filter(F.array(F.struct(F.lit(role).alias("role"), text.alias("text"))), lambda x: x["text"].isNotNull())
 
 
-def json_turns(records: DataFrame, column: str) -> DataFrame:
-    """records with `layout` and `turns`; both null where no mapping has the record's fingerprint or the JSON is torn."""
-    parsed = records.withColumn("_r", F.from_json(column, _SUPERSET)).withColumn("_f", json_fingerprint(F.col(column)))
-    layout = F.coalesce(*[F.when(F.col("_f") == m.key, F.lit(m.name)) for m in MAPPINGS])
-    flat = parsed.withColumn("layout", layout)
-    turns = F.coalesce(*[F.when(F.col("layout") == m.name, _in_record(m).cast(TURNS)) for m in MAPPINGS])
-    return flat.withColumn("turns", turns).drop("_r", "_f")
+def _mapped(m: Mapping, record: Column) -> Column:
+    """The turns of a record, a variant, by a mapping."""
+    got = [_list_turns(record, *item, m.renamed) if len(item) == 3 else _one_turn(record, *item) for item in m.turns]
+    return F.concat(*[g.cast(TURNS) for g in got])
 
 
-def _in_record(m: Mapping) -> Column:
-    """The mapping's expression over the fields of _r."""
-    import re
+def json_turns(records: DataFrame, column: str) -> DataFrame:
+    """records with `layout` and `turns`, from a column of JSON; columns of these names, in any case, are replaced.
 
-    names = {p.split("[")[0] for p in m.paths}
-    return F.expr(re.sub(r"(?<![.'\w])(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?![\w'(])", r"_r.\1", m.turns))
+    Fields beside a layout's are ignored, at any depth. Texts may be strings, lists of parts, or objects with a text. Both
+    columns are null where the JSON is null or torn, or fits no layout; an empty list of turns is a layout without turns.
+    """
+    v, layout = fresh(records, "record_variant"), fresh(records, "record_layout")
+    parsed = records.withColumn(v, F.try_parse_json(F.col(column)))
+    slots = known_slots(variant_paths(F.schema_of_variant(v)))
+    named = parsed.withColumn(layout, chosen_mapping(slots))
+    turns = F.coalesce(*[F.when(F.col(layout) == m.name, _mapped(m, F.col(v))) for m in MAPPINGS])
+    return named.select(*columns_but(records, "layout", "turns"), F.col(layout).alias("layout"), turns.alias("turns"))
 
 
 def table_turns(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table whose schema is a known layout: rows by turn, or one conversation a row with conv_id.
 
-    Rows by turn are ordered by turn, nulls first, ties by role and text. Columns beside the layout's are ignored.
+    Rows by turn are ordered by turn, nulls first, ties by role and text; null roles and texts are empty. Columns beside
+    the layout's are ignored.
     """
-    known = {p for m in (*MAPPINGS, ROWS) for p in m.paths}
-    own = [p for p in field_paths(rows.schema) if p in known]
-    if fingerprint(own) == ROWS.key:
+    paths = field_paths(rows.schema)
+    if fingerprint(p for p in paths if p in ROWS.required) == ROWS.keys()[0]:
         turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
         return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    mapping = BY_KEY.get(fingerprint([p for p in own if p != "conv_id"]))
-    if mapping is None:
-        raise ValueError(f"no mapping for the paths {sorted(own)}")
-    return rows.select("conv_id", F.expr(mapping.turns).cast(TURNS).alias("turns"))
+    if not any(p == "conv_id" for p in paths):
+        raise ValueError(f"no mapping for the paths {sorted(paths)}")
+    record = F.to_json(F.struct(*columns_but(rows, "conv_id")))
+    return json_turns(rows.select("conv_id", record.alias("record")), "record").select("conv_id", "turns")
 
 
 def escaped(text: Column) -> Column:
@@ -137,7 +206,8 @@ def unescaped(text: Column) -> Column:
 def formatted(chats: DataFrame) -> DataFrame:
     """chats (conv_id, turns, ...) with `formatted` and `loss_spans`, array<struct<start,end>> in code points.
 
-    Null roles and texts count as empty; null turns give an empty string.
+    Null roles and texts count as empty; null turns give an empty string. Columns of these names, in any case, are
+    replaced. A conversation is one value of its task, however long.
     """
     head = lambda x: F.concat(F.lit(START), F.url_encode(F.coalesce(x["role"], F.lit(""))), F.lit("\n"))
     part = lambda x: F.struct(head(x).alias("h"), escaped(F.coalesce(x["text"], F.lit(""))).alias("t"), (x["role"] == "assistant").alias("loss"))
@@ -156,7 +226,8 @@ def formatted(chats: DataFrame) -> DataFrame:
         text = F.array_join(F.transform(p, lambda x: F.concat(x["h"], x["t"], F.lit(tail))), "")
         return F.struct(text.alias("formatted"), F.aggregate(p, none, step, lambda a: a["spans"]).alias("loss_spans"))
 
-    return chats.withColumn("_w", let(parts, written)).select(*[c for c in chats.columns if c not in ("formatted", "loss_spans")], "_w.*")
+    made = fresh(chats, "written")
+    return chats.withColumn(made, let(parts, written)).select(*columns_but(chats, "formatted", "loss_spans"), f"{made}.*")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -180,16 +251,44 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumn("read", F.transform(let(pieces, placed), turn))
 
 
+def as_records(chats: DataFrame) -> DataFrame:
+    """chats (conv_id, turns) with `record`, each conversation as JSON of a layout that its number chooses.
+
+    Messages with a number beside them, messages with texts in parts, shared conversations with nested extras, and
+    prompts where a user and an assistant speak once. A role that a shared layout would rename takes messages. record is
+    null for conversations of more than MAX_JSON characters.
+    """
+    turns, which = F.col("turns"), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    many = lambda of: F.to_json(of, {"ignoreNullFields": "false"})
+    message = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))
+    parted = lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content"))
+    shared = lambda x: F.struct(x["role"].alias("from"), x["text"].alias("value"))
+    plain = many(F.struct(F.transform(turns, message).alias("messages"), F.lit(1).alias("id")))
+    parts = many(F.struct(F.transform(turns, parted).alias("messages")))
+    others = many(F.struct(F.transform(turns, shared).alias("conversations"), F.struct(F.lit("x").alias("tag")).alias("meta")))
+    prompt = many(F.struct(F.struct(F.get(turns, F.lit(0))["text"].alias("text")).alias("prompt"), F.get(turns, F.lit(1))["text"].alias("response")))
+    renamed = F.exists(turns, lambda x: F.lower(x["role"]).isin(list(ROLES)))
+    spoken = F.array_join(F.transform(turns, lambda x: F.when(x["role"].contains(","), "-").otherwise(x["role"])), ",") == "user,assistant"
+    size = F.aggregate(turns, F.lit(0).cast("long"), lambda a, x: a + F.length(x["role"]) + F.length(x["text"]))
+    chosen = F.when(spoken & (which == 0), prompt).when(which == 1, parts).when((which == 2) & ~renamed, others).otherwise(plain)
+    return chats.withColumn("record", F.when(size <= MAX_JSON, chosen))
+
+
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """One row a conversation, read back from its formatted string, plus conversation -1 with marks in its texts.
 
-    A null conv_id is a conversation; null roles and texts are empty; repeated rows are turns of their own; an empty
-    table leaves conversation -1. A conversation's string and digest are one value, so its turns meet in one task.
+    Conversations are gathered by the layout of rows, laid out as records of several layouts, and each record is mapped
+    by its own fingerprint. A null conv_id is a conversation; null roles and texts are empty; repeated rows are turns of
+    their own; an empty table leaves conversation -1. A conversation's string and digest are one value, so its turns
+    meet in one task, however long. Other columns are ignored.
     """
     spark, tricky = conversations.sparkSession, f"{END}{START}assistant ok"
-    two = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    two = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(tricky).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(two)
-    back = read_back(formatted(table_turns(rows)))
+    laid = as_records(table_turns(rows)).withColumnRenamed("turns", "own")
+    chats = json_turns(laid, "record").withColumn("turns", F.coalesce("turns", F.when(F.col("record").isNull(), F.col("own")))).drop("own", "record")
+    back = read_back(formatted(chats))
     lines = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("read", lambda x: x["loss"]), lambda x: x["text"]), "")
     return back.select(
