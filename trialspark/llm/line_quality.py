@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import WORD, fresh, let, words
+from trialspark.llm.common import WORD, columns_but, fresh, joined_copies, let, words
 
-#: A line is boilerplate in a host if more documents hold it than the larger of these: so many, such a share of the host.
-MIN_DOCUMENTS, MAX_SHARE = 20, 0.01
+#: A line is boilerplate in a host if more distinct documents than this hold it, however many the host has.
+MAX_DOCUMENTS = 20
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 #: The base rules: least words, and most percent of words in repeated windows of WINDOW words.
@@ -76,30 +76,31 @@ def _count_words(text: Column) -> Column:
     return F.size(words(text))
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, doc, line, n_words): the lines above their host's limit in each distinct text, doc being the text's md5.
+def _document(host: Column, text: Column) -> Column:
+    """One string for a host and text; copies in one host share it."""
+    return F.concat(F.md5(F.coalesce(text, F.lit(""))), F.coalesce(F.concat(F.lit("="), host), F.lit("-")))
 
-    Rows of a line are counted through a distinct and a partial count, so a line that a third of all rows holds costs
-    each task one row.
+
+def frequent_lines(docs: DataFrame, text: str, host: str, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(doc, line key a, b, n_words): the lines above the limit in each document of a host.
+
+    n_words sums over the copies of the document. Rows of a line are counted through a distinct and a partial count, so
+    a line that a third of all rows holds costs each task one row.
     """
-    base = docs.select(F.col(host).alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    base = docs.select(F.col(host).alias("host"), _document(F.col(host), F.col(text)).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     kept = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     keyed = F.transform(kept, lambda x: F.struct(_line_key(x).alias("line"), _count_words(x).alias("n")))
-    lines = base.select("host", "doc", F.explode(keyed).alias("x")).groupBy("host", "doc", F.col("x.line.a").alias("a"), F.col("x.line.b").alias("b")).agg(F.sum("x.n").alias("n_words"))
-    sizes = docs.select(F.col(host).alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
+    each = base.select("host", "doc", F.explode(keyed).alias("x"))
+    lines = each.groupBy("host", "doc", F.col("x.line.a").alias("a"), F.col("x.line.b").alias("b")).agg(F.sum("x.n").alias("n_words"))
     # n_words is never null; counting it keeps this branch's shuffle the same as the other's, so that Spark makes it once
     counts = lines.groupBy("host", "a", "b").agg(F.count("n_words").alias("n"))
-    above = (
-        counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n") > F.greatest(F.lit(min_documents), F.col("n_docs") * F.lit(float(max_share))))
-        .select(F.col("host").alias("of"), F.col("a").alias("la"), F.col("b").alias("lb"))
-    )
+    above = counts.where(F.col("n") > max_documents).select(F.col("host").alias("of"), F.col("a").alias("la"), F.col("b").alias("lb"))
     same = F.col("host").eqNullSafe(F.col("of")) & (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb"))
-    return lines.join(above, same, "left_semi")
+    return lines.join(above, same, "left_semi").select("doc", "a", "b", "n_words")
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", host: str = "source", *, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, clean: bool = True
+    docs: DataFrame, text: str = "text", host: str = "source", *, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, clean: bool = True
 ) -> DataFrame:
     """docs with struct columns `rules` (word_features), `removed_words` (long), `clean_text` and `kept`.
 
@@ -107,23 +108,27 @@ def quality_rules(
 
     Every row of docs comes back once, repeated rows too, whatever its id. Null text counts as empty: no words, base
     failed, not kept, clean_text null. A null host is a host of its own. An empty table gives an empty table. Columns
-    of docs that have a name of ours are replaced. Ties do not occur: a limit is passed only by a larger count.
+    of docs that have a name of ours, in any case, are replaced. Texts are taken whole, each in one expression of its
+    task. Ties do not occur: a limit is passed only by a larger count.
     """
-    of, doc, hit, key = (fresh(docs, x) for x in ("of_host", "doc_md5", "hit", "text_md5"))
-    frequent = frequent_lines(docs, text, host, min_documents, max_share)
-    per_doc = frequent.groupBy(F.col("host").alias(of), F.col("doc").alias(doc)).agg(
-        F.struct(F.sum("n_words").alias("n"), F.collect_list(F.struct("a", "b")).alias("lines")).alias(hit)
-    )
-    own = docs.drop("rules", "removed_words", "clean_text", "kept").withColumn(key, F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("rules", word_features(F.col(text)))
+    key, hit = fresh(docs, "document_key"), fresh(docs, "hit")
+    found = frequent_lines(docs, text, host, max_documents).groupBy(F.col("doc").alias(key))
+    per_doc = found.agg(F.sum("n_words").alias("n_words"), F.collect_list(F.struct("a", "b")).alias("lines"))
+    copies = docs.groupBy(_document(F.col(host), F.col(text)).alias(key)).agg(F.count("*").alias("copies"))
+    own = docs.select(*columns_but(docs, "rules", "removed_words", "clean_text", "kept"))
+    spread = F.xxhash64(*columns_but(own, text))
+    own = own.withColumn(key, _document(F.col(host), F.col(text))).withColumn("rules", word_features(F.col(text)))
     if not clean:
         own = own.drop(text)
-    joined = own.join(per_doc, F.col(key).eqNullSafe(F.col(doc)) & F.col(host).eqNullSafe(F.col(of)), "left")
-    out = joined.withColumn("removed_words", F.coalesce(F.col(hit)["n"], F.lit(0)).cast("long"))
+    joined = joined_copies(own, per_doc.join(copies, key), key, "copies", spread, hit)
+    gone = F.floor(F.col(hit)["n_words"] / F.col(hit)["copies"]).cast("long")
+    out = joined.withColumn("removed_words", F.coalesce(gone, F.lit(0).cast("long")))
     if clean:
-        left = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col(hit)["lines"], _line_key(x))))
-        out = out.withColumn("clean_text", F.when(F.col(hit).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+        stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col(hit)["lines"], _line_key(x)))
+        left = F.array_join(F.filter(F.split(F.col(text), "\n"), stays), "\n")
+        out = out.withColumn("clean_text", F.when(F.col(hit).isNull(), F.col(text)).otherwise(left))
     enough = F.col("rules.n_words") - F.col("removed_words") >= F.col("rules.n_words") * F.lit(float(min_left))
-    return out.withColumn("kept", ~F.col("rules.base_failed") & enough).drop(of, doc, hit, key)
+    return out.withColumn("kept", ~F.col("rules.base_failed") & enough).drop(key, hit)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -146,9 +151,7 @@ dups as (select h, count(*) - count(distinct ln) as n from (select h, unnest(str
          where regexp_matches(ln, '[^\x20\x09-\x0D]') group by h),
 norm as (select source, h, trim(regexp_replace(lower(ln), '[\x20\x09-\x0D]+', ' ', 'g')) as k,
                 len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) as n from lines),
-hosts as (select source, count(distinct h) as n from d group by source),
-above as (select norm.source, norm.k from norm join hosts on norm.source is not distinct from hosts.source
-          group by norm.source, norm.k, hosts.n having count(distinct h) > greatest(20, hosts.n * cast(0.01 as double))),
+above as (select source, k from norm group by source, k having count(distinct h) > 20),
 removed as (select norm.source, norm.h, sum(norm.n) as n from norm join above
             on norm.source is not distinct from above.source and norm.k = above.k group by norm.source, norm.h),
 f as (select d.doc_id, d.t, cast(len(d.w) as bigint) as n_words, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words,
