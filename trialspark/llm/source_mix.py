@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of a source, document after document in a fixed pseudorandom order, are packed into blocks of BLOCK words.
-Weights and the cap of REPEATS give every source a target; the target in blocks is its quota. All quotas together are
-dealt to output shards of SLOTS slots: a pseudorandom permutation of all draws says which shard and slot a draw fills,
-so a shard's counts are multinomial draws given that each source's total is its quota. The n-th draw of a source takes
-the block at place n of a pseudorandom permutation of its blocks, a new permutation after each full round; so no block
-is taken more than REPEATS times. Slots are joined with blocks by source and index.
+Weights and the cap of REPEATS give every source a target; the target in blocks is its quota. An output shard has SLOTS
+slots. Each slot draws its source with the quotas as weights, so a shard's source counts are a multinomial draw. Over
+all shards such draws would leave small sources percents off their targets; so a source drawn more often than its quota
+frees the surplus slots, spread over its draws, and these go to the sources drawn too seldom. The n-th draw of a source
+takes the block at place n of a pseudorandom permutation of its blocks, a new permutation after each full round; so no
+block is taken more than REPEATS times. Slots are joined with blocks by source and index.
 
 Everything is numbered by sums over small tables: documents are dealt to groups of about GROUP rows by a hash, a window
 numbers the words within a group, and groups are summed up to their source. No source, however large, meets in a task.
@@ -23,6 +24,10 @@ DRAWS_A_TASK = 100_000
 #: Weights of the sources in the order of their names, repeated.
 WEIGHTS = (1, 2, 3)
 SEED = 20240611
+#: Multipliers that spread surplus draws and a shard's slots: a prime or another one, and an odd number.
+_SPREAD, _OTHER_SPREAD, _ODD = 1299709, 1299721, 421
+#: Shards whose counts are summed up together before sums run over the groups.
+SHARDS_A_GROUP = 4096
 #: A prime near 2**31 and multipliers whose products stay in 64 bits.
 _P, _M1, _M2, _M3 = 2147483647, 48271, 69621, 16807
 #: Rounds of the permutation, and steps after which a walk has surely left the few surplus places.
@@ -89,31 +94,75 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     blocks = aimed.withColumn("n_blocks", F.floor((F.col("source_size") + BLOCK - 1) / BLOCK).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("long")
     drawn = blocks.withColumn("quota", F.least(quota, F.col("n_blocks") * repeats))
-    first = F.coalesce(F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = drawn.withColumn("first_draw", first).withColumn("key", (F.col("rank") * 1299709 + SEED) % _P).withColumn("draws", F.sum("quota").over(everything))
-    return stored(out.select("source", "source_size", "weight", "target", "n_blocks", "quota", "first_draw", "draws", "key"), "mix-targets")
+    out = drawn.withColumn("key", (F.col("rank") * 1299709 + SEED) % _P)
+    return stored(out.select("source", F.col("rank").cast("long").alias("rank"), "source_size", "weight", "target", "n_blocks", "quota", "key"), "mix-targets")
+
+
+def _before(df: DataFrame, value: str, by: str, *within: str) -> Column:
+    """The sum of value over the rows before, in the order of by."""
+    window = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
+def shard_counts(targets: DataFrame) -> DataFrame:
+    """(shard, rank, n, slot): the multinomial source counts of each shard, and the first slot of each source in it.
+
+    A slot takes the source in whose part of the line of all quotas a pseudorandom number falls, found by bisection.
+    """
+    spark = targets.sparkSession
+    total, n = targets.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    ends = targets.withColumn("end", _before(targets, "quota", "rank") + F.col("quota"))
+    line = ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "end"))), lambda x: F.floor(x["end"] / max(total, 1) * _P).cast("long")).alias("line"))
+    parts = max(2 * spark.sparkContext.defaultParallelism, total // DRAWS_A_TASK + 1)
+    slots = spark.range(0, total, 1, parts).withColumn("one", F.lit(1)).join(F.broadcast(line.withColumn("one", F.lit(1))), "one")
+    drawn = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(_P).cast("long"))
+
+    def halved(a: Column, i: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        above = F.get("line", middle) <= a["r"]
+        return F.struct(F.when(above, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(above, a["hi"]).otherwise(middle).alias("hi"), a["r"].alias("r"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(max(n - 1, 0)).cast("int").alias("hi"), drawn.alias("r"))
+    rank = F.aggregate(F.sequence(F.lit(1), F.lit(max(n, 2).bit_length())), start, lambda a, i: F.when(a["lo"] < a["hi"], halved(a, i)).otherwise(a), lambda a: a["lo"])
+    counts = slots.select(F.floor(F.col("id") / SLOTS).cast("long").alias("shard"), rank.cast("long").alias("rank")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+    return stored(counts.withColumn("slot", _before(counts, "n", "rank", "shard")), "mix-counts")
 
 
 def draws(targets: DataFrame) -> DataFrame:
-    """(source, block, shard, slot): one row for each slot of the mix.
+    """(source, block, shard, slot): one row for each slot of the mix, each source as often as its quota says.
 
-    A source's draws are made in runs of 4096 that are first spread over the tasks.
+    A source's draws are numbered by sums over groups of shards, so that no task holds all shards of a source.
     """
-    runs = targets.where("quota > 0").select("source", "n_blocks", "quota", "first_draw", "draws", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / 4096).cast("long"))).alias("run"))
-    # a stated number of tasks: by their bytes the few rows of runs would be one task, though they become all draws
-    parallelism = targets.sparkSession.sparkContext.defaultParallelism
-    drawn = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    spread = runs.repartition(max(2 * parallelism, drawn // DRAWS_A_TASK + 1), "source", "run")
-    each = spread.withColumn("n", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("quota") - 1))))
-    lap, place = F.floor(F.col("n") / F.col("n_blocks")).cast("long"), F.col("n") % F.col("n_blocks")
-    block = permuted(place, F.col("n_blocks"), F.col("key") + lap * 15485863)
-    at = permuted(F.col("first_draw") + F.col("n"), F.col("draws"), F.lit(SEED).cast("long"))
-    return each.select("source", block.alias("block"), at.alias("at")).select("source", "block", F.floor(F.col("at") / SLOTS).cast("long").alias("shard"), (F.col("at") % SLOTS).alias("slot"))
-
-
-def shard_counts(mix: DataFrame) -> DataFrame:
-    """(shard, source, n): how many blocks of each source a shard draws."""
-    return mix.groupBy("shard", "source").agg(F.count("*").alias("n"))
+    counts = shard_counts(targets).withColumn("grp", F.floor(F.col("shard") / SHARDS_A_GROUP).cast("long"))
+    sums = counts.groupBy("rank", "grp").agg(F.sum("n").alias("of_group"))
+    sums = sums.withColumn("before", _before(sums, "of_group", "grp", "rank")).drop("of_group")
+    drawn = counts.groupBy("rank").agg(F.sum("n").alias("drawn"))
+    named = targets.join(drawn, "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    more, less = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
+    named = named.withColumn("more", more).withColumn("less", less)
+    named = stored(named.withColumn("free", _before(named, "more", "rank")).withColumn("wants", _before(named, "less", "rank")), "mix-named")
+    started = counts.withColumn("start", _before(counts, "n", "shard", "rank", "grp")).join(sums, ["rank", "grp"])
+    one = started.join(named.select("rank", "quota", "drawn", "free"), "rank").withColumn("start", F.col("start") + F.col("before"))
+    # a stated number of tasks: by their bytes the few rows of counts would be one task, though they become all draws
+    total = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    tasks = max(2 * targets.sparkSession.sparkContext.defaultParallelism, total // DRAWS_A_TASK + 1)
+    each = one.repartition(tasks, "shard", "rank").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # a bijection that spreads the surplus over all draws: the multiplier has no factor of the number of draws
+    by = F.when(F.col("drawn") % _SPREAD == 0, _OTHER_SPREAD).otherwise(_SPREAD)
+    at = F.col("start") + F.col("k")
+    place = F.when(F.col("drawn") > F.col("quota"), at * by % F.col("drawn")).otherwise(at)
+    slot = F.col("slot") + F.col("k")
+    last = F.floor(F.lit(total) / SLOTS).cast("long")
+    mixed = F.when(F.col("shard") < last, slot * _ODD % SLOTS).otherwise(slot)
+    placed = each.select("rank", "quota", "free", place.alias("place"), "shard", mixed.alias("slot"))
+    kept = placed.where("place < quota").select("rank", "place", "shard", "slot")
+    freed = placed.where("place >= quota").select((F.col("free") + F.col("place") - F.col("quota")).alias("f"), "shard", "slot")
+    wanted = named.where("less > 0").select("rank", "drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("less") - 1)).alias("w"), "wants")
+    filled = wanted.select("rank", (F.col("drawn") + F.col("w")).alias("place"), (F.col("wants") + F.col("w")).alias("f")).join(freed, "f")
+    taken = kept.union(filled.select("rank", "place", "shard", "slot")).join(named.select("rank", "source", "n_blocks", "key"), "rank")
+    lap = F.floor(F.col("place") / F.col("n_blocks")).cast("long")
+    block = permuted(F.col("place") % F.col("n_blocks"), F.col("n_blocks"), F.col("key") + lap * 15485863)
+    return taken.select("source", block.alias("block"), "shard", "slot")
 
 
 def packed(sizes: DataFrame) -> DataFrame:
