@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with forced-boundary splitting.
 
 From the vocabulary we read which byte pairs never stand next to each other inside a token. No merge can cross such a
-pair, so every occurrence is a certain cut. Texts are cut first at pairs whose right byte is ASCII white space, where
-the cut also cannot change how the word pattern splits either side; each distinct piece is then split by the pattern,
-cut again at every forced pair, and its fragments are merged independently (by tiktoken's merge of one piece, over this
-vocabulary's ranks). The ids of a text are the concatenation.
+pair, so every occurrence is a certain cut. Texts are cut first at pairs whose right byte is ASCII white space, or whose
+left one is an ASCII letter and right one a mark, where the cut also cannot change how the word pattern splits either
+side: it ends a run of letters there, and begins anew without a look behind. Each distinct piece is then split by the pattern,
+cut again at every forced pair, and its fragments are merged independently. The ids of a text are the concatenation.
+Fragments are merged by tiktoken's merge of one piece over this vocabulary's ranks, if every token is what its own bytes
+merge to, which is tried when the vocabulary is loaded; or else by the merge list, pair by pair.
 Pieces and fragments are remembered in tables of bounded size, which only save time.
 """
 
@@ -13,20 +15,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.llm.common import columns_but, fresh
+
 #: How this family of vocabularies splits a text before merging: a fixed value of the tokenizer format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the tables of pieces and of fragments in a worker; a full table is emptied.
+LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_ONE_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
+#: Entries of the tables of pieces and of fragments in a worker; a full one is kept as the last while a new one fills.
 REMEMBERED = 150_000
 
 
@@ -37,18 +42,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Bytes of a piece of text -> its ids."""
+class Remembered(dict):
+    """What make() gives for keys, in a table of bounded size beside the one before it."""
 
-    def __init__(self, encode):
+    def __init__(self, make):
         super().__init__()
-        self.encode = encode
+        self.make, self.last = make, {}
 
-    def __missing__(self, piece):
+    def __missing__(self, key):
         if len(self) >= REMEMBERED:
+            self.last = dict(self)
             self.clear()
-        ids = self[piece] = tuple(self.encode(piece))  # tuples of integers cost the garbage collector nothing
-        return ids
+        found = self.last.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
 
 
 class Bpe:
@@ -63,10 +70,17 @@ class Bpe:
         for text in self.special:
             vocab.pop(text.encode(), None)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        pairs = [(raw(a), raw(b)) for a, b in merges]
+        self.rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
+        order = [bytes([i]) for i in range(256)] + [a + b for a, b in pairs]
+        self.id_of, self.id_of_rank = vocab, [vocab[t] for t in order]
         # a merge's rank is its place; where every token is what its own bytes merge to, ranks of tokens suffice
-        order = [bytes([i]) for i in range(256)] + [raw(a) + raw(b) for a, b in merges]
-        self.merger = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
-        self.id_of_rank = [vocab[t] for t in order]
+        self.by_ranks = None
+        if len(set(order)) == len(order):
+            merger = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
+            one = getattr(merger, "_encode_single_piece", None)
+            if one is not None and all(one(t) == [r] for r, t in enumerate(order)) and all(self.merged(a + b) == [a + b] for a, b in pairs):
+                self.by_ranks = one
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         inside = {(t[i], t[i + 1]) for t in vocab for i in range(len(t) - 1)}
         self.forced = {(x, y) for x in range(256) for y in range(256)} - inside
@@ -75,30 +89,57 @@ class Bpe:
         space = sorted(y for y, x in few.items() if len(x) <= 16)
         blank, uncut = (b"".join(b"\\x%02x" % x for x in sorted(c)) for c in (space, set().union(*(few[y] for y in space))))
         joined = b"(?:(?<=[%b])[%b]+[^%b]*)*" % (uncut, blank, blank) if uncut else b""
-        self.split_text = re.compile(b"[%b]*[^%b]+%b|[%b]+" % (blank, blank, joined, blank)).findall if space else (lambda t: [t] if t else [])
+        marks = [x for x in b",.;:!?)" if all((y, x) in self.forced for y in LETTERS)]
+        before = b"[%b]*[A-Za-z]++(?=[%b])|" % (blank, b"".join(b"\\x%02x" % x for x in marks)) if marks else b""
+        self.split_text = re.compile(b"%b[%b]*[^%b]+%b|[%b]+" % (before, blank, blank, joined, blank)).findall if space else (lambda t: [t] if t else [])
         self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.split_piece = regex.compile(PATTERN).findall
-        self.pieces, self.fragments = Pieces(self._piece), Pieces(self._fragment)
-
-    def _fragment(self, fragment: bytes) -> list[int]:
-        return [self.id_of_rank[r] for r in self.merger._encode_single_piece(fragment)]
-
-    def _piece(self, piece: bytes) -> list[int]:
-        ids: list[int] = []
-        for word in self.split_piece(piece.decode()):
-            data = word.encode()
-            cuts = [0, *(i for i in range(1, len(data)) if (data[i - 1], data[i]) in self.forced), len(data)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                ids += self.fragments[data[lo:hi]]
-        return ids
+        self.pieces, self.fragments = Remembered(self._piece), Remembered(self._fragment)
+
+    def merged(self, fragment: bytes) -> list[bytes]:
+        """The tokens of a fragment by the merge list: the pair of least rank is merged, its first place first."""
+        parts = [fragment[i : i + 1] for i in range(len(fragment))]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
+            if (parts[best], parts[best + 1]) not in self.rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """(ids as little-endian 32-bit integers, the bytes that they decode to)."""
+        return struct.pack(f"<{len(ids)}I", *ids), b"".join([self.bytes_of.get(i, b"") for i in ids])
+
+    def _fragment(self, fragment: bytes) -> tuple[bytes, bytes]:
+        if self.by_ranks is not None:
+            return self._packed([self.id_of_rank[r] for r in self.by_ranks(fragment)])
+        return self._packed([self.id_of[t] for t in self.merged(fragment)])
+
+    def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
+        forced, found = self.forced, []
+        # one word for the pattern, as most pieces are
+        words = [piece] if _ONE_WORD(piece) else [w.encode() for w in self.split_piece(piece.decode())]
+        for data in words:
+            lo = 0
+            for i, pair in enumerate(zip(data, data[1:], strict=False), 1):
+                if pair in forced:
+                    found.append(self.fragments[data[lo:i]])
+                    lo = i
+            found.append(self.fragments[data[lo:]])
+        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+
+    def pieces_of(self, text: str) -> tuple[bytes, bytes]:
+        """(ids as little-endian 32-bit integers, the bytes that they decode to) of a whole text."""
+        if self.split_special is None or not any(t in text for t in self.special):
+            parts = [self.pieces[x] for x in self.split_text(text.encode())]
+        else:
+            parts = []
+            for i, part in enumerate(self.split_special(text)):
+                parts += [self._packed([self.special[part]])] if i % 2 else [self.pieces[x] for x in self.split_text(part.encode())]
+        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def encode(self, text: str) -> list[int]:
-        if self.split_special is None or not any(t in text for t in self.special):
-            return list(chain.from_iterable(map(self.pieces.__getitem__, self.split_text(text.encode()))))
-        ids: list[int] = []
-        for i, part in enumerate(self.split_special(text)):
-            ids += [self.special[part]] if i % 2 else chain.from_iterable(map(self.pieces.__getitem__, self.split_text(part.encode())))
-        return ids
+        return np.frombuffer(self.pieces_of(text)[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids are left out, and bytes that are no UTF-8 become U+FFFD."""
@@ -117,31 +158,23 @@ def loaded(vocabulary: str) -> Bpe:
     return _loaded[key]
 
 
-#: What bpe_columns can make of a text: name -> (Spark type, function of ids and decoder).
+#: What bpe_columns can make of a text: name -> (Spark type, function of the packed ids and the bytes they decode to).
 OUTPUTS = {
-    "ids": ("array<int>", lambda ids, bpe: ids),
-    "decoded": ("string", lambda ids, bpe: bpe.decode(ids)),
-    "n_tokens": ("bigint", lambda ids, bpe: len(ids)),
-    "ids_sha256": ("string", lambda ids, bpe: hashlib.sha256(_little_endian(ids)).hexdigest()),
-    "decoded_sha256": ("string", lambda ids, bpe: hashlib.sha256(bpe.decode(ids).encode()).hexdigest()),
+    "ids": ("array<int>", lambda ids, data: np.frombuffer(ids, "<u4").astype(np.int32)),
+    "decoded": ("string", lambda ids, data: data.decode("utf-8", "replace")),
+    "n_tokens": ("bigint", lambda ids, data: len(ids) // 4),
+    "ids_sha256": ("string", lambda ids, data: hashlib.sha256(ids).hexdigest()),
+    "decoded_sha256": ("string", lambda ids, data: hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()),
 }
 
 
-def _little_endian(ids: list[int]) -> bytes:
-    import sys
-
-    packed = array("I", ids)
-    if sys.byteorder != "little":
-        packed.byteswap()
-    return packed.tobytes()
-
-
 def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...] = ("ids",), text: str = "text") -> DataFrame:
-    """docs with the asked OUTPUTS of its text column as columns; same-named columns are replaced.
+    """docs with the asked OUTPUTS of its text column as columns; columns of these names, in any case, are replaced.
 
     The vocabulary file (a few MB at most) is read on the driver and broadcast. Null text counts as empty: no ids,
-    decoded to an empty text. Special tokens written in a text are read as such, and decoding keeps them. Repeated
-    rows give repeated results; an empty table gives an empty table.
+    decoded to an empty text. Special tokens written in a text are read as such, and decoding keeps them. Texts are
+    encoded whole: a very long one costs its task memory in proportion. Repeated rows give repeated results; an empty
+    table gives an empty table.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -150,15 +183,12 @@ def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...]
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(shared.value)
         for texts in batches:
-            rows = []
-            for t in texts:
-                ids = bpe.encode(t or "")
-                rows.append([OUTPUTS[o][1](ids, bpe) for o in outputs])
-            yield pd.DataFrame(rows, columns=list(outputs))
-
-    of = F.pandas_udf(run, returnType=f"struct<{kinds}>")
-    out = docs.withColumn("_bpe", of(F.col(text)))
-    return out.drop(*outputs).select(*[c for c in docs.columns if c not in outputs], *[F.col(f"_bpe.{o}") for o in outputs])
+            coded = [bpe.pieces_of(t or "") for t in texts]
+            yield pd.DataFrame({o: pd.Series([OUTPUTS[o][1](*c) for c in coded], dtype=None if coded else object) for o in outputs})
+
+    of, made = F.pandas_udf(run, returnType=f"struct<{kinds}>"), fresh(docs, "bpe")
+    out = docs.withColumn(made, of(F.col(text)))
+    return out.select(*columns_but(docs, *outputs), *[F.col(f"{made}.{o}") for o in outputs])
 
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
