@@ -5,9 +5,10 @@ frames, and an ID3v1 tag. Frames are MPEG-1 layer III with a 16-bit checksum; th
 player decodes silence and skips the rest of the frame, where the payload's bytes lie as ancillary data. The tag says
 how many payload bytes there are and their CRC-32.
 
-The parser takes any bytes: it skips tags, looks for a frame header that the next header confirms, follows the chain of
-frame lengths, and looks again after junk or a torn frame. It verifies each frame's checksum and gives exact durations
-(samples over rate) and the byte offset of every frame.
+The parser takes any bytes: it reads ID3 tags of versions 2.2 to 2.4 and 1, looks for a frame header that the next
+header confirms, follows the chain of frame lengths, and looks again after junk or a torn frame. It reads Xing, Info and
+VBRI tables, verifies each frame's checksum and gives exact durations (samples, less the encoder's delay and padding,
+over rate) and the byte offset of every frame.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.llm.common import columns_but, fresh
+
 # Fixed values of the format: kbit/s by index, for MPEG-1 layer III and for MPEG-2 and 2.5 layer III; rates by version.
 BIT_RATES = {
     1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
@@ -144,7 +147,7 @@ def stored_audio(payload: bytes) -> bytes:
 
 @dataclass
 class Audio:
-    """What a parse found. duration is samples over the rate, exact where all frames have one rate."""
+    """What a parse found. Durations are exact where all frames have one rate."""
 
     tags: dict[str, str] = field(default_factory=dict)
     frames: list[Frame] = field(default_factory=list)
@@ -154,16 +157,112 @@ class Audio:
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
     seek_points: bytes = b""
+    delay: int = 0
+    padding: int = 0
 
     @property
     def samples(self) -> int:
         return sum(f.samples for f in self.frames)
 
     def seconds(self) -> float:
+        """The samples over their rates, without the encoder's delay and padding."""
         by_rate: dict[int, int] = {}
         for f in self.frames:
             by_rate[f.rate] = by_rate.get(f.rate, 0) + f.samples
-        return sum(n / r for r, n in sorted(by_rate.items()))
+        trimmed = (self.delay + self.padding) / self.frames[0].rate if self.frames else 0
+        return max(sum(n / r for r, n in sorted(by_rate.items())) - trimmed, 0.0)
+
+
+def _seven_bits(data: bytes) -> int:
+    """An integer of seven bits a byte."""
+    n = 0
+    for b in data:
+        n = n << 7 | b & 127
+    return n
+
+
+def _decoded(body: bytes) -> list[str]:
+    """The strings of a text frame: its first byte names the encoding, zeros part them."""
+    kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1")
+    return [x.removeprefix("\ufeff") for x in body[1:].decode(kind, "replace").rstrip("\0").split("\0")]
+
+
+def _tag_frames(body: bytes, version: int, unsynced: bool) -> Iterator[tuple[str, bytes]]:
+    """(name, body) of the frames of an ID3v2 tag; compressed and encrypted ones are left out."""
+    name, head = (3, 6) if version == 2 else (4, 10)
+    at = 0
+    while at + head <= len(body) and body[at] != 0:
+        size = body[at + name : at + name + (3 if version == 2 else 4)]
+        n = _seven_bits(size) if version == 4 else int.from_bytes(size, "big")
+        flags = body[at + 9] if version > 2 else 0
+        part = body[at + head : at + head + n]
+        at += head + n
+        if flags & (0x0C if version == 4 else 0xC0):
+            continue
+        part = part[bool(flags & (0x40 if version == 4 else 0x20)) :]  # a byte that names a group
+        if version == 4:
+            part = part[4 * (flags & 1) :]  # the length of the data
+            part = part.replace(b"\xff\0", b"\xff") if flags & 2 or unsynced else part
+        yield body[at - head - n : at - head - n + name].decode("latin-1"), part
+
+
+def id3_tag(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The texts of the ID3v2 tag at a place, by frame name or a user text's description, and where it ends."""
+    version, flags, size = data[at + 3], data[at + 5], _seven_bits(data[at + 6 : at + 10])
+    body = data[at + 10 : at + 10 + size]
+    end = min(len(data), at + 10 + size + (10 if version == 4 and flags & 0x10 else 0))
+    if version not in (2, 3, 4):
+        return {}, end
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2:  # an extended header, whose size counts itself in version 4 only
+        body = body[_seven_bits(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big") :]
+    tags = {}
+    for name, part in _tag_frames(body, version, bool(flags & 0x80)):
+        if name in ("TXXX", "TXX"):
+            texts = _decoded(part)
+            tags[texts[0]] = "".join(texts[1:2])
+        elif name.startswith("T"):
+            tags[name] = "/".join(_decoded(part))
+    return tags, end
+
+
+def _old_tag(data: bytes) -> dict[str, str]:
+    """The fields of the 128 bytes of an ID3v1 tag that are not empty."""
+    fields = {"title": data[3:33], "artist": data[33:63], "album": data[63:93], "year": data[93:97], "comment": data[97:127]}
+    texts = {k: v.partition(b"\0")[0].decode("latin-1").strip() for k, v in fields.items()}
+    return {f"v1:{k}": v for k, v in texts.items() if v}
+
+
+def _read_table(data: bytes, f: Frame, out: Audio) -> bool:
+    """Whether the first frame holds a table of a variable bit rate, which is then read into out."""
+    p, end = f.start + f.body, f.start + f.length
+    if data[p : p + 4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(data[p + 4 : p + 8], "big"), p + 8
+        if flags & 1:
+            out.vbr_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 2:
+            out.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 4:
+            out.seek_points, p = bytes(data[p : p + 100]), p + 100
+        p += 4 * bool(flags & 8)
+        if data[p : p + 4] in (b"LAME", b"Lavf", b"Lavc", b"GOGO") and p + 24 <= end:
+            both = int.from_bytes(data[p + 21 : p + 24], "big")
+            out.delay, out.padding = both >> 12, both & 0xFFF
+        return True
+    p = f.start + HEADER + 32
+    if data[p : p + 4] == b"VBRI" and p + 26 <= end:
+        size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", data[p + 10 : p + 26])
+        out.delay, out.vbr_bytes, out.vbr_frames = int.from_bytes(data[p + 6 : p + 8], "big"), size, frames
+        table = data[p + 26 : min(end, p + 26 + entries * width)]
+        steps = [scale * int.from_bytes(table[i : i + width], "big") for i in range(0, len(table) - width + 1, width)] if width else []
+        done, points = 0, []
+        for n in steps:
+            points.append(min(255, done * 256 // max(1, sum(steps))))
+            done += n
+        out.seek_points = bytes(points)
+        return True
+    return False
 
 
 def _checks(data: bytes, f: Frame) -> bool:
@@ -176,18 +275,10 @@ def parsed(data: bytes) -> Audio:
     """Tags, frames, checks and seek table of any bytes; without a frame, an Audio without frames."""
     out, at, end = Audio(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = int.from_bytes(data[at + 6 : at + 10], "big")
-        size = sum((size >> 8 * i & 127) << 7 * i for i in range(4))
-        p, stop = at + 10, min(end, at + 10 + size)
-        while p + 10 <= stop and data[p : p + 4] != b"\0\0\0\0":
-            n = sum(b << s for b, s in zip(data[p + 4 : p + 8], (21, 14, 7, 0), strict=True))
-            body = data[p + 10 : min(stop, p + 10 + n)]
-            if data[p : p + 4] == b"TXXX":
-                name, _, value = body[1:].partition(b"\0")
-                out.tags[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-            p += 10 + n
-        at = stop
+        tags, at = id3_tag(data, at)
+        out.tags |= tags
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        out.tags |= _old_tag(data[end - 128 :])
         end -= 128
         data = data[:end]
     synced = False
@@ -208,24 +299,16 @@ def parsed(data: bytes) -> Audio:
         if f.protected:
             out.checked += 1
             out.bad_checks += not good
-        mark = at + f.body
-        if not out.frames and out.vbr_frames is None and data[mark : mark + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[mark + 4 : mark + 8], "big")
-            p = mark + 8
-            if flags & 1:
-                out.vbr_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 2:
-                out.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 4:
-                out.seek_points = bytes(data[p : p + 100])
-        else:
+        if out.frames or out.vbr_frames is not None or not _read_table(data, f, out):
             out.frames.append(f)
         at += f.length
     return out
 
 
 def payload_of(data: bytes, audio: Audio) -> bytes:
-    """The payload that stored_audio() put in; raises ValueError if it is torn."""
+    """The payload that stored_audio() put in; raises ValueError if it is torn, or if the file is not of ours."""
+    if not audio.tags.get("payload_bytes", "").isdecimal() or "payload_crc32" not in audio.tags:
+        raise ValueError("no payload is stored here")
     parts = [data[f.start + f.body : f.start + f.length] for f in audio.frames]
     payload = b"".join(parts)[: int(audio.tags["payload_bytes"])]
     if f"{zlib.crc32(payload):08x}" != audio.tags["payload_crc32"] or audio.bad_checks:
@@ -252,7 +335,11 @@ PARSED = "frames long, samples long, seconds double, checked long, bad_checks lo
 
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes (UTF-8 bytes of the text, null none) and `media`, the file that holds its padded bytes."""
+    """docs with n_bytes (UTF-8 bytes of the text, null none) and `media`, the file that holds its padded bytes.
+
+    Columns of these names, in any case, are replaced. A text is stored whole: a long one costs its task memory in
+    proportion.
+    """
 
     @F.pandas_udf(f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -260,11 +347,15 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [padded(t) for t in texts]
             yield pd.DataFrame({"n_bytes": [n for n, _ in rows], "media": [stored_audio(p) for _, p in rows]})
 
-    return docs.withColumn("_m", run(F.col(text))).select(*[c for c in docs.columns if c not in ("n_bytes", "media")], "_m.*")
+    made = fresh(docs, "stored")
+    return docs.withColumn(made, run(F.col(text))).select(*columns_but(docs, "n_bytes", "media"), f"{made}.*")
 
 
 def parse_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with `audio`, a struct of PARSED, for any bytes; null bytes give no frames; payload is null unless ours."""
+    """media with `audio`, a struct of PARSED, for any bytes; a column of this name, in any case, is replaced.
+
+    Null bytes give no frames. payload is null where the file is not ours or its payload is torn.
+    """
     kinds = ",".join(x.strip().replace(" ", ":", 1) for x in PARSED.split(", "))
 
     @F.pandas_udf(f"struct<{kinds}>")
@@ -273,18 +364,22 @@ def parse_media(media: DataFrame, column: str = "media") -> DataFrame:
             rows = []
             for data in files:
                 a = parsed(data or b"")
-                ours = payload_of(data, a) if "payload_crc32" in a.tags else None
+                try:
+                    ours = payload_of(data or b"", a)
+                except ValueError:
+                    ours = None
                 rows.append((len(a.frames), a.samples, a.seconds(), a.checked, a.bad_checks, a.skipped, a.vbr_frames, a.vbr_bytes, [f.start for f in a.frames], a.tags, ours))
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PARSED.split(", ")]).astype({"vbr_frames": "Int64", "vbr_bytes": "Int64"})
 
-    return media.withColumn("audio", run(F.col(column)))
+    return media.select(*columns_but(media, "audio"), run(F.col(column)).alias("audio"))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """One row a document: its payload stored as audio, parsed and read back, by digests.
 
     Null text counts as empty, which is a payload of 64 zeros. Equal texts give equal values; repeated rows give
-    repeated results; an empty table gives an empty table. A torn payload raises an error.
+    repeated results; an empty table gives an empty table. Whole texts are stored. A torn payload raises an error.
+    Other columns are ignored.
     """
 
     @F.pandas_udf("struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>")
