@@ -65,11 +65,26 @@ def test_boilerplate_lines_go_and_depleted_documents_fail(spark):
     fill = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
     made = [(i, f"{fill()}\nAll  rights RESERVED\n{fill()}", "h") for i in range(40)] + [(99, "all rights reserved\n" * 30, "h"), (98, "all rights reserved", "other")]
     docs = spark.createDataFrame(made, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in line_quality.quality_rules(docs, min_documents=20).collect()}
+    got = {r.doc_id: r for r in line_quality.quality_rules(docs, max_documents=20).collect()}
     assert all(got[i].kept and "RESERVED" not in got[i].clean_text and got[i].removed_words == 3 for i in range(40))
     assert got[98].clean_text == "all rights reserved" and not got[99].kept and got[99].clean_text.strip() == ""
 
 
+def test_copies_and_hot_hosts_do_not_change_what_is_boilerplate(spark):
+    rng = random.Random(2)
+    fill = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(70))
+    line = "please share this page with all of your friends today or tomorrow"
+    copy = f"{fill()}\n{line}\n{fill()}\n{line}"
+    made = [(i, f"{fill()}\n{line}", "h") for i in range(21)] + [(100 + i, copy, "h") for i in range(30)]
+    made += [(1000 + i, f"{fill()}\n{line if i < 20 else fill()}", None) for i in range(40)] + [(5000 + i, fill(), "h") for i in range(3000)]
+    docs = spark.createDataFrame([(*r, 1) for r in made], "doc_id long, text string, source string, RULES int")
+    got = {r.doc_id: r for r in line_quality.quality_rules(docs).collect()}
+    assert len(got) == len(made) and all(r.kept for r in got.values())
+    assert all(got[i].removed_words == 12 and line not in got[i].clean_text for i in range(21))
+    assert all(got[100 + i].removed_words == 24 and line not in got[100 + i].clean_text for i in range(30))
+    assert all(got[1000 + i].removed_words == 0 for i in range(40))
+
+
 def shingle_set(text):
     w = WORDS(text)
     return set(zip(*(w[i:] for i in range(5)), strict=False)) or {tuple(w)}
@@ -273,6 +288,40 @@ def test_source_mix(docs, empty, rows):
     assert source_mix.mixed_documents(empty.drop("SOURCES")).count() == 0
 
 
+def test_shards_draw_their_sources(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', 100) as text", "case when id % 8 = 0 then 'a' when id % 8 < 3 then 'b' when id < 40 then 'd' else 'c' end as source")
+    targets = source_mix.source_targets(source_mix.document_sizes(docs))
+    rows = {r.source: r for r in targets.collect()}
+    total = sum(r.quota for r in rows.values())
+    counts = source_mix.shard_counts(targets).collect()
+    shards = defaultdict(dict)
+    for r in counts:
+        shards[r.shard][r.rank] = r.n
+    assert sorted(shards) == list(range(-(-total // 1024))) and all(sum(c.values()) == min(1024, total - 1024 * s) for s, c in shards.items())
+    drawn = source_mix.draws(targets).collect()
+    assert sorted((r.shard, r.slot) for r in drawn) == [(i // 1024, i % 1024) for i in range(total)]
+    of = Counter(r.source for r in drawn)
+    blocks = Counter((r.source, r.block) for r in drawn)
+    for s, r in rows.items():
+        assert of[s] == r.quota and all(0 <= b < r.n_blocks for x, b in blocks if x == s)
+        assert {n for (x, _), n in blocks.items() if x == s} <= {r.quota // r.n_blocks, -(-r.quota // r.n_blocks)}
+
+
+def test_shard_counts_are_multinomial(spark):
+    quotas = [30_000, 60_000, 10_000, 0, 204_800]
+    targets = spark.createDataFrame([(i, q) for i, q in enumerate(quotas)], "rank long, quota long")
+    full = sum(quotas) // 1024
+    seen = defaultdict(lambda: [0] * full)
+    for r in source_mix.shard_counts(targets).collect():
+        if r.shard < full:
+            seen[r.rank][r.shard] = r.n
+    for i, q in enumerate(quotas):
+        p = q / sum(quotas)
+        mean, want = 1024 * p, 1024 * p * (1 - p)
+        spread = sum((x - mean) ** 2 for x in seen[i]) / full
+        assert abs(sum(seen[i]) / full - mean) <= 4 * math.sqrt(want / full) and abs(spread - want) <= 0.35 * want, (i, spread, want)
+
+
 def test_permutations_are_bijections(spark):
     for n in (1, 2, 3, 7, 50, 257):
         got = spark.range(n).select(source_mix.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("p")).collect()
@@ -318,6 +367,56 @@ def test_audio_round_trip_and_resynchronisation(docs, empty, rows):
     assert audio_media.parsed(bytes(flipped)).bad_checks == 1 and audio_media.parsed(b"\xff" * 50).frames == []
 
 
+def frame_bytes(head, fill=b""):
+    """A frame of a header of four bytes, without a checksum, that begins with fill after the header."""
+    length = audio_media._header(bytes(head))[0]
+    return bytes(head) + fill + bytes(length - 4 - len(fill))
+
+
+def test_foreign_audio_by_hand():
+    stereo, half = [0xFF, 0xFB, 0x90, 0x00], [0xFF, 0xF3, 0x80, 0xC0]  # MPEG-1 at 128 kbit/s, MPEG-2 mono at 64 kbit/s
+    two = audio_media.parsed(frame_bytes(half) * 5)
+    assert (len(two.frames), two.samples, two.frames[0].rate, two.frames[0].side, two.checked) == (5, 5 * 576, 22050, 9, 0)
+    xing = b"Info" + (15).to_bytes(4, "big") + (3).to_bytes(4, "big") + (999).to_bytes(4, "big") + bytes(range(100)) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    lame = audio_media.parsed(frame_bytes(stereo, bytes(32) + xing) + frame_bytes(stereo) * 3)
+    assert (len(lame.frames), lame.vbr_frames, lame.vbr_bytes, lame.delay, lame.padding, lame.seek_points) == (3, 3, 999, 576, 1000, bytes(range(100)))
+    assert lame.seconds() == pytest.approx((3 * 1152 - 1576) / 44100)
+    vbri = b"VBRI" + bytes([0, 1, 4, 0x81, 0, 75]) + (5000).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 1]) + bytes([0, 10, 0, 30])
+    got = audio_media.parsed(frame_bytes(stereo, bytes(32) + vbri) + frame_bytes(stereo) * 2)
+    assert (len(got.frames), got.vbr_frames, got.vbr_bytes, got.delay, list(got.seek_points)) == (2, 2, 5000, 1153, [0, 64])
+    sync = lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+    tag = lambda version, flags, body: b"ID3" + bytes([version, 0, flags]) + sync(len(body)) + body
+    long = "x" * 300
+    three = b"TIT2" + (301).to_bytes(4, "big") + b"\0\0\0" + long.encode() + b"TXXX" + (15).to_bytes(4, "big") + b"\0\0\1" + "k\0é".encode("utf-16") + "z".encode("utf-16-le") * 3
+    tags = audio_media.parsed(tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + three) + frame_bytes(stereo) * 2)
+    assert tags.tags == {"TIT2": long, "k": "ézzz"} and len(tags.frames) == 2
+    assert audio_media.parsed(tag(2, 0, b"TT2\0\0\4\0abc") + frame_bytes(stereo) * 2).tags == {"TT2": "abc"}
+    unsynced = b"TALB" + (5).to_bytes(4, "big") + b"\0\0\0\xff\xe0bc"
+    assert audio_media.parsed(tag(3, 0x80, unsynced.replace(b"\xff", b"\xff\0")) + frame_bytes(stereo) * 2).tags == {"TALB": "\xff\xe0bc"}
+    four = tag(4, 0x50, sync(6) + b"\1\0" + b"TPE1" + sync(9) + b"\0\1" + sync(5) + b"\3abcd") + b"3DI\4\0\0" + sync(25)
+    assert audio_media.parsed(four + frame_bytes(stereo) * 2).tags == {"TPE1": "abcd"}
+    old = audio_media.parsed(frame_bytes(stereo) * 2 + b"TAG" + b"a title".ljust(30, b"\0") + bytes(94) + b"\xff")
+    assert old.tags == {"v1:title": "a title"} and len(old.frames) == 2
+    rng = random.Random(3)
+    for _ in range(200):  # torn and random bytes never raise
+        data = bytearray(tag(rng.choice((2, 3, 4, 9)), rng.randrange(256), three) + frame_bytes(stereo, bytes(32) + rng.choice((xing, vbri))) + frame_bytes(half) * 2)
+        for _ in range(rng.randrange(20)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        audio_media.parsed(bytes(data[: rng.randrange(len(data))]))
+
+
+def test_foreign_and_torn_media_columns(spark):
+    whole = audio_media.stored_audio(b"abc" * 500)
+    torn = bytearray(whole)
+    torn[-300] ^= 1
+    only = b"ID3\4\0\0" + bytes([0, 0, 0, 29]) + b"TXXX" + bytes([0, 0, 0, 19]) + b"\0\0\3payload_crc32\0" + b"abcd"
+    rows = [(1, whole), (2, bytes(torn)), (3, only), (4, None), (5, b""), (6, b"\xff" * 40)]
+    got = {r.i: r.audio for r in audio_media.parse_media(spark.createDataFrame([(*r, 7) for r in rows], "i int, media binary, AUDIO int")).collect()}
+    assert bytes(got[1].payload) == b"abc" * 500 and all(got[i].payload is None for i in (2, 3, 4, 5, 6)) and got[4].frames == 0
+    docs = spark.createDataFrame([("é", 1, 2)], "text string, N_BYTES int, stored int")
+    assert audio_media.store_texts(docs).columns == ["text", "stored", "n_bytes", "media"] and audio_media.store_texts(docs).first().n_bytes == 2
+
+
 def test_language_id_on_held_out_rows(spark, docs, empty):
     syllables = {"en": ["the", "ing", "er", "th", "sh"], "fr": ["eau", "que", "oi", "é", "ment"]}
     rng = random.Random(8)
@@ -449,6 +548,52 @@ def test_chat_digests_and_layouts(spark):
     assert chat_format.table_turns(table).first().turns[0].text == "q"
 
 
+def test_records_of_every_shape_find_their_mapping(spark):
+    qr = [("user", "q"), ("assistant", "r")]
+    cases = [
+        ('{"id":7,"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"r"}]}', "messages", qr),
+        ('{"messages":[{"role":"user","content":"q","name":"ann"},{"role":"assistant","content":"r"}]}', "messages", qr),
+        ('{"messages":[]}', "messages", []),
+        ('{"prompt":"q","response":"r"}', "prompt-response", qr),
+        ('{"system":"s","prompt":"q","response":"r"}', "prompt-response", [("system", "s"), *qr]),
+        ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"r"}],"meta":{"a":{"b":[[1,"x"],[]]}}}', "shared", qr),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"q"},{"type":"image","url":"u"}]},{"role":"assistant","content":"r"}]}', "messages", qr),
+        ('{"prompt":{"text":"q","lang":"en"},"completion":"r"}', "prompt", qr),
+        ('{"we`ird: <x>":{"y-z":1},"e":[],"o":{},"question":"q","answer":"r"}', "question", qr),
+        ('{"instruction":"q","input":"more","output":"r"}', "instruction", [("user", "q\nmore"), ("assistant", "r")]),
+        ('{"instruction":"q","input":"","output":"r"}', "instruction", qr),
+        ('{"messages":[{"role":"user","content":null}],"prompt":"x","response":"y"}', "messages", [("user", None)]),
+        ('{"message":"q"}', None, None), ("[1]", None, None), ('"messages"', None, None), ("{torn", None, None), (None, None, None), ('{"a":1,"a":2}', None, None),
+    ]
+    records = spark.createDataFrame([(i, c[0], 1, 2) for i, c in enumerate(cases)], "i int, rec string, LAYOUT int, record_variant int")
+    out = {r.i: r for r in chat_format.json_turns(records, "rec").collect()}
+    for i, (record, layout, turns) in enumerate(cases):
+        assert out[i].layout == layout and (None if out[i].turns is None else [tuple(t) for t in out[i].turns]) == turns, record
+    assert out[0].record_variant == 2
+    kinds = spark.createDataFrame([(c[0],) for c in cases], "rec string").select(chat_format.variant_paths(F.expr("schema_of_variant(try_parse_json(rec))")).alias("p")).collect()
+    assert sorted(kinds[5].p) == ["conversations[].from", "conversations[].value", "meta.a.b[][]"]
+    assert set(kinds[8].p) == {"we``ird: <x>.y-z", "e[]", "question", "answer"}
+
+
+def test_chats_of_many_layouts_and_long_ones(spark, monkeypatch):
+    rng = random.Random(7)
+    made = []
+    for c in range(40):
+        roles = rng.choice([["user", "assistant"], ["system", "user", "assistant"], ["human", "gpt"], ["user"], ["user,assistant"], [None, "a%b"]])
+        made += [(c, t, r, rng.choice(["", "hi <|im_end|>", 'q"\\\n', "é" * 50, None])) for t, r in enumerate(roles)]
+    made += [(100, 0, "user", "long " * 100_000), (100, 1, "assistant", "\\<|" * 50_000)]
+    frame = spark.createDataFrame([(*m, 5) for m in made], "conv_id long, turn long, role string, text string, LAYOUT int")
+    monkeypatch.setattr(chat_format, "MAX_JSON", 600_000)
+    laid = chat_format.as_records(chat_format.table_turns(frame))
+    assert {r.layout for r in chat_format.json_turns(laid, "record").collect()} == {None, "messages", "shared", "prompt-response"}
+    got = {r.conv_id: r for r in chat_format.chat_digests(frame).collect()}
+    for c in {m[0] for m in made}:
+        turns = [(m[2] or "", m[3] or "") for m in made if m[0] == c]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest() and got[c].n_turns == len(turns)
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_urls(spark):
     made = [(1, "https://A.Example.com/en/1"), (2, "http://www.example.com/en/2?x"), (3, "http://example.com"), (4, "x://b.net/es/"), (5, None), (6, "no url"), (7, "http://c.org/a#b"), (8, "http://example.com/fr"), (1, "https://A.Example.com/en/1")]
     made += [(100 + i, f"http://spam.org/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]

@@ -25,13 +25,12 @@ def passes_base(text):
 def cleaned(rows):
     """doc_id -> text after the quality rules, for those that pass."""
     key = lambda line: " ".join(WORDS(line.lower()))
-    held, size = defaultdict(set), defaultdict(set)
+    held = defaultdict(set)
     for r in rows:
         if r[1] is not None:
             for line in r[1].split("\n"):
                 held[r[3], key(line)].add(r[1])
-            size[r[3]].add(r[1])
-    boiler = {k for k, texts in held.items() if k[1] and len(texts) > max(20, 0.01 * len(size[k[0]]))}
+    boiler = {k for k, texts in held.items() if k[1] and len(texts) > 20}
     out = {}
     for r in rows:
         if r[1] is not None and passes_base(r[1]):
