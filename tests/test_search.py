@@ -50,6 +50,14 @@ def test_pass_at_k(spark):
     assert all(r.got == pytest.approx(r.want, abs=1e-12) for r in rows)
 
 
+def test_pass_at_k_for_any_size(spark):
+    from math import comb
+
+    cases = [(n, c, k) for n, k in ((64, 32), (200, 100), (1000, 17), (30, 30)) for c in (0, 1, 5, n // 2, n - k, n)]
+    rows = spark.createDataFrame(cases, "n long, c long, k long").withColumn("got", scalars.pass_at_k(F.col("n"), F.col("c"), F.col("k"))).collect()
+    assert all(r.got == pytest.approx(float(1 - comb(r.n - r.c, r.k) / comb(r.n, r.k)), abs=1e-12) for r in rows)
+
+
 def small_pool(spark):
     base, plus = {(0, 1), (1, 2), (1, 1)}, {(0, 1), (1, 2)}
     pool = [(t, i, (t, i) in base, 3, 7, 10, f"c{t}{i}", ["a", str(i)]) for t in (0, 1) for i in range(4)]
@@ -79,6 +87,20 @@ def test_selectors_cannot_see_labels(spark):
     disguised = pool.drop("base_passed").join(labels, ["task_id", "candidate_index"]).withColumnRenamed("plus_passed", "base_passed")
     with pytest.raises(hidden.HiddenLabelError):
         selection.first_base_pass(disguised, [4])
+    wide = pool.select("*", *[F.lit(i).alias(f"filler_{i:02d}") for i in range(40)]).join(labels, ["task_id", "candidate_index"])
+    last = wide.drop("base_passed").withColumnRenamed("plus_passed", "base_passed")
+    with pytest.raises(hidden.HiddenLabelError):
+        selection.first_base_pass(last, [4])
+    mixed = wide.withColumn("base_passed", F.expr("if(plus_passed, filler_01 > 0, base_passed)")).drop("plus_passed")
+    with pytest.raises(hidden.HiddenLabelError):
+        selection.first_base_pass(mixed, [4])
+    nested = wide.withColumn("s", F.struct("plus_passed", "filler_01")).withColumn("base_passed", F.col("s.plus_passed")).drop("plus_passed", "s")
+    with pytest.raises(hidden.HiddenLabelError):
+        selection.first_base_pass(nested, [4])
+    summed = wide.groupBy("task_id", "candidate_index").agg(F.bool_or("plus_passed").alias("base_passed"), F.max("total_tokens").alias("total_tokens"))
+    with pytest.raises(hidden.HiddenLabelError):
+        selection.first_base_pass(summed, [4])
+    assert selection.first_base_pass(pool.withColumn("surplus", F.lit(1)).withColumn("nonplus_x", F.lit(2)), [4]).count() == 2
     tasks = spark.createDataFrame([("a", ["t"], {"hidden_tests": "x", "entrypoint": "f"})], "task_id string, hidden_tests array<string>, allowed_verifier_inputs map<string,string>")
     assert hidden.policy_visible(tasks).first().allowed_verifier_inputs == {"entrypoint": "f"} and "hidden_tests" not in hidden.policy_visible(tasks).columns
 
@@ -134,6 +156,87 @@ def test_exact_bootstrap_draws(spark):
     assert near.ci_low == pytest.approx(got.ci_low, abs=0.07) and near.ci_high == pytest.approx(got.ci_high, abs=0.07)
 
 
+#: Fixed values of a published run of 26 tasks: hidden passes and calls of four policies in order of the tasks.
+GOLDEN = {
+    "w16_d1": ("11111100111111011111111111", [2, 2, 3, 1, 2, 2, 1, 5, 7, 1, 7, 4, 1, 1, 16, 1, 1, 1, 1, 1, 1, 2, 1, 1, 6, 1]),
+    "w8_d2": ("11111100111111111111111111", [2, 2, 3, 1, 2, 2, 1, 5, 7, 1, 7, 4, 1, 1, 15, 1, 1, 1, 1, 1, 1, 2, 1, 1, 6, 1]),
+    "w4_d4": ("11111100010111111111111101", [2, 2, 3, 1, 2, 2, 1, 16, 16, 1, 16, 4, 1, 1, 15, 1, 1, 1, 1, 1, 1, 2, 1, 1, 16, 1]),
+    "w2_d8": ("11111100010111111111111101", [2, 2, 4, 1, 2, 2, 1, 4, 16, 1, 16, 7, 1, 1, 9, 1, 1, 1, 1, 1, 1, 2, 1, 1, 3, 1]),
+}
+#: Its intervals of the differences to the first policy: hidden passes and calls.
+GOLDEN_DIFFERENCES = {
+    "w8_d2": (0.0, 0.11538461538461539, -0.11538461538461539, 0.0),
+    "w4_d4": (-0.23076923076923078, 0.07692307692307693, 0.3076923076923077, 2.9615384615384617),
+    "w2_d8": (-0.23076923076923078, 0.07692307692307693, -0.6538461538461539, 1.6153846153846154),
+}
+
+
+def test_intervals_of_a_published_run(spark):
+    rows = [(p, f"{i:03d}", n, 10 * n, h == "1") for p, (hidden_passes, calls) in GOLDEN.items() for i, (h, n) in enumerate(zip(hidden_passes, calls, strict=True))]
+    seen = spark.createDataFrame(rows, "pool_id string, task_id string, calls long, generation_tokens long, hidden_passed boolean").repartition(5)
+    first, *others = GOLDEN
+    own = {r.pool_id: (r.hidden_ci_low, r.hidden_ci_high) for r in trajectory.policy_intervals(seen, list(GOLDEN)).collect()}
+    assert own["w16_d1"] == (0.7692307692307693, 1.0) and len(own) == 4
+    got = {r.challenger: (r.hidden_ci_low, r.hidden_ci_high, r.calls_ci_low, r.calls_ci_high) for r in trajectory.comparison_intervals(seen, first, others).collect()}
+    assert {c: tuple(map(pytest.approx, v)) for c, v in GOLDEN_DIFFERENCES.items()} == got
+
+
+def test_selection_intervals_draw_as_a_plain_loop_does(spark):
+    rng = random.Random(5)
+    seen = [(f"t{i:03d}", s, k, rng.random() < 0.6, rng.random() < 0.5, rng.random(), {2: 0.25, 4: 0.5}[k] * (i % 3)) for i in range(40) for s in ("first_base_pass", "first_sample", "other") for k in (2, 4)]
+    frame = spark.createDataFrame(seen, "task_id string, selector_name string, k long, selected_base_passed boolean, selected_plus_passed boolean, selection_regret double, pass_at_k double").repartition(3)
+
+    def interval(values, seed):
+        draw = random.Random(seed).randrange
+        n = len(values)
+        means = sorted(sum(values[draw(n)] for _ in range(n)) / n for _ in range(300))
+        return pytest.approx((means[int(0.025 * 299)], means[int(0.975 * 299)]))
+
+    groups = sorted({(s, k) for _, s, k, *_ in seen})
+    got = {(r.selector_name, r.k): r for r in selection.summary_intervals(frame, 3, 300).collect()}
+    for g, (s, k) in enumerate(groups):
+        own = sorted(r for r in seen if r[1:3] == (s, k))
+        assert (got[s, k].plus_ci_low, got[s, k].plus_ci_high) == interval([float(r[4]) for r in own], 3 + 2 * g)
+        assert (got[s, k].regret_ci_low, got[s, k].regret_ci_high) == interval([r[5] for r in own], 4 + 2 * g)
+    pairs = selection.default_pairs(["first_base_pass", "first_sample", "other"])
+    assert pairs == [("first_base_pass", "first_sample"), ("first_base_pass", "other"), ("first_sample", "other")]
+    plus = {r[:3]: float(r[4]) for r in seen}
+    tasks = sorted({r[0] for r in seen})
+    every = {(r.baseline, r.challenger, r.k): r for r in selection.all_comparisons(frame, pairs, 3, 300).collect()}
+    for i, (b, c) in enumerate(pairs):
+        for j, k in enumerate((2, 4)):
+            r = every[b, c, k]
+            assert (r.ci_low, r.ci_high) == interval([plus[t, c, k] - plus[t, b, k] for t in tasks], 3 + 1_000_000 + 2 * i + j) and r.task_count == 40
+    gain = selection.coverage_intervals(frame, 3, 300).first()
+    assert (gain.k, gain.reference_k) == (4, 2) and (gain.ci_low, gain.ci_high) == interval([0.25 * (i % 3) for i in range(40)], 2_000_003)
+    with pytest.raises(ValueError, match="distinct"):
+        selection.all_comparisons(frame, [("a", "a")])
+
+
+def test_exact_intervals_refuse_groups_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "MAX_VALUES", 10)
+    with pytest.raises(ValueError, match="11 values"):
+        bootstrap.exact_intervals(spark.range(11).selectExpr("1 as g", "id", "double(id) as v"), ["g"], "v", "id", F.lit(0))
+
+
+def test_hashed_intervals_against_a_loop(spark):
+    import hashlib
+
+    rng = random.Random(6)
+    rows = [(i, "ab"[i % 2], rng.randrange(100)) for i in range(3000)]
+    got = {r.g: (r.ci_low, r.ci_high) for r in bootstrap.hashed_intervals(spark.createDataFrame(rows, "i long, g string, v long"), ["g"], "v", "i", 60).collect()}
+    head = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:8], 16)
+    for g in "ab":
+        blocks = {}
+        for i, _, v in (r for r in rows if r[1] == g):
+            s, c = blocks.get(head(i) % 256, (0, 0))
+            blocks[head(i) % 256] = (s + v, c + 1)
+        ordered = [blocks[b] for b in sorted(blocks)]
+        n = len(ordered)
+        means = sorted(sum(ordered[head(f"0:{r}:{i}") % n][0] for i in range(n)) / sum(ordered[head(f"0:{r}:{i}") % n][1] for i in range(n)) for r in range(60))
+        assert got[g] == pytest.approx((means[1], means[57]))
+
+
 def test_trajectory_hand_case(spark):
     made = [("2x1", 1, 2, 0, False, True), ("2x1", 2, 2, 0, False, False), ("1x2", 1, 2, 0, False, True), ("1x2", 2, 2, 1, False, True)]
     seen = spark.createDataFrame([(p, t, c, 10 * c, r, h, 0, "sample", h, f) for p, t, c, r, f, h in made], "pool_id string, task_id long, calls long, generation_tokens long, repair_calls long, public_passed boolean, selected_candidate_index long, selected_operator string, hidden_passed boolean, false_accept boolean")
@@ -189,6 +292,13 @@ def test_probes_and_code():
     assert pycode.probes([], "f") == [((), {})] and pycode.mutations(3) == [-1, 0, 1, 4]
     assert pycode.extracted("x\n```python\na = 1\n```\n```\nb = 2\n```") == "a = 1\n\nb = 2"
     assert pycode.extracted("Sure!\ndef f():\n    return 1\nDone now.") == "def f():\n    return 1" and pycode.extracted("no code here!") == "no code here!"
+    prose = "from here on, this is it:\n\ndef f(x):\n    return x\n"
+    assert pycode.extracted(prose) == "def f(x):\n    return x"
+    assert pycode.extracted("Note:\ndef g(:\nthen\nclass A:\n    pass\nend.") == "class A:\n    pass"
+    two = "Helper:\ndef g():\n    return 1\nAnswer:\ndef f (x):\n    return g()\nNow done!"
+    assert pycode.extracted(two) == "def g():\n    return 1" and pycode.extracted(two, "f") == "def f (x):\n    return g()"
+    assert pycode.extracted(two, "h") == "def g():\n    return 1" and pycode.extracted("", "f") == "" and pycode.extracted("importance of x\nimports y") == "importance of x\nimports y"
+    assert pycode.extracted("Use:\nasync def f():\n    pass\nand so on!") == "async def f():\n    pass"
     assert pycode.canonical_json({"b": {2, 1}, "a": 1j}) == '{"a":{"__complex__":[0.0,1.0]},"b":{"__set__":[1,2]}}'
 
 

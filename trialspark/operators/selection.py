@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_rate, pass_at_k
+from trialspark.operators.bootstrap import exact_intervals
 from trialspark.plans.hidden import public_only
 
 
@@ -137,11 +139,65 @@ def comparisons(observed: DataFrame, challenger: str, baseline: str) -> DataFram
     )
 
 
-def coverage_gains(observed: DataFrame) -> DataFrame:
-    """Mean Pass@k over the smallest k's, by k above it; selectors agree on Pass@k, so one row a task and k is used."""
+def _gains(observed: DataFrame) -> DataFrame:
+    """(task_id, k, reference_k, gain): Pass@k over that of the least k; selectors agree on Pass@k."""
     one = observed.groupBy("task_id", "k").agg(F.first("pass_at_k").alias("pass_at_k"))
-    gain = one.withColumn("gain", F.col("pass_at_k") - F.first("pass_at_k").over(Window.partitionBy("task_id").orderBy("k"))).withColumn("reference_k", F.min("k").over(Window.partitionBy("task_id")))
-    return gain.where("k > reference_k").groupBy("k", "reference_k").agg(F.count("*").alias("task_count"), F.avg("gain").alias("mean_gain"))
+    task = Window.partitionBy("task_id")
+    over = F.col("pass_at_k") - F.first("pass_at_k").over(task.orderBy("k"))
+    gain = one.withColumn("gain", over).withColumn("reference_k", F.min("k").over(task))
+    return gain.where("k > reference_k")
+
+
+def coverage_gains(observed: DataFrame) -> DataFrame:
+    """Mean Pass@k over the smallest k's, by k above it."""
+    return _gains(observed).groupBy("k", "reference_k").agg(F.count("*").alias("task_count"), F.avg("gain").alias("mean_gain"))
+
+
+def default_pairs(selectors: list[str]) -> list[tuple[str, str]]:
+    """(baseline, challenger) of every two selectors, in their order."""
+    return list(combinations(selectors, 2))
+
+
+def _numbered(keys: DataFrame, *by: str) -> DataFrame:
+    """The distinct rows of keys, a few, with their place from 0 in order."""
+    return keys.distinct().withColumn("place", F.row_number().over(Window.orderBy(*by)) - 1)
+
+
+def summary_intervals(observed: DataFrame, seed: int = 0, resamples: int = 10_000, position: str = "task_id") -> DataFrame:
+    """(selector_name, k, plus_ci_low, plus_ci_high, regret_ci_low, regret_ci_high): exact seeded intervals.
+
+    Group g of the selectors and k's in order draws with seed + 2 g and seed + 2 g + 1.
+    """
+    groups = _numbered(observed.select("selector_name", "k"), "selector_name", "k")
+    measured = F.array(
+        F.struct(F.lit("plus").alias("measure"), as_rate(F.col("selected_plus_passed")).alias("value"), F.lit(0).alias("more")),
+        F.struct(F.lit("regret").alias("measure"), F.col("selection_regret").alias("value"), F.lit(1).alias("more")),
+    )
+    long = observed.select("selector_name", "k", position, F.explode(measured).alias("m")).join(F.broadcast(groups), ["selector_name", "k"])
+    drawn = exact_intervals(long.select("selector_name", "k", position, "place", "m.*"), ["selector_name", "k", "measure"], "value", position, seed + 2 * F.col("place") + F.col("more"), resamples)
+    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, F.col(c))).alias(f"{measure}_{c}")
+    return drawn.groupBy("selector_name", "k").agg(*[of(m, c) for m in ("plus", "regret") for c in ("ci_low", "ci_high")])
+
+
+def all_comparisons(observed: DataFrame, pairs: list[tuple[str, str]], seed: int = 0, resamples: int = 10_000) -> DataFrame:
+    """comparisons() of each (baseline, challenger) with ci_low and ci_high, drawn in the order of pairs and k's."""
+    if len(set(pairs)) != len(pairs) or any(a == b for a, b in pairs):
+        raise ValueError("pairs must be distinct, and of two selectors each")
+    each = [paired(observed, c, b).withColumn("pair", F.lit(i)) for i, (b, c) in enumerate(pairs)]
+    rows = [comparisons(observed, c, b).withColumn("pair", F.lit(i)) for i, (b, c) in enumerate(pairs)]
+    ks = _numbered(observed.select("k"), "k")
+    n = ks.agg(F.count("*").alias("n"))
+    long = reduce(DataFrame.union, each).join(F.broadcast(ks), "k").withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one")
+    of = seed + 1_000_000 + F.col("pair") * F.col("n") + F.col("place")
+    drawn = exact_intervals(long, ["pair", "k"], "difference", "task_id", of, resamples)
+    return reduce(DataFrame.union, rows).join(drawn, ["pair", "k"]).drop("pair")
+
+
+def coverage_intervals(observed: DataFrame, seed: int = 0, resamples: int = 10_000) -> DataFrame:
+    """(k, reference_k, ci_low, ci_high) of coverage_gains(); the k's above the least draw in order."""
+    gain = _gains(observed)
+    ks = _numbered(gain.select("k"), "k")
+    return exact_intervals(gain.join(F.broadcast(ks), "k"), ["k", "reference_k"], "gain", "task_id", seed + 2_000_000 + F.col("place"), resamples)
 
 
 def stopping(candidates: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_rate, rate
+from trialspark.operators.bootstrap import exact_intervals
 
 GATE_DIFFERENCE, GATE_CALLS, FIXED_CALLS = 0.03, 8, 16
 
@@ -79,6 +80,32 @@ def paired_comparison(observed: DataFrame, baseline: str, challenger: str) -> Da
     )
 
 
+def policy_intervals(observed: DataFrame, pools: list[str], seed: int = 0, resamples: int = 10_000, position: str = "task_id") -> DataFrame:
+    """(pool_id, hidden_ci_low, hidden_ci_high) of each of pools; the i-th draws with seed + i."""
+    place = F.create_map(*[F.lit(x) for i, p in enumerate(pools) for x in (p, i)])[F.col("pool_id")]
+    own = observed.where(F.col("pool_id").isin(pools)).withColumn("won", as_rate(F.col("hidden_passed")))
+    drawn = exact_intervals(own, ["pool_id"], "won", position, seed + place, resamples)
+    return drawn.select("pool_id", F.col("ci_low").alias("hidden_ci_low"), F.col("ci_high").alias("hidden_ci_high"))
+
+
+def comparison_intervals(observed: DataFrame, baseline: str, challengers: list[str], seed: int = 0, resamples: int = 10_000) -> DataFrame:
+    """(baseline, challenger) with the intervals of the differences in hidden passes, calls and tokens.
+
+    The i-th challenger draws with seed + 10,000 + 10 i, and one and two more.
+    """
+    measures = {"hidden": as_rate(F.col("hidden_passed")), "calls": F.col("calls").cast("double"), "tokens": F.col("generation_tokens").cast("double")}
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value"), F.lit(i).alias("more")) for i, (m, v) in enumerate(measures.items())])
+    long = observed.select("pool_id", "task_id", F.explode(values).alias("m")).select("pool_id", "task_id", "m.*")
+    base = F.max(F.when(F.col("pool_id") == baseline, F.col("value")))
+    each = [F.struct(F.lit(c).alias("challenger"), F.lit(i).alias("place"), (F.max(F.when(F.col("pool_id") == c, F.col("value"))) - base).alias("difference")) for i, c in enumerate(challengers)]
+    paired = long.groupBy("task_id", "measure", "more").agg(F.array(*each).alias("pairs")).select("task_id", "measure", "more", F.explode("pairs").alias("p"))
+    rows = paired.select("task_id", "measure", "more", "p.*").where("difference is not null")
+    drawn = exact_intervals(rows, ["challenger", "measure"], "difference", "task_id", seed + 10_000 + 10 * F.col("place") + F.col("more"), resamples)
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    wide = drawn.groupBy("challenger").agg(*[of(m, c) for m in measures for c in ("ci_low", "ci_high")])
+    return wide.select(F.lit(baseline).alias("baseline"), "*")
+
+
 def confirmation(difference: Column, low: Column) -> Column:
     """strong: the gap reached with its interval above 0; suggestive: reached; failed: not."""
     reached = difference >= GATE_DIFFERENCE
