@@ -115,10 +115,10 @@ def test_stopping_equals_first_base_pass(spark, sf):
 
 
 def test_metrics_hand_cases(spark):
-    shape = "task_id long, policy_name string, budget_name string, attempt_index long, total_tokens long, cumulative_tokens long, cumulative_verifier_calls long, verification_passed boolean, hidden_passed boolean, selected boolean"
+    shape = "task_id long, policy_name string, budget_name string, attempt_index long, total_tokens long, cumulative_tokens long, cumulative_verifier_calls long, verification_passed boolean, hidden_passed boolean, selected boolean, latency_ms long, cumulative_ms long"
     from trialspark.sources import views
 
-    rows = [(1, "p", "b", 0, 5, 5, 1, True, False, True), (1, "p", "b", 1, 5, 10, 2, True, True, False), (2, "p", "b", 0, 4, 4, 1, False, True, False)]
+    rows = [(1, "p", "b", 0, 5, 5, 1, True, False, True, 10, 10), (1, "p", "b", 1, 5, 10, 2, True, True, False, 20, 30), (2, "p", "b", 0, 4, 4, 1, False, True, False, 5, 5)]
     got = metrics.solve_rates(views.results(spark.createDataFrame(rows, shape)), ["policy_name"]).first()
     assert (got.solve_rate, got.hidden_solve_rate, got.oracle_hidden_solve_rate, got.public_hidden_gap, got.overfit_rate) == (0.5, 0.0, 0.5, 0.5, 0.5)
     one = views.results(spark.createDataFrame(rows[:2], shape)).first()

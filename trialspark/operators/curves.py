@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import rate
+from trialspark.operators.metrics import metric_scope
+
+#: Ranges of a policy's budgets that are summed before a curve runs over them.
+RANGES = 256
 
 
 def budget_grid(attempts: DataFrame, keys: list[str], cumulative: str) -> DataFrame:
@@ -25,9 +29,16 @@ def success_curve(results: DataFrame, grid: DataFrame, policy_keys: list[str], g
     paid = results.where(solved & cost.isNotNull()).groupBy(*policy_keys, cost.alias("budget")).agg(F.count("*").alias("solutions"))
     points = total.select(*policy_keys).join(grid, grid_keys).select(*policy_keys, "budget", F.lit(0).cast("long").alias("solutions"), F.lit(True).alias("on_grid"))
     both = points.unionByName(paid.withColumn("on_grid", F.lit(False))).groupBy(*policy_keys, "budget").agg(F.sum("solutions").alias("solutions"), F.bool_or("on_grid").alias("on_grid"))
-    until = Window.partitionBy(*policy_keys).orderBy("budget").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.withColumn("reached", F.sum("solutions").over(until)).where("on_grid")
-    return run.join(total, policy_keys).select(*policy_keys, "budget", (F.col("reached") / F.col("n")).alias("success_rate"))
+    # sums over RANGES ranges of the budget first, so that no task holds all costs of a policy
+    top = both.groupBy(*policy_keys).agg(F.max("budget").alias("top"))
+    ranged = both.join(top, policy_keys).withColumn("range", F.floor(F.col("budget") * RANGES / (F.col("top") + 1)).cast("int")).drop("top")
+    sums = ranged.groupBy(*policy_keys, "range").agg(F.sum("solutions").alias("of_range"))
+    earlier = Window.partitionBy(*policy_keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("of_range").over(earlier), F.lit(0))).drop("of_range")
+    until = Window.partitionBy(*policy_keys, "range").orderBy("budget").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ranged.withColumn("within", F.sum("solutions").over(until)).where("on_grid").join(sums, [*policy_keys, "range"])
+    reached = F.col("before") + F.col("within")
+    return run.join(total, policy_keys).select(*policy_keys, "budget", (reached / F.col("n")).alias("success_rate"))
 
 
 def area(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,20 +49,31 @@ def area(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.withColumn("t", width * height).groupBy(*keys).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("auc"))
 
 
-def policy_scores(results: DataFrame, attempts: DataFrame, group: list[str], scope: str = "hidden") -> DataFrame:
-    """(group, policy_name, n, solve_rate, token_auc, verifier_auc) on grids shared by a group's policies.
+#: The areas of a policy's score, the cumulative cost of attempts and the decision cost of results that make them.
+AREAS = (
+    ("token_auc", "cumulative_tokens", "decision_tokens"),
+    ("verifier_auc", "cumulative_verifier_calls", "decision_verifier_calls"),
+    ("time_auc", "cumulative_ms", "decision_ms"),
+)
+
+
+def policy_scores(results: DataFrame, attempts: DataFrame, group: list[str], scope: str | None = None) -> DataFrame:
+    """(group, policy_name, n, metric_scope, solve_rate, token_auc, verifier_auc, time_auc) on grids that a group shares.
 
-    scope is hidden if any attempt has a hidden grade, else public: it names the successes that count.
+    scope names the successes that count: hidden if any attempt has a hidden grade, else public, as long as it is not
+    given. Times are in seconds. All areas come from one pass over the costs, stacked by kind.
     """
+    scope = scope or attempts.agg(metric_scope(F.col("hidden_passed").isNotNull())).first()[0]
     keys = [*group, "policy_name"]
     solved = F.col("hidden_success") if scope == "hidden" else F.col("success")
-    out = results.groupBy(*keys).agg(F.count("*").alias("n"), rate(solved).alias("solve_rate"))
-    for name, cumulative, cost in (("token_auc", "cumulative_tokens", "decision_tokens"), ("verifier_auc", "cumulative_verifier_calls", "decision_verifier_calls")):
-        grid_keys = group or ["_all"]
-        r, a = (results, attempts) if group else (results.withColumn("_all", F.lit(1)), attempts.withColumn("_all", F.lit(1)))
-        curve = success_curve(r, budget_grid(a, grid_keys, cumulative), [*grid_keys, "policy_name"], grid_keys, solved, F.col(cost))
-        out = out.join(area(curve, [*grid_keys, "policy_name"]).drop("_all").withColumnRenamed("auc", name), keys)
-    return out
+    out = results.groupBy(*keys).agg(F.count("*").alias("n"), F.lit(scope).alias("metric_scope"), rate(solved).alias("solve_rate"))
+    stack = lambda at: F.explode(F.array(*[F.struct(F.lit(a[0]).alias("kind"), F.col(a[at]).alias("cost")) for a in AREAS])).alias("x")
+    grid = budget_grid(attempts.select(*group, stack(1)).select(*group, "x.*"), [*group, "kind"], "cost")
+    paid = results.select(*keys, solved.alias("solved"), stack(2)).select(*keys, "solved", "x.*")
+    areas = area(success_curve(paid, grid, [*keys, "kind"], [*group, "kind"], F.col("solved"), F.col("cost")), [*keys, "kind"])
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("auc")))
+    wide = areas.groupBy(*keys).agg(of("token_auc").alias("token_auc"), of("verifier_auc").alias("verifier_auc"), (of("time_auc") / 1000).alias("time_auc"))
+    return out.join(wide, keys)
 
 
 def best_baseline(scores: DataFrame, group: list[str], baselines: tuple[str, ...]) -> DataFrame:

@@ -63,6 +63,9 @@ def cost_columns() -> dict[str, Column]:
         "median_calls_to_hidden_solution": median(F.when(h, F.col("decision_verifier_calls"))),
         "median_tokens_to_oracle_hidden": median(F.col("oracle_hidden_tokens")),
         "median_calls_to_oracle_hidden": median(F.col("oracle_hidden_calls")),
+        "median_seconds_to_solution": median(F.when(s, F.col("decision_ms"))) / 1000,
+        "median_seconds_to_hidden_solution": median(F.when(h, F.col("decision_ms"))) / 1000,
+        "median_seconds_to_oracle_hidden": median(F.col("oracle_hidden_ms")) / 1000,
     }
 
 
@@ -90,6 +93,8 @@ def experiment_summary(results: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("total_tokens").alias("mean_tokens"),
         F.sum("total_verifier_calls").alias("sum_verifier_calls"),
         F.avg("total_verifier_calls").alias("mean_verifier_calls"),
+        (F.sum("total_ms") / 1000).alias("sum_seconds"),
+        (F.avg("total_ms") / 1000).alias("mean_seconds"),
     )
 
 

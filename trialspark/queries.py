@@ -128,7 +128,8 @@ def hashed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATES = "avg(cast(success as integer)) as solve_rate, avg(cast(hidden_success as integer)) as hidden_solve_rate, avg(cast(oracle_hidden_success as integer)) as oracle_hidden_solve_rate, avg(cast(success as integer)) - avg(cast(hidden_success as integer)) as public_hidden_gap, avg(cast(success and not hidden_success as integer)) as overfit_rate"
 COSTS = """median(decision_tokens) filter (success) as median_tokens_to_solution, median(decision_verifier_calls) filter (success) as median_calls_to_solution, median(decision_tokens) filter (hidden_success) as median_tokens_to_hidden_solution,
-  median(decision_verifier_calls) filter (hidden_success) as median_calls_to_hidden_solution, median(oracle_hidden_tokens) as median_tokens_to_oracle_hidden, median(oracle_hidden_calls) as median_calls_to_oracle_hidden"""
+  median(decision_verifier_calls) filter (hidden_success) as median_calls_to_hidden_solution, median(oracle_hidden_tokens) as median_tokens_to_oracle_hidden, median(oracle_hidden_calls) as median_calls_to_oracle_hidden,
+  median(decision_ms) filter (success) / 1000 as median_seconds_to_solution, median(decision_ms) filter (hidden_success) / 1000 as median_seconds_to_hidden_solution, median(oracle_hidden_ms) / 1000 as median_seconds_to_oracle_hidden"""
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,8 @@ def solution_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ATT} select policy_name, budget_name, count(*) as n_results, count(distinct task_id) as n_tasks, cast(1 as bigint) as n_seeds, {RATES}, {COSTS},
-  cast(sum(total_tokens) as bigint) as sum_tokens, avg(total_tokens) as mean_tokens, cast(sum(total_verifier_calls) as bigint) as sum_verifier_calls, avg(total_verifier_calls) as mean_verifier_calls from results group by all""")
+  cast(sum(total_tokens) as bigint) as sum_tokens, avg(total_tokens) as mean_tokens, cast(sum(total_verifier_calls) as bigint) as sum_verifier_calls, avg(total_verifier_calls) as mean_verifier_calls,
+  cast(sum(total_ms) as double) / 1000 as sum_seconds, avg(total_ms) / 1000 as mean_seconds from results group by all""")
 def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.experiment_summary(_results(spark, sf_dir), ["policy_name", "budget_name"])
 
@@ -264,6 +266,11 @@ def success_by_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve(spark, sf_dir, "decision_verifier_calls", "cumulative_verifier_calls", "success")
 
 
+@query(_curve_sql("decision_ms", "cumulative_ms", "success") + " select * from curve")
+def success_by_milliseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve(spark, sf_dir, "decision_ms", "cumulative_ms", "success")
+
+
 AREA = "a as (select *, lead(budget) over w - budget as dx, (lead(success_rate) over w + success_rate) / 2 as y from curve window w as (partition by budget_name, policy_name order by budget)), auc as (select budget_name, policy_name, coalesce(sum(dx * y), 0) as auc from a group by all)"
 
 
@@ -288,12 +295,25 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SCORES} select budget_name, policy_name, n, solve_rate, round(token_auc, 6) as token_auc from scores")
 def policy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).drop("verifier_auc").withColumn("token_auc", F.round("token_auc", 6))
+    return _scores(spark, sf_dir).drop("metric_scope", "verifier_auc", "time_auc").withColumn("token_auc", F.round("token_auc", 6))
+
+
+def _area_sql(cost: str, cumulative: str) -> str:
+    return f"{_curve_sql(cost, cumulative, 'hidden_success')}, {AREA} select budget_name, policy_name, auc from auc"
+
+
+@query(f"""select t.budget_name, t.policy_name, 'hidden' as metric_scope, round(t.auc, 6) as token_auc, round(v.auc, 6) as verifier_auc, round(s.auc / 1000, 6) as time_auc
+from ({_area_sql("decision_tokens", "cumulative_tokens")}) t join ({_area_sql("decision_verifier_calls", "cumulative_verifier_calls")}) v using (budget_name, policy_name)
+join ({_area_sql("decision_ms", "cumulative_ms")}) s using (budget_name, policy_name)""")
+def policy_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of each policy by tokens, calls and seconds, over the successes that the data's own scope names."""
+    rounded = [F.round(c, 6).alias(c) for c in ("token_auc", "verifier_auc", "time_auc")]
+    return _scores(spark, sf_dir).select("budget_name", "policy_name", "metric_scope", *rounded)
 
 
 @query(f"{SCORES} select budget_name, policy_name, n, solve_rate, round(token_auc, 6) as token_auc from best")
 def best_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.best_baseline(_scores(spark, sf_dir), ["budget_name"], views.BASELINES).drop("verifier_auc").withColumn("token_auc", F.round("token_auc", 6))
+    return curves.best_baseline(_scores(spark, sf_dir), ["budget_name"], views.BASELINES).drop("metric_scope", "verifier_auc", "time_auc").withColumn("token_auc", F.round("token_auc", 6))
 
 
 @query(f"{SCORES} select budget_name, decision_rate, round(decision_auc, 6) as decision_auc, baseline, baseline_rate, round(baseline_auc, 6) as baseline_auc, {_STATUS} from rel")
@@ -320,12 +340,17 @@ def overall_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_verdict(spark, sf_dir).select("decision", "baseline", "decision_rate", F.round("decision_auc", 6).alias("decision_auc"), "baseline_rate", F.round("baseline_auc", 6).alias("baseline_auc"))
 
 
-@query()
+@query(f"""select decision, baseline, decision_rate, decision_auc, baseline_rate, baseline_auc, win, tie, loss, unresolved, case when decision_rate is null or baseline_rate is null then 'insufficient_data'
+  when decision_rate = 0 and baseline_rate = 0 then 'inconclusive' when not (decision_rate >= baseline_rate and da >= ba and loss = 0 and unresolved = 0) then 'needs_analysis' when win > 0 then 'promising' else 'matches_baseline' end as verdict
+from ({_ALL} select 'purchase' as decision, baseline, decision_rate, round(decision_auc, 6) as decision_auc, baseline_rate, round(baseline_auc, 6) as baseline_auc, decision_auc as da, baseline_auc as ba from cmp),
+({SCORES} select count(*) filter (relationship = 'win') as win, count(*) filter (relationship = 'tie') as tie, count(*) filter (relationship = 'loss') as loss, count(*) filter (relationship in ('inconclusive', 'unknown')) as unresolved
+  from (select {_STATUS} from rel))""")
 def decision_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempted = _attempts(spark, sf_dir)
     result = views.results(attempted)
     per = budget_comparisons(spark, sf_dir)
-    return curves.verdict(curves.policy_scores(result, attempted, []), per, views.DECISION_POLICY, views.BASELINES)
+    out = curves.verdict(curves.policy_scores(result, attempted, []), per, views.DECISION_POLICY, views.BASELINES)
+    return out.withColumns({c: F.round(c, 6) for c in ("decision_auc", "baseline_auc")})
 
 
 # Replay -------------------------------------------------------------------------------------------------------------

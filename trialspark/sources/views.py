@@ -55,6 +55,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     until = own.rowsBetween(Window.unboundedPreceding, 0)
     tokens, passed = F.floor("value").cast("long") + 1, F.col("value") >= 40
+    latency = (F.col("event_id") * 37 % 5000 + 1).cast("long")
     one = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("task_id"),
         F.col("event_type").alias("policy_name"),
@@ -63,6 +64,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens.alias("total_tokens"),
         F.sum(tokens).over(until).alias("cumulative_tokens"),
         F.row_number().over(own).cast("long").alias("cumulative_verifier_calls"),
+        latency.alias("latency_ms"),
+        F.sum(latency).over(until).alias("cumulative_ms"),
         passed.alias("verification_passed"),
         (F.sum(passed.cast("long")).over(until) - passed.cast("long") == 0).alias("none_before"),
         (F.col("event_id") % 3 != 0).alias("hidden_passed"),
@@ -82,10 +85,13 @@ def results(attempted: DataFrame) -> DataFrame:
         F.count("*").alias("total_verifier_calls"),
         on("cumulative_tokens").alias("decision_tokens"),
         on("cumulative_verifier_calls").alias("decision_verifier_calls"),
+        F.sum("latency_ms").alias("total_ms"),
+        on("cumulative_ms").alias("decision_ms"),
         F.coalesce(F.bool_or(F.col("selected") & passing), F.lit(False)).alias("hidden_success"),
         F.bool_or(passing).alias("oracle_hidden_success"),
         F.min(F.when(passing, F.col("cumulative_tokens"))).alias("oracle_hidden_tokens"),
         F.min(F.when(passing, F.col("cumulative_verifier_calls"))).alias("oracle_hidden_calls"),
+        F.min(F.when(passing, F.col("cumulative_ms"))).alias("oracle_hidden_ms"),
         F.sum(passing.cast("long")).alias("hidden_correct"),
     )
 
@@ -106,7 +112,8 @@ ATTEMPTS_SQL = """
 one as (select user_id as task_id, event_type as policy_name, event_id,
     row_number() over w - 1 as attempt_index, cast(floor(value) as bigint) + 1 as total_tokens,
     cast(sum(cast(floor(value) as bigint) + 1) over (w rows between unbounded preceding and current row) as bigint) as cumulative_tokens,
-    row_number() over w as cumulative_verifier_calls, value >= 40 as verification_passed,
+    row_number() over w as cumulative_verifier_calls, cast(event_id * 37 % 5000 + 1 as bigint) as latency_ms,
+    cast(sum(event_id * 37 % 5000 + 1) over (w rows between unbounded preceding and current row) as bigint) as cumulative_ms, value >= 40 as verification_passed,
     value >= 40 and coalesce(max(case when value >= 40 then 1 else 0 end) over (w rows between unbounded preceding and 1 preceding), 0) = 0 as selected,
     event_id % 3 <> 0 as hidden_passed
   from events window w as (partition by user_id, event_type order by ts, event_id)),
@@ -115,6 +122,8 @@ results as (select task_id, policy_name, budget_name, bool_or(selected) as succe
     cast(sum(total_tokens) as bigint) as total_tokens, count(*) as total_verifier_calls,
     max(case when selected then cumulative_tokens end) as decision_tokens,
     max(case when selected then cumulative_verifier_calls end) as decision_verifier_calls,
+    cast(sum(latency_ms) as bigint) as total_ms, max(case when selected then cumulative_ms end) as decision_ms,
+    min(case when verification_passed and hidden_passed then cumulative_ms end) as oracle_hidden_ms,
     bool_or(selected and hidden_passed) as hidden_success, bool_or(verification_passed and hidden_passed) as oracle_hidden_success,
     min(case when verification_passed and hidden_passed then cumulative_tokens end) as oracle_hidden_tokens,
     min(case when verification_passed and hidden_passed then cumulative_verifier_calls end) as oracle_hidden_calls,
