@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import stored
+from trialspark.llm.common import joined_copies, stored
 
 SHARDS, OVERHEAD = 24, 8
 #: Bundles that fill a shard, groups a bucket, rows of a shard that one task numbers.
@@ -75,8 +75,8 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def assigned(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(grp, bundle, shard): where each group of rows (grp, size) goes."""
-    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("size")), "shard-groups")
+    """(grp, copies, bundle, shard): where each group of rows (grp, size) goes, and how many rows it has."""
+    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("copies")), "shard-groups")
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity = max(1, total // (shards * BUNDLES))
     buckets = min(max(1, -(-n // BUCKET)), MAX_BUCKETS)
@@ -84,17 +84,17 @@ def assigned(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["size", "grp"], ascending=[False, True])
         bins = best_fit(ordered["size"].tolist(), capacity)
-        return pd.DataFrame({"grp": ordered["grp"], "size": ordered["size"], "bucket": ordered["bucket"], "bin": bins})
+        return ordered[["grp", "size", "copies", "bucket"]].assign(bin=bins)
 
     bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("long")
-    binned = stored(groups.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(pack, "grp string, size long, bucket long, bin long"), "shard-bins")
+    binned = stored(groups.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(pack, "grp string, size long, copies long, bucket long, bin long"), "shard-bins")
     bundles = binned.groupBy("bucket", "bin").agg(F.sum("size").alias("size"))
     # at most shards * BUNDLES full bundles and one that is not for each bucket
     small = bundles.toPandas().sort_values(["size", "bucket", "bin"], ascending=[False, True, True])
     small["shard"] = fitted(small["size"].tolist(), shards)
     small["bundle"] = range(len(small))
     placed = rows.sparkSession.createDataFrame(small[["bucket", "bin", "shard", "bundle"]].astype("int64"), "bucket long, bin long, shard long, bundle long")
-    return binned.join(placed, ["bucket", "bin"]).select("grp", "bundle", F.col("shard").cast("int").alias("shard"))
+    return binned.join(placed, ["bucket", "bin"]).select("grp", "copies", "bundle", F.col("shard").cast("int").alias("shard"))
 
 
 def packed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -102,14 +102,16 @@ def packed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     The law is `bytes`: shards are as near to equal in bytes as whole groups allow. slot numbers a shard's rows from 0
     without gaps, by sums of counts over parts of about ROWS rows. Null texts are a group with no bytes; empty texts
-    another. Repeated rows and null ids are rows like others; ties of groups are broken by name, of rows by id. An
-    empty table gives an empty table.
+    another. Repeated rows and null ids are rows like others; ties of groups are broken by name, of rows by id. Texts
+    are measured whole; one above a shard's mean has a shard of its own. Other columns are ignored. An empty table gives
+    an empty table.
     """
     rows = stored(sized(docs), "shard-rows")
     where = assigned(rows, shards)
     parts = max(1, -(-rows.count() // (shards * ROWS)))
     part = F.pmod(F.xxhash64("doc_id", "grp"), F.lit(parts)).cast("long")
-    placed = stored(rows.withColumn("part", part).join(where, "grp"), "shard-placed")
+    found = joined_copies(rows.withColumn("part", part), where, "grp", "copies", F.xxhash64("doc_id"), "at")
+    placed = stored(found.select(*rows.columns, "part", "at.bundle", "at.shard"), "shard-placed")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = placed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("bundle", "grp", "doc_id")) - 1)

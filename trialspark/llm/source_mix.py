@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import WORD, let, stored, words
+from trialspark.llm.common import WORD, columns_but, fresh, let, stored, words
 
 BLOCK, SLOTS, REPEATS, GROUP = 64, 1024, 3, 4_000
 DRAWS_A_TASK = 100_000
@@ -209,8 +209,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     size counts words, null text none. A null source is a source of its own, the last in order. taken counts the
     words of the row that the mix takes, repeats counted; it is at most REPEATS * size. A null doc_id is allowed, and
-    repeated rows are taken each on their own. Ties in order are broken by the text's md5. An empty table gives an
-    empty table.
+    repeated rows are taken each on their own. Ties in order are broken by the text's md5. Texts are counted whole.
+    Other columns are ignored. An empty table gives an empty table.
     """
     placed = stored(packed(document_sizes(docs)), "mix-placed")
     targets = source_targets(placed)
@@ -223,25 +223,26 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: for each lap of the permutations a row with the taken words of the text.
 
-    Columns of docs stay; text keeps its blanks between taken words and n_chars, if there, is the new length. A row
-    of which the mix takes nothing goes; one taken whole twice comes twice.
+    Columns of docs stay, whatever their names; text keeps its blanks between taken words and n_chars, if there, is the
+    new length. A row of which the mix takes nothing goes; one taken whole twice comes twice. Texts are taken whole.
     """
     placed = stored(packed(document_sizes(docs)), "mix-placed")
     parts = taken_pieces(placed, source_targets(placed))
     laps = parts.select("source", "start", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("lap"), F.struct("from_word", "n").alias("p"))
     per_lap = laps.groupBy("source", "start", "lap").agg(F.array_sort(F.collect_list("p")).alias("parts"))
     per = per_lap.groupBy(F.col("source").alias("of"), F.col("start").alias("os")).agg(F.collect_list("parts").alias("laps"))
-    keyed = placed.join(per, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0)).select(_row_key(F.col("tie")).alias("m_at"), "laps")
+    found = placed.join(per, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0))
+    key, at, laps, lap, split = (fresh(docs, x) for x in ("mix_key", "mix_at", "mix_laps", "mix_lap", "mix_words"))
     # repeated rows are alike, so one of them gets the laps of all
-    merged = keyed.groupBy("m_at").agg(F.flatten(F.collect_list("laps")).alias("m_laps"))
-    own = docs.withColumn("m_key", _row_key(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    joined = own.join(merged, F.col("m_key") == F.col("m_at")).dropDuplicates(["m_key"])
-    split = joined.withColumn("m_words", F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
-    text = F.array_join(F.flatten(F.transform("m_lap", lambda p: F.slice("m_words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")))), "")
-    each = split.withColumn("m_lap", F.explode("m_laps")).withColumn("text", text)
+    merged = found.select(_row_key(F.col("tie")).alias(at), "laps").groupBy(at).agg(F.flatten(F.collect_list("laps")).alias(laps))
+    own = docs.withColumn(key, _row_key(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    joined = own.join(merged, F.col(key) == F.col(at)).dropDuplicates([key])
+    cut = joined.withColumn(split, F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
+    taken = F.flatten(F.transform(lap, lambda p: F.slice(split, (p["from_word"] + 1).cast("int"), p["n"].cast("int"))))
+    each = cut.withColumn(lap, F.explode(laps)).withColumn("text", F.array_join(taken, ""))
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.select(*docs.columns)
+    return each.select(*columns_but(docs))
 
 
 def _scramble_sql(rows: str, x: str, key: str, name: str) -> str:
