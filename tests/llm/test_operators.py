@@ -283,9 +283,9 @@ def test_source_mix(docs, empty, rows):
     assert all(abs(taken[s] - aim[s]) <= max(0.02 * aim[s], 64) for s in total)
     assert Counter(map(tuple, got)) == Counter(map(tuple, source_mix.mix(docs.repartition(3)).collect()))
     assert source_mix.mix(empty).count() == 0
-    made = source_mix.mixed_documents(docs.drop("SOURCES")).collect()
+    made = source_mix.mixed_documents(docs.withColumn("mix_laps", F.lit(1))).collect()
     assert sum(len(WORDS(r.text)) for r in made) == sum(taken.values())
-    assert source_mix.mixed_documents(empty.drop("SOURCES")).count() == 0
+    assert source_mix.mixed_documents(empty).count() == 0
 
 
 def test_shards_draw_their_sources(spark):
@@ -509,6 +509,17 @@ def test_shards(docs, empty, rows):
     assert shard_packing.packed(empty, 4).count() == 0
 
 
+def test_shards_are_balanced_and_copies_stay_together(spark):
+    rng = random.Random(1)
+    made = [(i, "x" * rng.randint(1, 2000), 1) for i in range(3000)] + [(10_000 + i, "copy " * 10, 1) for i in range(900)]
+    got = shard_packing.packed(spark.createDataFrame(made, "doc_id long, text string, SHARD int").repartition(7), 12).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == len(made) and len(size) == 12 and max(size.values()) - min(size.values()) <= 0.01 * sum(size.values()) / 12
+    assert len({r.shard for r in got if r.doc_id >= 10_000}) == 1
+
+
 def test_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(200):
