@@ -181,6 +181,31 @@ def test_intervals_of_a_published_run(spark):
     assert {c: tuple(map(pytest.approx, v)) for c, v in GOLDEN_DIFFERENCES.items()} == got
 
 
+def test_trajectory_study_and_reports(spark):
+    rows = [(p, f"{i:03d}", n, 10 * n, 0, h == "1", i % 3, "sample", h == "1", False) for p, (hidden_passes, calls) in zip(("16x1", "8x2"), GOLDEN.values()) for i, (h, n) in enumerate(zip(hidden_passes, calls, strict=True))]
+    seen = spark.createDataFrame(rows, "pool_id string, task_id string, calls long, generation_tokens long, repair_calls long, public_passed boolean, selected_candidate_index int, selected_operator string, hidden_passed boolean, false_accept boolean")
+    study = studies.trajectory_study(seen, ["16x1", "8x2"], 16, resamples=500)
+    assert study["confirmations"].first().outcome == "suggestive_confirmation" and study["ranking"].orderBy("rank").first().pool_id == "8x2"
+    text = studies.trajectory_report("Study", study)
+    assert text.count("## ") == 4 and "| 8x2 |" in text
+    with pytest.raises(ValueError, match="depth 1"):
+        studies.trajectory_study(seen, ["8x2", "16x1"], 16)
+    pool, labels = small_pool(spark)
+    observed = selection.observations(pool, labels, [2, 4])
+    report = studies.pool_report("Pool", metrics.pool_diagnostics(pool, labels, 9), selection.summaries(observed), selection.all_comparisons(observed, selection.default_pairs(["first_sample", "first_base_pass"]), 0, 100), selection.coverage_gains(observed), selection.stopping_efficiency(selection.stopping(pool, 4), 4))
+    assert report.count("## ") == 5 and "first_base_pass" in report
+
+
+def test_grades_are_traced_or_refused(spark):
+    pool, labels = small_pool(spark)
+    got = metrics.graded_attempts(pool, labels).where("hidden_passed").select("task_id", "candidate_index").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, 2)]
+    with pytest.raises(Exception, match="no grade for task"):
+        metrics.graded_attempts(pool, labels.where("task_id = 0")).collect()
+    tasks = spark.createDataFrame([(1, ["t"], None), (2, [], {"hidden_tests": "x"}), (3, None, {"entrypoint": "f"})], "i int, hidden_tests array<string>, allowed_verifier_inputs map<string,string>")
+    assert {r.i: r.h for r in tasks.select("i", metrics.has_hidden_tests(tasks).alias("h")).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_selection_intervals_draw_as_a_plain_loop_does(spark):
     rng = random.Random(5)
     seen = [(f"t{i:03d}", s, k, rng.random() < 0.6, rng.random() < 0.5, rng.random(), {2: 0.25, 4: 0.5}[k] * (i % 3)) for i in range(40) for s in ("first_base_pass", "first_sample", "other") for k in (2, 4)]
@@ -365,7 +390,7 @@ def test_streamed_stops_equal_the_batch_form(spark, sf, tmp_path):
         part = ordered.iloc[i * len(ordered) // 3 : (i + 1) * len(ordered) // 3]
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running = first_pass.first_pass_stops(stream, 100).writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "ck")).start()
+    running = first_pass.first_pass_stops(stream, 100, "365 days", 10**8).writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "ck")).start()
     running.processAllAvailable()
     running.stop()
     got = spark.table("stops").where("passed")

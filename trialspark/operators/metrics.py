@@ -136,6 +136,43 @@ def result_model(attempts: DataFrame, default: str) -> DataFrame:
     return attempts.groupBy("task_id", "policy_name", "budget_name").agg(F.coalesce(first, F.lit(default)).alias("model"))
 
 
+def model_summary(results: DataFrame, models: DataFrame) -> DataFrame:
+    """Counts, solve rate, medians and totals by policy and model; number_of_tasks counts results, not distinct tasks.
+
+    models is (task_id, policy_name, budget_name, model), as result_model() makes it.
+    """
+    s, median = F.col("success"), lambda c: F.percentile(c, 0.5)
+    named = results.join(models, ["task_id", "policy_name", "budget_name"])
+    return named.groupBy("policy_name", "model").agg(
+        F.count("*").alias("number_of_tasks"),
+        F.count_if(s).alias("solved_count"),
+        rate(s).alias("solve_rate"),
+        median(F.when(s, F.col("decision_tokens"))).alias("median_tokens_to_solution"),
+        median(F.when(s, F.col("decision_verifier_calls"))).alias("median_calls_to_solution"),
+        F.sum("total_verifier_calls").alias("total_attempts"),
+        F.sum("total_tokens").alias("sum_tokens"),
+    )
+
+
+def graded_attempts(attempts: DataFrame, grades: DataFrame) -> DataFrame:
+    """attempts with hidden_passed, by (task_id, candidate_index) of grades (.., plus_passed).
+
+    It counts only with the public pass. An attempt that no grade can be traced to is an error, so no label is guessed.
+    """
+    of = grades.select("task_id", "candidate_index", "plus_passed")
+    joined = attempts.join(of, ["task_id", "candidate_index"], "left")
+    where = F.concat(F.lit("no grade for task "), F.col("task_id").cast("string"), F.lit(", candidate "), F.col("candidate_index").cast("string"))
+    traced = F.when(F.col("plus_passed").isNull(), F.raise_error(where).cast("boolean")).otherwise(F.col("plus_passed"))
+    return joined.withColumn("hidden_passed", hidden_pass(F.col("base_passed"), traced)).drop("plus_passed")
+
+
+def has_hidden_tests(tasks: DataFrame) -> Column:
+    """Whether a task has hidden tests, in its column or among what its verifier may read."""
+    listed = F.coalesce(F.size("hidden_tests"), F.lit(0)) > 0 if "hidden_tests" in tasks.columns else F.lit(False)
+    named = F.coalesce(F.element_at("allowed_verifier_inputs", "hidden_tests"), F.lit("")) != "" if "allowed_verifier_inputs" in tasks.columns else F.lit(False)
+    return listed | named
+
+
 def flattened_attempts(results: DataFrame, attempts: str = "attempts") -> DataFrame:
     """One row an attempt of nested results, with its place and its parent's keys."""
     keys = [c for c in results.columns if c != attempts]

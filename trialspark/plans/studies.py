@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.operators import curves, metrics
+from trialspark.operators import curves, metrics, trajectory
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,44 @@ def portfolio_report(runs: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) ->
     return "\n\n".join(parts) + "\n"
 
 
+def trajectory_study(observed: DataFrame, pools: list[str], max_calls: int, seed: int = 0, resamples: int = 10_000) -> dict[str, DataFrame]:
+    """policies, comparisons with the first of pools, and their ranking, with seeded intervals.
+
+    pools are width x depth, like 16x1; the first is the baseline and must have depth 1.
+    """
+    if len(set(pools)) != len(pools) or not pools or not pools[0].endswith("x1"):
+        raise ValueError("the first pool must be of depth 1, and each named once")
+    summary = trajectory.policy_summary(observed.where(F.col("pool_id").isin(pools)), max_calls)
+    policies = summary.join(trajectory.policy_intervals(observed, pools, seed, resamples), "pool_id")
+    out = {"policies": policies, "ranking": trajectory.ranking(summary)}
+    if pools[1:]:
+        each = [trajectory.paired_comparison(observed, pools[0], c) for c in pools[1:]]
+        pairs = each[0]
+        for more in each[1:]:
+            pairs = pairs.union(more)
+        out["comparisons"] = pairs.join(trajectory.comparison_intervals(observed, pools[0], pools[1:], seed, resamples), ["baseline", "challenger"])
+        outcome = trajectory.confirmation(F.col("hidden_difference"), F.col("hidden_ci_low"))
+        out["confirmations"] = out["comparisons"].select("baseline", "challenger", outcome.alias("outcome"))
+    return out
+
+
+def trajectory_report(title: str, study: dict[str, DataFrame]) -> str:
+    """Policies, comparisons, ranking and outcomes of a trajectory_study() as Markdown."""
+    orders = {"policies": ["pool_id"], "comparisons": ["challenger"], "ranking": ["rank"], "confirmations": ["challenger"]}
+    parts = [f"# {title}"]
+    for name, order in orders.items():
+        if name in study:
+            parts += [f"## {name.capitalize()}", markdown_table(study[name], order)]
+    return "\n\n".join(parts) + "\n"
+
+
+def pool_report(title: str, diagnostics: DataFrame, summaries: DataFrame, comparisons: DataFrame, gains: DataFrame, stopping: DataFrame) -> str:
+    """A pool's diagnostics, selectors, pairs, coverage and stopping as Markdown."""
+    parts = [f"# {title}", "## Pool", markdown_table(diagnostics, ["n_candidates"]), "## Selectors", markdown_table(summaries, ["selector_name", "k"])]
+    parts += ["## Comparisons", markdown_table(comparisons, ["challenger", "k"]), "## Coverage", markdown_table(gains, ["k"]), "## Stopping", markdown_table(stopping, ["k"])]
+    return "\n\n".join(parts) + "\n"
+
+
 def write_new(path: str, text: str) -> None:
     """Write a report on the driver; an artifact that is there is never overwritten."""
     with Path(path).open("x", encoding="utf-8") as f:

@@ -233,6 +233,22 @@ def best_of_n_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("p", F.round(scalars.best_of_n_probability(F.lit(0.1), F.col("quantity")), 12))
 
 
+@query(f"""{ATT}, m as (select task_id, policy_name, budget_name, coalesce(arg_min('model-' || (event_id % 3), attempt_index) filter (event_id % 4 <> 0), 'default') as model from attempts group by all)
+select policy_name, model, count(*) as number_of_tasks, count(*) filter (success) as solved_count, avg(cast(success as integer)) as solve_rate, median(decision_tokens) filter (success) as median_tokens_to_solution,
+  median(decision_verifier_calls) filter (success) as median_calls_to_solution, cast(sum(total_verifier_calls) as bigint) as total_attempts, cast(sum(total_tokens) as bigint) as sum_tokens
+from results join m using (task_id, policy_name, budget_name) group by all""")
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.model_summary(_results(spark, sf_dir), result_models(spark, sf_dir))
+
+
+@query(f"""{CAND}, bn as (select *, coalesce(max(cast(base_passed as integer)) over (partition by task_id order by candidate_index rows between unbounded preceding and 1 preceding), 0) as before from pool)
+select task_id, candidate_index, base_passed as selected, base_passed and plus_passed as hidden_passed from bn where before = 0""")
+def graded_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of a replayed search, with hidden grades attached after every choice."""
+    made = replay.best_of_n(views.pool(spark, sf_dir), POOL_SIZE)
+    return metrics.graded_attempts(made, views.pool_hidden(spark, sf_dir)).select("task_id", "candidate_index", "selected", "hidden_passed")
+
+
 # Curves and decisions -----------------------------------------------------------------------------------------------
 
 

@@ -52,17 +52,21 @@ def read_pool(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return read_manifest(spark, f"{folder}/manifest.json"), read_lines(spark, f"{folder}/candidates.jsonl", CANDIDATES)
 
 
-def write_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int = 1) -> None:
-    """JSON lines in the order of the columns, split by range into `files` parts whose names keep the order."""
-    if files == 1:
-        df.coalesce(1).sortWithinPartitions(*order).write.mode(mode).option("ignoreNullFields", False).json(path)
-    else:
-        df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode(mode).option("ignoreNullFields", False).json(path)
+def _in_order(df: DataFrame, order: list[str], files: int | None) -> DataFrame:
+    """df sorted within ranges of order, a file each: as many as the session's shuffle partitions, or `files`."""
+    ranged = df.coalesce(1) if files == 1 else df.repartitionByRange(*([files] if files else []), *order)
+    return ranged.sortWithinPartitions(*order)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists") -> None:
-    """CSV with a header in the order of columns; null is an empty field."""
-    df.coalesce(1).sortWithinPartitions(*order).write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def write_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int | None = None) -> None:
+    """JSON lines in the order of the columns, in files whose names keep the order; one file only if it is asked for."""
+    _in_order(df, order, files).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int | None = None) -> None:
+    """CSV with a header in the order of columns, in files as write_lines() makes them; null is an empty field."""
+    out = _in_order(df, order, files).write.mode(mode)
+    out.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def preview(df: DataFrame, order: list[str], rows: int = 5) -> DataFrame:
