@@ -103,6 +103,19 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert abs(sum(taken.values()) - total) <= 0.05 * total
 
 
+def test_run_on_an_empty_table_and_on_a_long_text(spark, tmp_path):
+    rng = random.Random(1)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)]
+    long = " ".join(rng.choices(vocab, k=60_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", None, "s", 0), (3, " ".join(rng.choices(vocab, k=80)), None, None, None), (None, None, None, None, None)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "long" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "long")).collect()
+    assert {r.doc_id for r in got} == {1, 3} and sum(r.n_tokens for r in got) > 60_000 and all(len(r.ids) == r.n_tokens for r in got)
+
+
 def test_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
