@@ -95,8 +95,10 @@ def joined_copies(rows: DataFrame, table: DataFrame, key: str, weight: str, spre
 
     weight is how many of rows have the key. Keys with more than 1 / HOT_KEYS of all rows, of which there are fewer than
     HOT_KEYS, are joined by broadcast; their rows go on under names of their own made of spread, so that no key, however
-    hot, gathers its rows in one task. table has each key once; a null key finds nothing.
+    hot, gathers its rows in one task. table has each key once; a null key finds nothing. It is stored, as it is read
+    three times.
     """
+    table = stored(table, "copies")
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     k, hot, cold, by = (fresh(rows, x) for x in ("join_key", "join_hot", "join_cold", "join_by"))
     packed = lambda as_: [F.col(key).alias(k), F.struct(*[c for c in table.columns if c != key]).alias(as_)]
