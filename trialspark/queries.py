@@ -577,11 +577,23 @@ def extracted_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pycode.extract_code(text, F.lit("f")).alias("code"))
 
 
-@query()
+def _probe(number: str, text: str, k: str = "[1, 2]") -> str:
+    """A probe's text in SQL."""
+    quote = "''"
+    return f"'((' || {number} || ', {quote}' || {text} || '{quote}), {{{quote}k{quote}: {k}}})'"
+
+
+_N, _FLAG = "cast(l_linenumber as varchar)", "l_returnflag"
+_PROBES = [_probe(_N, _FLAG), _probe("'-1'", _FLAG), _probe("'0'", _FLAG), f"case when l_linenumber <> 1 then {_probe(repr('1'), _FLAG)} end", _probe("cast(l_linenumber + 1 as varchar)", _FLAG)]
+_PROBES += [_probe(_N, "''"), _probe(_N, f"{_FLAG} || {_FLAG}"), _probe(_N, _FLAG, "[]"), _probe(_N, _FLAG, "[2, 1]")]
+
+
+@query(f"select l_orderkey, l_linenumber, array_to_string(list_filter([{', '.join(_PROBES)}], lambda x: x is not null), '; ') as probes from lineitem")
 def probe_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes from one visible test an order line."""
+    """Probes from one visible test an order line: the call and its mutations, an argument at a time."""
     test = F.concat(F.lit("assert f("), F.col("l_linenumber").cast("string"), F.lit(", '"), F.col("l_returnflag"), F.lit("', k=[1, 2]) == 0"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pycode.probe_calls(F.array(test), F.lit("f")).alias("probes"))
+    probes = F.array_join(pycode.probe_calls(F.array(test), F.lit("f")), "; ")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", probes.alias("probes"))
 
 
 @query(r"""select event_id, case when event_id % 4 = 0 then 'syntax_error' when event_id % 4 = 1 then 'test_failure' when event_id % 4 = 2 then 'runtime_error' end as failure,
