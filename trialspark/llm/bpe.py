@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ONE_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
 #: Entries of the tables of pieces and of fragments in a worker; a full one is kept as the last while a new one fills.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -183,12 +183,16 @@ def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...]
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(shared.value)
         for texts in batches:
-            coded = [bpe.pieces_of(t or "") for t in texts]
-            yield pd.DataFrame({o: pd.Series([OUTPUTS[o][1](*c) for c in coded], dtype=None if coded else object) for o in outputs})
-
-    of, made = F.pandas_udf(run, returnType=f"struct<{kinds}>"), fresh(docs, "bpe")
-    out = docs.withColumn(made, of(F.col(text)))
-    return out.select(*columns_but(docs, *outputs), *[F.col(f"{made}.{o}") for o in outputs])
+            made: dict[str, list] = {o: [] for o in outputs}
+            for t in texts:
+                ids, data = bpe.pieces_of(t or "")  # of one text at a time, as they are as long as it is
+                for o in outputs:
+                    made[o].append(OUTPUTS[o][1](ids, data))
+            yield pd.DataFrame({o: pd.Series(values, dtype=None if values else object) for o, values in made.items()})
+
+    coded = fresh(docs, "bpe")
+    out = docs.withColumn(coded, F.pandas_udf(run, returnType=f"struct<{kinds}>")(F.col(text)))
+    return out.select(*columns_but(docs, *outputs), *[F.col(f"{coded}.{o}") for o in outputs])
 
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
