@@ -19,7 +19,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ONE_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
 #: Entries of the tables of pieces and of fragments in a worker; a full one is kept as the last while a new one fills.
-REMEMBERED = 75_000
+REMEMBERED = 60_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -66,9 +66,9 @@ class Bpe:
         byte_of = byte_symbols()
         raw = lambda token: bytes(byte_of[c] for c in token)
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in byte_of for c in t)}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         for text in self.special:
-            vocab.pop(text.encode(), None)
+            vocab.pop(text, None)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         pairs = [(raw(a), raw(b)) for a, b in merges]
         self.rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
@@ -81,7 +81,7 @@ class Bpe:
             one = getattr(merger, "_encode_single_piece", None)
             if one is not None and all(one(t) == [r] for r, t in enumerate(order)) and all(self.merged(a + b) == [a + b] for a, b in pairs):
                 self.by_ranks = one
-        self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         inside = {(t[i], t[i + 1]) for t in vocab for i in range(len(t) - 1)}
         self.forced = {(x, y) for x in range(256) for y in range(256)} - inside
         # white space before which a cut is forced after all but a few bytes; those few are never cut there
@@ -92,7 +92,7 @@ class Bpe:
         marks = [x for x in b",.;:!?)" if all((y, x) in self.forced for y in LETTERS)]
         before = b"[%b]*[A-Za-z]++(?=[%b])|" % (blank, b"".join(b"\\x%02x" % x for x in marks)) if marks else b""
         self.split_text = re.compile(b"%b[%b]*[^%b]+%b|[%b]+" % (before, blank, blank, joined, blank)).findall if space else (lambda t: [t] if t else [])
-        self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
+        self.split_special = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")").split if self.special else None
         self.split_piece = regex.compile(PATTERN).findall
         self.pieces, self.fragments = Remembered(self._piece), Remembered(self._fragment)
 
@@ -128,18 +128,18 @@ class Bpe:
             found.append(self.fragments[data[lo:]])
         return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
 
-    def pieces_of(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, the bytes that they decode to) of a whole text."""
+    def pieces_of(self, text: bytes) -> tuple[bytes, bytes]:
+        """(ids as little-endian 32-bit integers, the bytes that they decode to) of a whole text in UTF-8."""
         if self.split_special is None or not any(t in text for t in self.special):
-            parts = [self.pieces[x] for x in self.split_text(text.encode())]
+            parts = [self.pieces[x] for x in self.split_text(text)]
         else:
             parts = []
             for i, part in enumerate(self.split_special(text)):
-                parts += [self._packed([self.special[part]])] if i % 2 else [self.pieces[x] for x in self.split_text(part.encode())]
+                parts += [self._packed([self.special[part]])] if i % 2 else [self.pieces[x] for x in self.split_text(part)]
         return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.pieces_of(text)[0], "<u4").tolist()
+        return np.frombuffer(self.pieces_of(text.encode())[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids are left out, and bytes that are no UTF-8 become U+FFFD."""
@@ -158,13 +158,19 @@ def loaded(vocabulary: str) -> Bpe:
     return _loaded[key]
 
 
-#: What bpe_columns can make of a text: name -> (Spark type, function of the packed ids and the bytes they decode to).
+def _lists(packed: list[bytes]) -> pa.Array:
+    """An array of lists of 32-bit integers from their bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+#: What bpe_columns can make of a text: name -> (Spark type, function of the packed ids and the bytes they decode to, array).
 OUTPUTS = {
-    "ids": ("array<int>", lambda ids, data: np.frombuffer(ids, "<u4").astype(np.int32)),
-    "decoded": ("string", lambda ids, data: data.decode("utf-8", "replace")),
-    "n_tokens": ("bigint", lambda ids, data: len(ids) // 4),
-    "ids_sha256": ("string", lambda ids, data: hashlib.sha256(ids).hexdigest()),
-    "decoded_sha256": ("string", lambda ids, data: hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()),
+    "ids": ("array<int>", lambda ids, data: ids, _lists),
+    "decoded": ("string", lambda ids, data: data.decode("utf-8", "replace"), lambda x: pa.array(x, pa.string())),
+    "n_tokens": ("bigint", lambda ids, data: len(ids) // 4, lambda x: pa.array(x, pa.int64())),
+    "ids_sha256": ("string", lambda ids, data: hashlib.sha256(ids).hexdigest(), lambda x: pa.array(x, pa.string())),
+    "decoded_sha256": ("string", lambda ids, data: hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest(), lambda x: pa.array(x, pa.string())),
 }
 
 
@@ -180,18 +186,19 @@ def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...]
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = ", ".join(f"{o}: {OUTPUTS[o][0]}" for o in outputs)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(shared.value)
         for texts in batches:
             made: dict[str, list] = {o: [] for o in outputs}
-            for t in texts:
-                ids, data = bpe.pieces_of(t or "")  # of one text at a time, as they are as long as it is
+            for t in texts:  # texts stay in Arrow's memory; one at a time is taken out
+                data = t.as_buffer()
+                coded = bpe.pieces_of(b"" if data is None else data.to_pybytes())
                 for o in outputs:
-                    made[o].append(OUTPUTS[o][1](ids, data))
-            yield pd.DataFrame({o: pd.Series(values, dtype=None if values else object) for o, values in made.items()})
+                    made[o].append(OUTPUTS[o][1](*coded))
+            yield pa.StructArray.from_arrays([OUTPUTS[o][2](made[o]) for o in outputs], names=list(outputs))
 
     coded = fresh(docs, "bpe")
-    out = docs.withColumn(coded, F.pandas_udf(run, returnType=f"struct<{kinds}>")(F.col(text)))
+    out = docs.withColumn(coded, F.arrow_udf(run, returnType=f"struct<{kinds}>")(F.col(text)))
     return out.select(*columns_but(docs, *outputs), *[F.col(f"{coded}.{o}") for o in outputs])
 
 
