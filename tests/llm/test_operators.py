@@ -355,6 +355,21 @@ def test_bpe_equals_the_library(docs, empty, rows):
     assert all(b"".join(m).decode() == t for m, t in zip(merges, ("hello", " thethe", "xqzj", "é"), strict=True))
 
 
+def test_bpe_tables_hold_short_keys_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 20_000)
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        ours, rng = bpe.Bpe(f.read()), random.Random(5)
+    theirs = tokenizers.Tokenizer.from_file(path)
+    for length in (4_000, 10, 3):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(length)) + " " + "".join(rng.choice("abcdefgh ") for _ in range(2_000))
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    for remembered in (ours.pieces, ours.fragments):
+        assert remembered and all(len(k) <= bpe.LONGEST_KEY for k in remembered)
+        assert sum(bpe.ENTRY_BYTES + len(k) + len(v[0]) + len(v[1]) for k, v in remembered.items()) <= 21_000
+
+
 def test_audio_round_trip_and_resynchronisation(docs, empty, rows):
     got = {r.doc_id: r for r in audio_media.media_digests(docs).collect()}
     for i, t in {r[0]: r[1] for r in rows}.items():

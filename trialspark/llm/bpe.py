@@ -7,7 +7,7 @@ side: it ends a run of letters there, and begins anew without a look behind. Eac
 cut again at every forced pair, and its fragments are merged independently. The ids of a text are the concatenation.
 Fragments are merged by tiktoken's merge of one piece over this vocabulary's ranks, if every token is what its own bytes
 merge to, which is tried when the vocabulary is loaded; or else by the merge list, pair by pair.
-Pieces and fragments are remembered in tables of bounded size, which only save time.
+Short pieces and fragments are remembered in tables of TABLE_BYTES, which only save time.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from trialspark.llm.common import columns_but, fresh
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ONE_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
-#: Entries of the tables of pieces and of fragments in a worker; a full one is kept as the last while a new one fills.
-REMEMBERED = 60_000
+#: Bytes of a table of pieces or of fragments in a worker, what an entry takes beside its strings, and the longest key
+#: that is remembered. A full table is kept as the last while a new one fills, so a worker holds four times TABLE_BYTES.
+TABLE_BYTES, ENTRY_BYTES, LONGEST_KEY = 16 * 2**20, 280, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -43,18 +44,22 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """What make() gives for keys, in a table of bounded size beside the one before it."""
+    """What make() gives for short keys, in a table of TABLE_BYTES beside the one before it; longer keys are made each time."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.last = make, {}
+        self.make, self.last, self.room = make, {}, TABLE_BYTES
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.last = dict(self)
-            self.clear()
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         found = self.last.get(key)
-        self[key] = found = self.make(key) if found is None else found
+        found = self.make(key) if found is None else found
+        self.room -= ENTRY_BYTES + len(key) + len(found[0]) + len(found[1])
+        if self.room < 0:
+            self.last, self.room = dict(self), TABLE_BYTES
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -203,5 +208,8 @@ def bpe_columns(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...]
 
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """One row a document: token count and digests of its ids and of the text decoded from them."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): one row a document, as bpe_columns() encodes its whole text.
+
+    Null text counts as empty; repeated rows and null ids stay; other columns are ignored; an empty table gives an empty table.
+    """
     return bpe_columns(docs.select("doc_id", "text"), vocabulary_path, ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
