@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import bpe, line_quality, near_duplicates, secret_scan, source_mix
-from trialspark.llm.common import stored, table
+from trialspark.llm.common import scratch, table
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again before the next."""
+    """The stages over documents, each written and read again before the next.
+
+    What a stage stores on its way goes when it is written, and its own table when all but the last stage are done.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch(spark) as last:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as own:
+                docs = own.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last.paths |= own.paths
     return STAGES[-1][1](spark, docs, sf_dir)
