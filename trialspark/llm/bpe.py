@@ -80,12 +80,12 @@ class Bpe:
         order = [bytes([i]) for i in range(256)] + [a + b for a, b in pairs]
         self.id_of, self.id_of_rank = vocab, [vocab[t] for t in order]
         # a merge's rank is its place; where every token is what its own bytes merge to, ranks of tokens suffice
-        self.by_ranks = None
+        self.by_ranks, self.merger, self.ids_of_ranks = None, None, np.array(self.id_of_rank, "<u4")
         if len(set(order)) == len(order):
             merger = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
             one = getattr(merger, "_encode_single_piece", None)
             if one is not None and all(one(t) == [r] for r, t in enumerate(order)) and all(self.merged(a + b) == [a + b] for a, b in pairs):
-                self.by_ranks = one
+                self.by_ranks, self.merger = one, merger
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         inside = {(t[i], t[i + 1]) for t in vocab for i in range(len(t) - 1)}
         self.forced = {(x, y) for x in range(256) for y in range(256)} - inside
@@ -143,6 +143,19 @@ class Bpe:
                 parts += [self._packed([self.special[part]])] if i % 2 else [self.pieces[x] for x in self.split_text(part)]
         return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
+    def packed_ids(self, text: bytes) -> bytes:
+        """The ids of a whole text in UTF-8, as little-endian 32-bit integers."""
+        if self.split_special is None or not any(t in text for t in self.special):
+            pieces = self.pieces
+            return b"".join([pieces[x][0] for x in self.split_text(text)])
+        return self.pieces_of(text)[0]
+
+    def unsplit_ids(self, text: str) -> bytes:
+        """packed_ids() by the merging library over whole texts, without forced cuts, where its merges are exact."""
+        if self.merger is None or any(t.decode() in text for t in self.special):
+            return self.packed_ids(text.encode())
+        return self.ids_of_ranks[self.merger.encode_ordinary(text)].tobytes() if text else b""
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.pieces_of(text.encode())[0], "<u4").tolist()
 

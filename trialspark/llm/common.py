@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters that are neither a blank nor one of U+0009 to U+000D.
@@ -19,6 +19,8 @@ HOT_KEYS = 1_000
 _own_folder: list[str] = []
 #: Paths of stored tables that are still there.
 _stored: dict[str, SparkSession] = {}
+#: Names of those that are tables of the session's catalog.
+_tables: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +57,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return _written(df, label)[1]
 
 
+def stored_buckets(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """stored() in a table bucketed by columns, one file a bucket: joins and groupings by them read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    _stored[path] = spark
+    _tables[path] = name
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _remove(paths: list[str]) -> None:
     for path in paths:
         spark = _stored.pop(path, None)
         if spark is not None and spark.sparkContext._jsc is not None:
+            if path in _tables:
+                spark.sql(f"drop table if exists {_tables.pop(path)}")
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -109,6 +125,23 @@ def joined_copies(rows: DataFrame, table: DataFrame, key: str, weight: str, spre
     return named.join(others, F.col(by) == F.col(k), "left").withColumn(name, F.coalesce(hot, cold)).drop(k, by, hot, cold)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], label: str, name: str = "rank") -> DataFrame:
+    """df, stored, with `name`: the place from 0 of each row among the rows of its keys, in that order.
+
+    Rows are sorted in ranges of keys and order together, so a key that many rows have goes over many tasks; a row's
+    place is its place in its range and what earlier ranges hold of the key. The table of keys and ranges is broadcast:
+    keys must have a bounded number of values. Rows that are equal in keys and order have places in any order.
+    """
+    at, part, first, before = (fresh(df, x) for x in ("ranked_at", "ranked_part", "ranked_first", "ranked_before"))
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = stored(ordered.withColumn(at, F.monotonically_increasing_id()), label).withColumn(part, F.shiftright(at, 33))
+    ranges = rows.groupBy(*keys, part).agg(F.min(at).alias(first), F.count("*").alias(before))
+    until = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn(before, F.coalesce(F.sum(before).over(until), F.lit(0)))
+    placed = rows.join(F.broadcast(ranges), [*keys, part])
+    return placed.withColumn(name, F.col(at) - F.col(first) + F.col(before)).select(*[f"`{c}`" for c in df.columns], name)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row: the optimizer never copies what a lambda binds."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, shard_packing, source_mix, url_templates
+from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, sequence_packing, shard_packing, sharded_lloyd, source_mix, url_templates
 from trialspark.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op10_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_best_fit_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_chat_format": op2_chat_format,
@@ -64,6 +72,8 @@ QUERIES = {
     "op8_line_quality": op8_line_quality,
     "op9_source_mix": op9_source_mix,
     "op10_forced_bpe": op10_forced_bpe,
+    "op11_best_fit_sequences": op11_best_fit_sequences,
+    "op12_sharded_lloyd": op12_sharded_lloyd,
 }
 ORACLES = {
     "op1_url_templates": url_templates.SQL,
@@ -71,4 +81,5 @@ ORACLES = {
     "op3_secret_automaton": secret_scan.SQL,
     "op8_line_quality": line_quality.SQL.format(docs="documents"),
     "op9_source_mix": source_mix.SQL,
+    "op12_sharded_lloyd": sharded_lloyd.SQL,
 }
