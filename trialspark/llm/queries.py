@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import audio_media, bpe, chat_format, language_id, line_quality, near_duplicates, secret_scan, sequence_packing, shard_packing, sharded_lloyd, source_mix, url_templates
+from trialspark.llm import audio_media, bpe, chat_format, language_id, lexical_search, line_quality, near_duplicates, secret_scan, sequence_packing, shard_packing, sharded_lloyd, source_mix, url_templates
 from trialspark.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_lloyd.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_chat_format": op2_chat_format,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_forced_bpe": op10_forced_bpe,
     "op11_best_fit_sequences": op11_best_fit_sequences,
     "op12_sharded_lloyd": op12_sharded_lloyd,
+    "op13_best_positions": op13_best_positions,
 }
 ORACLES = {
     "op1_url_templates": url_templates.SQL,
@@ -82,4 +87,5 @@ ORACLES = {
     "op8_line_quality": line_quality.SQL.format(docs="documents"),
     "op9_source_mix": source_mix.SQL,
     "op12_sharded_lloyd": sharded_lloyd.SQL,
+    "op13_best_positions": lexical_search.SQL,
 }
