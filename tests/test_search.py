@@ -238,12 +238,6 @@ def test_selection_intervals_draw_as_a_plain_loop_does(spark):
         selection.all_comparisons(frame, [("a", "a")])
 
 
-def test_exact_intervals_refuse_groups_without_bound(spark, monkeypatch):
-    monkeypatch.setattr(bootstrap, "MAX_VALUES", 10)
-    with pytest.raises(ValueError, match="11 values"):
-        bootstrap.exact_intervals(spark.range(11).selectExpr("1 as g", "id", "double(id) as v"), ["g"], "v", "id", F.lit(0))
-
-
 def test_hashed_intervals_against_a_loop(spark):
     import hashlib
 

@@ -1,6 +1,6 @@
 """Percentile intervals of a mean by resampling.
 
-`exact_intervals` repeats a seeded generator's draws, one interval a row, in parallel over intervals. `hashed_intervals`
+`exact_intervals` repeats a seeded generator's draws, in parallel over intervals and over parts of large ones. `hashed_intervals`
 draws blocks of rows by a hash that any engine shares and stays in DataFrame operations, however many rows a group has.
 For 0/1 values over many tasks, `binomial_intervals` draws the resampled sum directly: it is a binomial variable.
 """
@@ -12,67 +12,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-LOW, HIGH = 0.025, 0.975
-#: Values of a group that exact_intervals() takes, random words made at a time, and blocks of a group that are resampled.
-MAX_VALUES, WORDS, BLOCKS = 200_000, 1_000_000, 256
-
-
-def draws(n: int, count: int, seed: int) -> Iterator[np.ndarray]:
-    """Runs of `count` numbers below n, as the standard generator's randrange(n) gives them one after the other.
+from trialspark.operators import ranges
 
-    That takes the leading bits of its next word of 32 bits and drops results of n or more; here words come in runs.
+LOW, HIGH = 0.025, 0.975
+#: Random words made at a time, and blocks of a group that hashed_intervals() resamples.
+WORDS, BLOCKS = 1_000_000, 256
+#: Draws of a task, and values of a group that a task holds.
+DRAWS, VALUES = 2**27, 2**20
+
+
+class Words:
+    """The standard generator's words of 32 bits from a state on, in runs; its randrange(n) takes the leading bits of the
+    next word and drops results of n or more."""
+
+    def __init__(self, state: np.ndarray):
+        """state holds the generator's 624 words and its position."""
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": state[:-1].astype(np.uint32), "pos": int(state[-1])}}
+        self.made = np.random.Generator(self.bits)
+
+    @staticmethod
+    def seeded(seed: int) -> Words:
+        return Words(np.array(random.Random(seed).getstate()[1], np.uint32))
+
+    def state(self) -> np.ndarray:
+        own = self.bits.state["state"]
+        return np.array([*own["key"], own["pos"]], np.uint32)
+
+    def below(self, n: int, words: int) -> np.ndarray:
+        """The numbers below n that the next `words` words give."""
+        drawn = self.made.integers(0, 2**32, words, dtype=np.uint32) >> np.uint32(32 - n.bit_length())
+        return drawn[drawn < n]
+
+    def draws(self, n: int, count: int, skip: int = 0) -> Iterator[np.ndarray]:
+        """Runs of `count` numbers below n, after `skip` of them."""
+        while count > 0:
+            drawn = self.below(n, min(WORDS, 2 * (count + skip) + 64))
+            own = drawn[skip : skip + count]
+            skip, count = max(0, skip - len(drawn)), count - len(own)
+            if len(own):
+                yield own
+
+
+def parts_of(n: int, resamples: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(first resample, resamples, state, skip) of each part of about DRAWS draws of a group of n values.
+
+    A part starts at the state before the run of words that holds its first draw, and skips what the run gave earlier
+    parts. Words are made one after the other and only counted here; drawing from the values is the parts' work.
     """
-    state = random.Random(seed).getstate()[1]
-    words = np.random.MT19937()
-    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    bits = n.bit_length()
-    while count > 0:
-        made = words.random_raw(min(WORDS, 2 * count + 64)) >> np.uint64(32 - bits)
-        made = made[made < n][:count]
-        count -= len(made)
-        yield made.astype(np.int64)
+    each = max(1, DRAWS // n)
+    words, done = Words.seeded(seed), 0
+    yield 0, min(each, resamples), words.state(), 0
+    starts = iter(range(each, resamples, each))
+    start = next(starts, None)
+    while start is not None:
+        state = words.state()
+        made = len(words.below(n, WORDS))
+        while start is not None and start * n < done + made:
+            yield start, min(each, resamples - start), state, start * n - done
+            start = next(starts, None)
+        done += made
+
+
+def resampled_sums(values: np.ndarray, low: int, n: int, count: int, words: Words, skip: int) -> np.ndarray:
+    """Sums of `count` resamples of n draws over the values that a task holds, which are those from place `low` on."""
+    sums, done, left = np.zeros(count), 0, np.zeros(0)
+    whole = len(values) == n
+    for at in words.draws(n, n * count, skip):
+        if whole:
+            own = values[at]
+        else:  # other places are other tasks' values
+            place = at.astype(np.int64) - low
+            inside = (place >= 0) & (place < len(values))
+            own = np.where(inside, values[np.where(inside, place, 0)], 0.0)
+        drawn = np.concatenate([left, own])
+        full = len(drawn) // n
+        sums[done : done + full] = drawn[: full * n].reshape(full, n).sum(axis=1)
+        done, left = done + full, drawn[full * n :]
+    return sums
+
+
+def _interval(sums: np.ndarray, n: int) -> tuple[float, float]:
+    means = np.sort(sums / n)
+    return float(means[int(LOW * (len(means) - 1))]), float(means[int(HIGH * (len(means) - 1))])
 
 
 def percentile_interval(values: list[float], resamples: int, seed: int) -> tuple[float, float]:
     """Elements int(0.025 (R - 1)) and int(0.975 (R - 1)) of the sorted means of R resamples, in the order of values."""
     if not values:
         return 0.0, 0.0
-    n, own = len(values), np.array(values, float)
-    sums, done, left = np.zeros(resamples), 0, np.zeros(0)
-    for at in draws(n, n * resamples, seed):
-        drawn = np.concatenate([left, own[at]])
-        whole = len(drawn) // n
-        sums[done : done + whole] = drawn[: whole * n].reshape(whole, n).sum(axis=1)
-        done, left = done + whole, drawn[whole * n :]
-    means = np.sort(sums / n)
-    return float(means[int(LOW * (resamples - 1))]), float(means[int(HIGH * (resamples - 1))])
+    return _interval(resampled_sums(np.array(values, float), 0, len(values), resamples, Words.seeded(seed), 0), len(values))
 
 
 def exact_intervals(values: DataFrame, keys: list[str], value: str, position: str, seed: Column, resamples: int = 10_000) -> DataFrame:
-    """(keys, ci_low, ci_high): an interval for each group, over its values in order of position.
+    """(keys, ci_low, ci_high): an interval for each group, over its values in order of position; null values are none.
 
-    A group's values are one task's work: one of more than MAX_VALUES is refused, as binomial and hashed intervals take
-    groups of any size.
+    Groups may have any size. A group's draws are cut into parts of about DRAWS, each with the generator's state at its
+    start, and its values into blocks of VALUES; a part with a block is a task's row, and only sums of resamples meet.
+    No job runs before the query does.
     """
-    point = F.struct(F.col(position).alias("p"), F.col(value).cast("double").alias("v"))
-    seeded = values.withColumn("_seed", seed)
-    sizes = seeded.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest > MAX_VALUES:
-        raise ValueError(f"a group has {largest} values; exact intervals take {MAX_VALUES} at most")
-    lists = seeded.groupBy(*keys).agg(F.min("_seed").alias("_seed"), F.array_sort(F.collect_list(point)).alias("_v"))
-    ready = lists.withColumn("_v", F.transform("_v", lambda x: x["v"]))
-
-    @F.pandas_udf("struct<ci_low:double,ci_high:double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for lists, seeds in batches:
-            rows = [percentile_interval([float(x) for x in v], resamples, int(s)) for v, s in zip(lists, seeds, strict=True)]
-            yield pd.DataFrame(rows, columns=["ci_low", "ci_high"])
-
-    return ready.withColumn("_ci", run("_v", "_seed")).select(*keys, "_ci.*")
+    spark = values.sparkSession
+    seeded = values.where(F.col(value).isNotNull()).select(*keys, F.col(position).alias("_p"), F.col(value).cast("double").alias("_v"), seed.cast("long").alias("_seed"))
+    numbered = ranges.numbered(seeded, keys, "_p", "_at").withColumn("_block", F.floor(F.col("_at") / VALUES).cast("long"))
+    blocks = numbered.groupBy(*keys, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_values"))
+    groups = seeded.groupBy(*keys).agg(F.min("_seed").alias("_seed"), F.count("*").alias("_n"))
+    spread = 4 * spark.sparkContext.defaultParallelism
+    kinds = groups.select(*keys).schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (s, n) in enumerate(zip(batch.column("_seed").to_pylist(), batch.column("_n").to_pylist(), strict=True)):
+                own = batch.select(keys).slice(i, 1)
+                for first, count, state, skip in parts_of(n, resamples, s):
+                    more = {"_n": n, "_first": first, "_count": count, "_skip": skip, "_state": state.astype("<u4").tobytes()}
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([v]) for v in more.values())], names=[*keys, *more])
+
+    shape = T.StructType([*kinds.fields, *T._parse_datatype_string("_n long, _first long, _count long, _skip long, _state binary").fields])
+    parts = groups.repartition(spread, *keys).mapInArrow(cut, shape)
+    work = parts.join(blocks, keys).repartition(spread, *keys, "_first", "_block")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, partial = [], [], []
+            for r in range(batch.num_rows):
+                n, first, count, skip, state, block = (batch.column(c)[r].as_py() for c in ("_n", "_first", "_count", "_skip", "_state", "_block"))
+                own = batch.column("_values")[r].values.to_numpy(zero_copy_only=False)
+                sums = resampled_sums(own, block * VALUES, n, count, Words(np.frombuffer(state, "<u4")), skip)
+                whole = count == resamples and len(own) == n
+                ends = _interval(sums, n) if whole else (None, None)
+                low.append(ends[0])
+                high.append(ends[1])
+                partial.append(None if whole else {"first": first, "block": block, "sums": sums})
+            kept = [batch.column(k) for k in (*keys, "_n")]
+            made = [pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(partial, pa.struct([("first", pa.int64()), ("block", pa.int64()), ("sums", pa.list_(pa.float64()))]))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keys, "_n", "ci_low", "ci_high", "_part"])
+
+    shape = T.StructType([*kinds.fields, *T._parse_datatype_string("_n long, ci_low double, ci_high double, _part struct<first:long,block:long,sums:array<double>>").fields])
+    drawn = work.mapInArrow(draw, shape)
+    ends = drawn.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("ci_low").alias("ci_low"), F.max("ci_high").alias("ci_high"), F.array_sort(F.collect_list("_part")).alias("_parts"))
+
+    @F.pandas_udf("struct<low:double,high:double>")
+    def joined(n: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for size, own in zip(n, parts, strict=True):
+            sums = np.zeros(resamples)
+            for p in own:  # in order of first and block
+                sums[p["first"] : p["first"] + len(p["sums"])] += p["sums"]
+            rows.append(_interval(sums, size) if len(own) else (None, None))
+        return pd.DataFrame(rows, columns=["low", "high"], dtype=float)
+
+    merged = ends.withColumn("_j", joined("_n", "_parts"))
+    return merged.select(*keys, F.coalesce("ci_low", "_j.low").alias("ci_low"), F.coalesce("ci_high", "_j.high").alias("ci_high"))
 
 
 def binomial_intervals(values: DataFrame, keys: list[str], value: str, seed: int = 0, resamples: int = 10_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_rate, pass_at_k, rate
+from trialspark.operators import ranges
 
 MISSING = "unknown"
 
@@ -52,25 +53,25 @@ def solve_rates(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.count("*").alias("n_results"), *[c.alias(n) for n, c in rate_columns().items()])
 
 
-def cost_columns() -> dict[str, Column]:
-    """Medians over the results that have a solution: interpolated, null without one. The oracle's cost is its own attempt's."""
-    median = lambda c: F.percentile(c, 0.5)
-    s, h = F.col("success"), F.col("hidden_success")
-    return {
-        "median_tokens_to_solution": median(F.when(s, F.col("decision_tokens"))),
-        "median_calls_to_solution": median(F.when(s, F.col("decision_verifier_calls"))),
-        "median_tokens_to_hidden_solution": median(F.when(h, F.col("decision_tokens"))),
-        "median_calls_to_hidden_solution": median(F.when(h, F.col("decision_verifier_calls"))),
-        "median_tokens_to_oracle_hidden": median(F.col("oracle_hidden_tokens")),
-        "median_calls_to_oracle_hidden": median(F.col("oracle_hidden_calls")),
-        "median_seconds_to_solution": median(F.when(s, F.col("decision_ms"))) / 1000,
-        "median_seconds_to_hidden_solution": median(F.when(h, F.col("decision_ms"))) / 1000,
-        "median_seconds_to_oracle_hidden": median(F.col("oracle_hidden_ms")) / 1000,
-    }
+#: Costs whose medians over the results with a solution are taken: name -> (which results, cost, unit).
+MEDIANS = {
+    "median_tokens_to_solution": ("success", "decision_tokens", 1),
+    "median_calls_to_solution": ("success", "decision_verifier_calls", 1),
+    "median_tokens_to_hidden_solution": ("hidden_success", "decision_tokens", 1),
+    "median_calls_to_hidden_solution": ("hidden_success", "decision_verifier_calls", 1),
+    "median_tokens_to_oracle_hidden": (None, "oracle_hidden_tokens", 1),
+    "median_calls_to_oracle_hidden": (None, "oracle_hidden_calls", 1),
+    "median_seconds_to_solution": ("success", "decision_ms", 1000),
+    "median_seconds_to_hidden_solution": ("hidden_success", "decision_ms", 1000),
+    "median_seconds_to_oracle_hidden": (None, "oracle_hidden_ms", 1000),
+}
 
 
 def solution_costs(results: DataFrame, keys: list[str]) -> DataFrame:
-    return results.groupBy(*keys).agg(*[c.alias(n) for n, c in cost_columns().items()])
+    """Medians by keys: interpolated, null without a solution. The oracle's cost is its own attempt's."""
+    values = {n: F.when(F.col(of), F.col(cost)) if of else F.col(cost) for n, (of, cost, _) in MEDIANS.items()}
+    out = ranges.medians(results, keys, values)
+    return out.withColumns({n: F.col(n) / unit for n, (_, _, unit) in MEDIANS.items() if unit != 1})
 
 
 def fixed_sample_pass_at_k(results: DataFrame, ks: list[int], keys: list[str]) -> DataFrame:
@@ -82,13 +83,13 @@ def fixed_sample_pass_at_k(results: DataFrame, ks: list[int], keys: list[str]) -
 
 
 def experiment_summary(results: DataFrame, keys: list[str]) -> DataFrame:
-    """One wide aggregate of results by keys: counts, rates, costs, totals."""
+    """Counts, rates, medians of costs and totals of results by keys."""
     seed = F.coalesce(F.col("seed").cast("string"), F.lit(MISSING)) if "seed" in results.columns else F.lit(MISSING)
-    return results.groupBy(*keys).agg(
+    counts = results.groupBy(*keys).agg(
         F.count("*").alias("n_results"),
         F.count_distinct("task_id").alias("n_tasks"),
         F.count_distinct(seed).alias("n_seeds"),
-        *[c.alias(n) for n, c in (rate_columns() | cost_columns()).items()],
+        *[c.alias(n) for n, c in rate_columns().items()],
         F.sum("total_tokens").alias("sum_tokens"),
         F.avg("total_tokens").alias("mean_tokens"),
         F.sum("total_verifier_calls").alias("sum_verifier_calls"),
@@ -96,6 +97,7 @@ def experiment_summary(results: DataFrame, keys: list[str]) -> DataFrame:
         (F.sum("total_ms") / 1000).alias("sum_seconds"),
         (F.avg("total_ms") / 1000).alias("mean_seconds"),
     )
+    return counts.join(solution_costs(results, keys), keys)
 
 
 def pool_diagnostics(candidates: DataFrame, hidden: DataFrame, cap: int, pilot: tuple[int, int] = (5, 4)) -> DataFrame:

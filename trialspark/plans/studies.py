@@ -63,11 +63,11 @@ def run_grid(spark: SparkSession, config: Config, models: list[dict]) -> DataFra
 
 
 def summary_and_decision(results: DataFrame, attempts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """The wide summary with areas by (policy, budget), and the verdict over all budgets."""
-    scores = curves.policy_scores(results, attempts, ["budget_name"])
-    wide = metrics.experiment_summary(results, ["policy_name", "budget_name"]).join(scores.select("policy_name", "budget_name", "token_auc", "verifier_auc"), ["policy_name", "budget_name"])
-    per = curves.budget_comparisons(scores, config.decision_policy, tuple(config.baselines), scores.select("budget_name").distinct())
-    return wide, curves.verdict(curves.policy_scores(results, attempts, []), per, config.decision_policy, tuple(config.baselines))
+    """The wide summary by (policy, budget) with its areas, and the verdict over all budgets, from one pass over costs."""
+    both = curves.scores(results, attempts, [["budget_name"], []])
+    per = both.where("grouping = 0")
+    wide = metrics.experiment_summary(results, ["policy_name", "budget_name"]).join(per.select("policy_name", "budget_name", "token_auc", "verifier_call_auc"), ["policy_name", "budget_name"])
+    return wide, curves.decided(both, config.decision_policy, tuple(config.baselines))
 
 
 def markdown_table(df: DataFrame, order: list[str], limit: int = 200) -> str:

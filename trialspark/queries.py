@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions import pycode, scalars
-from trialspark.operators import bootstrap, clustering, curves, integrity, metrics, policies, replay, selection, tasks, trajectory
+from trialspark.operators import bootstrap, clustering, curves, integrity, metrics, policies, replay, selection, summaries, tasks, trajectory
+from trialspark.plans import studies
 from trialspark.sources import records, views
 from trialspark.sources.views import ATTEMPTS_SQL, CAND_SQL, KS, POOL_SIZE, table
 
@@ -14,6 +15,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 CAND, ATT = f"with {CAND_SQL}", f"with {ATTEMPTS_SQL}"
 RESULT_KEYS = ["task_id", "policy_name", "budget_name"]
+#: Resamples of seeded intervals over all tasks.
+STUDY_RESAMPLES = 2_000
 
 
 def query(sql: str | None = None):
@@ -108,6 +111,26 @@ def exact_intervals_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.exact_intervals(sharded, ["selector_name", "shard"], "selection_regret", "task_id", F.col("shard"))
 
 
+@query()
+def selection_intervals_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of each selector and k with the seeded intervals of plus rate and regret, over all tasks."""
+    observed = _observed(spark, sf_dir)
+    return selection.summaries(observed).join(selection.summary_intervals(observed, seed=7, resamples=STUDY_RESAMPLES), ["selector_name", "k"])
+
+
+@query()
+def selection_comparisons_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of selectors with the seeded intervals of their differences."""
+    return selection.all_comparisons(_observed(spark, sf_dir), selection.default_pairs(["first_sample", "first_base_pass"]), seed=7, resamples=STUDY_RESAMPLES)
+
+
+@query()
+def coverage_gains_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage gains with their seeded intervals."""
+    observed = _observed(spark, sf_dir)
+    return selection.coverage_gains(observed).join(selection.coverage_intervals(observed, seed=7, resamples=STUDY_RESAMPLES), ["k", "reference_k"])
+
+
 _HEAD = "cast('0x' || substr(md5({0}), 1, 8) as bigint)"
 
 
@@ -304,14 +327,14 @@ rel as (select *, decision_rate = 0 and baseline_rate = 0 as z, decision_rate >
 _STATUS = "case when z then 'inconclusive' when ahead and strict then 'promising' when ahead then 'matches_baseline' else 'needs_analysis' end as status, case when z then 'inconclusive' when ahead and strict then 'win' when ahead then 'tie' else 'loss' end as relationship"
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("token",)) -> DataFrame:
     attempted = _attempts(spark, sf_dir)
-    return curves.policy_scores(views.results(attempted), attempted, ["budget_name"])
+    return curves.policy_scores(views.results(attempted), attempted, ["budget_name"], kinds=kinds)
 
 
 @query(f"{SCORES} select budget_name, policy_name, n, solve_rate, round(token_auc, 6) as token_auc from scores")
 def policy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).drop("metric_scope", "verifier_auc", "time_auc").withColumn("token_auc", F.round("token_auc", 6))
+    return _scores(spark, sf_dir).drop("metric_scope").withColumn("token_auc", F.round("token_auc", 6))
 
 
 def _area_sql(cost: str, cumulative: str) -> str:
@@ -323,26 +346,27 @@ from ({_area_sql("decision_tokens", "cumulative_tokens")}) t join ({_area_sql("d
 join ({_area_sql("decision_ms", "cumulative_ms")}) s using (budget_name, policy_name)""")
 def policy_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas of each policy by tokens, calls and seconds, over the successes that the data's own scope names."""
-    rounded = [F.round(c, 6).alias(c) for c in ("token_auc", "verifier_auc", "time_auc")]
-    return _scores(spark, sf_dir).select("budget_name", "policy_name", "metric_scope", *rounded)
+    rounded = [F.round(c, 6).alias(n) for n, c in (("token_auc", "token_auc"), ("verifier_auc", "verifier_call_auc"), ("time_auc", "time_auc"))]
+    return _scores(spark, sf_dir, tuple(curves.COSTS)).select("budget_name", "policy_name", "metric_scope", *rounded)
 
 
 @query(f"{SCORES} select budget_name, policy_name, n, solve_rate, round(token_auc, 6) as token_auc from best")
 def best_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.best_baseline(_scores(spark, sf_dir), ["budget_name"], views.BASELINES).drop("metric_scope", "verifier_auc", "time_auc").withColumn("token_auc", F.round("token_auc", 6))
+    return curves.best_baseline(_scores(spark, sf_dir), ["budget_name"], views.BASELINES).drop("metric_scope").withColumn("token_auc", F.round("token_auc", 6))
+
+
+def _compared(scores: DataFrame) -> DataFrame:
+    return curves.budget_comparisons(scores, views.DECISION_POLICY, views.BASELINES)
 
 
 @query(f"{SCORES} select budget_name, decision_rate, round(decision_auc, 6) as decision_auc, baseline, baseline_rate, round(baseline_auc, 6) as baseline_auc, {_STATUS} from rel")
 def budget_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(spark, sf_dir)
-    out = curves.budget_comparisons(scores, views.DECISION_POLICY, views.BASELINES, scores.select("budget_name").distinct())
-    return out.withColumns({c: F.round(c, 6) for c in ("decision_auc", "baseline_auc")})
+    return _compared(_scores(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("decision_auc", "baseline_auc")})
 
 
 @query(f"{SCORES} select budget_name, case when decision_rate > baseline_rate or (decision_rate = baseline_rate and decision_auc > baseline_auc) then 'win' when decision_rate = baseline_rate and decision_auc = baseline_auc then 'tie' else 'loss' end as relationship from cmp")
 def portfolio_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(spark, sf_dir)
-    out = curves.budget_comparisons(scores, views.DECISION_POLICY, views.BASELINES, scores.select("budget_name").distinct())
+    out = _compared(_scores(spark, sf_dir))
     return out.select("budget_name", curves.portfolio_relationship(*map(F.col, ("decision_rate", "decision_auc", "baseline_rate", "baseline_auc"))).alias("relationship"))
 
 
@@ -362,13 +386,74 @@ from ({_ALL} select 'purchase' as decision, baseline, decision_rate, round(decis
 ({SCORES} select count(*) filter (relationship = 'win') as win, count(*) filter (relationship = 'tie') as tie, count(*) filter (relationship = 'loss') as loss, count(*) filter (relationship in ('inconclusive', 'unknown')) as unresolved
   from (select {_STATUS} from rel))""")
 def decision_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets one by one and all together, as two grouping sets of one pass."""
     attempted = _attempts(spark, sf_dir)
-    result = views.results(attempted)
-    per = budget_comparisons(spark, sf_dir)
-    out = curves.verdict(curves.policy_scores(result, attempted, []), per, views.DECISION_POLICY, views.BASELINES)
+    both = curves.scores(views.results(attempted), attempted, [["budget_name"], []], ("token",))
+    out = curves.decided(both, views.DECISION_POLICY, views.BASELINES)
     return out.withColumns({c: F.round(c, 6) for c in ("decision_auc", "baseline_auc")})
 
 
+def _area_ctes(name: str, cost: str, cumulative: str, solved: str) -> str:
+    """The area of each group and policy of relations ga (attempts) and gr (results) with a column grp."""
+    return f"""
+{name}_p as (select t.grp, t.policy_name, g.budget, 0 as c, 1 as g from (select distinct grp, policy_name from gr) t
+      join (select distinct grp, {cumulative} as budget from ga union select distinct grp, 0 from ga) g on t.grp = g.grp
+    union all select grp, policy_name, {cost}, count(*), 0 from gr where {solved} and {cost} is not null group by all),
+{name}_r as (select grp, policy_name, budget, max(g) as g, sum(sum(c)) over (partition by grp, policy_name order by budget) as reached from {name}_p group by grp, policy_name, budget),
+{name}_c as (select grp, policy_name, budget, reached / n as rate from {name}_r join (select grp, policy_name, count(*) as n from gr group by all) using (grp, policy_name) where g = 1),
+{name}_d as (select *, lead(budget) over w - budget as dx, (lead(rate) over w + rate) / 2 as y from {name}_c window w as (partition by grp, policy_name order by budget)),
+{name} as (select grp, policy_name, round(coalesce(sum(dx * y), 0), 6) as auc from {name}_d group by all)"""
+
+
+_AREAS = ",".join(
+    _area_ctes(f"{scope}_{kind}", f"decision_{cost}", f"cumulative_{cost}", solved) for scope, solved in (("public", "success"), ("hidden", "hidden_success")) for kind, cost in (("token", "tokens"), ("verifier_call", "verifier_calls"))
+)
+_AREA_JOINS = " ".join(f"join {scope}_{kind} on r.grp = {scope}_{kind}.grp and r.policy_name = {scope}_{kind}.policy_name" for scope in ("public", "hidden") for kind in ("token", "verifier_call"))
+_COUNTED = """count(*) as number_of_results, avg(cast(success as integer)) as public_solve_rate, avg(cast(hidden_success as integer)) as hidden_solve_rate, avg(cast(oracle_hidden_success as integer)) as oracle_hidden_solve_rate,
+    avg(cast(success as integer)) - avg(cast(hidden_success as integer)) as public_hidden_gap, avg(cast(success and not hidden_success as integer)) as overfit_rate,
+    count(*) filter (success) as solved_count, count(*) filter (hidden_success) as hidden_solved_count, count(*) filter (oracle_hidden_success) as oracle_hidden_solved_count,
+    median(decision_tokens) filter (success) as mp, median(decision_tokens) filter (hidden_success) as mh"""
+
+
+@query(f"""{ATT}, ga as (select *, budget_name as grp from attempts union all select *, 'all' from attempts), gr as (select *, budget_name as grp from results union all select *, 'all' from results),{_AREAS},
+r as (select grp, policy_name, {_COUNTED} from gr group by all)
+select cast(case when r.grp = 'all' then 1 else 0 end as int) as grouping, nullif(r.grp, 'all') as budget_name, r.policy_name, 'hidden' as metric_scope, number_of_results, hidden_solve_rate as solve_rate, hidden_token.auc as token_auc,
+  hidden_verifier_call.auc as verifier_call_auc, mh as median_tokens_to_solution, public_solve_rate, hidden_solve_rate, oracle_hidden_solve_rate, public_hidden_gap, overfit_rate, public_token.auc as public_token_auc,
+  hidden_token.auc as hidden_token_auc, public_verifier_call.auc as public_verifier_call_auc, hidden_verifier_call.auc as hidden_verifier_call_auc, mp as median_tokens_to_public_solution, mh as median_tokens_to_hidden_solution,
+  solved_count, hidden_solved_count, oracle_hidden_solved_count from r {_AREA_JOINS}""")
+def policy_score_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the policies' scores, by budget and over all budgets."""
+    attempted = _attempts(spark, sf_dir)
+    out = curves.scores(views.results(attempted), attempted, [["budget_name"], []])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_auc")})
+
+
+_MODELS = "'m' || task_id % 2 as model_name, 'id' || task_id % 2 as model_id, case when task_id % 2 = 0 then 'small' else 'unknown' end as model_tier"
+
+
+@query(f"""{ATT}, ga as (select *, 'm' || task_id % 2 || '/' || budget_name as grp from attempts),
+gr as (select *, 'm' || task_id % 2 || '/' || budget_name as grp, {_MODELS}, case when policy_name = 'view' then 'run' when task_id % 3 = 0 then 'task' end as scope from results),{_AREAS},
+r as (select grp, model_name, model_id, model_tier, policy_name, budget_name, {_COUNTED}, count(distinct task_id) as number_of_tasks, count(distinct task_id % 4) as number_of_seeds,
+    case when count(distinct coalesce(scope, 'unknown')) = 1 then min(coalesce(scope, 'unknown')) else 'mixed' end as policy_state_scope, median(decision_verifier_calls) filter (success) as cp, median(decision_verifier_calls) filter (hidden_success) as ch,
+    cast(sum(total_tokens) as bigint) as total_tokens, cast(sum(total_verifier_calls) as bigint) as total_verifier_calls from gr group by all),
+e as (select grp, policy_name, unnest([1, 2, 4, 8, 16, 18]) as k, total_verifier_calls as n, hidden_correct as c, budget_name from gr),
+pk as (select grp, policy_name, k, avg({PASS_K}) filter (n >= k and budget_name = 'tight') as v from e group by all),
+pw as (select grp, policy_name, {", ".join(f"max(v) filter (k = {k}) as fixed_sample_pass_at_{k}" for k in (1, 2, 4, 8, 16, 18))} from pk group by all)
+select model_name, model_id, model_tier, r.policy_name, budget_name, number_of_results, number_of_tasks, number_of_seeds, policy_state_scope, solved_count, public_solve_rate as solve_rate, public_solve_rate, hidden_solved_count,
+  hidden_solve_rate, oracle_hidden_solved_count, oracle_hidden_solve_rate, pw.* exclude (grp, policy_name), public_hidden_gap, overfit_rate, mp as median_tokens_to_solution, mh as median_tokens_to_hidden_solution,
+  cp as median_verifier_calls_to_solution, ch as median_verifier_calls_to_hidden_solution, public_token.auc as token_auc, public_verifier_call.auc as verifier_call_auc, hidden_token.auc as hidden_token_auc,
+  hidden_verifier_call.auc as hidden_verifier_call_auc, total_verifier_calls as total_attempts, total_tokens, total_verifier_calls from r {_AREA_JOINS} join pw on r.grp = pw.grp and r.policy_name = pw.policy_name""")
+def experiment_summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the summary, by model, policy and budget; the tight budget counts as a fixed sample."""
+    half = F.col("task_id") % 2
+    name = lambda df: df.withColumns({"model_name": F.concat(F.lit("m"), half), "model_id": F.concat(F.lit("id"), half), "model_tier": F.when(half == 0, "small")})
+    attempted = _attempts(spark, sf_dir)
+    scope = F.when(F.col("policy_name") == "view", "run").when(F.col("task_id") % 3 == 0, "task")
+    sampled = {"fixed_sample": F.col("budget_name") == "tight", "truncated": F.lit(False), "graded": F.col("total_verifier_calls"), "seed": F.col("task_id") % 4, "policy_state_scope": scope}
+    out = summaries.full_summary(name(views.results(attempted)).withColumns(sampled), name(attempted))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_auc")})
+
+
 # Replay -------------------------------------------------------------------------------------------------------------
 
 BEST = "bn as (select *, coalesce(max(cast(base_passed as integer)) over (partition by task_id order by candidate_index rows between unbounded preceding and 1 preceding), 0) as before from pool), kept as (select * from bn where before = 0)"
@@ -464,6 +549,23 @@ def trajectory_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.ranking(trajectory_summary(spark, sf_dir))
 
 
+def _study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return studies.trajectory_study(_trajectories(spark, sf_dir), ["4x1", "2x2"], 4, resamples=STUDY_RESAMPLES)
+
+
+@query()
+def trajectory_study_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each width x depth policy with the seeded interval of its hidden rate."""
+    return _study(spark, sf_dir)["policies"]
+
+
+@query()
+def trajectory_study_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies against the first one, with seeded intervals of the differences and the outcome."""
+    study = _study(spark, sf_dir)
+    return study["comparisons"].join(study["confirmations"], ["baseline", "challenger"])
+
+
 @query("select mode as mode, case when difference >= 0.03 and low > 0 then 'strong_confirmation' when difference >= 0.03 then 'suggestive_confirmation' else 'failed_confirmation' end as outcome, n from (select l_shipmode as mode, avg(l_discount) - 0.02 as difference, min(l_discount) - 0.001 as low, count(*) as n from lineitem group by 1)".replace("l_shipmode as mode", "l_linestatus as mode"))
 def confirmation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("mode")).agg((F.avg("l_discount") - 0.02).alias("d"), (F.min("l_discount") - 0.001).alias("low"), F.count("*").alias("n"))
