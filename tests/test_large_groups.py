@@ -133,3 +133,36 @@ def test_building_a_query_starts_no_job(spark, sf):
         stages = [s for j in jobs for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else [])]
         assert all("parquet" in tracker.getStageInfo(s).name for s in stages if tracker.getStageInfo(s)) and before, name
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_wall_follows_attributes(spark):
+    from trialspark.plans.hidden import HiddenLabelError, carried_names, public_only
+
+    local = spark.sql("select task_id, plus_passed as base_passed from values (1, true), (2, false) as t(task_id, plus_passed)")
+    with pytest.raises(HiddenLabelError, match="plus_passed"):
+        public_only(local)
+    table = spark.createDataFrame([(1, True, False, 3)], "task_id long, base_passed boolean, plus_passed boolean, surplus long")
+    assert public_only(table.select("task_id", "base_passed", "surplus")).columns == ["task_id", "base_passed", "surplus"]
+    unused = table.withColumn("plus_rank", F.col("plus_passed").cast("int") + 1).drop("plus_rank", "plus_passed")
+    assert "plus_passed" not in carried_names(unused) and public_only(unused).count() == 1
+    grouped = table.groupBy("task_id").agg(F.max("plus_passed").alias("best"), F.max("base_passed").alias("base"))
+    assert public_only(grouped.select("task_id", "base")).count() == 1
+    table.createOrReplaceTempView("wall_table")
+    leaks = {
+        "renamed": table.select("task_id", F.col("plus_passed").alias("ok")),
+        "filtered": table.where("plus_passed").select("task_id"),
+        "aggregated": grouped.select("task_id", "best"),
+        "joined": table.select("task_id").join(table.where("not plus_passed").select(F.col("task_id").alias("t")), F.col("task_id") == F.col("t")).select("task_id"),
+        "sorted": table.orderBy("plus_passed").select("task_id"),
+        "united": table.select("task_id", "base_passed").union(table.select("task_id", "plus_passed")),
+        "ranked": spark.sql("select task_id, row_number() over (order by plus_passed) as r from wall_table"),
+        "subquery": spark.sql("select task_id, (select max(plus_passed) from wall_table) as m from wall_table"),
+        "exists": spark.sql("select task_id from wall_table a where exists (select 1 from wall_table b where a.task_id = b.task_id and b.plus_passed)"),
+        "cte": spark.sql("with c as (select task_id, plus_passed as x from wall_table) select task_id, x from c"),
+        "exploded": table.select("task_id", F.explode(F.array("plus_passed")).alias("x")),
+        "cached": table.select("task_id", F.col("plus_passed").alias("y")).cache(),
+    }
+    for name, df in leaks.items():
+        with pytest.raises(HiddenLabelError):
+            public_only(df)
+            pytest.fail(name)
