@@ -141,7 +141,8 @@ def packed(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
     """
     spark = docs.sparkSession
     with scratch(spark) as kept:
-        left = ranked(pieces(docs, vocabulary_path, capacity), ["length"], [F.col("doc_id"), F.col("piece")], "pack-pieces")
+        cut = stored(pieces(docs, vocabulary_path, capacity), "pack-cut")  # sorting reads its input twice
+        left = ranked(cut, ["length"], [F.col("doc_id"), F.col("piece")], "pack-pieces")
         ends = _counts(left, "length")
         taken, rows, sequences = dict.fromkeys(ends, 0), sum(ends.values()), 0
         gaps = spark.createDataFrame([], "sequence_id long, gap long")
