@@ -12,6 +12,19 @@ def broken(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFram
     return df.select(*keys, F.explode(failed).alias("rule"))
 
 
+def guarded(rows: DataFrame, violations: DataFrame, what: str) -> DataFrame:
+    """rows as they are, if there are no violations; or else reading them raises an error that counts them and shows one.
+
+    The check is part of the plan: violations are counted in one aggregate, whose single row is joined to rows, so that
+    nothing runs before the query does.
+    """
+    shown = F.to_json(F.struct(*[f"`{c}`" for c in violations.columns]))
+    one = violations.agg(F.count("*").alias("_violations"), F.min(shown).alias("_shown"))
+    told = F.concat(F.lit(f"{what}: "), F.col("_violations").cast("string"), F.lit(" violations, such as "), F.col("_shown"))
+    fine = F.when(F.col("_violations") == 0, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+    return rows.join(F.broadcast(one), fine).drop("_violations", "_shown")  # one row
+
+
 def attempt_accounting(attempts: DataFrame) -> DataFrame:
     """Token sums, cumulative costs at least own ones, public grade equal to the scalar one."""
     c = F.col

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.functions.canonical import canonical_json
 from trialspark.functions.scalars import as_rate, rate
 from trialspark.operators.bootstrap import exact_intervals
+from trialspark.operators.integrity import guarded
 
 GATE_DIFFERENCE, GATE_CALLS, FIXED_CALLS = 0.03, 8, 16
 
@@ -120,16 +124,76 @@ def ranking(summary: DataFrame) -> DataFrame:
     return wide.select(F.row_number().over(order).cast("long").alias("rank"), "pool_id", "hidden_rate", "total_tokens", "total_calls", "width", "depth")
 
 
-ROOT_FIELDS = ("operator", "depth", "input_tokens", "output_tokens", "total_tokens", "code", "base_passed")
+#: What must be equal in roots that policies share, beside the task.
+ROOT_FIELDS = (
+    "candidate_index", "root_index", "depth", "round_index", "operator", "parent_candidate_index", "prompt_sha256", "raw_completion_sha256", "sanitized_code_sha256",
+    "input_tokens", "output_tokens", "total_tokens", "sampling", "status", "verification_passed", "error_type", "public_feedback", "selected",
+)
 
 
-def shared_roots(steps: DataFrame, baseline: str, challenger: str, width: int) -> DataFrame:
-    """(task_id, root_index, same): each root that both pools have, below the challenger's width, on ROOT_FIELDS; nulls match nulls."""
-    roots = steps.where("depth = 0").select("pool_id", "task_id", "root_index", F.struct(*ROOT_FIELDS).alias("record"))
+def shared_roots(steps: DataFrame, baseline: str, challenger: str, width: int, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """(task_id, root_index, same): each root that both pools have, below the challenger's width; nulls match nulls.
+
+    fields are those of ROOT_FIELDS that steps has, or others.
+    """
+    fields = fields or tuple(c for c in ROOT_FIELDS if c in steps.columns)
+    roots = steps.where("depth = 0").select("pool_id", "task_id", "root_index", F.struct(*fields).alias("record"))
     a, b = (roots.where(F.col("pool_id") == p).select("task_id", "root_index", F.col("record").alias(n)) for p, n in ((baseline, "a"), (challenger, "b")))
     return a.where(F.col("root_index") < width).join(b, ["task_id", "root_index"]).select("task_id", "root_index", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
+def root_differences(steps: DataFrame, widths: dict[str, int], fields: tuple[str, ...] = ROOT_FIELDS) -> DataFrame:
+    """(challenger, task_id, root_index, field): where the roots of a pool differ from the first one's.
+
+    widths is pool -> width, the first pool being the baseline; a challenger must have just the baseline's roots below
+    its width, equal in all fields, nulls to nulls. A root that only one side has differs in `missing` or `unexpected`.
+    """
+    pools = list(widths)
+    own = steps.where((F.col("depth") == 0) & F.col("pool_id").isin(pools))
+    json = {f: canonical_json(F.col(f), own.schema[f].dataType) for f in fields}
+    record = F.struct(*[json[f].alias(f) for f in fields])
+    by = own.groupBy("task_id", "root_index").agg(*[F.max(F.when(F.col("pool_id") == p, record)).alias(f"p{i}") for i, p in enumerate(pools)])
+
+    def found(i: int, p: str) -> Column:
+        a, b, inside = F.col("p0"), F.col(f"p{i}"), F.col("root_index") < widths[p]
+        differ = F.array_compact(F.array(*[F.when(a[f] != b[f], F.lit(f)) for f in fields]))
+        wrong = F.when(a.isNotNull() & inside & b.isNull(), F.array(F.lit("missing"))).when(b.isNotNull() & (a.isNull() | ~inside), F.array(F.lit("unexpected"))).otherwise(F.coalesce(differ, F.array().cast("array<string>")))
+        return F.transform(wrong, lambda f: F.struct(F.lit(p).alias("challenger"), f.alias("field")))
+
+    each = F.flatten(F.array(*[found(i, p) for i, p in enumerate(pools) if i]))
+    return by.select("task_id", "root_index", F.explode(each).alias("d")).select("d.challenger", "task_id", "root_index", "d.field")
+
+
+def root_digest(steps: DataFrame, widths: dict[str, int], fields: tuple[str, ...] = ROOT_FIELDS) -> DataFrame:
+    """One row: pool_ids, compared_root_count, unique_root_count and canonical_sha256, the SHA-256 of the shared roots.
+
+    That is of their canonical JSON in order of task and root, one list. A digest is one value of all rows in order: they
+    are sorted with what memory there is and streamed through one task. Reading it raises if roots differ.
+    """
+    pools = list(widths)
+    base = steps.where((F.col("depth") == 0) & (F.col("pool_id") == pools[0]))
+    shared = pools[1:]
+    top = max([widths[p] for p in shared], default=0)
+    kinds = base.select("task_id", *fields).schema
+    own = base.where(F.col("root_index") < top).select("task_id", "root_index", canonical_json(F.struct("task_id", *fields), kinds).alias("json"))
+    compared = sum((F.when(F.col("root_index") < widths[p], 1).otherwise(0) for p in shared), F.lit(0))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, pairs = hashlib.sha256(b"["), 0, 0
+        for batch in batches:
+            pairs += sum(batch.column(1).to_pylist())
+            for text in batch.column(0).to_pylist():
+                digest.update(("," if n else "").encode() + text.encode())
+                n += 1
+        digest.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([n]), pa.array([digest.hexdigest()])], names=["compared_root_count", "unique_root_count", "canonical_sha256"])
+
+    ordered = own.withColumn("compared", compared.cast("long")).repartition(1).sortWithinPartitions("task_id", "root_index").select("json", "compared")
+    one = ordered.mapInArrow(streamed, "compared_root_count long, unique_root_count long, canonical_sha256 string")
+    checked = guarded(one, root_differences(steps, widths, fields), "shared roots")
+    return checked.select(F.array(*map(F.lit, pools)).alias("pool_ids"), "*")
+
+
 def roots_digest(records: list[dict]) -> str:
     """SHA-256 of canonical JSON: keys sorted, no blanks, ASCII; records in order of task and root."""
     ordered = sorted(records, key=lambda r: (r["task_id"], r["root_index"]))

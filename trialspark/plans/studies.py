@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.operators import curves, metrics, trajectory
+from trialspark.sources import lines
 
 
 @dataclass(frozen=True)
@@ -82,12 +83,27 @@ def experiment_report(title: str, summary: DataFrame, decision: DataFrame, failu
     return "\n\n".join(parts) + "\n"
 
 
+def portfolio_failures(spark: SparkSession, pattern: str, name: str) -> DataFrame:
+    """(run, task_id, policy_name, last_error, line, record): the failures of all runs whose folders pattern matches.
+
+    One scan for all runs; fields that only some runs have are in record. Of failures with the same keys, the first in
+    its file stays.
+    """
+    text = lambda f: F.try_variant_get("record", f"$.{f}", "string").alias(f)
+    keys = ["task_id", "policy_name", "last_error"]
+    rows = lines.runs(spark, pattern, name).select("run", "line", "record", *map(text, keys))
+    first = rows.groupBy("run", *keys).agg(F.min("line").alias("line"))
+    return rows.join(first.select("run", "line"), ["run", "line"], "left_semi")
+
+
 def portfolio_report(runs: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> str:
     """Decisions, summaries and failures of several runs; a failure named twice by run, task, policy and error comes once."""
     parts = ["# Portfolio"]
     for name in sorted(runs):
         summary, decision, failures = runs[name]
-        once = failures.dropDuplicates(["task_id", "policy_name", "last_error"])
+        keys = ["task_id", "policy_name", "last_error"]
+        position = [c for c in failures.columns if c not in keys] or keys
+        once = lines.first_of_each(failures, keys, position)
         parts += [f"## {name}", markdown_table(decision, ["decision"]), markdown_table(summary, ["budget_name", "policy_name"]), markdown_table(once, ["task_id", "policy_name"])]
     return "\n\n".join(parts) + "\n"
 

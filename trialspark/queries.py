@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions import pycode, scalars
-from trialspark.operators import bootstrap, clustering, curves, integrity, metrics, policies, replay, selection, summaries, tasks, trajectory
+from trialspark.operators import bootstrap, clustering, curves, graded, integrity, metrics, policies, replay, selection, summaries, tasks, trajectory
 from trialspark.plans import studies
-from trialspark.sources import records, views
+from trialspark.sources import bundles, records, views
+from trialspark.sources.shared import new_path
 from trialspark.sources.views import ATTEMPTS_SQL, CAND_SQL, KS, POOL_SIZE, table
 
 QUERIES: dict = {}
@@ -272,6 +273,36 @@ def graded_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.graded_attempts(made, views.pool_hidden(spark, sf_dir)).select("task_id", "candidate_index", "selected", "hidden_passed")
 
 
+_CONTENT = f"""{CAND}, c as (select task_id, candidate_index, sha256(code) as code_sha256, base_passed, plus_passed from cand),
+g as (select task_id, code_sha256, unnest(['base', 'plus']) as scope, bool_and(base_passed) as b, bool_and(plus_passed) as p from c group by task_id, code_sha256)"""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, grades of all their contents, the grades of an earlier run, which saw each task's first two candidates)."""
+    own = graded.with_digest(views.candidates(spark, sf_dir))
+    scopes = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(c).alias("passed")) for s, c in (("base", "base_passed"), ("plus", "plus_passed"))]))
+    grades = own.groupBy("task_id", "code_sha256").agg(F.bool_and("base_passed").alias("base_passed"), F.bool_and("plus_passed").alias("plus_passed")).select("task_id", "code_sha256", scopes.alias("g")).select("task_id", "code_sha256", "g.*")
+    seen = own.where("candidate_index < 2").select("task_id", "code_sha256").distinct()
+    return own, grades, grades.join(seen, ["task_id", "code_sha256"], "left_semi")
+
+
+@query(f"""{_CONTENT} select task_id, code_sha256, scope from g where (task_id, code_sha256) not in (select (task_id, code_sha256) from c where candidate_index < 2)""")
+def contents_to_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run must grade: contents that no earlier candidate had."""
+    own, _, store = _contents(spark, sf_dir)
+    return graded.to_grade(own, store, ("base", "plus"))
+
+
+@query(f"""{_CONTENT} select c.task_id, candidate_index, b as base_passed, p as plus_passed from c join g on c.task_id = g.task_id and c.code_sha256 = g.code_sha256 and scope = 'base'""")
+def graded_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its content's grades, from the earlier store merged with the grades of what it lacked."""
+    own, grades, store = _contents(spark, sf_dir)
+    todo = graded.to_grade(own, store, ("base", "plus"))
+    whole = graded.merged(store, grades.join(todo, graded.KEYS, "left_semi"))
+    plain = own.select("task_id", "candidate_index", "code_sha256")
+    return graded.attached(graded.attached(plain, whole, "base", "base_passed"), whole, "plus", "plus_passed").drop("code_sha256")
+
+
 # Curves and decisions -----------------------------------------------------------------------------------------------
 
 
@@ -577,6 +608,46 @@ def shared_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.shared_roots(_steps(spark, sf_dir), "4x1", "2x2", 2)
 
 
+def _root_steps(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
+    """Steps with all fields of roots; the second policy's are spoiled where it is asked for."""
+    second = (F.col("pool_id") == "2x2") if spoiled else F.lit(False)
+    task, passed = F.col("task_id"), F.col("base_passed")
+    failed = F.struct(F.lit("fail").alias("status"), F.array("code").alias("failed_inputs"), F.lit(1).cast("long").alias("total_failed_inputs"))
+    sampling = F.struct(F.lit(0.8).alias("temperature"), F.lit(0.95).alias("top_p"), (F.col("candidate_index") + task).alias("seed"), F.array().cast("array<string>").alias("stop_sequences"))
+    return _steps(spark, sf_dir).withColumns({
+        "prompt_sha256": F.sha2(F.concat(F.lit("prompt "), task.cast("string")).cast("binary"), 256),
+        "raw_completion_sha256": F.sha2(F.col("code").cast("binary"), 256),
+        "sanitized_code_sha256": F.sha2(F.trim("code").cast("binary"), 256),
+        "output_tokens": F.col("output_tokens") + F.when(second & (task % 5 == 0), 1).otherwise(0),
+        "sampling": sampling,
+        "status": F.when(passed, "pass").otherwise("fail"),
+        "verification_passed": passed,
+        "error_type": F.when(~passed, F.when(second & (task % 7 == 0), "other").otherwise("wrong")),
+        "public_feedback": F.when(~passed, failed),
+    }).where(~(second & (task % 11 == 0) & (F.col("root_index") == 1)))
+
+
+@query(f"""{STEPS}, r as (select pool_id, task_id, root_index, base_passed from steps where depth = 0), a as (select * from r where pool_id = '4x1' and root_index < 2),
+b as (select * from r where pool_id = '2x2' and not (task_id % 11 = 0 and root_index = 1))
+select '2x2' as challenger, a.task_id, a.root_index, unnest(list_filter([case when b.task_id is null then 'missing' end, case when b.task_id is not null and a.task_id % 5 = 0 then 'output_tokens' end,
+  case when b.task_id is not null and a.task_id % 7 = 0 and not a.base_passed then 'error_type' end], lambda x: x is not null)) as field from a left join b using (task_id, root_index)""")
+def shared_root_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in which the second policy's roots differ: tokens of every fifth task, errors of every seventh, roots lost in every eleventh."""
+    return trajectory.root_differences(_root_steps(spark, sf_dir, True), {"4x1": 4, "2x2": 2})
+
+
+@query(f"""{STEPS}, r as (select *, base_passed as p from steps where depth = 0 and pool_id = '4x1' and root_index < 2),
+j as (select task_id, root_index, '{{"candidate_index":' || candidate_index || ',"depth":0,"error_type":' || case when p then 'null' else '"wrong"' end || ',"input_tokens":' || input_tokens || ',"operator":"sample","output_tokens":' || output_tokens
+  || ',"parent_candidate_index":null,"prompt_sha256":"' || sha256('prompt ' || task_id) || '","public_feedback":' || case when p then 'null' else '{{"failed_inputs":["' || code || '"],"status":"fail","total_failed_inputs":1}}' end
+  || ',"raw_completion_sha256":"' || sha256(code) || '","root_index":' || root_index || ',"round_index":' || candidate_index || ',"sampling":{{"seed":' || candidate_index + task_id || ',"stop_sequences":[],"temperature":0.8,"top_p":0.95}}'
+  || ',"sanitized_code_sha256":"' || sha256(trim(code)) || '","selected":' || case when p then 'true' else 'false' end || ',"status":"' || case when p then 'pass' else 'fail' end || '","task_id":' || task_id
+  || ',"total_tokens":' || total_tokens || ',"verification_passed":' || case when p then 'true' else 'false' end || '}}' as t from r)
+select ['4x1', '2x2'] as pool_ids, count(*) as compared_root_count, count(*) as unique_root_count, sha256('[' || string_agg(t, ',' order by task_id, root_index) || ']') as canonical_sha256 from j""")
+def shared_root_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the roots that both policies share, equal in all fields."""
+    return trajectory.root_digest(_root_steps(spark, sf_dir, False), {"4x1": 4, "2x2": 2})
+
+
 # Clusters and shards ------------------------------------------------------------------------------------------------
 
 DIST = f"""{CAND}, dist as (select a.task_id, a.candidate_index as l, b.candidate_index as r, (cast(a.trace[1] <> b.trace[1] as integer) + cast(a.trace[2] <> b.trace[2] as integer) + cast(a.trace[3] <> b.trace[3] as integer)) / 3 as distance from pool a join pool b on a.task_id = b.task_id)"""
@@ -887,6 +958,17 @@ def scripted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripted(calls, 100).select("event_id", "reply")
 
 
+@query(f"{CAND} select task_id, candidate_index, base_passed, total_tokens, code, row_number() over (order by task_id, candidate_index) - 1 as line from pool")
+def published_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool published as a bundle in many parts, read back through its manifest, with the place of each row over all parts."""
+    folder = new_path(spark, "bundle")
+    pool = views.pool(spark, sf_dir).select("task_id", "candidate_index", "base_passed", "total_tokens", "code")
+    bundles.publish(spark, folder, {"candidates": (pool, ["task_id", "candidate_index"])}, {"pool": "published"}, files=8)
+    schema = "task_id long, candidate_index long, base_passed boolean, total_tokens long, code string"
+    rows = bundles.read_ordered(spark, folder, "candidates", schema)
+    return rows.select("task_id", "candidate_index", "base_passed", "total_tokens", "code", "line")
+
+
 @query("select l_orderkey * 10 + l_linenumber as shard, '--read-only' as flag, count(*) as n from lineitem where l_returnflag = 'R' group by all union all select l_orderkey * 10 + l_linenumber, '--network=none', count(*) from lineitem where l_linestatus = 'O' group by all")
 def sandbox_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container commands that lack a required flag."""

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators import integrity
 from trialspark.operators.clustering import task_shards
+from trialspark.sources.lines import ordered_json, out_of_order
 
 SAMPLING = "struct<temperature:double,top_p:double,do_sample:boolean,max_output_tokens:bigint,seed:bigint,seed_offset:bigint,stop_sequences:array<string>>"
 GENERATION = f"struct<prompt:string,generation_text:string,input_tokens:bigint,output_tokens:bigint,total_tokens:bigint,latency_seconds:double,sampling:{SAMPLING},model_name:string,provider_name:string,metadata:variant>"
@@ -52,6 +54,37 @@ def read_pool(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return read_manifest(spark, f"{folder}/manifest.json"), read_lines(spark, f"{folder}/candidates.jsonl", CANDIDATES)
 
 
+def read_checked_pool(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, candidates) of a pool; reading the candidates raises if the pool is damaged.
+
+    Checked: each task has exactly its candidates, codes and completions have their digests, and the file's lines are in
+    the order of tasks and candidates.
+    """
+    manifest = read_manifest(spark, f"{folder}/manifest.json")
+    lines = ordered_json(spark, f"{folder}/candidates.jsonl", CANDIDATES)
+    tasks = manifest.select("pool_size", F.posexplode("task_ids").alias("task_pos", "task_id"))
+    grid = tasks.select("task_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pool_size") - 1)).alias("candidate_index"))
+    have = lines.groupBy("task_id", "candidate_index").agg(F.count("*").alias("n"))
+    both = grid.withColumn("wanted", F.lit(True)).join(have, ["task_id", "candidate_index"], "full_outer")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "duplicate")
+    cover = both.select("task_id", "candidate_index", problem.alias("problem")).where("problem is not null")
+    digests = integrity.hash_mismatches(lines, "sanitized_code", "sanitized_code_sha256").select("task_id", "candidate_index", F.lit("digest"))
+    placed = lines.join(tasks.select("task_id", "task_pos"), "task_id")
+    order = out_of_order(placed, ["task_pos", "candidate_index"]).select(F.lit(None).cast("string"), "line", F.lit("order"))
+    return manifest, integrity.guarded(lines.drop("file", "line"), cover.union(digests).union(order), f"pool {folder}")
+
+
+def read_checked_steps(spark: SparkSession, path: str, tasks: DataFrame, max_calls: int, schema: str = STEPS) -> DataFrame:
+    """The steps of a trajectory pool; reading them raises if a step's lineage or a task's set of steps is broken.
+
+    schema must have the columns of STEPS and base_passed; a pool's steps are those of one pool_id.
+    """
+    steps = read_lines(spark, path, f"{schema}, base_passed boolean" if schema == STEPS else schema)
+    by_step = integrity.step_lineage(steps).select(F.col("task_id").cast("string"), "rule")
+    by_task = integrity.trajectory_rules(steps, tasks, max_calls).select(F.col("task_id").cast("string"), "rule")
+    return integrity.guarded(steps, by_step.union(by_task), f"trajectories {path}")
+
+
 def _in_order(df: DataFrame, order: list[str], files: int | None) -> DataFrame:
     """df sorted within ranges of order, a file each: as many as the session's shuffle partitions, or `files`."""
     ranged = df.coalesce(1) if files == 1 else df.repartitionByRange(*([files] if files else []), *order)
