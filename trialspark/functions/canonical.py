@@ -25,9 +25,14 @@ def quoted(text: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """A double as the shortest digits that read back to it, with an exponent below 1e-4 and from 1e16 on."""
-    raw = x.cast("double").cast("string")
-    part = lambda i: F.regexp_extract(raw, r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", i)
+    """A double by its shortest digits, with an exponent below 1e-4 and from 1e16 on.
+
+    The JVM's own digits may be one more than needed, so 15 and 16 are tried first; a few subnormals keep theirs.
+    """
+    x = x.cast("double")
+    fewer = [F.format_string(f"%.{n - 1}e", x) for n in (15, 16)]
+    raw = F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in fewer], x.cast("string"))
+    part = lambda i: F.regexp_extract(raw, r"^(-?)(\d+)\.(\d+)(?:[eE]([-+]?\d+))?$", i)
     sign, whole, rest = part(1), part(2), part(3)
     exponent = F.coalesce(part(4).try_cast("int"), F.lit(0))
     all_ = F.concat(whole, F.when(rest == "0", "").otherwise(rest))
@@ -44,7 +49,8 @@ def number(x: Column) -> Column:
     mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
     scientific = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
     shown = F.when((point > -4) & (point <= 16), fixed).otherwise(scientific)
-    return F.when(x == 0, F.when(raw.startswith("-"), "-0.0").otherwise("0.0")).when(raw == "NaN", "NaN").when(raw.endswith("Infinity"), raw).otherwise(F.concat(sign, shown))
+    zero = F.when(x.cast("string").startswith("-"), "-0.0").otherwise("0.0")
+    return F.when(x == 0, zero).when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), x.cast("string")).otherwise(F.concat(sign, shown))
 
 
 def canonical_json(value: Column, kind: T.DataType) -> Column:
