@@ -170,3 +170,16 @@ def test_a_portfolio_of_run_folders_in_one_scan(spark, tmp_path):
     failures = studies.portfolio_failures(spark, f"file://{tmp_path}/run*", "failures.jsonl")
     got = sorted((r.run, r.line, r.task_id, r.last_error, r.record) for r in failures.select("run", "line", "task_id", "last_error", F.try_variant_get("record", "$.extra", "string").alias("record")).collect() if r.task_id == "t")
     assert got == [(f"run{n:02d}", 0, "t", "e", str(n)) for n in range(12)] and failures.count() == 24
+
+
+def test_arms_without_exploration_compete_by_score(spark):
+    from trialspark.operators import replay
+
+    scored = spark.createDataFrame([("r", "new", 0, 0.2, 0.1), ("r", "old", 9, 0.0, 0.7)], "run string, operator string, n long, bonus double, score double")
+    assert [replay.chosen_arms(scored, ["run"], "operator", w).first().operator for w in (1.0, 0.0)] == ["new", "old"]
+
+
+def test_a_picture_takes_a_bounded_number_of_points(spark):
+    curve = spark.range(5000).select(F.lit("p").alias("policy_name"), F.col("id").alias("budget"), (F.col("id") / 5000).alias("success_rate"))
+    got = sorted((r.budget, r.success_rate) for r in studies.plotted_points(curve, 10).collect())
+    assert [b for b, _ in got] == [0, 499, 999, 1499, 1999, 2499, 2999, 3499, 3999, 4499, 4999] and all(r == b / 5000 for b, r in got)

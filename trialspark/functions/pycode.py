@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What a fenced block is, and how a line at which code can start begins.
+# Fixed values, which must be just these for the same extractions: a fenced block, and how a line of code can start.
 _FENCE = re.compile(r"```(?:python|py)?\s*(.*?)```", re.IGNORECASE | re.DOTALL)
-_STARTS = re.compile(r"^(?:async\s+def|def|class|import|from\s+\S+\s+import)\b", re.MULTILINE)
+_STARTS = re.compile(r"(?m)^(?:async\s+def|def|class|from\s+\S+\s+import|import)\b")
 
 
 def _parses(text: str) -> bool:

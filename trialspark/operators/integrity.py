@@ -184,6 +184,51 @@ def bundle_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     })
 
 
+def evaluator_rows(evaluated: DataFrame, column: str, candidates: DataFrame) -> DataFrame:
+    """(task_id, candidate_index, rule) where evaluator JSON does not fit the candidates (task_id, candidate_index, code_sha256).
+
+    dataset_hash: the JSON names no dataset. tasks: a task that only one side has. count: a task with other than its
+    candidates' number of rows. digest: a row whose solution is not the code of the candidate at its place. identity: a
+    candidate that comes twice.
+    """
+    json = evaluated.select(F.from_json(column, "struct<hash:string,eval:map<string,array<struct<solution:string>>>>").alias("j"))
+    hashes = json.where(F.coalesce(F.col("j.hash"), F.lit("")) == "").select(F.lit(None).cast("string").alias("task_id"), F.lit(None).cast("long").alias("candidate_index"), F.lit("dataset_hash").alias("rule"))
+    tasks = json.select(F.explode("j.eval").alias("task_id", "entries"))
+    own = candidates.select(F.col("task_id").cast("string").alias("task_id"), "candidate_index", "code_sha256")
+    counts = own.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct("candidate_index").alias("distinct"))
+    both = tasks.select("task_id", F.size("entries").alias("rows")).join(counts, "task_id", "full_outer")
+    rule = F.when(F.col("rows").isNull() | F.col("n").isNull(), "tasks").when(F.col("distinct") < F.col("n"), "identity").when(F.col("rows") != F.col("n"), "count")
+    by_task = both.select("task_id", F.lit(None).cast("long").alias("candidate_index"), rule.alias("rule")).where("rule is not null")
+    rows = tasks.select("task_id", F.posexplode("entries").alias("place", "e")).select("task_id", F.col("place").cast("long").alias("candidate_index"), F.sha2(F.col("e.solution").cast("binary"), 256).alias("_sha"))
+    nth = F.row_number().over(Window.partitionBy("task_id").orderBy("candidate_index")) - 1
+    placed = own.withColumn("_place", nth.cast("long")).select("task_id", F.col("candidate_index").alias("_index"), F.col("_place").alias("candidate_index"), "code_sha256")
+    digests = rows.join(placed, ["task_id", "candidate_index"]).where(~F.col("_sha").eqNullSafe(F.col("code_sha256")))
+    return hashes.union(by_task).union(digests.select("task_id", F.col("_index"), F.lit("digest")))
+
+
+#: What the first attempt of a run must have: fixed names of the format.
+REQUIRED_ATTEMPT_FIELDS = ("model_id", "policy_name", "operator_name", "input_tokens", "output_tokens", "total_tokens", "verification_passed", "cumulative_tokens", "cumulative_verifier_calls")
+
+
+def first_attempts(attempts: DataFrame) -> DataFrame:
+    """(run, attempts_logged, missing_fields, token_accounting_ok, budget_name_present): a check of each run's first attempt.
+
+    attempts is (run, line, record), records as variants, as lines.runs() reads them: the first one is that of the least
+    line. A field that is null counts as there; tokens count as right only if all three are whole numbers that add up.
+    """
+    kinds = lambda r: F.schema_of_variant(r)
+    first = attempts.groupBy("run").agg(F.count("*").alias("attempts_logged"), F.min("line").alias("line"))
+    one = attempts.join(first, ["run", "line"])
+    field = lambda name, kind="string": F.try_variant_get("record", f"$.{name}", kind)
+    there = lambda name: F.try_variant_get("record", f"$.{name}", "variant").isNotNull()
+    missing = F.array_compact(F.array(*[F.when(~there(f), F.lit(f)) for f in REQUIRED_ATTEMPT_FIELDS]))
+    tokens = ("input_tokens", "output_tokens", "total_tokens")
+    whole = [F.coalesce(kinds(F.try_variant_get("record", f"$.{f}", "variant")) == "BIGINT", F.lit(False)) for f in tokens]
+    adds = F.coalesce(field("total_tokens", "long") == field("input_tokens", "long") + field("output_tokens", "long"), F.lit(False))
+    named = there("metadata.budget_name") | there("result_metadata.budget_name")
+    return one.select("run", "attempts_logged", missing.alias("missing_fields"), (whole[0] & whole[1] & whole[2] & adds).alias("token_accounting_ok"), named.alias("budget_name_present"))
+
+
 def sandbox_flags(commands: DataFrame, required: list[str]) -> DataFrame:
     """(shard, flag) for required flags that a container command (array of words) lacks."""
     wanted = F.array(*map(F.lit, required))

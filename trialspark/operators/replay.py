@@ -131,8 +131,11 @@ def ucb_scores(stats: DataFrame, group: list[str], exploration: float = 1.0, cos
     return scored.withColumn("score", F.col("mean_success") / discount + explore + F.col("bonus"))
 
 
-def chosen_arms(scored: DataFrame, group: list[str], position: str) -> DataFrame:
-    """The arm each group takes: the untried one with the largest bonus, else the one with the highest score; first on ties."""
-    untried = F.col("n") == 0
+def chosen_arms(scored: DataFrame, group: list[str], position: str, exploration: float = 1.0) -> DataFrame:
+    """The arm each group takes, the first on ties: an untried one with the largest bonus, else the one with the highest score.
+
+    Untried arms come first only where there is exploration; without it they compete by their scores.
+    """
+    untried = (F.col("n") == 0) & F.lit(exploration > 0)
     order = Window.partitionBy(*group).orderBy(F.desc(untried), F.when(untried, F.col("bonus")).otherwise(F.col("score")).desc(), position)
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

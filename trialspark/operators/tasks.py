@@ -33,3 +33,10 @@ def annotated(rows: DataFrame, column: str, values: dict[str, Column]) -> DataFr
     added = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
     merged = F.map_zip_with(F.coalesce(F.col(column), F.create_map().cast("map<string,string>")), added, lambda k, a, b: F.when(F.map_contains_key(added, k), b).otherwise(a))
     return rows.withColumn(column, merged)
+
+
+def candidate_metadata(candidates: DataFrame, tasks: DataFrame, sampling: str = "sampling") -> DataFrame:
+    """candidates with `metadata`, a struct of the task's split (null without one) and the sampling that was asked for."""
+    split = tasks.select("task_id", F.col("split").alias("_split"))
+    joined = candidates.join(split, "task_id", "left")
+    return joined.withColumn("metadata", F.struct(F.col("_split").alias("task_split"), F.col(sampling).alias("requested_sampling"))).drop("_split")

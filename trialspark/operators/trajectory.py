@@ -55,6 +55,35 @@ def policy_summary(observed: DataFrame, max_calls: int = 4) -> DataFrame:
     )
 
 
+def full_policy_summary(steps: DataFrame, observed: DataFrame, max_calls: int, cap: int) -> DataFrame:
+    """All columns of a policy's summary but its interval: one row a pool, which is named by its width and depth.
+
+    Steps are summed by pool before they meet the observations' sums. steps has latency_ms.
+    """
+    size, accepted = F.split("pool_id", "x"), F.col("public_passed")
+    repaired = F.col("selected_operator") == "repair"
+    of_steps = steps.groupBy("pool_id").agg(
+        (F.sum("latency_ms") / 1000).alias("generation_latency_seconds"), rate(F.col("code").rlike(r"^\s*$")).alias("empty_candidate_rate"), rate(F.col("output_tokens") >= cap).alias("possible_truncation_rate")
+    )
+    of_tasks = observed.groupBy("pool_id").agg(
+        F.count("*").alias("task_count"),
+        rate(accepted).alias("public_pass_rate"),
+        rate(F.col("hidden_passed")).alias("hidden_pass_rate"),
+        F.avg(F.when(accepted, as_rate(F.col("false_accept")))).alias("false_accept_rate"),
+        F.count_if(accepted & repaired).alias("selected_by_repair_count"),
+        F.count_if(F.col("hidden_passed") & repaired).alias("hidden_solved_by_repair_count"),
+        F.sum("calls").alias("total_calls"),
+        F.avg("calls").alias("mean_calls"),
+        F.expr("percentile(calls, 0.5)").alias("median_calls"),  # of max_calls values at most
+        F.count_if(F.col("calls") == max_calls).alias("full_budget_task_count"),
+        F.least(F.lit(1.0), F.sum("calls") / (F.lit(FIXED_CALLS) * F.count("*"))).alias("fixed_n16_call_fraction"),
+        F.sum("generation_tokens").alias("total_generation_tokens"),
+        F.avg("generation_tokens").alias("mean_generation_tokens"),
+    )
+    shape = {"width": size[0].cast("long"), "depth": size[1].cast("long"), "maximum_calls_per_task": F.lit(max_calls).cast("long")}
+    return of_tasks.withColumns(shape).join(of_steps, "pool_id")
+
+
 def step_rates(steps: DataFrame, cap: int) -> DataFrame:
     """Shares over steps, not tasks: empty code, and output at the cap."""
     return steps.groupBy("pool_id").agg(rate(F.col("code").rlike(r"^\s*$")).alias("empty_rate"), rate(F.col("output_tokens") >= cap).alias("truncation_rate"))

@@ -152,13 +152,21 @@ def write_new(path: str, text: str) -> None:
         f.write(text)
 
 
+def plotted_points(curve: DataFrame, points: int = 1_000) -> DataFrame:
+    """The last point of a curve in each of `points` equal ranges of its budgets, with the first point: what a picture can show."""
+    ends = curve.groupBy("policy_name").agg(F.min("budget").alias("_lo"), F.max("budget").alias("_hi"))
+    range_ = F.when(F.col("budget") == F.col("_lo"), -1).otherwise(F.floor((F.col("budget") - F.col("_lo")) * points / (F.col("_hi") - F.col("_lo") + 1)))
+    last = curve.join(F.broadcast(ends), "policy_name").withColumn("_range", range_).groupBy("policy_name", "_range")  # a row a policy
+    return last.agg(F.max(F.struct("budget", "success_rate")).alias("p")).select("policy_name", "p.*")
+
+
 def plot_curves(curve: DataFrame, path: str) -> bool:
     """A picture of success curves by policy, if matplotlib is there; whether it was drawn."""
     try:
         import matplotlib.pyplot as plt
     except ImportError:
         return False
-    frame = curve.orderBy("policy_name", "budget").toPandas()
+    frame = plotted_points(curve).orderBy("policy_name", "budget").toPandas()
     for name, own in frame.groupby("policy_name"):
         plt.step(own["budget"], own["success_rate"], where="post", label=name)
     plt.legend()

@@ -564,6 +564,18 @@ def trajectory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.policy_summary(_trajectories(spark, sf_dir))
 
 
+@query(f"""{TOBS}, st as (select pool_id, sum((task_id * 31 + candidate_index * 17) % 900) / 1000 as generation_latency_seconds, avg(cast(trim(code) = '' as integer)) as empty_candidate_rate, avg(cast(output_tokens >= 250 as integer)) as possible_truncation_rate from steps group by pool_id)
+select pool_id, cast(split_part(pool_id, 'x', 1) as bigint) as width, cast(split_part(pool_id, 'x', 2) as bigint) as depth, count(*) as task_count, cast(4 as bigint) as maximum_calls_per_task, avg(cast(public_passed as integer)) as public_pass_rate,
+  avg(cast(hidden_passed as integer)) as hidden_pass_rate, avg(case when public_passed then cast(false_accept as integer) end) as false_accept_rate, count(*) filter (public_passed and selected_operator = 'repair') as selected_by_repair_count,
+  count(*) filter (hidden_passed and selected_operator = 'repair') as hidden_solved_by_repair_count, cast(sum(calls) as bigint) as total_calls, avg(calls) as mean_calls, median(calls) as median_calls, count(*) filter (calls = 4) as full_budget_task_count,
+  least(cast(1 as double), sum(calls) / (16 * count(*))) as fixed_n16_call_fraction, cast(sum(generation_tokens) as bigint) as total_generation_tokens, avg(generation_tokens) as mean_generation_tokens,
+  any_value(st.generation_latency_seconds) as generation_latency_seconds, any_value(st.empty_candidate_rate) as empty_candidate_rate, any_value(st.possible_truncation_rate) as possible_truncation_rate from tobs join st using (pool_id) group by pool_id""")
+def trajectory_summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the policies' summaries; latencies are made from the steps' numbers."""
+    latency = (F.col("task_id") * 31 + F.col("candidate_index") * 17) % 900
+    return trajectory.full_policy_summary(_steps(spark, sf_dir).withColumn("latency_ms", latency), _trajectories(spark, sf_dir), POOL_SIZE, 250)
+
+
 @query(f"{STEPS} select pool_id, avg(cast(trim(code) = '' as integer)) as empty_rate, avg(cast(output_tokens >= 250 as integer)) as truncation_rate from steps group by pool_id")
 def trajectory_step_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.step_rates(_steps(spark, sf_dir), 250)
@@ -969,6 +981,44 @@ def published_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", "candidate_index", "base_passed", "total_tokens", "code", "line")
 
 
+@query(f"""{CAND}, t as (select distinct task_id from pool)
+select cast(null as varchar) as task_id, cast(null as bigint) as candidate_index, 'dataset_hash' as rule from t where task_id % 6 = 0 and task_id % 4 <> 0
+union all select cast(task_id as varchar), null, 'tasks' from t where task_id % 4 = 0 union all select cast(task_id as varchar), null, 'count' from t where task_id % 5 = 0 and task_id % 4 <> 0
+union all select cast(task_id as varchar), candidate_index, 'digest' from pool where task_id % 7 = 0 and task_id % 4 <> 0 and candidate_index = 1""")
+def evaluator_row_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluator output that lost every fourth task, the last row of every fifth, the second code of every seventh, and some hashes."""
+    task = F.col("task_id")
+    keep = (task % 4 != 0) & ~((task % 5 == 0) & (F.col("candidate_index") == POOL_SIZE - 1))
+    own = graded.with_digest(views.pool(spark, sf_dir))
+    solution = F.when((task % 7 == 0) & (F.col("candidate_index") == 1), "other").otherwise(F.col("code"))
+    entries = own.where(keep).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_index", solution.alias("solution")))), lambda x: F.struct(x["solution"].alias("solution"))).alias("entries"))
+    named = F.struct(F.when(task % 6 != 0, "hash").alias("hash"), F.map_from_arrays(F.array(task.cast("string")), F.array("entries")).alias("eval"))
+    return integrity.evaluator_rows(entries.select(F.to_json(named).alias("json")), "json", own)
+
+
+@query("""select cast(user_id as varchar) as run, count(*) as attempts_logged, array_to_string(list_filter([case when arg_min(event_id, event_id) % 3 = 0 then 'model_id' end, case when arg_min(event_id, event_id) % 5 = 0 then 'total_tokens' end], lambda x: x is not null), ',') as missing_fields,
+  min(event_id) % 5 <> 0 and min(event_id) % 7 <> 0 as token_accounting_ok, min(event_id) % 2 = 0 as budget_name_present from events group by user_id""")
+def first_attempt_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check of each user's first event, as a logged attempt that may lack fields, add up wrong or name no budget."""
+    e = F.col("event_id")
+    of = {
+        "model_id": F.when(e % 3 != 0, "m"), "policy_name": F.col("event_type"), "operator_name": F.lit("sample"), "input_tokens": e, "output_tokens": F.lit(2),
+        "total_tokens": F.when(e % 5 != 0, e + 2 + F.when(e % 7 == 0, 1).otherwise(0)), "verification_passed": F.lit(True), "cumulative_tokens": e, "cumulative_verifier_calls": F.lit(1),
+        "metadata": F.when(e % 4 == 0, F.struct(F.lit("b").alias("budget_name"))), "result_metadata": F.when(e % 4 == 2, F.struct(F.lit("b").alias("budget_name"))),
+    }
+    record = F.parse_json(F.to_json(F.struct(*[v.alias(n) for n, v in of.items()])))
+    logged = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), e.alias("line"), record.alias("record"))
+    return integrity.first_attempts(logged).withColumn("missing_fields", F.array_join("missing_fields", ","))
+
+
+@query("select l_orderkey as task_id, l_linenumber as candidate_index, case when l_orderkey % 3 <> 0 then case when l_orderkey % 2 = 0 then 'dev' else 'test' end end as task_split, cast(l_linenumber as double) / 10 as temperature from lineitem")
+def candidate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as candidates with their order's split, where it has one, and the temperature that was asked for."""
+    lines_ = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("candidate_index"), F.struct((F.col("l_linenumber") / 10).alias("temperature")).alias("sampling"))
+    known = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderkey") % 2 == 0, "dev").otherwise("test").alias("split"))
+    return tasks.candidate_metadata(lines_, known).select("task_id", "candidate_index", "metadata.task_split", F.col("metadata.requested_sampling.temperature").alias("temperature"))
+
+
 @query("select l_orderkey * 10 + l_linenumber as shard, '--read-only' as flag, count(*) as n from lineitem where l_returnflag = 'R' group by all union all select l_orderkey * 10 + l_linenumber, '--network=none', count(*) from lineitem where l_linestatus = 'O' group by all")
 def sandbox_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container commands that lack a required flag."""
