@@ -6,10 +6,13 @@ slots. Each slot draws its source with the quotas as weights, so a shard's sourc
 all shards such draws would leave small sources percents off their targets; so a source drawn more often than its quota
 frees the surplus slots, spread over its draws, and these go to the sources drawn too seldom. The n-th draw of a source
 takes the block at place n of a pseudorandom permutation of its blocks, a new permutation after each full round; so no
-block is taken more than REPEATS times. Slots are joined with blocks by source and index.
+block is taken more than REPEATS times. Slots are joined with blocks by source and index. The draws decide where in the
+mix a document's words lie: in which shards, and at which slots.
 
 Everything is numbered by sums over small tables: documents are dealt to groups of about GROUP rows by a hash, a window
-numbers the words within a group, and groups are summed up to their source. No source, however large, meets in a task.
+numbers the words within a group, and groups are summed up to their source. No source, however large, meets in a task,
+and sources may be many: their running sums go over ranges, and a slot finds its source by a join on cells of the line
+of all quotas.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import WORD, columns_but, fresh, let, stored, words
+from trialspark.llm.common import WORD, columns_but, fresh, let, scratch, stored, words
+from trialspark.operators.ranges import numbered, running_sums, with_ranges
 
 BLOCK, SLOTS, REPEATS, GROUP = 64, 1024, 3, 4_000
 DRAWS_A_TASK = 100_000
@@ -26,8 +30,8 @@ WEIGHTS = (1, 2, 3)
 SEED = 20240611
 #: Multipliers that spread surplus draws and a shard's slots: a prime or another one, and an odd number.
 _SPREAD, _OTHER_SPREAD, _ODD = 1299709, 1299721, 421
-#: Shards whose counts are summed up together before sums run over the groups.
-SHARDS_A_GROUP = 4096
+#: Shards whose counts are summed up together before sums run over the groups, and cells of the line of all quotas at least.
+SHARDS_A_GROUP, CELLS = 4096, 1024
 #: A prime near 2**31 and multipliers whose products stay in 64 bits.
 _P, _M1, _M2, _M3 = 2147483647, 48271, 69621, 16807
 #: Rounds of the permutation, and steps after which a walk has surely left the few surplus places.
@@ -71,31 +75,40 @@ def document_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(sized, "mix-sizes")
 
 
+def _all(df: DataFrame) -> DataFrame:
+    return df.withColumn("all", F.lit(0))
+
+
+def _sums_before(df: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+    """df with a column for each of values (new name -> column): its sum over the rows before in order, over ranges."""
+    run = running_sums(with_ranges(_all(df), ["all"], order), ["all"], order, {n: v for n, v in values.items()})
+    return run.select(*df.columns, *[(F.col(n) - F.col(v)).alias(n) for n, v in values.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """(source, source_size, weight, target, n_blocks, quota, first_draw, key): one row a source.
+    """(source, rank, source_size, weight, target, n_blocks, quota, key): one row a source; sources may be many.
 
-    Sources are few beside documents: this table, and only it, is ordered as a whole. A source is capped where
-    repeats * size / weight is below what the weights would give; sorted by that ratio, the capped ones come first, so
-    running sums find the one share per weight under which nothing is above its cap.
+    A source is capped where repeats * size / weight is below what the weights would give; sorted by that ratio, the
+    capped ones come first, so running sums find the one share per weight under which nothing is above its cap.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    name = [F.col("source").isNull(), F.col("source")]
-    ranked = by.withColumn("rank", F.row_number().over(Window.orderBy(*name)) - 1)
+    named = _all(by.withColumn("name", F.struct(F.col("source").isNull().alias("last"), "source")))
+    ranked = stored(numbered(named, ["all"], "name", "rank").drop("name", "all"), "mix-ranked")
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    until, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    total, cap = F.sum("source_size").over(everything), F.col("source_size") * repeats
-    capped, used = F.coalesce(F.sum("source_size").over(until), F.lit(0)) * repeats, F.coalesce(F.sum("weight").over(until), F.lit(0))
-    share = (total - capped).cast("double") / (F.sum("weight").over(everything) - used)
+    ranked = ranked.withColumn("ratio", F.struct((F.col("source_size") / F.col("weight")).alias("r"), "rank"))
+    total, all_weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    cap = F.col("source_size") * repeats
+    run = _sums_before(ranked, "ratio", {"before": "source_size", "used": "weight"})
+    share = (total - F.col("before") * repeats).cast("double") / (all_weights - F.col("used"))
     # the share under which this source and all later ones are uncapped; the first that holds is the answer
-    tried = ranked.withColumn("share", share).withColumn("fits", F.col("share") * F.col("weight") <= cap)
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), F.col("rank"), F.col("share").alias("share")))).over(everything)["share"]
-    aimed = tried.withColumn("target", F.least(F.coalesce(level * F.col("weight"), cap.cast("double")), cap.cast("double")))
+    tried = stored(run.withColumn("share", share).withColumn("fits", F.col("share") * F.col("weight") <= cap), "mix-shares")
+    first = tried.where("fits").agg(F.min_by("share", "ratio")).first()[0]
+    aimed = tried.withColumn("target", F.least(F.lit(first).cast("double") * F.col("weight"), cap.cast("double")))  # least() passes nulls over
     blocks = aimed.withColumn("n_blocks", F.floor((F.col("source_size") + BLOCK - 1) / BLOCK).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("long")
     drawn = blocks.withColumn("quota", F.least(quota, F.col("n_blocks") * repeats))
     out = drawn.withColumn("key", (F.col("rank") * 1299709 + SEED) % _P)
-    return stored(out.select("source", F.col("rank").cast("long").alias("rank"), "source_size", "weight", "target", "n_blocks", "quota", "key"), "mix-targets")
+    return stored(out.select("source", "rank", "source_size", "weight", "target", "n_blocks", "quota", "key"), "mix-targets")
 
 
 def _before(df: DataFrame, value: str, by: str, *within: str) -> Column:
@@ -104,45 +117,43 @@ def _before(df: DataFrame, value: str, by: str, *within: str) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
-def shard_counts(targets: DataFrame) -> DataFrame:
+def shard_counts(targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, rank, n, slot): the multinomial source counts of each shard, and the first slot of each source in it.
 
-    A slot takes the source in whose part of the line of all quotas a pseudorandom number falls, found by bisection.
+    A slot takes the source in whose part of the line of all quotas a pseudorandom number falls. The line is cut into
+    cells, about as many as there are sources; slots meet the parts in their cell.
     """
     spark = targets.sparkSession
     total, n = targets.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
-    ends = targets.withColumn("end", _before(targets, "quota", "rank") + F.col("quota"))
-    line = ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "end"))), lambda x: F.floor(x["end"] / max(total, 1) * _P).cast("long")).alias("line"))
+    width = -(-_P // max(CELLS, n))
+    at = lambda x: F.floor(x / max(total, 1) * _P).cast("long")
+    ends = _sums_before(targets.select("rank", "quota"), "rank", {"lo": "quota"})
+    line = ends.select("rank", at(F.col("lo")).alias("lo"), at(F.col("lo") + F.col("quota")).alias("hi")).where("lo < hi")
+    cells = line.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     parts = max(2 * spark.sparkContext.defaultParallelism, total // DRAWS_A_TASK + 1)
-    slots = spark.range(0, total, 1, parts).withColumn("one", F.lit(1)).join(F.broadcast(line.withColumn("one", F.lit(1))), "one")
-    drawn = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(_P).cast("long"))
-
-    def halved(a: Column, i: Column) -> Column:
-        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        above = F.get("line", middle) <= a["r"]
-        return F.struct(F.when(above, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(above, a["hi"]).otherwise(middle).alias("hi"), a["r"].alias("r"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(max(n - 1, 0)).cast("int").alias("hi"), drawn.alias("r"))
-    rank = F.aggregate(F.sequence(F.lit(1), F.lit(max(n, 2).bit_length())), start, lambda a, i: F.when(a["lo"] < a["hi"], halved(a, i)).otherwise(a), lambda a: a["lo"])
-    counts = slots.select(F.floor(F.col("id") / SLOTS).cast("long").alias("shard"), rank.cast("long").alias("rank")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+    number = _scramble(F.col("id"), F.lit(seed) + F.floor(F.col("id") / _P).cast("long") * 7919)
+    slots = spark.range(0, total, 1, parts).withColumn("r", number).withColumn("at", F.floor(F.col("r") / width))
+    found = slots.join(cells, (F.col("at") == F.col("cell")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    counts = found.select(F.floor(F.col("id") / SLOTS).cast("long").alias("shard"), "rank").groupBy("shard", "rank").agg(F.count("*").alias("n"))
     return stored(counts.withColumn("slot", _before(counts, "n", "rank", "shard")), "mix-counts")
 
 
-def draws(targets: DataFrame) -> DataFrame:
-    """(source, block, shard, slot): one row for each slot of the mix, each source as often as its quota says.
+def draws(targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, block, place): one row for each slot of the mix, each source as often as its quota says.
 
-    A source's draws are numbered by sums over groups of shards, so that no task holds all shards of a source.
+    place is shard * SLOTS + slot. A source's draws are numbered by sums over groups of shards, and what is known of a
+    source comes with its groups, so that no task holds all shards of a source.
     """
-    counts = shard_counts(targets).withColumn("grp", F.floor(F.col("shard") / SHARDS_A_GROUP).cast("long"))
+    counts = shard_counts(targets, seed).withColumn("grp", F.floor(F.col("shard") / SHARDS_A_GROUP).cast("long"))
     sums = counts.groupBy("rank", "grp").agg(F.sum("n").alias("of_group"))
     sums = sums.withColumn("before", _before(sums, "of_group", "grp", "rank")).drop("of_group")
     drawn = counts.groupBy("rank").agg(F.sum("n").alias("drawn"))
     named = targets.join(drawn, "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     more, less = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
-    named = named.withColumn("more", more).withColumn("less", less)
-    named = stored(named.withColumn("free", _before(named, "more", "rank")).withColumn("wants", _before(named, "less", "rank")), "mix-named")
-    started = counts.withColumn("start", _before(counts, "n", "shard", "rank", "grp")).join(sums, ["rank", "grp"])
-    one = started.join(named.select("rank", "quota", "drawn", "free"), "rank").withColumn("start", F.col("start") + F.col("before"))
+    named = stored(_sums_before(named.withColumn("more", more).withColumn("less", less), "rank", {"free": "more", "wants": "less"}), "mix-named")
+    known = ["source", "n_blocks", "key"]
+    groups = sums.join(named.select("rank", "quota", "drawn", "free", *known), "rank")
+    one = counts.withColumn("start", _before(counts, "n", "shard", "rank", "grp")).join(groups, ["rank", "grp"]).withColumn("start", F.col("start") + F.col("before"))
     # a stated number of tasks: by their bytes the few rows of counts would be one task, though they become all draws
     total = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     tasks = max(2 * targets.sparkSession.sparkContext.defaultParallelism, total // DRAWS_A_TASK + 1)
@@ -150,23 +161,24 @@ def draws(targets: DataFrame) -> DataFrame:
     # a bijection that spreads the surplus over all draws: the multiplier has no factor of the number of draws
     by = F.when(F.col("drawn") % _SPREAD == 0, _OTHER_SPREAD).otherwise(_SPREAD)
     at = F.col("start") + F.col("k")
-    place = F.when(F.col("drawn") > F.col("quota"), at * by % F.col("drawn")).otherwise(at)
+    nth = F.when(F.col("drawn") > F.col("quota"), at * by % F.col("drawn")).otherwise(at)
     slot = F.col("slot") + F.col("k")
     last = F.floor(F.lit(total) / SLOTS).cast("long")
     mixed = F.when(F.col("shard") < last, slot * _ODD % SLOTS).otherwise(slot)
-    placed = each.select("rank", "quota", "free", place.alias("place"), "shard", mixed.alias("slot"))
-    kept = placed.where("place < quota").select("rank", "place", "shard", "slot")
-    freed = placed.where("place >= quota").select((F.col("free") + F.col("place") - F.col("quota")).alias("f"), "shard", "slot")
-    wanted = named.where("less > 0").select("rank", "drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("less") - 1)).alias("w"), "wants")
-    filled = wanted.select("rank", (F.col("drawn") + F.col("w")).alias("place"), (F.col("wants") + F.col("w")).alias("f")).join(freed, "f")
-    taken = kept.union(filled.select("rank", "place", "shard", "slot")).join(named.select("rank", "source", "n_blocks", "key"), "rank")
-    lap = F.floor(F.col("place") / F.col("n_blocks")).cast("long")
-    block = permuted(F.col("place") % F.col("n_blocks"), F.col("n_blocks"), F.col("key") + lap * 15485863)
-    return taken.select("source", block.alias("block"), "shard", "slot")
+    numbered_ = each.select(*known, "quota", "free", nth.alias("nth"), (F.col("shard") * SLOTS + mixed).alias("place"))
+    kept = numbered_.where("nth < quota").select(*known, "nth", "place")
+    freed = numbered_.where("nth >= quota").select((F.col("free") + F.col("nth") - F.col("quota")).alias("f"), "place")
+    wanted = named.where("less > 0").withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("less") - 1)))
+    filled = wanted.select(*known, (F.col("drawn") + F.col("w")).alias("nth"), (F.col("wants") + F.col("w")).alias("f")).join(freed, "f")
+    taken = kept.union(filled.select(*known, "nth", "place"))
+    lap = F.floor(F.col("nth") / F.col("n_blocks")).cast("long")
+    block = permuted(F.col("nth") % F.col("n_blocks"), F.col("n_blocks"), F.col("key") + lap * 15485863)
+    return taken.select("source", block.alias("block"), "place")
 
 
 def packed(sizes: DataFrame) -> DataFrame:
-    """sizes with `start`, the place of a row's first word in its source; rows without words have none of their own."""
+    """sizes with `start`, the place of a row's first word in its source, and `grp`, its group there; rows without words
+    have no place of their own."""
     n = sizes.count()
     groups = max(1, -(-n // GROUP))
     grouped = sizes.withColumn("grp", _scramble(F.abs(F.coalesce("doc_id", F.lit(-1)) % _P), F.lit(SEED).cast("long")) % groups)
@@ -176,7 +188,7 @@ def packed(sizes: DataFrame) -> DataFrame:
     within = grouped.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0)))
     named = before.select(F.col("source").alias("of"), F.col("grp").alias("og"), "before")
     joined = within.join(named, F.col("source").eqNullSafe(F.col("of")) & (F.col("grp") == F.col("og")))
-    return joined.withColumn("start", F.col("before") + F.col("within")).drop("of", "og", "before", "within", "grp")
+    return joined.withColumn("start", F.col("before") + F.col("within")).drop("of", "og", "before", "within")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -197,52 +209,65 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def taken_pieces(placed: DataFrame, targets: DataFrame) -> DataFrame:
-    """pieces with `times`, how often the mix takes the block; blocks that it does not take are left out."""
-    times = draws(targets).groupBy("source", "block").agg(F.count("*").alias("times")).select(F.col("source").alias("of"), F.col("block").alias("ob"), "times")
-    # times is as large as the mix, which the planner cannot see: it must not be broadcast
-    return pieces(placed).join(times.hint("merge"), _same("source", "of") & (F.col("block") == F.col("ob"))).drop("of", "ob")
+def taken_pieces(placed: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """pieces with `places`, where in the mix their block lies, REPEATS times at most; blocks that are not taken are left out."""
+    taken = draws(targets, seed).groupBy("source", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    named = taken.select(F.col("source").alias("of"), F.col("block").alias("ob"), "places")
+    # it is as large as the mix, which the planner cannot see: it must not be broadcast
+    return pieces(placed).join(named.hint("merge"), _same("source", "of") & (F.col("block") == F.col("ob"))).drop("of", "ob")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): one row for each row of docs (doc_id, text, source).
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_shard, last_shard, places): one row for each row of docs (doc_id, text, source).
 
     size counts words, null text none. A null source is a source of its own, the last in order. taken counts the
-    words of the row that the mix takes, repeats counted; it is at most REPEATS * size. A null doc_id is allowed, and
-    repeated rows are taken each on their own. Ties in order are broken by the text's md5. Texts are counted whole.
-    Other columns are ignored. An empty table gives an empty table.
+    words of the row that the mix takes, repeats counted; it is at most REPEATS * size. first_shard and last_shard are
+    the shards of the mix between which they lie, null if none are taken, and places sums shard * SLOTS + slot over the
+    row's taken pieces: these are what the draws of seed decide. A null doc_id is allowed, and repeated rows are taken
+    each on their own. Ties in order are broken by the text's md5. Texts are counted whole. Other columns are ignored.
+    An empty table gives an empty table.
     """
-    placed = stored(packed(document_sizes(docs)), "mix-placed")
-    targets = source_targets(placed)
-    taken = taken_pieces(placed, targets).groupBy(F.col("source").alias("of"), F.col("start").alias("os")).agg(F.sum(F.col("times") * F.col("n")).alias("taken"))
-    rows = placed.join(taken, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0), "left").drop("of", "os")
-    named = targets.select(F.col("source").alias("of"), "source_size", "target")
-    return rows.join(named, _same("source", "of")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
+    with scratch(docs.sparkSession) as kept:
+        placed = stored(packed(document_sizes(docs)), "mix-placed")
+        targets = source_targets(placed)
+        one = taken_pieces(placed, targets, seed).withColumn("times", F.size("places"))
+        where = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
+        shard = lambda i: F.floor(F.element_at("places", i) / SLOTS)
+        sums = {"taken": F.sum(F.col("times") * F.col("n")), "first_shard": F.min(shard(1)), "last_shard": F.max(shard(-1)), "places": F.sum(where)}
+        taken = one.groupBy(F.col("source").alias("of"), F.col("start").alias("os")).agg(*[v.alias(k) for k, v in sums.items()])
+        rows = placed.join(taken, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0), "left").drop("of", "os")
+        # a source's row goes to each of its groups first, so that a source's rows need not meet
+        groups = placed.select(F.col("source").alias("og"), F.col("grp").alias("gg")).distinct()
+        named = groups.join(targets.select(F.col("source").alias("of"), "source_size", "target"), _same("og", "of")).drop("of")
+        out = rows.join(named, _same("source", "og") & (F.col("grp") == F.col("gg")))
+        return kept.stored(out.select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).alias(c) if c in ("taken", "places") else c for c in sums]), "mix-result")
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: for each lap of the permutations a row with the taken words of the text.
 
-    Columns of docs stay, whatever their names; text keeps its blanks between taken words and n_chars, if there, is the
-    new length. A row of which the mix takes nothing goes; one taken whole twice comes twice. Texts are taken whole.
+    Rows come in the order of the mix, by the place of a lap's first block, in ranges of it. Columns of docs stay,
+    whatever their names; text keeps its blanks between taken words and n_chars, if there, is the new length. A row of
+    which the mix takes nothing goes; one taken whole twice comes twice. Texts are taken whole.
     """
-    placed = stored(packed(document_sizes(docs)), "mix-placed")
-    parts = taken_pieces(placed, source_targets(placed))
-    laps = parts.select("source", "start", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("lap"), F.struct("from_word", "n").alias("p"))
-    per_lap = laps.groupBy("source", "start", "lap").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    per = per_lap.groupBy(F.col("source").alias("of"), F.col("start").alias("os")).agg(F.collect_list("parts").alias("laps"))
-    found = placed.join(per, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0))
-    key, at, laps, lap, split = (fresh(docs, x) for x in ("mix_key", "mix_at", "mix_laps", "mix_lap", "mix_words"))
-    # repeated rows are alike, so one of them gets the laps of all
-    merged = found.select(_row_key(F.col("tie")).alias(at), "laps").groupBy(at).agg(F.flatten(F.collect_list("laps")).alias(laps))
+    key, at, laps, lap, split, order = (fresh(docs, x) for x in ("mix_key", "mix_at", "mix_laps", "mix_lap", "mix_words", "mix_order"))
+    with scratch(docs.sparkSession) as kept:
+        placed = stored(packed(document_sizes(docs)), "mix-placed")
+        parts = taken_pieces(placed, source_targets(placed), seed)
+        laps_ = parts.select("source", "start", F.posexplode("places").alias("lap", "place"), F.struct("from_word", "n").alias("p"))
+        per_lap = laps_.groupBy("source", "start", "lap").agg(F.struct(F.min("place").alias("place"), F.array_sort(F.collect_list("p")).alias("parts")).alias("l"))
+        per = per_lap.groupBy(F.col("source").alias("of"), F.col("start").alias("os")).agg(F.collect_list("l").alias("laps"))
+        found = placed.join(per, _same("source", "of") & (F.col("start") == F.col("os")) & (F.col("size") > 0))
+        # repeated rows are alike, so one of them gets the laps of all
+        merged = kept.stored(found.select(_row_key(F.col("tie")).alias(at), "laps").groupBy(at).agg(F.flatten(F.collect_list("laps")).alias(laps)), "mix-laps")
     own = docs.withColumn(key, _row_key(F.md5(F.coalesce(F.col("text"), F.lit("")))))
     joined = own.join(merged, F.col(key) == F.col(at)).dropDuplicates([key])
     cut = joined.withColumn(split, F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
-    taken = F.flatten(F.transform(lap, lambda p: F.slice(split, (p["from_word"] + 1).cast("int"), p["n"].cast("int"))))
-    each = cut.withColumn(lap, F.explode(laps)).withColumn("text", F.array_join(taken, ""))
+    taken = F.flatten(F.transform(F.col(lap)["parts"], lambda p: F.slice(split, (p["from_word"] + 1).cast("int"), p["n"].cast("int"))))
+    each = cut.withColumn(lap, F.explode(laps)).withColumn("text", F.array_join(taken, "")).withColumn(order, F.col(lap)["place"])
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.select(*columns_but(docs))
+    return each.select(*columns_but(docs), order).repartitionByRange(order).sortWithinPartitions(order).select(*columns_but(docs))
 
 
 def _scramble_sql(rows: str, x: str, key: str, name: str) -> str:
@@ -252,7 +277,7 @@ def _scramble_sql(rows: str, x: str, key: str, name: str) -> str:
     return f"select * exclude (y1, y2), (y2 * {_M3} + (y2 >> 13)) % {_P} as {name} from ({two})"
 
 
-def _sql(docs: str = "documents") -> str:
+def _sql(docs: str = "documents", seed: int = SEED) -> str:
     """DuckDB SQL for mix()."""
     step = "select source, t, n, k, a, b, i, pos % a as l, pos // a as r from walk where i = 0 or (pos >= n and i < 16)"
     for i in range(_ROUNDS):
@@ -278,14 +303,25 @@ s5 as (select s4.source, source_size, rank, least(coalesce(level.share * weight,
       (source_size + {BLOCK - 1}) // {BLOCK} as nb from s4, level),
 s6 as (select *, (rank * 1299709 + {SEED}) % {_P} as k,
       case when source_size > 0 then least(cast(floor(target * nb / source_size + 0.5) as bigint), nb * {REPEATS}) else 0 end as quota from s5),
-t as (select source, nb as n, k + (t // nb) * 15485863 as k, t, t % nb as x from (select *, unnest(range(0, quota)) as t from s6)),
-walk as (select source, t, n, k, a, (n + a - 1) // a as b, x as pos, 0 as i from (select *, greatest(cast(ceil(sqrt(n)) as bigint), 1) as a from t)
+total as (select cast(sum(quota) as bigint) as total from s6),
+ends as (select rank, cast(floor(cast(e - quota as double) / total * {_P}) as bigint) as lo, cast(floor(cast(e as double) / total * {_P}) as bigint) as hi from (select rank, quota, cast(sum(quota) over (order by rank) as bigint) as e from s6), total),
+slots as (select id, id // {SLOTS} as shard, h from ({_scramble_sql("select unnest(range(0, total)) as id from total", "id", f"({seed} + (id // {_P}) * 7919)", "h")})),
+dr as (select id, shard, rank, row_number() over (partition by shard order by rank, id) - 1 as slot, row_number() over (partition by rank order by shard, id) - 1 as at_ from slots join ends on h >= lo and h < hi),
+nm as (select s6.*, coalesce(drawn, 0) as drawn, greatest(coalesce(drawn, 0) - quota, 0) as more, greatest(quota - coalesce(drawn, 0), 0) as less from s6 left join (select rank, count(*) as drawn from dr group by rank) using (rank)),
+n2 as (select *, cast(sum(more) over (order by rank) as bigint) - more as free, cast(sum(less) over (order by rank) as bigint) - less as wants from nm),
+nu as (select n2.*, case when drawn > quota then at_ * (case when drawn % {_SPREAD} = 0 then {_OTHER_SPREAD} else {_SPREAD} end) % drawn else at_ end as nth,
+      shard * {SLOTS} + case when shard < total // {SLOTS} then slot * {_ODD} % {SLOTS} else slot end as place from dr join n2 using (rank), total),
+tk as (select source, nb, k, nth, place from nu where nth < quota union all select w.source, w.nb, w.k, w.nth, f.place from (select *, drawn + j as nth, wants + j as f from (select *, unnest(range(0, less)) as j from n2)) w
+      join (select free + nth - quota as f, place from nu where nth >= quota) f using (f)),
+t as (select source, place, nb as n, k + (nth // nb) * 15485863 as k, nth % nb as x from tk),
+walk as (select source, t, n, k, a, (n + a - 1) // a as b, x as pos, 0 as i from (select *, place as t, greatest(cast(ceil(sqrt(n)) as bigint), 1) as a from t)
   union all select source, t, n, k, a, b, r * a + l as pos, i + 1 as i from ({step})),
-times as (select source, pos as block, count(*) as times from walk where i > 0 and pos < n group by all),
+times as (select source, pos as block, t as place from walk where i > 0 and pos < n),
 piece as (select source, start, block, least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}) as n
       from (select *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) as block from p where size > 0)),
-taken as (select piece.source, start, cast(sum(n * times) as bigint) as taken from piece join times on piece.source is not distinct from times.source and piece.block = times.block group by piece.source, start)
-select p.doc_id, p.size, s6.source_size, s6.target, coalesce(taken.taken, 0) as taken from p join s6 on p.source is not distinct from s6.source
+taken as (select piece.source, start, cast(sum(n) as bigint) as taken, min(place) // {SLOTS} as first_shard, max(place) // {SLOTS} as last_shard, cast(sum(place) as bigint) as places
+      from piece join times on piece.source is not distinct from times.source and piece.block = times.block group by piece.source, start)
+select p.doc_id, p.size, s6.source_size, s6.target, coalesce(taken.taken, 0) as taken, first_shard, last_shard, coalesce(places, 0) as places from p join s6 on p.source is not distinct from s6.source
 left join taken on p.source is not distinct from taken.source and p.start = taken.start and p.size > 0
 """
 
