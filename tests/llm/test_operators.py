@@ -282,6 +282,9 @@ def test_source_mix(docs, empty, rows):
         taken[s] += r.taken
     assert all(abs(taken[s] - aim[s]) <= max(0.02 * aim[s], 64) for s in total)
     assert Counter(map(tuple, got)) == Counter(map(tuple, source_mix.mix(docs.repartition(3)).collect()))
+    other = Counter(map(tuple, source_mix.mix(docs, seed=5).collect()))
+    assert Counter(map(tuple, got)) != other and sum(r[4] for r in other) == sum(r.taken for r in got)
+    assert all((r.first_shard is None) == (r.taken == 0) for r in got) and all(r.first_shard <= r.last_shard for r in got if r.taken)
     assert source_mix.mix(empty).collect() == []
     made = source_mix.mixed_documents(docs.withColumn("mix_laps", F.lit(1))).collect()
     assert sum(len(WORDS(r.text)) for r in made) == sum(taken.values())
@@ -299,7 +302,7 @@ def test_shards_draw_their_sources(spark):
         shards[r.shard][r.rank] = r.n
     assert sorted(shards) == list(range(-(-total // 1024))) and all(sum(c.values()) == min(1024, total - 1024 * s) for s, c in shards.items())
     drawn = source_mix.draws(targets).collect()
-    assert sorted((r.shard, r.slot) for r in drawn) == [(i // 1024, i % 1024) for i in range(total)]
+    assert sorted(r.place for r in drawn) == list(range(total))
     of = Counter(r.source for r in drawn)
     blocks = Counter((r.source, r.block) for r in drawn)
     for s, r in rows.items():
@@ -307,6 +310,18 @@ def test_shards_draw_their_sources(spark):
         assert {n for (x, _), n in blocks.items() if x == s} <= {r.quota // r.n_blocks, -(-r.quota // r.n_blocks)}
 
 
+def test_many_sources(spark):
+    """A hundred thousand sources: each has its target within 2 percent or a block, and shards differ by seed."""
+    n = 100_000
+    sizes = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), (64 * (1 + F.col("id") % 3)).alias("size"), F.lit("t").alias("tie"))
+    targets = source_mix.source_targets(sizes)
+    total = targets.agg(F.sum("quota"), F.sum("source_size"), F.sum("target"), F.count("*"), F.max(F.col("target") - 3 * F.col("source_size"))).first()
+    assert total[3] == n and total[2] == pytest.approx(total[1], rel=1e-6) and total[4] <= 1e-6
+    near = targets.where(F.abs(F.col("quota") * F.col("source_size") / F.col("n_blocks") - F.col("target")) > F.greatest(0.02 * F.col("target"), F.lit(64)))
+    assert near.count() == 0
+    assert source_mix.shard_counts(targets).agg(F.sum("n")).first()[0] == total[0]
+
+
 def test_shard_counts_are_multinomial(spark):
     quotas = [30_000, 60_000, 10_000, 0, 204_800]
     targets = spark.createDataFrame([(i, q) for i, q in enumerate(quotas)], "rank long, quota long")
@@ -617,9 +632,11 @@ def test_chats_of_many_layouts_and_long_ones(spark, monkeypatch):
         made += [(c, t, r, rng.choice(["", "hi <|im_end|>", 'q"\\\n', "é" * 50, None])) for t, r in enumerate(roles)]
     made += [(100, 0, "user", "long " * 100_000), (100, 1, "assistant", "\\<|" * 50_000)]
     frame = spark.createDataFrame([(*m, 5) for m in made], "conv_id long, turn long, role string, text string, LAYOUT int")
-    monkeypatch.setattr(chat_format, "MAX_JSON", 600_000)
-    laid = chat_format.as_records(chat_format.table_turns(frame))
-    assert {r.layout for r in chat_format.json_turns(laid, "record").collect()} == {None, "messages", "shared", "prompt-response"}
+    laid = chat_format.as_records(chat_format.row_records(frame).drop("LAYOUT"))
+    assert {r.layout for r in chat_format.json_turns(laid, "record").collect()} == {"messages", "shared", "prompt-response"}
+    monkeypatch.setattr(chat_format, "VARIANT_CHARS", 600_000)  # the long texts go by the type of all layouts
+    monkeypatch.setattr(chat_format, "RECORD_TURNS", 2)
+    assert all(r.layout == "messages" for r in chat_format.json_turns(laid.where("conv_id = 100"), "record").collect())
     got = {r.conv_id: r for r in chat_format.chat_digests(frame).collect()}
     for c in {m[0] for m in made}:
         turns = [(m[2] or "", m[3] or "") for m in made if m[0] == c]
@@ -628,6 +645,25 @@ def test_chats_of_many_layouts_and_long_ones(spark, monkeypatch):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_long_records_take_the_same_mappings(spark, monkeypatch):
+    cases = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":null}],"system":"s","x":{"y":1}}', '{"conversations":[{"from":"human","value":"q"}]}', '{"messages":[]}', '{"instruction":"q","input":"more","output":"r"}', '{"prompt":"q","response":"r"}', '{"question":"q","answer":"r"}', '{"other":1}', "{torn", '{"prompt":"q","response":"r"']
+    records = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, rec string")
+    usual = sorted(map(tuple, chat_format.json_turns(records, "rec").drop("rec").collect()))
+    monkeypatch.setattr(chat_format, "VARIANT_CHARS", 0)
+    assert sorted(map(tuple, chat_format.json_turns(records, "rec").drop("rec").collect())) == usual
+
+
+def test_offsets_and_many_turns(spark):
+    sizes = spark.sql("select transform(sequence(1, 1000), x -> cast(x % 7 as bigint)) as s union all select cast(array() as array<bigint>)")
+    for r in sizes.select("s", chat_format.offsets(F.col("s")).alias("o")).collect():
+        assert list(r.o) == [sum(r.s[:i]) for i in range(len(r.s))]
+    n = 10_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t <| "), F.col("id").cast("string")).alias("text"))
+    got = {r.conv_id: r for r in chat_format.chat_digests(turns.orderBy(F.rand(2))).collect()}[1]
+    loss = "".join(f"t <| {i}" for i in range(1, n, 2))
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_urls(spark):
     made = [(1, "https://A.Example.com/en/1"), (2, "http://www.example.com/en/2?x"), (3, "http://example.com"), (4, "x://b.net/es/"), (5, None), (6, "no url"), (7, "http://c.org/a#b"), (8, "http://example.com/fr"), (1, "https://A.Example.com/en/1")]
     made += [(100 + i, f"http://spam.org/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]

@@ -30,7 +30,7 @@ from trialspark.llm.common import columns_but, fresh
 #: How this family of vocabularies splits a text before merging: a fixed value of the tokenizer format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_ONE_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
+_ONE_WORD, _LINE_AND_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch, re.compile(rb"\n[A-Za-z]+").fullmatch
 #: Bytes of a table of pieces or of fragments in a worker, what an entry takes beside its strings, and the longest key
 #: that is remembered. A full table is kept as the last while a new one fills, so a worker holds four times TABLE_BYTES.
 TABLE_BYTES, ENTRY_BYTES, LONGEST_KEY = 16 * 2**20, 280, 64
@@ -87,6 +87,7 @@ class Bpe:
             if one is not None and all(one(t) == [r] for r, t in enumerate(order)) and all(self.merged(a + b) == [a + b] for a, b in pairs):
                 self.by_ranks, self.merger = one, merger
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.coded_rank = [self._packed([i]) for i in self.id_of_rank]
         inside = {(t[i], t[i + 1]) for t in vocab for i in range(len(t) - 1)}
         self.forced = {(x, y) for x in range(256) for y in range(256)} - inside
         # white space before which a cut is forced after all but a few bytes; those few are never cut there
@@ -117,14 +118,23 @@ class Bpe:
 
     def _fragment(self, fragment: bytes) -> tuple[bytes, bytes]:
         if self.by_ranks is not None:
-            return self._packed([self.id_of_rank[r] for r in self.by_ranks(fragment)])
+            coded = [self.coded_rank[r] for r in self.by_ranks(fragment)]
+            return coded[0] if len(coded) == 1 else (b"".join([c[0] for c in coded]), b"".join([c[1] for c in coded]))
         return self._packed([self.id_of[t] for t in self.merged(fragment)])
 
     def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
         forced, found = self.forced, []
         # one word for the pattern, as most pieces are
-        words = [piece] if _ONE_WORD(piece) else [w.encode() for w in self.split_piece(piece.decode())]
-        for data in words:
+        one = _ONE_WORD(piece)
+        if one and forced.isdisjoint(zip(piece, piece[1:], strict=False)):
+            return self._fragment(piece)  # the table of pieces remembers it
+        if _LINE_AND_WORD(piece):  # two words for the pattern
+            found = [self.pieces[piece[:1]], self.pieces[piece[1:]]]
+            return found[0][0] + found[1][0], found[0][1] + found[1][1]
+        for data in [piece] if one else [w.encode() for w in self.split_piece(piece.decode())]:
+            if forced.isdisjoint(zip(data, data[1:], strict=False)):
+                found.append(self.fragments[data])
+                continue
             lo = 0
             for i, pair in enumerate(zip(data, data[1:], strict=False), 1):
                 if pair in forced:

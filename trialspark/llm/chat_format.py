@@ -17,7 +17,7 @@ import hashlib
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,13 @@ from trialspark.llm.common import columns_but, fresh, let
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
-#: Characters of a conversation above which chat_digests() does not write it as JSON first: a variant has a size limit.
-MAX_JSON = 4_000_000
+#: Turns of a record that row_records() makes, and characters after which it begins another one.
+RECORD_TURNS, RECORD_CHARS = 64, 400_000
+#: Characters of JSON that are parsed as a variant, which has a size limit; a longer record, which holds a very long
+#: text, is parsed by the type of all layouts and takes the same way by fingerprint and mapping.
+VARIANT_CHARS = 4_000_000
+#: Elements that offsets() sums one by one.
+_RUN = 256
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -112,21 +117,28 @@ def known_slots(paths: Column) -> Column:
     def fills(p: Column, s: str) -> Column:
         return (p == s) | p.startswith(f"{s}.") | p.startswith(f"{s}[") | (p.endswith("[]") & F.lit(s).startswith(F.concat(p, F.lit("."))))
 
-    slot = lambda s: F.when(F.exists(paths, lambda p: fills(p, s)), F.lit(s))
-    found = [slot(s) for s in SLOTS]
-    return F.when(paths.isNotNull(), F.array_compact(F.array(*found)))
+    def slot(p: Column, s: str) -> Column:
+        return F.when(F.exists(p, lambda x: fills(x, s)), F.lit(s))
+
+    def found(p: Column) -> Column:
+        return F.array_compact(F.array(*[slot(p, s) for s in SLOTS]))
+
+    return F.when(paths.isNotNull(), let(paths, found))
 
 
 def chosen_mapping(slots: Column) -> Column:
     """The name of the mapping that has the fingerprint of slots, or else of the first whose required slots are there."""
-    key = F.md5(F.array_join(slots, "\n"))
     by_key: dict[str, str] = {}
     for m in MAPPINGS:
         for k in m.keys():
             by_key.setdefault(k, m.name)
     table = F.create_map(*[F.lit(x) for pair in by_key.items() for x in pair])
-    held = [F.when(F.size(F.array_intersect(slots, F.array(*map(F.lit, m.required)))) == len(m.required), m.name) for m in MAPPINGS]
-    return F.coalesce(F.element_at(table, key), *held)
+
+    def chosen(s: Column) -> Column:
+        held = [F.when(F.size(F.array_intersect(s, F.array(*map(F.lit, m.required)))) == len(m.required), m.name) for m in MAPPINGS]
+        return F.coalesce(F.element_at(table, F.md5(F.array_join(s, "\n"))), *held)
+
+    return F.when(slots.isNotNull(), let(slots, chosen))
 
 
 def value_text(v: Column) -> Column:
@@ -164,17 +176,55 @@ def _mapped(m: Mapping, record: Column) -> Column:
     return F.concat(*[g.cast(TURNS) for g in got])
 
 
+#: The fields of all layouts, texts as strings.
+TYPED = "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, " + ", ".join(
+    f"{f} string" for f in ("system", "instruction", "input", "output", "response", "prompt", "completion", "question", "answer", "torn")
+)
+
+
+def _typed_slots(typed: Column) -> Column:
+    """The slots that are there in a record of type TYPED; an empty list fills all slots of its elements."""
+
+    def there(s: str) -> Column:
+        at, _, inner = s.partition("[].")
+        if not inner:
+            return typed[s].isNotNull()
+        return typed[at].isNotNull() & ((F.size(typed[at]) == 0) | F.exists(typed[at], lambda x: x[inner].isNotNull()))
+
+    return F.when(typed.isNotNull() & typed["torn"].isNull(), F.array_compact(F.array(*[F.when(there(s), F.lit(s)) for s in SLOTS])))
+
+
+def _typed_turns(m: Mapping, typed: Column) -> Column:
+    """The turns of a record of type TYPED by a mapping."""
+    usual = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    named = lambda role: F.coalesce(F.element_at(usual, F.lower(role)), role) if m.renamed else role
+    got = []
+    for item in m.turns:
+        if len(item) == 3:
+            slot, role, text = item
+            got.append(F.transform(typed[slot], lambda x: F.struct(named(x[role]).alias("role"), x[text].alias("text"))))
+        else:
+            role, (first, *others) = item
+            text = F.concat_ws("\n", typed[first], *[F.when(typed[o] != "", typed[o]) for o in others]) if others else typed[first]
+            got.append(F.filter(F.array(F.struct(F.lit(role).alias("role"), text.alias("text"))), lambda x: x["text"].isNotNull()))
+    return F.concat(*[g.cast(TURNS) for g in got])
+
+
 def json_turns(records: DataFrame, column: str) -> DataFrame:
     """records with `layout` and `turns`, from a column of JSON; columns of these names, in any case, are replaced.
 
     Fields beside a layout's are ignored, at any depth. Texts may be strings, lists of parts, or objects with a text. Both
     columns are null where the JSON is null or torn, or fits no layout; an empty list of turns is a layout without turns.
+    In a record of more than VARIANT_CHARS characters, texts are strings, or the JSON of what stands there.
     """
-    v, layout = fresh(records, "record_variant"), fresh(records, "record_layout")
-    parsed = records.withColumn(v, F.try_parse_json(F.col(column)))
-    slots = known_slots(variant_paths(F.schema_of_variant(v)))
-    named = parsed.withColumn(layout, chosen_mapping(slots))
-    turns = F.coalesce(*[F.when(F.col(layout) == m.name, _mapped(m, F.col(v))) for m in MAPPINGS])
+    v, typed, layout = (fresh(records, x) for x in ("record_variant", "record_typed", "record_layout"))
+    long = F.length(column) > VARIANT_CHARS
+    parsed = records.withColumn(v, F.try_parse_json(F.when(~long, F.col(column))))
+    parsed = parsed.withColumn(typed, F.from_json(F.when(long, F.col(column)), TYPED, {"columnNameOfCorruptRecord": "torn"}))
+    paths = variant_paths(F.schema_of_variant(v))
+    slots = let(paths, lambda p: F.coalesce(known_slots(p), _typed_slots(F.col(typed))))
+    named = parsed.withColumn(layout, let(slots, chosen_mapping))
+    turns = F.coalesce(*[F.when(F.col(layout) == m.name, F.when(F.col(v).isNotNull(), _mapped(m, F.col(v))).otherwise(_typed_turns(m, F.col(typed)))) for m in MAPPINGS])
     return named.select(*columns_but(records, "layout", "turns"), F.col(layout).alias("layout"), turns.alias("turns"))
 
 
@@ -203,11 +253,29 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def offsets(sizes: Column) -> Column:
+    """For each of an array of bigint, the sum of those before it: runs of _RUN are summed first, so the time is linear."""
+    zero = F.lit(0).cast("long")
+
+    def before(xs: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(_RUN))
+    runs = F.transform(starts, lambda i: F.slice(sizes, i, F.lit(_RUN)))
+
+    def joined(r: Column) -> Column:
+        totals = before(F.transform(r, lambda x: F.aggregate(x, zero, lambda a, y: a + y)), zero)
+        return F.flatten(F.transform(F.arrays_zip(r.alias("r"), totals.alias("t")), lambda z: before(z["r"], z["t"])))
+
+    return let(runs, joined)
+
+
 def formatted(chats: DataFrame) -> DataFrame:
     """chats (conv_id, turns, ...) with `formatted` and `loss_spans`, array<struct<start,end>> in code points.
 
     Null roles and texts count as empty; null turns give an empty string. Columns of these names, in any case, are
-    replaced. A conversation is one value of its task, however long.
+    replaced. A conversation is one value of its task, however long; the time is linear in its turns.
     """
     head = lambda x: F.concat(F.lit(START), F.url_encode(F.coalesce(x["role"], F.lit(""))), F.lit("\n"))
     part = lambda x: F.struct(head(x).alias("h"), escaped(F.coalesce(x["text"], F.lit(""))).alias("t"), (x["role"] == "assistant").alias("loss"))
@@ -215,16 +283,11 @@ def formatted(chats: DataFrame) -> DataFrame:
     parts = F.transform(F.coalesce("turns", F.array().cast(TURNS)), part)
 
     def written(p: Column) -> Column:
-        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["h"])
-            end = start + F.length(x["t"])
-            span = F.array(F.struct(start.alias("start"), end.alias("end")))
-            return F.struct((end + len(tail)).alias("at"), F.when(x["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
+        sizes = F.transform(p, lambda x: (F.length(x["h"]) + F.length(x["t"]) + len(tail)).cast("long"))
+        spans = F.transform(F.arrays_zip(p.alias("p"), offsets(sizes).alias("at")), lambda z: F.struct(z["p"]["loss"].alias("loss"), (z["at"] + F.length(z["p"]["h"])).alias("start"), F.length(z["p"]["t"]).alias("n")))
+        kept = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"]).alias("end")))
         text = F.array_join(F.transform(p, lambda x: F.concat(x["h"], x["t"], F.lit(tail))), "")
-        return F.struct(text.alias("formatted"), F.aggregate(p, none, step, lambda a: a["spans"]).alias("loss_spans"))
+        return F.struct(text.alias("formatted"), kept.alias("loss_spans"))
 
     made = fresh(chats, "written")
     return chats.withColumn(made, let(parts, written)).select(*columns_but(chats, "formatted", "loss_spans"), f"{made}.*")
@@ -234,29 +297,46 @@ def read_back(chats: DataFrame) -> DataFrame:
     """chats with `read`, the turns (role, text, loss) parsed from `formatted` and `loss_spans` alone."""
     pieces = F.filter(F.split("formatted", r"\Q" + START + r"\E"), lambda x, i: i > 0)
 
-    def placed(p: Column) -> Column:
-        """Each piece with the place of its text."""
-        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-        step = lambda a, x: F.struct((a["at"] + len(START) + F.length(x)).alias("at"), F.concat(a["starts"], F.array(a["at"] + len(START) + F.instr(x, "\n"))).alias("starts"))
-        starts = F.aggregate(p, none, step, lambda a: a["starts"])
-        return F.arrays_zip(p.alias("p"), starts.alias("s"))
+    def marked(p: Column) -> Column:
+        """(start of the text, whether the mask holds it) of each piece in order: both lists of starts are sorted together."""
+        own = F.transform(F.arrays_zip(p.alias("p"), offsets(F.transform(p, lambda x: (F.length(x) + len(START)).cast("long"))).alias("at")), lambda z: F.struct((z["at"] + len(START) + F.instr(z["p"], "\n")).alias("s"), F.lit(1).alias("k")))
+        mask = F.transform("loss_spans", lambda x: F.struct(x["start"].alias("s"), F.lit(0).alias("k")))
+
+        def flags(z: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                last = F.get(z, i - 1)
+                return F.struct(x["k"].alias("k"), F.coalesce((last["s"] == x["s"]) & (last["k"] == 0), F.lit(False)).alias("loss"))
 
-    masked = F.transform("loss_spans", lambda x: x["start"])
+            return F.transform(F.filter(F.transform(z, one), lambda x: x["k"] == 1), lambda x: x["loss"])
+
+        return F.arrays_zip(p.alias("p"), let(F.array_sort(F.concat(own, mask)), flags).alias("loss"))
 
     def turn(x: Column) -> Column:
         head = F.instr(x["p"], "\n")
         text = F.substring(x["p"], head + 1, F.length(x["p"]) - head - len(END) - 1)
-        return F.struct(F.url_decode(F.substring(x["p"], F.lit(1), head - 1)).alias("role"), unescaped(text).alias("text"), F.array_contains(masked, x["s"]).alias("loss"))
+        return F.struct(F.url_decode(F.substring(x["p"], F.lit(1), head - 1)).alias("role"), unescaped(text).alias("text"), x["loss"].alias("loss"))
+
+    return chats.withColumn("read", F.transform(let(pieces, marked), turn))
+
 
-    return chats.withColumn("read", F.transform(let(pieces, placed), turn))
+def row_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, part, turns) of rows by turn: a conversation's turns in order, cut into parts of a bounded number of turns
+    and, but for a single long text, of characters."""
+    turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = (F.length("role") + F.length("text")).cast("long")
+    nth = clean.withColumn("nth", F.row_number().over(turn) - 1).withColumn("until", F.sum(size).over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    part = F.struct(F.floor(F.col("nth") / RECORD_TURNS).alias("turns"), F.floor(F.coalesce("until", F.lit(0)) / RECORD_CHARS).alias("chars"))
+    grouped = nth.withColumn("part", part).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text"))).alias("t"))
+    return grouped.select("conv_id", "part", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def as_records(chats: DataFrame) -> DataFrame:
     """chats (conv_id, turns) with `record`, each conversation as JSON of a layout that its number chooses.
 
     Messages with a number beside them, messages with texts in parts, shared conversations with nested extras, and
-    prompts where a user and an assistant speak once. A role that a shared layout would rename takes messages. record is
-    null for conversations of more than MAX_JSON characters.
+    prompts where a user and an assistant speak once. A role that a shared layout would rename takes messages, and so does
+    what holds a text that is too long for a variant.
     """
     turns, which = F.col("turns"), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
     many = lambda of: F.to_json(of, {"ignoreNullFields": "false"})
@@ -270,15 +350,16 @@ def as_records(chats: DataFrame) -> DataFrame:
     renamed = F.exists(turns, lambda x: F.lower(x["role"]).isin(list(ROLES)))
     spoken = F.array_join(F.transform(turns, lambda x: F.when(x["role"].contains(","), "-").otherwise(x["role"])), ",") == "user,assistant"
     size = F.aggregate(turns, F.lit(0).cast("long"), lambda a, x: a + F.length(x["role"]) + F.length(x["text"]))
-    chosen = F.when(spoken & (which == 0), prompt).when(which == 1, parts).when((which == 2) & ~renamed, others).otherwise(plain)
-    return chats.withColumn("record", F.when(size <= MAX_JSON, chosen))
+    chosen = F.when(8 * size > VARIANT_CHARS, plain)  # a character may take six in JSON
+    chosen = chosen.when(spoken & (which == 0), prompt).when(which == 1, parts).when((which == 2) & ~renamed, others).otherwise(plain)
+    return chats.withColumn("record", chosen)
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """One row a conversation, read back from its formatted string, plus conversation -1 with marks in its texts.
 
-    Conversations are gathered by the layout of rows, laid out as records of several layouts, and each record is mapped
-    by its own fingerprint. A null conv_id is a conversation; null roles and texts are empty; repeated rows are turns of
+    Rows are ordered within their conversation, which is cut into records of a bounded number of turns; these are laid
+    out in several layouts, each is mapped by its own fingerprint, and the turns are put together again. A null conv_id is a conversation; null roles and texts are empty; repeated rows are turns of
     their own; an empty table leaves conversation -1. A conversation's string and digest are one value, so its turns
     meet in one task, however long. Other columns are ignored.
     """
@@ -286,8 +367,9 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
     two = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(tricky).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(two)
-    laid = as_records(table_turns(rows)).withColumnRenamed("turns", "own")
-    chats = json_turns(laid, "record").withColumn("turns", F.coalesce("turns", F.when(F.col("record").isNull(), F.col("own")))).drop("own", "record")
+    turns = json_turns(as_records(row_records(rows)).drop("turns"), "record").select("conv_id", "part", "turns")
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "turns"))).alias("parts"))
+    chats = whole.select("conv_id", F.flatten(F.transform("parts", lambda x: x["turns"])).alias("turns"))
     back = read_back(formatted(chats))
     lines = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("read", lambda x: x["loss"]), lambda x: x["text"]), "")
