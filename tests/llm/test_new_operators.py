@@ -160,5 +160,20 @@ def test_deep_lists_end_early_and_right(spark, monkeypatch):
     assert len(depths) > 1 and 0 not in depths[1]  # the query of rare terms ends at the first depth
 
 
+def test_cells_are_bounded_in_texts(spark, monkeypatch):
+    """Short texts of one bucket in two components: cells hold few texts a side, and the links are those of all pairs."""
+    from trialspark.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "CELL_TEXTS", 20)
+    monkeypatch.setattr(near_duplicates, "CELL_WORDS", 10_000)
+    texts = [(f"n{i:03d}", " ".join(f"w{i}x{j}" for j in range(8)), 8) for i in range(150)] + [("a", "one two three four five six", 6), ("b", "one two three four five six", 6)]
+    frame = spark.createDataFrame(texts, "node string, text string, n_words int")
+    members = frame.select(F.lit("k").alias("key"), "node", "n_words")
+    found = near_duplicates.links_across(members, spark.createDataFrame([], "node string, label string"), frame.select("node", "text"))
+    assert [tuple(r) for r in found.collect()] == [("a", "b")]
+    cells = frame.select(F.pmod(F.xxhash64("node"), F.lit(152 * 500 // 10_000 + 1)).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells < 60
+
+
 def test_new_queries_are_registered():
     assert {"op11_best_fit_sequences", "op12_sharded_lloyd", "op13_best_positions"} <= set(queries.QUERIES)

@@ -32,8 +32,8 @@ from trialspark.llm.common import WORD, fresh, joined_copies, scratch, stored, w
 SHINGLE, SIMILARITY = 5, 0.8
 TUPLE, ROWS, BANDS = 2, 2, 12
 SMALL = 6
-#: Words of one side of a cell, about; a longer text is a side of its own. Pairs of texts that are split at a time.
-CELL_WORDS, AT_ONCE = 100_000, 200
+#: Words and texts of one side of a cell, about; a longer text is a side of its own. Pairs of texts split at a time.
+CELL_WORDS, CELL_TEXTS, AT_ONCE = 100_000, 2_000, 200
 #: Columns of a cell's table of shingles that are multiplied at a time.
 COLUMNS = 4096
 
@@ -351,10 +351,12 @@ def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Dat
     """(a, b): links that join the components of each bucket of members (key, node, n_words).
 
     In a bucket with two components or more, the members outside the largest one meet all members. Both sides are dealt
-    by a hash to cells of about CELL_WORDS words a side, so no task holds a bucket.
+    by a hash to cells of about CELL_WORDS words or CELL_TEXTS texts a side, so no task holds a bucket, nor a table of
+    more pairs than CELL_TEXTS squared, about.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n_words").alias("words"))
+    weight = F.greatest(F.col("n_words"), F.lit(CELL_WORDS // CELL_TEXTS))
+    per = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum(weight).alias("words"))
     top = F.max_by(F.struct("label", "words"), F.struct("size", "label")).alias("top")
     tops = per.groupBy("key").agg(F.sum("words").alias("all"), top, F.count("*").alias("parts")).where("parts > 1")
     sides = lambda w: F.greatest(F.ceil(w / CELL_WORDS), F.lit(1)).cast("int")
