@@ -110,7 +110,8 @@ def percentile_interval(values: list[float], resamples: int, seed: int) -> tuple
 
 
 def exact_intervals(values: DataFrame, keys: list[str], value: str, position: str, seed: Column, resamples: int = 10_000) -> DataFrame:
-    """(keys, ci_low, ci_high): an interval for each group, over its values in order of position; null values are none.
+    """(keys, ci_low, ci_high): an interval for each group, over its values in order of position; null values are none, null
+    keys a group.
 
     Groups may have any size. A group's draws are cut into parts of about DRAWS, each with the generator's state at its
     start, and its values into blocks of VALUES; a part with a block is a task's row, and only sums of resamples meet.
@@ -134,7 +135,7 @@ def exact_intervals(values: DataFrame, keys: list[str], value: str, position: st
 
     shape = T.StructType([*kinds.fields, *T._parse_datatype_string("_n long, _first long, _count long, _skip long, _state binary").fields])
     parts = groups.repartition(spread, *keys).mapInArrow(cut, shape)
-    work = parts.join(blocks, keys).repartition(spread, *keys, "_first", "_block")
+    work = ranges.joined(parts, blocks, keys).repartition(spread, *keys, "_first", "_block")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,8 @@ Nothing is written and no job runs before the query does: cuts are a pure functi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ ROWS = 50_000
 RANGE = "_range"
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns by keys, in which null matches null."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def _range_of(value: Column, cuts: Column) -> Column:
     """How many of the sorted cuts are at most value, by bisection."""
     start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
@@ -36,8 +45,8 @@ def with_ranges(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """
     large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS)
     chosen = df.select(*keys, order).where(F.pmod(F.xxhash64(order), F.lit(ROWS)) == 0)
-    cuts = chosen.join(F.broadcast(large), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
-    found = df.join(F.broadcast(cuts), keys, "left")
+    cuts = joined(chosen, F.broadcast(large), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
+    found = joined(df, F.broadcast(cuts), keys, "left")
     return found.withColumn(RANGE, F.when(F.col("_cuts").isNull(), 0).otherwise(_range_of(F.col(order), F.col("_cuts")))).drop("_cuts")
 
 
@@ -48,7 +57,7 @@ def running_sums(ranged: DataFrame, keys: list[str], order: str, values: dict[st
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, RANGE, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
     until = Window.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = ranged.withColumns({f"_within_{n}": F.sum(v).over(until) for n, v in values.items()}).join(sums, [*keys, RANGE])
+    within = joined(ranged.withColumns({f"_within_{n}": F.sum(v).over(until) for n, v in values.items()}), sums, [*keys, RANGE])
     return within.select(*ranged.columns, *[(F.col(f"_before_{n}") + F.col(f"_within_{n}")).alias(n) for n in values])
 
 
@@ -61,7 +70,7 @@ def with_next(ranged: DataFrame, keys: list[str], order: str, names: list[str])
     heads = ranged.groupBy(*keys, RANGE).agg(F.min_by(own, F.col(order)).alias("_head"))
     heads = heads.withColumn("_head", F.lead("_head").over(Window.partitionBy(*keys).orderBy(RANGE)))
     inside = ranged.withColumn("_next", F.lead(own).over(Window.partitionBy(*keys, RANGE).orderBy(order)))
-    return inside.join(heads, [*keys, RANGE]).withColumn("_next", F.coalesce("_next", "_head")).drop("_head")
+    return joined(inside, heads, [*keys, RANGE]).withColumn("_next", F.coalesce("_next", "_head")).drop("_head")
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
@@ -80,9 +89,9 @@ def medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFr
     by = [*keys, "kind"]
     counted = long.groupBy(*by, "value").agg(F.count("*").alias("n"))
     total = counted.groupBy(*by).agg(F.sum("n").alias("total"))
-    run = running_sums(with_ranges(counted, by, "value"), by, "value", {"until": "n"}).join(total, by)
+    run = joined(running_sums(with_ranges(counted, by, "value"), by, "value", {"until": "n"}), total, by)
     first = lambda above: F.min(F.when(F.col("until") > above, F.col("value")))
     lower, upper = first(F.floor((F.col("total") - 1) / 2)), first(F.floor(F.col("total") / 2))
     middle = run.groupBy(*by).agg(((lower + upper) / 2).alias("median"))
     wide = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == n, F.col("median"))).alias(n) for n in values])
-    return df.select(*keys).distinct().join(wide, keys, "left")
+    return joined(df.select(*keys).distinct(), wide, keys, "left")
