@@ -131,7 +131,8 @@ def shard_counts(targets: DataFrame, seed: int = SEED) -> DataFrame:
     line = ends.select("rank", at(F.col("lo")).alias("lo"), at(F.col("lo") + F.col("quota")).alias("hi")).where("lo < hi")
     cells = line.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     parts = max(2 * spark.sparkContext.defaultParallelism, total // DRAWS_A_TASK + 1)
-    number = _scramble(F.col("id"), F.lit(seed) + F.floor(F.col("id") / _P).cast("long") * 7919)
+    head = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 8)
+    number = F.conv(head, 16, 10).cast("long") % _P
     slots = spark.range(0, total, 1, parts).withColumn("r", number).withColumn("at", F.floor(F.col("r") / width))
     found = slots.join(cells, (F.col("at") == F.col("cell")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     counts = found.select(F.floor(F.col("id") / SLOTS).cast("long").alias("shard"), "rank").groupBy("shard", "rank").agg(F.count("*").alias("n"))
@@ -305,7 +306,7 @@ s6 as (select *, (rank * 1299709 + {SEED}) % {_P} as k,
       case when source_size > 0 then least(cast(floor(target * nb / source_size + 0.5) as bigint), nb * {REPEATS}) else 0 end as quota from s5),
 total as (select cast(sum(quota) as bigint) as total from s6),
 ends as (select rank, cast(floor(cast(e - quota as double) / total * {_P}) as bigint) as lo, cast(floor(cast(e as double) / total * {_P}) as bigint) as hi from (select rank, quota, cast(sum(quota) over (order by rank) as bigint) as e from s6), total),
-slots as (select id, id // {SLOTS} as shard, h from ({_scramble_sql("select unnest(range(0, total)) as id from total", "id", f"({seed} + (id // {_P}) * 7919)", "h")})),
+slots as (select id, id // {SLOTS} as shard, cast('0x' || substr(md5('{seed}:' || id), 1, 8) as bigint) % {_P} as h from (select unnest(range(0, total)) as id from total)),
 dr as (select id, shard, rank, row_number() over (partition by shard order by rank, id) - 1 as slot, row_number() over (partition by rank order by shard, id) - 1 as at_ from slots join ends on h >= lo and h < hi),
 nm as (select s6.*, coalesce(drawn, 0) as drawn, greatest(coalesce(drawn, 0) - quota, 0) as more, greatest(quota - coalesce(drawn, 0), 0) as less from s6 left join (select rank, count(*) as drawn from dr group by rank) using (rank)),
 n2 as (select *, cast(sum(more) over (order by rank) as bigint) - more as free, cast(sum(less) over (order by rank) as bigint) - less as wants from nm),
