@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.operators.integrity import guarded
-
 KEYS = ["task_id", "code_sha256", "scope"]
 
 
@@ -15,9 +13,21 @@ def with_digest(candidates: DataFrame, code: str = "code") -> DataFrame:
 
 
 def to_grade(candidates: DataFrame, store: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
-    """(task_id, code_sha256, scope): distinct contents of candidates, in each of scopes, that the store has no grade of."""
-    asked = candidates.select("task_id", "code_sha256").distinct().withColumn("scope", F.explode(F.array(*map(F.lit, scopes))))
-    return asked.join(store.select(*KEYS).distinct(), KEYS, "left_anti")
+    """(task_id, code_sha256, scope): distinct contents of candidates, in each of scopes, that the store has no grade of.
+
+    Both sides are grouped together by content, so that a table dealt by task is not dealt again.
+    """
+    asked = candidates.select("task_id", "code_sha256", F.lit(None).cast("string").alias("scope"))
+    by = asked.union(store.select(*KEYS)).groupBy("task_id", "code_sha256").agg(F.bool_or(F.col("scope").isNull()).alias("asked"), *[F.coalesce(F.bool_or(F.col("scope") == s), F.lit(False)).alias(f"_{i}") for i, s in enumerate(scopes)])
+    lacking = F.array_compact(F.array(*[F.when(~F.col(f"_{i}"), F.lit(s)) for i, s in enumerate(scopes)]))
+    return by.where("asked").select("task_id", "code_sha256", F.explode(lacking).alias("scope"))
+
+
+def of_contents(grades: DataFrame, contents: DataFrame) -> DataFrame:
+    """(task_id, code_sha256, scope, passed): the grades of contents (task_id, code_sha256, scope); each content has one."""
+    both = grades.select(*KEYS, "passed", F.lit(False).alias("_asked")).union(contents.select(*KEYS, F.lit(None).cast("boolean"), F.lit(True)))
+    by = both.groupBy(*KEYS).agg(F.min("passed").alias("passed"), F.bool_or("_asked").alias("_asked"), F.bool_or(~F.col("_asked")).alias("_graded"))
+    return by.where("_asked and _graded").drop("_asked", "_graded")
 
 
 def conflicts(grades: DataFrame) -> DataFrame:
@@ -28,15 +38,28 @@ def conflicts(grades: DataFrame) -> DataFrame:
 def merged(store: DataFrame, new: DataFrame) -> DataFrame:
     """The store with new grades, one row a content; reading it raises if a grade is not what the store has already."""
     both = store.select(*KEYS, "passed").unionByName(new.select(*KEYS, "passed"))
-    return guarded(both.groupBy(*KEYS).agg(F.min("passed").alias("passed")), conflicts(both), "grades disagree")
+    by = both.groupBy(*KEYS).agg(F.min("passed").alias("passed"), F.max("passed").alias("_most"))
+    told = F.concat(F.lit("grades disagree: "), F.to_json(F.struct(*KEYS)))
+    return by.where(F.when(F.col("passed") != F.col("_most"), F.raise_error(told).cast("boolean")).otherwise(True)).drop("_most")
 
 
 def attached(candidates: DataFrame, store: DataFrame, scope: str, name: str, missing: Column | None = None) -> DataFrame:
     """candidates with `name`, the grade of their content in scope; one that the store has not graded is an error, or `missing`."""
-    of = store.where(F.col("scope") == scope).groupBy("task_id", "code_sha256").agg(F.min("passed").alias(name))
-    where = F.concat(F.lit(f"no {scope} grade for task "), F.col("task_id").cast("string"), F.lit(", code "), F.col("code_sha256"))
-    otherwise = F.raise_error(where).cast("boolean") if missing is None else missing
-    return candidates.join(of, ["task_id", "code_sha256"], "left").withColumn(name, F.coalesce(F.col(name), otherwise))
+    return all_attached(candidates, store, {scope: name}, missing)
+
+
+def all_attached(candidates: DataFrame, store: DataFrame, names: dict[str, str], missing: Column | None = None) -> DataFrame:
+    """attached() for several scopes (scope -> name) in one pass.
+
+    Grades lie among the candidates of their content and are spread over them, so that tables dealt by task are not dealt again.
+    """
+    of = store.where(F.col("scope").isin(*names)).select("task_id", "code_sha256", F.col("scope").alias("_scope"), F.col("passed").alias("_passed"))
+    both = candidates.withColumn("_scope", F.lit("")).unionByName(of, allowMissingColumns=True)
+    content = Window.partitionBy("task_id", "code_sha256")
+    known = F.col("task_id").isNotNull() & F.col("code_sha256").isNotNull()
+    out = both.withColumns({n: F.min(F.when(known & (F.col("_scope") == s), F.col("_passed"))).over(content) for s, n in names.items()}).where("_scope = ''").drop("_scope", "_passed")
+    where = lambda s: F.concat(F.lit(f"no {s} grade for task "), F.col("task_id").cast("string"), F.lit(", code "), F.col("code_sha256"))
+    return out.withColumns({n: F.coalesce(F.col(n), F.raise_error(where(s)).cast("boolean") if missing is None else missing) for s, n in names.items()})
 
 
 def replayed(attempts: DataFrame, searched: DataFrame) -> DataFrame:

@@ -281,9 +281,9 @@ def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """(candidates, grades of all their contents, the grades of an earlier run, which saw each task's first two candidates)."""
     own = graded.with_digest(views.candidates(spark, sf_dir))
     scopes = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(c).alias("passed")) for s, c in (("base", "base_passed"), ("plus", "plus_passed"))]))
-    grades = own.groupBy("task_id", "code_sha256").agg(F.bool_and("base_passed").alias("base_passed"), F.bool_and("plus_passed").alias("plus_passed")).select("task_id", "code_sha256", scopes.alias("g")).select("task_id", "code_sha256", "g.*")
-    seen = own.where("candidate_index < 2").select("task_id", "code_sha256").distinct()
-    return own, grades, grades.join(seen, ["task_id", "code_sha256"], "left_semi")
+    contents = own.groupBy("task_id", "code_sha256").agg(F.bool_and("base_passed").alias("base_passed"), F.bool_and("plus_passed").alias("plus_passed"), F.bool_or(F.col("candidate_index") < 2).alias("seen"))
+    each = lambda df: df.select("task_id", "code_sha256", scopes.alias("g")).select("task_id", "code_sha256", "g.*")
+    return own, each(contents), each(contents.where("seen"))
 
 
 @query(f"""{_CONTENT} select task_id, code_sha256, scope from g where (task_id, code_sha256) not in (select (task_id, code_sha256) from c where candidate_index < 2)""")
@@ -298,9 +298,9 @@ def graded_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with its content's grades, from the earlier store merged with the grades of what it lacked."""
     own, grades, store = _contents(spark, sf_dir)
     todo = graded.to_grade(own, store, ("base", "plus"))
-    whole = graded.merged(store, grades.join(todo, graded.KEYS, "left_semi"))
+    whole = graded.merged(store, graded.of_contents(grades, todo))
     plain = own.select("task_id", "candidate_index", "code_sha256")
-    return graded.attached(graded.attached(plain, whole, "base", "base_passed"), whole, "plus", "plus_passed").drop("code_sha256")
+    return graded.all_attached(plain, whole, {"base": "base_passed", "plus": "plus_passed"}).drop("code_sha256")
 
 
 # Curves and decisions -----------------------------------------------------------------------------------------------

@@ -13,6 +13,8 @@ POOL_SIZE = 4
 KS = (1, 2, 4)
 #: The second budget of results: so many attempts at most.
 TIGHT_ATTEMPTS = 4
+#: Bytes of an input's files that a partition by key takes, about.
+PARTITION_BYTES = 2**21
 DECISION_POLICY, BASELINES = "purchase", ("view", "click", "signup", "error")
 
 
@@ -20,11 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to partitions whose number grows with the size of their files, so that a task's rows do not.
+
+    Joins, groups and windows by keys or more columns need no other shuffle, whatever columns they use.
+    """
+    size = int(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes())
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)), *keys)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line as a candidate of its order, numbered in the fixed order, with public and hidden columns."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     base = F.col("l_returnflag") != "R"
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = by_key(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("task_id"),
         (F.row_number().over(order) - 1).cast("long").alias("candidate_index"),
         F.count("*").over(Window.partitionBy("l_orderkey")).alias("n_candidates"),
