@@ -3,6 +3,7 @@
 import re
 
 from trialspark import queries
+from trialspark.sources import bundles
 
 
 def plan_of(df) -> str:
@@ -15,3 +16,13 @@ def test_grades_by_content_shuffle_lines_only(spark, sf):
         plan = plan_of(queries.QUERIES[name](spark, sf))
         assert "Join" not in plan, name
         assert set(re.findall(r"Exchange (\w+)\((\w+)", plan)) == {("hashpartitioning", "l_orderkey")}, name
+
+
+def test_parts_of_a_bundle_are_bounded(spark, tmp_path, monkeypatch):
+    """A task's rows are cut into parts, which stay in order beyond a thousand of them."""
+    monkeypatch.setattr(bundles, "PART_RECORDS", 2)
+    folder = f"file://{tmp_path}/bundle"
+    bundles.publish(spark, folder, {"rows": (spark.range(2_103), ["id"])}, {}, files=1)
+    sizes = [r.records for r in spark.read.schema(bundles.MANIFEST).json(f"{folder}/manifests/00000").collect()]
+    assert max(sizes) == 2 and len(sizes) == 1_052
+    assert all(r.id == r.line for r in bundles.read_ordered(spark, folder, "rows", "id long").collect())

@@ -20,6 +20,8 @@ from trialspark.operators.integrity import bundle_files, guarded
 from trialspark.sources.lines import ordered_json
 from trialspark.sources.records import write_lines
 
+#: Records of a part at most: a part is read whole where it is verified, so its size must not grow with the table.
+PART_RECORDS = 50_000
 MANIFEST = "path string, table string, bytes long, sha256 string, records long"
 
 
@@ -47,7 +49,7 @@ def _parts(spark: SparkSession, folder: str, version: str, table: str) -> DataFr
 def publish(spark: SparkSession, folder: str, tables: dict[str, tuple[DataFrame, list[str]]], about: dict, append: bool = False, files: int | None = None) -> str:
     """Write tables, each (rows, order), as the next version and return its name; refused if there is one and append is not asked.
 
-    A table has as many parts as write_lines() makes, or `files`.
+    A table is written by as many tasks as write_lines() makes, or `files`, each in parts of PART_RECORDS.
     """
     there = versions(spark, folder)
     if there and not append:
@@ -58,7 +60,7 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, tuple[DataFrame,
         fs.delete(at, True)
     manifest = spark.createDataFrame([], MANIFEST)
     for name, (rows, order) in tables.items():
-        write_lines(rows, f"{folder}/data/{version}/{name}", order, files=files)
+        write_lines(rows, f"{folder}/data/{version}/{name}", order, files=files, records=PART_RECORDS)
         records = F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).cast("long")
         parts = _parts(spark, folder, version, name)
         manifest = manifest.union(parts.select("path", F.lit(name), "length", F.sha2("content", 256), records))
@@ -98,7 +100,9 @@ def read_ordered(spark: SparkSession, folder: str, table: str, schema: str) -> D
     part = F.substring_index("file", "/data/", -1)
     counts = spark.read.schema(MANIFEST).json([f"{folder}/manifests/{v}" for v in there]).where(F.col("table") == table)
     counts = counts.select(F.substring_index("path", "data/", -1).alias("_part"), "records")
-    before = F.coalesce(F.sum("records").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    nth = r"-c(\d+)\.[^/]*$"  # of a task's parts
+    in_order = (F.regexp_replace("_part", nth, ""), F.regexp_extract("_part", nth, 1).cast("int"))
+    before = F.coalesce(F.sum("records").over(Window.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
     placed = rows.withColumn("_part", part).join(counts.withColumn("_before", before), "_part")
     named = placed.withColumn("line", F.col("line") + F.col("_before")).drop("file", "_part", "records", "_before")
     return _verified(spark, folder, table, there, named)

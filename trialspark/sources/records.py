@@ -91,9 +91,12 @@ def _in_order(df: DataFrame, order: list[str], files: int | None) -> DataFrame:
     return ranged.sortWithinPartitions(*order)
 
 
-def write_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int | None = None) -> None:
-    """JSON lines in the order of the columns, in files whose names keep the order; one file only if it is asked for."""
-    _in_order(df, order, files).write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int | None = None, records: int = 0) -> None:
+    """JSON lines in the order of the columns, in files whose names keep the order; one file only if it is asked for.
+
+    A task whose rows are more than `records` goes on in further files, numbered at the end of their names.
+    """
+    _in_order(df, order, files).write.mode(mode).option("ignoreNullFields", False).option("maxRecordsPerFile", records).json(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", files: int | None = None) -> None:
