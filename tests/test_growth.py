@@ -3,6 +3,7 @@
 import re
 
 from trialspark import queries
+from trialspark.operators import bootstrap
 from trialspark.sources import bundles
 
 
@@ -26,3 +27,14 @@ def test_parts_of_a_bundle_are_bounded(spark, tmp_path, monkeypatch):
     sizes = [r.records for r in spark.read.schema(bundles.MANIFEST).json(f"{folder}/manifests/00000").collect()]
     assert max(sizes) == 2 and len(sizes) == 1_052
     assert all(r.id == r.line for r in bundles.read_ordered(spark, folder, "rows", "id long").collect())
+
+
+def test_parts_of_a_group_are_bounded(monkeypatch):
+    """Each part meets all values of its group, so their number must not grow with the group."""
+    monkeypatch.setattr(bootstrap, "DRAWS", 1_000)
+    parts = list(bootstrap.parts_of(1_000, 100, 7))
+    assert len(parts) <= bootstrap.PARTS and sum(count for _, count, _, _ in parts) == 100
+
+
+def test_a_study_draws_its_differences_once(spark, sf):
+    assert plan_of(queries.QUERIES["trajectory_study_comparisons"](spark, sf)).count("MapInArrow") == 3

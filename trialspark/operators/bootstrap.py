@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 from trialspark.operators import ranges
 
 LOW, HIGH = 0.025, 0.975
-#: Random words made at a time, and blocks of a group that hashed_intervals() resamples.
-WORDS, BLOCKS = 1_000_000, 256
-#: Draws of a task, and values of a group that a task holds.
-DRAWS, VALUES = 2**27, 2**20
+#: Random words made at a time (few enough for a processor's cache), and blocks of a group that hashed_intervals() resamples.
+WORDS, BLOCKS = 2**17, 256
+#: Draws of a part and values of a group that a task holds; parts of a group at most; values of a row that carries them.
+DRAWS, VALUES, PARTS, CARRIED = 2**27, 2**27, 32, 2**17
 
 
 class Words:
@@ -40,14 +40,22 @@ class Words:
     def seeded(seed: int) -> Words:
         return Words(np.array(random.Random(seed).getstate()[1], np.uint32))
 
+    @staticmethod
+    def packed(state: dict) -> np.ndarray:
+        return np.append(state["state"]["key"], state["state"]["pos"]).astype(np.uint32)
+
     def state(self) -> np.ndarray:
-        own = self.bits.state["state"]
-        return np.array([*own["key"], own["pos"]], np.uint32)
+        return self.packed(self.bits.state)
 
     def below(self, n: int, words: int) -> np.ndarray:
         """The numbers below n that the next `words` words give."""
-        drawn = self.made.integers(0, 2**32, words, dtype=np.uint32) >> np.uint32(32 - n.bit_length())
-        return drawn[drawn < n]
+        shift = 32 - n.bit_length()
+        made = self.made.integers(0, 2**32, words, dtype=np.uint32)
+        return np.compress(made < n << shift, made) >> np.uint32(shift)
+
+    def counted(self, n: int, words: int) -> int:
+        """How many numbers below() would give."""
+        return int(np.count_nonzero(self.made.integers(0, 2**32, words, dtype=np.uint32) < n << (32 - n.bit_length())))
 
     def draws(self, n: int, count: int, skip: int = 0) -> Iterator[np.ndarray]:
         """Runs of `count` numbers below n, after `skip` of them."""
@@ -65,35 +73,54 @@ def parts_of(n: int, resamples: int, seed: int) -> Iterator[tuple[int, int, np.n
     A part starts at the state before the run of words that holds its first draw, and skips what the run gave earlier
     parts. Words are made one after the other and only counted here; drawing from the values is the parts' work.
     """
-    each = max(1, DRAWS // n)
+    each = max(1, DRAWS // n, -(-resamples // PARTS))
     words, done = Words.seeded(seed), 0
     yield 0, min(each, resamples), words.state(), 0
     starts = iter(range(each, resamples, each))
     start = next(starts, None)
     while start is not None:
-        state = words.state()
-        made = len(words.below(n, WORDS))
+        state = words.bits.state
+        made = words.counted(n, WORDS)
         while start is not None and start * n < done + made:
-            yield start, min(each, resamples - start), state, start * n - done
+            yield start, min(each, resamples - start), Words.packed(state), start * n - done
             start = next(starts, None)
         done += made
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """values in the least integer type that holds them all, or as they are: drawing is bound by the memory it reaches."""
+    for kind in (np.int8, np.int16, np.int32):
+        if len(values) and np.isfinite(values).all() and values.min() >= np.iinfo(kind).min and values.max() <= np.iinfo(kind).max and (values.astype(kind) == values).all():
+            return values.astype(kind)
+    return values
+
+
 def resampled_sums(values: np.ndarray, low: int, n: int, count: int, words: Words, skip: int) -> np.ndarray:
-    """Sums of `count` resamples of n draws over the values that a task holds, which are those from place `low` on."""
-    sums, done, left = np.zeros(count), 0, np.zeros(0)
+    """Sums of `count` resamples of n draws over the values that a task holds, which are those from place `low` on.
+
+    Whole numbers are added as such, and what is open of a resample is kept as a sum once it is longer than a run of draws.
+    """
+    exact = values.dtype.kind == "i"
+    sums, done, filled, total, left = np.zeros(count), 0, 0, 0, np.zeros(0, values.dtype)
+    add = lambda x, **axis: x.sum(dtype=np.int64 if exact else None, **axis)
     whole = len(values) == n
     for at in words.draws(n, n * count, skip):
         if whole:
-            own = values[at]
+            drawn = values.take(at, mode="wrap")
         else:  # other places are other tasks' values
             place = at.astype(np.int64) - low
             inside = (place >= 0) & (place < len(values))
-            own = np.where(inside, values[np.where(inside, place, 0)], 0.0)
-        drawn = np.concatenate([left, own])
-        full = len(drawn) // n
-        sums[done : done + full] = drawn[: full * n].reshape(full, n).sum(axis=1)
-        done, left = done + full, drawn[full * n :]
+            drawn = np.where(inside, values.take(place, mode="clip"), values.dtype.type(0))
+        if n <= WORDS:
+            drawn = np.concatenate([left, drawn]) if len(left) else drawn
+            full = len(drawn) // n
+            sums[done : done + full] = add(drawn[: full * n].reshape(full, n), axis=1)
+            done, left = done + full, drawn[full * n :]
+            continue
+        while len(drawn) >= n - filled:  # at most one resample ends in a run
+            sums[done] = total + add(drawn[: n - filled])
+            drawn, done, filled, total = drawn[n - filled :], done + 1, 0, 0
+        filled, total = filled + len(drawn), total + add(drawn)
     return sums
 
 
@@ -106,25 +133,35 @@ def percentile_interval(values: list[float], resamples: int, seed: int) -> tuple
     """Elements int(0.025 (R - 1)) and int(0.975 (R - 1)) of the sorted means of R resamples, in the order of values."""
     if not values:
         return 0.0, 0.0
-    return _interval(resampled_sums(np.array(values, float), 0, len(values), resamples, Words.seeded(seed), 0), len(values))
+    return _interval(resampled_sums(narrow(np.array(values, float)), 0, len(values), resamples, Words.seeded(seed), 0), len(values))
 
 
 def exact_intervals(values: DataFrame, keys: list[str], value: str, position: str, seed: Column, resamples: int = 10_000) -> DataFrame:
     """(keys, ci_low, ci_high): an interval for each group, over its values in order of position; null values are none, null
     keys a group.
 
-    Groups may have any size. A group's draws are cut into parts of about DRAWS, each with the generator's state at its
-    start, and its values into blocks of VALUES; a part with a block is a task's row, and only sums of resamples meet.
-    No job runs before the query does.
+    Groups may have any size. A group's draws are cut into parts of about DRAWS, at most PARTS, each with the generator's
+    state at its start. A part meets the group's values, in rows of CARRIED in the least type, in a task that holds up to
+    VALUES of them, a byte each for grades, so that its words are made once; more values than that are several spans,
+    each of which makes the words again. Only sums of resamples meet. No job runs before the query does.
     """
     spark = values.sparkSession
     seeded = values.where(F.col(value).isNotNull()).select(*keys, F.col(position).alias("_p"), F.col(value).cast("double").alias("_v"), seed.cast("long").alias("_seed"))
-    numbered = ranges.numbered(seeded, keys, "_p", "_at").withColumn("_block", F.floor(F.col("_at") / VALUES).cast("long"))
-    blocks = numbered.groupBy(*keys, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_values"))
+    carried = min(CARRIED, VALUES)
+    numbered = ranges.numbered(seeded, keys, "_p", "_at").withColumn("_block", F.floor(F.col("_at") / carried).cast("long"))
+    lists = numbered.groupBy(*keys, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_values"))
     groups = seeded.groupBy(*keys).agg(F.min("_seed").alias("_seed"), F.count("*").alias("_n"))
     spread = 4 * spark.sparkContext.defaultParallelism
     kinds = groups.select(*keys).schema
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [narrow(v.values.to_numpy(zero_copy_only=False)) for v in batch.column("_values")]
+            kept = [batch.column(k) for k in (*keys, "_block")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([v.dtype.str for v in own]), pa.array([v.tobytes() for v in own], pa.binary())], names=[*keys, "_block", "_type", "_values"])
+
+    blocks = lists.mapInArrow(pack, T.StructType([*kinds.fields, *T._parse_datatype_string("_block long, _type string, _values binary").fields]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (s, n) in enumerate(zip(batch.column("_seed").to_pylist(), batch.column("_n").to_pylist(), strict=True)):
@@ -135,23 +172,29 @@ def exact_intervals(values: DataFrame, keys: list[str], value: str, position: st
 
     shape = T.StructType([*kinds.fields, *T._parse_datatype_string("_n long, _first long, _count long, _skip long, _state binary").fields])
     parts = groups.repartition(spread, *keys).mapInArrow(cut, shape)
-    work = ranges.joined(parts, blocks, keys).repartition(spread, *keys, "_first", "_block")
+    span = F.floor(F.col("_block") * carried / VALUES).cast("long")
+    part = [*keys, "_first", "_span"]
+    work = ranges.joined(parts, blocks, keys).withColumn("_span", span).repartition(2 * spread, *part).sortWithinPartitions(*part, "_block")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, there = [], 0  # a part's rows come one after the other
         for batch in batches:
-            low, high, partial = [], [], []
             for r in range(batch.num_rows):
-                n, first, count, skip, state, block = (batch.column(c)[r].as_py() for c in ("_n", "_first", "_count", "_skip", "_state", "_block"))
-                own = batch.column("_values")[r].values.to_numpy(zero_copy_only=False)
-                sums = resampled_sums(own, block * VALUES, n, count, Words(np.frombuffer(state, "<u4")), skip)
+                n, block, kind, values = (batch.column(c)[r].as_py() for c in ("_n", "_block", "_type", "_values"))
+                held.append(np.frombuffer(values, kind))
+                there += len(held[-1])
+                if (block + 1) * carried < n and (block + 1) * carried % VALUES:
+                    continue
+                first, count, skip, state = (batch.column(c)[r].as_py() for c in ("_first", "_count", "_skip", "_state"))
+                own = np.concatenate(held) if len(held) > 1 else held[0]
+                low = min((block + 1) * carried, n) - there
+                held, there = [], 0
+                sums = resampled_sums(own, low, n, count, Words(np.frombuffer(state, "<u4")), skip)
                 whole = count == resamples and len(own) == n
                 ends = _interval(sums, n) if whole else (None, None)
-                low.append(ends[0])
-                high.append(ends[1])
-                partial.append(None if whole else {"first": first, "block": block, "sums": sums})
-            kept = [batch.column(k) for k in (*keys, "_n")]
-            made = [pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(partial, pa.struct([("first", pa.int64()), ("block", pa.int64()), ("sums", pa.list_(pa.float64()))]))]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keys, "_n", "ci_low", "ci_high", "_part"])
+                partial = None if whole else {"first": first, "block": block, "sums": sums}
+                made = [pa.array([n]), pa.array([ends[0]], pa.float64()), pa.array([ends[1]], pa.float64()), pa.array([partial], pa.struct([("first", pa.int64()), ("block", pa.int64()), ("sums", pa.list_(pa.float64()))]))]
+                yield pa.RecordBatch.from_arrays([*batch.select(keys).slice(r, 1).columns, *made], names=[*keys, "_n", "ci_low", "ci_high", "_part"])
 
     shape = T.StructType([*kinds.fields, *T._parse_datatype_string("_n long, ci_low double, ci_high double, _part struct<first:long,block:long,sums:array<double>>").fields])
     drawn = work.mapInArrow(draw, shape)

@@ -605,8 +605,8 @@ def trajectory_study_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def trajectory_study_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies against the first one, with seeded intervals of the differences and the outcome."""
-    study = _study(spark, sf_dir)
-    return study["comparisons"].join(study["confirmations"], ["baseline", "challenger"])
+    comparisons = _study(spark, sf_dir)["comparisons"]  # the study's confirmations are this, which would be drawn twice
+    return comparisons.withColumn("outcome", trajectory.confirmation(F.col("hidden_difference"), F.col("hidden_ci_low")))
 
 
 @query("select mode as mode, case when difference >= 0.03 and low > 0 then 'strong_confirmation' when difference >= 0.03 then 'suggestive_confirmation' else 'failed_confirmation' end as outcome, n from (select l_shipmode as mode, avg(l_discount) - 0.02 as difference, min(l_discount) - 0.001 as low, count(*) as n from lineitem group by 1)".replace("l_shipmode as mode", "l_linestatus as mode"))
