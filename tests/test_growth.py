@@ -3,6 +3,7 @@
 import re
 
 from trialspark import queries
+from trialspark.functions import pycode
 from trialspark.operators import bootstrap
 from trialspark.sources import bundles
 
@@ -38,3 +39,9 @@ def test_parts_of_a_group_are_bounded(monkeypatch):
 
 def test_a_study_draws_its_differences_once(spark, sf):
     assert plan_of(queries.QUERIES["trajectory_study_comparisons"](spark, sf)).count("MapInArrow") == 3
+
+
+def test_equal_texts_of_a_batch_are_parsed_once():
+    seen = []
+    assert pycode.once_each(lambda t, e: seen.append(t) or f"{t}{e}", [("a", None), ("b", "f"), ("a", None), ("a", "f")]) == ["aNone", "bf", "aNone", "af"]
+    assert seen == ["a", "b", "a"]
