@@ -45,3 +45,11 @@ def test_equal_texts_of_a_batch_are_parsed_once():
     seen = []
     assert pycode.once_each(lambda t, e: seen.append(t) or f"{t}{e}", [("a", None), ("b", "f"), ("a", None), ("a", "f")]) == ["aNone", "bf", "aNone", "af"]
     assert seen == ["a", "b", "a"]
+
+
+def test_labels_meet_steps_where_their_tasks_are(spark, sf):
+    """Steps and labels are dealt by task alone, to partitions that grow with the files, and are not dealt again by more keys."""
+    for name in ("trajectory_observations", "trajectory_summary", "trajectory_comparison", "trajectory_ranking", "trajectory_summary_full"):
+        plan = plan_of(queries.QUERIES[name](spark, sf))
+        assert set(re.findall(r"Exchange hashpartitioning\((\w+?)(?:#\w+)?, ", plan)) <= {"l_orderkey", "pool_id"}, name
+        assert "task_id" not in "".join(re.findall(r"Exchange hashpartitioning\(.*", plan)), name

@@ -47,25 +47,29 @@ def width_depth_steps(pool: DataFrame, width: int, depth: int) -> DataFrame:
     Roots come first, one a round; then depth by depth one repair of each root's latest node. The n-th step takes the
     pool's n-th candidate; a publicly passing step is selected and is the task's last.
     """
+    return shaped_steps(pool, [(width, depth)])
+
+
+def shaped_steps(pool: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """The steps of width_depth_steps() of each shape (width, depth), the pool being replayed once for all of them."""
     index = F.col("candidate_index")
-    level = F.floor(index / width).cast("long")
-    steps = best_of_n(pool, width * depth)
-    return steps.select(
-        F.lit(f"{width}x{depth}").alias("pool_id"),
-        "task_id",
-        "candidate_index",
-        F.when(level == 0, "sample").otherwise("repair").alias("operator"),
-        (index % width).alias("root_index"),
-        level.alias("depth"),
-        F.when(level == 0, index).otherwise(F.lit(width) + level - 1).alias("round_index"),
-        F.when(level > 0, index - width).alias("parent_candidate_index"),
-        "selected",
-        "base_passed",
-        "input_tokens",
-        "output_tokens",
-        "total_tokens",
-        "code",
-    )
+
+    def placed(width: int, depth: int) -> Column:
+        level = F.floor(index / width).cast("long")
+        step = F.struct(
+            F.lit(f"{width}x{depth}").alias("pool_id"),
+            F.when(level == 0, "sample").otherwise("repair").alias("operator"),
+            (index % width).alias("root_index"),
+            level.alias("depth"),
+            F.when(level == 0, index).otherwise(F.lit(width) + level - 1).alias("round_index"),
+            F.when(level > 0, index - width).alias("parent_candidate_index"),
+        )
+        return F.when(index < width * depth, step)
+
+    steps = best_of_n(pool, max(w * d for w, d in shapes))
+    each = steps.withColumn("_p", F.explode(F.array_compact(F.array(*[placed(w, d) for w, d in shapes]))))
+    place = [F.col(f"_p.{c}") for c in ("operator", "root_index", "depth", "round_index", "parent_candidate_index")]
+    return each.select("_p.pool_id", "task_id", "candidate_index", *place, "selected", "base_passed", "input_tokens", "output_tokens", "total_tokens", "code")
 
 
 def admitted(attempts: DataFrame, keys: list[str], max_attempts: int | None = None, max_tokens: int | None = None, max_calls: int | None = None, discard_overshoot: bool = False) -> DataFrame:

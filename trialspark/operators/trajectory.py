@@ -19,19 +19,28 @@ GATE_DIFFERENCE, GATE_CALLS, FIXED_CALLS = 0.03, 8, 16
 
 
 def task_observations(steps: DataFrame, hidden: DataFrame) -> DataFrame:
-    """One row a pool and task: the selected step, else the first; hidden grades are joined after that."""
-    chosen = F.coalesce(F.min(F.when(F.col("selected"), F.col("candidate_index"))), F.min("candidate_index"))
+    """One row a pool and task: the selected step, else the first; hidden grades are joined after that.
+
+    A task's few labels are joined as one list by task alone: steps and labels that are dealt by task are not dealt
+    again, and their partitions grow in number with the input.
+    """
+    index = F.col("candidate_index")
+    chosen = F.coalesce(F.min(F.when(F.col("selected"), index)), F.min(index))
     seen = steps.groupBy("pool_id", "task_id").agg(
         F.count("*").alias("calls"),
         F.sum("total_tokens").alias("generation_tokens"),
         F.count_if(F.col("operator") == "repair").alias("repair_calls"),
         F.bool_or("selected").alias("public_passed"),
         chosen.alias("selected_candidate_index"),
+        F.collect_list(F.struct(index, "operator")).alias("_steps"),
     )
-    operator = steps.select("pool_id", "task_id", F.col("candidate_index").alias("selected_candidate_index"), F.col("operator").alias("selected_operator"))
-    labelled = seen.join(operator, ["pool_id", "task_id", "selected_candidate_index"]).join(hidden.withColumnRenamed("candidate_index", "selected_candidate_index"), ["task_id", "selected_candidate_index"])
-    won = F.col("public_passed") & F.col("plus_passed")
-    return labelled.select("pool_id", "task_id", "calls", "generation_tokens", "repair_calls", "public_passed", "selected_candidate_index", "selected_operator", won.alias("hidden_passed"), (F.col("public_passed") & ~won).alias("false_accept"))
+    labels = hidden.groupBy("task_id").agg(F.collect_list(F.struct(index, "plus_passed")).alias("_labels"))
+    of_chosen = lambda c: F.explode(F.filter(c, lambda x: x["candidate_index"] == F.col("selected_candidate_index")))
+    operated = seen.withColumn("_step", of_chosen("_steps")).drop("_steps")
+    labelled = operated.join(labels, "task_id").withColumn("_label", of_chosen("_labels"))
+    passed, accepted = F.col("_label.plus_passed"), F.col("public_passed")
+    won = accepted & passed
+    return labelled.select("pool_id", "task_id", "calls", "generation_tokens", "repair_calls", "public_passed", "selected_candidate_index", F.col("_step.operator").alias("selected_operator"), won.alias("hidden_passed"), (accepted & ~won).alias("false_accept"))
 
 
 def policy_summary(observed: DataFrame, max_calls: int = 4) -> DataFrame:

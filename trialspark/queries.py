@@ -535,8 +535,7 @@ tobs as (select seen.pool_id, seen.task_id, calls, generation_tokens, repair_cal
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = views.pool(spark, sf_dir)
-    return replay.width_depth_steps(own, 4, 1).unionByName(replay.width_depth_steps(own, 2, 2))
+    return replay.shaped_steps(views.pool(spark, sf_dir), [(4, 1), (2, 2)])
 
 
 def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
