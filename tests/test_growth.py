@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from trialspark import queries
-from trialspark.functions import pycode
+from trialspark.functions import canonical, pycode
 from trialspark.operators import bootstrap
 from trialspark.sources import bundles
 
@@ -53,3 +55,19 @@ def test_labels_meet_steps_where_their_tasks_are(spark, sf):
         plan = plan_of(queries.QUERIES[name](spark, sf))
         assert set(re.findall(r"Exchange hashpartitioning\((\w+?)(?:#\w+)?, ", plan)) <= {"l_orderkey", "pool_id"}, name
         assert "task_id" not in "".join(re.findall(r"Exchange hashpartitioning\(.*", plan)), name
+
+
+def test_roots_are_compared_as_they_are(spark, sf):
+    """No JSON is made to compare roots, and values are equal just where their JSON is."""
+    plan = plan_of(queries.QUERIES["shared_root_differences"](spark, sf))
+    assert "format_string" not in plan and "regexp" not in plan
+    kind = "x double, f float, s string, m map<string,double>, a array<double>, t struct<d:double,e:int>"
+    rows = [
+        (0.0, 0.5, "null", {"a": 1.0, "b": -0.0}, [0.0, None], (0.0, 1)), (-0.0, 0.5, None, {"b": -0.0, "a": 1.0}, [0.0, None], (None, None)), (None, 0.1, "", {"a": 1.0, "b": 0.0}, [-0.0, None], None),
+        (float("nan"), float("nan"), '"', {}, [], (-0.0, 1)), (1e16, -0.0, '\\"', None, None, (0.0, None)), (0.1 + 0.2, 0.0, "é", {"a": None}, [None], (0.3, 1)), (0.3, None, "é", {"é": 1.0}, [float("nan")], (0.30000000000000004, 1)),
+    ]
+    values = spark.createDataFrame(rows, kind)
+    for f in values.schema:
+        both = values.select(canonical.canonical_json(F.col(f.name), f.dataType).alias("j"), canonical.comparable(F.col(f.name), f.dataType).alias("v"))
+        pairs = both.alias("p").crossJoin(both.alias("q")).select((F.col("p.j") == F.col("q.j")).alias("j"), F.col("p.v").eqNullSafe(F.col("q.v")).alias("v")).collect()
+        assert len(pairs) == len(rows) ** 2 and all(r.j == r.v for r in pairs), f.name

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.functions.canonical import canonical_json
+from trialspark.functions.canonical import canonical_json, comparable
 from trialspark.functions.scalars import as_rate, rate
 from trialspark.operators.bootstrap import exact_intervals
 from trialspark.operators.integrity import guarded
@@ -188,13 +188,13 @@ def root_differences(steps: DataFrame, widths: dict[str, int], fields: tuple[str
     """
     pools = list(widths)
     own = steps.where((F.col("depth") == 0) & F.col("pool_id").isin(pools))
-    json = {f: canonical_json(F.col(f), own.schema[f].dataType) for f in fields}
-    record = F.struct(*[json[f].alias(f) for f in fields])
+    record = F.struct(*[comparable(F.col(f), own.schema[f].dataType).alias(f) for f in fields])
     by = own.groupBy("task_id", "root_index").agg(*[F.max(F.when(F.col("pool_id") == p, record)).alias(f"p{i}") for i, p in enumerate(pools)])
 
     def found(i: int, p: str) -> Column:
         a, b, inside = F.col("p0"), F.col(f"p{i}"), F.col("root_index") < widths[p]
-        differ = F.array_compact(F.array(*[F.when(a[f] != b[f], F.lit(f)) for f in fields]))
+        differ = F.array_compact(F.array(*[F.when(~a[f].eqNullSafe(b[f]), F.lit(f)) for f in fields]))
+        differ = F.when(a.isNotNull() & b.isNotNull(), differ)
         wrong = F.when(a.isNotNull() & inside & b.isNull(), F.array(F.lit("missing"))).when(b.isNotNull() & (a.isNull() | ~inside), F.array(F.lit("unexpected"))).otherwise(F.coalesce(differ, F.array().cast("array<string>")))
         return F.transform(wrong, lambda f: F.struct(F.lit(p).alias("challenger"), f.alias("field")))
 
