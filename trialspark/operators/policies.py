@@ -8,9 +8,13 @@ sequential by nature runs in one group, and groups run in parallel.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from trialspark.operators.replay import ERROR_BONUSES
 
 ARMS = ("direct_sample", "repair_from_error", "plan_then_code", "local_revision")
 STEPS = "operator string, attempt_index long, candidate_index long, verified boolean, passed boolean, error_type string, cumulative_tokens long, cumulative_calls long, selected boolean"
+ARROW_STEPS = [(name, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in STEPS.split(","))]
+#: Scopes whose candidates a worker holds as Python values at a time.
+SCOPES = 64
 
 
 @dataclass
@@ -229,7 +236,7 @@ def run_policy(pool: DataFrame, name: str, limits: Limits, scope: str | None = N
     starts anew. A scope's tasks are sequential, so a scope is kept to a bounded number of tasks.
     """
     policy, discard = POLICIES[name]
-    names = [c.strip().split(" ")[0] for c in STEPS.split(",")]
+    fields = ("candidate_index", "input_tokens", "total_tokens", "base_passed", "trace")
 
     def searched(candidates: list[dict], state: dict) -> list[dict]:
         search = Search(candidates, limits, discard)
@@ -237,7 +244,6 @@ def run_policy(pool: DataFrame, name: str, limits: Limits, scope: str | None = N
         return search.steps
 
     if scope is None:  # a task is a row with the array of its candidates, so that batches hold many tasks
-        fields = ("candidate_index", "input_tokens", "total_tokens", "base_passed", "trace")
         lists = pool.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
 
         @F.pandas_udf(f"array<struct<{STEPS.replace(', ', ',').replace(' ', ':')}>>")
@@ -246,11 +252,20 @@ def run_policy(pool: DataFrame, name: str, limits: Limits, scope: str | None = N
 
         return lists.select("task_id", F.explode(run("c")).alias("s")).select("task_id", "s.*")
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        state, rows = {}, []
-        for task, own in frame.sort_values(["task_id", "candidate_index"]).groupby("task_id", sort=True):
-            rows += [{"task_id": task, **s} for s in searched(own.to_dict("records"), state)]
-        return pd.DataFrame(rows, columns=["task_id", *names])
+    # a scope is a row with the array of its tasks' candidates; a few rows at a time are turned to Python's values
+    lists = pool.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("task_id", *fields))).alias("c")).select("c")
+
+    def scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            kinds = pa.schema([("task_id", column.type.value_type.field("task_id").type), *ARROW_STEPS])
+            for at in range(0, len(column), SCOPES):
+                rows = []
+                for own in column.slice(at, SCOPES).to_pylist():
+                    state: dict = {}
+                    for task, one in groupby(own, itemgetter("task_id")):
+                        rows += [{"task_id": task, **s} for s in searched(list(one), state)]
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     kind = pool.schema["task_id"].dataType.simpleString()
-    return pool.groupBy(scope).applyInPandas(one, f"task_id {kind}, {STEPS}")
+    return lists.mapInArrow(scoped, f"task_id {kind}, {STEPS}")
