@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark import queries
 from trialspark.functions import canonical, pycode
-from trialspark.operators import bootstrap
+from trialspark.operators import bootstrap, clustering
 from trialspark.sources import bundles
 
 
@@ -71,3 +71,15 @@ def test_roots_are_compared_as_they_are(spark, sf):
         both = values.select(canonical.canonical_json(F.col(f.name), f.dataType).alias("j"), canonical.comparable(F.col(f.name), f.dataType).alias("v"))
         pairs = both.alias("p").crossJoin(both.alias("q")).select((F.col("p.j") == F.col("q.j")).alias("j"), F.col("p.v").eqNullSafe(F.col("q.v")).alias("v")).collect()
         assert len(pairs) == len(rows) ** 2 and all(r.j == r.v for r in pairs), f.name
+
+
+def test_runs_of_a_scope_are_not_frames(spark, sf):
+    """A scope is a row with an array; no frame is made of each scope and each of its tasks."""
+    plan = plan_of(queries.QUERIES["policy_operator_bandit_per_run"](spark, sf))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_pattern_of_equal_traces_is_clustered_once():
+    clustering._consensus.cache_clear()
+    assert clustering.consensus([("a", "x"), ("b", "x"), ("a", "x")]) == clustering.consensus([("q", 1), ("r", 1), ("q", 1)]) == (0, [[0, 2], [1]])
+    assert clustering._consensus.cache_info().misses == 1

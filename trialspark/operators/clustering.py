@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +56,16 @@ def _spread(i: int, cluster: list[int], d: list[list[float]]) -> float:
 
 
 def consensus(traces: list[tuple]) -> tuple[int, list[list[int]]]:
-    """(selected, clusters): the medoid of the larger cluster, the tighter one on ties, else the first."""
+    """(selected, clusters): the medoid of the larger cluster, the tighter one on ties, else the first.
+
+    That depends only on which traces are equal at which place, so it is made once for each such pattern.
+    """
+    places = [{} for _ in range(max(map(len, traces), default=0))]
+    return _consensus(tuple(tuple(seen.setdefault(x, len(seen)) for x, seen in zip(t, places, strict=False)) for t in traces))
+
+
+@lru_cache(maxsize=2**16)
+def _consensus(traces: tuple[tuple, ...]) -> tuple[int, list[list[int]]]:
     if len(set(traces)) == 1:
         return 0, [list(range(len(traces)))]
     d = [[distance(a, b) for b in traces] for a in traces]
