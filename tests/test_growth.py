@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark import queries
 from trialspark.functions import canonical, pycode
-from trialspark.operators import bootstrap, clustering
+from trialspark.operators import bootstrap, clustering, integrity
 from trialspark.sources import bundles
 
 
@@ -83,3 +83,15 @@ def test_a_pattern_of_equal_traces_is_clustered_once():
     clustering._consensus.cache_clear()
     assert clustering.consensus([("a", "x"), ("b", "x"), ("a", "x")]) == clustering.consensus([("q", 1), ("r", 1), ("q", 1)]) == (0, [[0, 2], [1]])
     assert clustering._consensus.cache_info().misses == 1
+
+
+def test_orders_and_lines_are_dealt_alike_by_task(spark, sf):
+    """Sides are grouped where their tasks are, in partitions that grow with the files; null tasks are equal to none."""
+    for name in ("pool_completeness", "unknown_tasks"):
+        plan = plan_of(queries.QUERIES[name](spark, sf))
+        assert "Join" not in plan and set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"o_orderkey", "l_orderkey"}, name
+    asked, known = (spark.createDataFrame([(x,) for x in ids], "task_id long") for ids in ([1, 1, 2, None], [2, 3, 3, None]))
+    assert sorted(map(str, map(tuple, integrity.unknown_tasks(asked, known).collect()))) == ["(1, 'unknown')", "(3, 'not_asked')", "(None, 'not_asked')", "(None, 'unknown')"]
+    have = spark.createDataFrame([(1, 0), (1, 0), (2, 5), (None, 0)], "task_id long, candidate_index long")
+    got = {tuple(r) for r in integrity.incomplete_pool(have, asked, 1).collect()}
+    assert got == {(1, 0, "duplicate"), (2, 0, "missing"), (2, 5, "unexpected"), (None, 0, "missing"), (None, 0, "unexpected")}

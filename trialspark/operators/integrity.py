@@ -58,11 +58,16 @@ def hash_mismatches(candidates: DataFrame, text: str, digest: str) -> DataFrame:
 
 
 def incomplete_pool(candidates: DataFrame, tasks: DataFrame, size: int) -> DataFrame:
-    """(task_id, candidate_index, problem) against the grid of tasks and 0 .. size - 1: missing, unexpected, duplicate."""
-    grid = tasks.select("task_id").distinct().withColumn("candidate_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))).withColumn("wanted", F.lit(True))
-    have = candidates.groupBy("task_id", "candidate_index").agg(F.count("*").alias("n"))
-    both = grid.join(have, ["task_id", "candidate_index"], "full_outer")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "duplicate")
+    """(task_id, candidate_index, problem) against the grid of tasks and 0 .. size - 1: missing, unexpected, duplicate.
+
+    Both sides are grouped by task, not joined by task and candidate: sides that are dealt alike by task are not dealt
+    again. A task of null is equal to none.
+    """
+    grid = tasks.select("task_id").distinct().select("task_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("candidate_index"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted"))
+    have = candidates.groupBy("task_id", "candidate_index").agg(F.count("*").alias("n")).withColumn("wanted", F.lit(False))
+    side = F.when(F.col("task_id").isNull(), F.col("wanted"))
+    both = grid.union(have).groupBy("task_id", "candidate_index", side.alias("_side")).agg(F.sum("n").alias("n"), F.bool_or("wanted").alias("wanted"))
+    problem = F.when(F.col("n") == 0, "missing").when(~F.col("wanted"), "unexpected").when(F.col("n") > 1, "duplicate")
     return both.select("task_id", "candidate_index", problem.alias("problem")).where("problem is not null")
 
 
@@ -161,9 +166,14 @@ def falling_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unknown_tasks(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Asked ids that are not known, and known ids not asked, named by side."""
-    a, b = asked.select("task_id").distinct(), known.select("task_id").distinct()
-    return a.join(b, "task_id", "left_anti").withColumn("problem", F.lit("unknown")).union(b.join(a, "task_id", "left_anti").withColumn("problem", F.lit("not_asked")))
+    """Asked ids that are not known, and known ids not asked, named by side; an id of null is equal to none.
+
+    Both sides are grouped together, so sides that are dealt alike by task are not dealt again.
+    """
+    sides = asked.select("task_id", F.lit(True).alias("asked")).union(known.select("task_id", F.lit(False).alias("asked")))
+    lone = F.when(F.col("task_id").isNull(), F.col("asked"))
+    both = sides.groupBy("task_id", lone.alias("_side")).agg(F.bool_or("asked").alias("a"), F.bool_and("asked").alias("only"))
+    return both.where("only or not a").select("task_id", F.when(F.col("a"), "unknown").otherwise("not_asked").alias("problem"))
 
 
 def bundle_files(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -849,8 +849,8 @@ def hash_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CAND}, grid as (select o_orderkey as task_id, unnest(range(0, 4)) as candidate_index from (select distinct o_orderkey from orders)), have as (select task_id, candidate_index, count(*) as n from cand group by all)
 select coalesce(grid.task_id, have.task_id) as task_id, coalesce(grid.candidate_index, have.candidate_index) as candidate_index, case when n is null then 'missing' else 'unexpected' end as problem from grid full join have on grid.task_id = have.task_id and grid.candidate_index = have.candidate_index where n is null or grid.task_id is null""")
 def pool_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
-    return integrity.incomplete_pool(views.candidates(spark, sf_dir), tasks, POOL_SIZE)
+    asked = views.by_key(table(spark, sf_dir, "orders"), "o_orderkey", parts=views.parts_of(table(spark, sf_dir, "lineitem")))
+    return integrity.incomplete_pool(views.candidates(spark, sf_dir), asked.select(F.col("o_orderkey").alias("task_id")), POOL_SIZE)
 
 
 @query("with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as b, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as file_pos from lineitem) select l_orderkey, l_partkey, file_pos from l where b > l_partkey")
@@ -929,8 +929,10 @@ def falling_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey as task_id, 'unknown' as problem from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def unknown_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
-    return integrity.unknown_tasks(asked, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id")))
+    lines = table(spark, sf_dir, "lineitem")
+    asked = views.by_key(table(spark, sf_dir, "orders"), "o_orderkey", parts=views.parts_of(lines))
+    known = views.by_key(lines, "l_orderkey")
+    return integrity.unknown_tasks(asked.select(F.col("o_orderkey").alias("task_id")), known.select(F.col("l_orderkey").alias("task_id")))
 
 
 # Task suites --------------------------------------------------------------------------------------------------------

@@ -22,13 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+def parts_of(rows: DataFrame) -> int:
+    """The partitions that by_key() deals rows to."""
+    size = int(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes())
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+
+
+def by_key(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     """rows dealt by keys to partitions whose number grows with the size of their files, so that a task's rows do not.
 
-    Joins, groups and windows by keys or more columns need no other shuffle, whatever columns they use.
+    Groups and windows by keys or more columns, and joins by just keys, need no other shuffle; joins by more columns do.
+    Tables that meet are dealt to the same number of parts.
     """
-    size = int(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes())
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)), *keys)
+    return rows.repartition(parts or parts_of(rows), *keys)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
