@@ -1,12 +1,14 @@
 """Steps that must not grow faster than their input: what is shuffled, joined, held by a task or computed again."""
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import functions as F
 
 from trialspark import queries
-from trialspark.functions import canonical, pycode
-from trialspark.operators import bootstrap, clustering, integrity
+from trialspark.functions import canonical, pycode, sha256
+from trialspark.operators import bootstrap, clustering, integrity, trajectory
 from trialspark.sources import bundles
 
 
@@ -95,3 +97,27 @@ def test_orders_and_lines_are_dealt_alike_by_task(spark, sf):
     have = spark.createDataFrame([(1, 0), (1, 0), (2, 5), (None, 0)], "task_id long, candidate_index long")
     got = {tuple(r) for r in integrity.incomplete_pool(have, asked, 1).collect()}
     assert got == {(1, 0, "duplicate"), (2, 0, "missing"), (2, 5, "unexpected"), (None, 0, "missing"), (None, 0, "unexpected")}
+
+
+def test_a_digest_is_a_chain_of_bounded_tasks(spark, monkeypatch):
+    """No task reads all roots: each link goes on from the state of the one before it, with the same digest."""
+    data = [bytes([i]) * i * 37 for i in range(40)]
+    digest = sha256.Sha256()
+    for d in data:
+        digest = sha256.Sha256(digest.state())
+        digest.update(d)
+        digest.hexdigest()
+    assert digest.hexdigest() == hashlib.sha256(b"".join(data)).hexdigest()
+    kept, whole = [], trajectory._links
+    monkeypatch.setattr(trajectory, "_links", lambda *args: kept.append(whole(*args)) or kept[-1])
+    monkeypatch.setattr(trajectory, "CHUNK", 300)
+    monkeypatch.setattr(trajectory, "LINK", 2_000)
+    own = spark.range(1_000).select(F.col("id").alias("task_id"), F.lit(0).cast("long").alias("root_index"), F.lit(0).alias("depth"), F.explode(F.array(F.lit("4x1"), F.lit("2x2"))).alias("pool_id"), (F.col("id") / 7).alias("x")).orderBy(F.rand(1))
+    want = hashlib.sha256(json.dumps([{"task_id": i, "x": i / 7} for i in range(1_000)], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    got = trajectory.root_digest(own, {"4x1": 4, "2x2": 2}, ("x",), parts=3).first()
+    assert (got.compared_root_count, got.unique_root_count, got.canonical_sha256) == (1_000, 1_000, want)
+    assert len(kept[0]) > 10 and all(sum(p.length for p in link) <= 2_400 for link in kept[0])
+    none = trajectory.root_digest(own, {"8x1": 8, "4x2": 4}, ("x",)).first()
+    assert (none.compared_root_count, none.unique_root_count, none.canonical_sha256) == (0, 0, hashlib.sha256(b"[]").hexdigest())
+    monkeypatch.setattr(sha256, "library", lambda: None)  # without OpenSSL the whole list is one link
+    assert trajectory.root_digest(own, {"4x1": 4, "2x2": 2}, ("x",), parts=3).first() == got and len(kept[-1]) == 1

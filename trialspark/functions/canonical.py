@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,42 +26,56 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(PLAIN), text).otherwise(F.array_join(F.transform(units, written), "")), F.lit('"'))
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value evaluated once however often of() names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def number(x: Column) -> Column:
     """A double by its shortest digits, with an exponent below 1e-4 and from 1e16 on.
 
     The JVM's own digits may be one more than needed, so 15 and 16 are tried first; a few subnormals keep theirs.
     """
-    x = x.cast("double")
-    fewer = [F.format_string(f"%.{n - 1}e", x) for n in (15, 16)]
-    raw = F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in fewer], x.cast("string"))
-    part = lambda i: F.regexp_extract(raw, r"^(-?)(\d+)\.(\d+)(?:[eE]([-+]?\d+))?$", i)
-    sign, whole, rest = part(1), part(2), part(3)
-    exponent = F.coalesce(part(4).try_cast("int"), F.lit(0))
-    all_ = F.concat(whole, F.when(rest == "0", "").otherwise(rest))
-    digits = F.regexp_replace(F.regexp_replace(all_, r"^0+(?=\d)", ""), r"0+$", "")
-    point = F.length(whole) + exponent - (F.length(all_) - F.length(F.regexp_replace(all_, r"^0+(?=\d)", "")))
-    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
-    n = F.length(digits)
-    fixed = (
-        F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
-        .when(point >= n, F.concat(digits, zeros(point - n), F.lit(".0")))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
-    )
-    e = point - 1
-    mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
-    scientific = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
-    shown = F.when((point > -4) & (point <= 16), fixed).otherwise(scientific)
-    zero = F.when(x.cast("string").startswith("-"), "-0.0").otherwise("0.0")
-    return F.when(x == 0, zero).when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), x.cast("string")).otherwise(F.concat(sign, shown))
+
+    def parsed(raw: Column) -> Column:
+        part = lambda i: F.regexp_extract(raw, r"^(-?)(\d+)\.(\d+)(?:[eE]([-+]?\d+))?$", i)
+        return F.struct(part(1).alias("sign"), part(2).alias("whole"), part(3).alias("rest"), F.coalesce(part(4).try_cast("int"), F.lit(0)).alias("exponent"))
+
+    def stripped(p: Column) -> Column:
+        all_ = F.concat(p["whole"], F.when(p["rest"] == "0", "").otherwise(p["rest"]))
+        own = F.regexp_replace(all_, r"^0+(?=\d)", "")
+        point = F.length(p["whole"]) + p["exponent"] - (F.length(all_) - F.length(own))
+        return F.struct(p["sign"].alias("sign"), F.regexp_replace(own, r"0+$", "").alias("digits"), point.alias("point"))
+
+    def shown(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+        n = F.length(digits)
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+            .when(point >= n, F.concat(digits, zeros(point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        )
+        e = point - 1
+        mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+        scientific = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        return F.concat(p["sign"], F.when((point > -4) & (point <= 16), fixed).otherwise(scientific))
+
+    def written(x: Column) -> Column:
+        fewer = [F.format_string(f"%.{n - 1}e", x) for n in (15, 16)]
+        raw = F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in fewer], x.cast("string"))
+        zero = F.when(x.cast("string").startswith("-"), "-0.0").otherwise("0.0")
+        finite = _bound(_bound(_bound(raw, parsed), stripped), shown)
+        return F.when(x == 0, zero).when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), x.cast("string")).otherwise(finite)
+
+    return _bound(x.cast("double"), written)
 
 
 def canonical_json(value: Column, kind: T.DataType) -> Column:
     """value of a type as canonical JSON; null is `null`. Map keys are strings, written in order of code points."""
     match kind:
         case T.StructType():
-            fields = sorted(kind.fields, key=lambda f: f.name)
-            inner = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical_json(value.getField(f.name), f.dataType)) for f in fields]
-            out = F.concat(F.lit("{"), F.concat_ws(",", *inner), F.lit("}"))
+            out = canonical_object(kind, value.getField)
         case T.ArrayType():
             out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
         case T.MapType():
@@ -76,6 +92,12 @@ def canonical_json(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(out)
 
 
+def canonical_object(kind: T.StructType, of: Callable[[str], Column] = F.col) -> Column:
+    """The canonical JSON of an object whose fields are columns, or what of() makes of their names."""
+    inner = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical_json(of(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *inner), F.lit("}"))
+
+
 def comparable(value: Column, kind: T.DataType) -> Column:
     """A value that is equal to another of its kind, nulls to nulls, just where their canonical JSON is, and cheaper to make.
 

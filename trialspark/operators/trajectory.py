@@ -5,17 +5,24 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.functions.canonical import canonical_json, comparable
+from trialspark.functions import sha256
+from trialspark.functions.canonical import canonical_object, comparable
 from trialspark.functions.scalars import as_rate, rate
 from trialspark.operators.bootstrap import exact_intervals
 from trialspark.operators.integrity import guarded
+from trialspark.sources.shared import new_path, scratch
 
 GATE_DIFFERENCE, GATE_CALLS, FIXED_CALLS = 0.03, 8, 16
+#: Characters of JSON of a stored chunk, and of what one task of a digest reads, about.
+CHUNK, LINK = 2**20, 2**27
+CHUNKS = "part long, chunk long, text string, length long, roots long, compared long"
 
 
 def task_observations(steps: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -202,32 +209,89 @@ def root_differences(steps: DataFrame, widths: dict[str, int], fields: tuple[str
     return by.select("task_id", "root_index", F.explode(each).alias("d")).select("d.challenger", "task_id", "root_index", "d.field")
 
 
-def root_digest(steps: DataFrame, widths: dict[str, int], fields: tuple[str, ...] = ROOT_FIELDS) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Texts in order, joined by commas to chunks of `size` characters, about; a part holds `part` characters, about, of a partition."""
+    first, texts, length, held, chunk, pairs = TaskContext.get().partitionId() << 32, [], 0, 0, 0, 0
+
+    def made() -> pa.RecordBatch:
+        row = ([first + held // part], [chunk], [",".join(texts)], [length], [len(texts)], [pairs])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["part", "chunk", "text", "length", "roots", "compared"])
+
+    for batch in batches:
+        for text, compared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts.append(text)
+            length, pairs = length + len(text), pairs + compared
+            if length >= size:
+                yield made()
+                texts, length, held, chunk, pairs = [], 0, held + length, chunk + 1, 0
+    if texts:
+        yield made()
+
+
+def _links(parts: list, size: int) -> list[list]:
+    """Parts in order, in runs of at most `size` characters; a larger part is a run of its own."""
+    links, length = [], 0
+    for p in parts:
+        if not links or length + p.length > size:
+            links, length = [*links, []], 0
+        links[-1].append(p)
+        length += p.length
+    return links
+
+
+def _chained_digest(chunks: DataFrame) -> tuple[int, int, str]:
+    """Pairs, roots and the SHA-256 of stored _chunks() as one list: links of LINK characters, about, in order, each one
+    task that goes on from the state that the link before it left."""
+    sums = [F.sum(c).alias(c) for c in ("length", "roots", "compared")]
+    parts = chunks.groupBy("part").agg(*sums).orderBy("part").collect()  # one row for LINK characters or a partition
+    handed_on = sha256.library() is not None  # else the whole list is one link
+    links = _links(parts, LINK if handed_on else sum(p.length for p in parts))
+    state, digest = None, hashlib.sha256(b"[]").hexdigest()
+    for i, link in enumerate(links):
+        begun, last = state, i == len(links) - 1
+
+        def absorbed(batches: Iterator[pa.RecordBatch], begun=begun, first=i == 0, last=last) -> Iterator[pa.RecordBatch]:
+            own = sha256.Sha256(begun) if handed_on else hashlib.sha256()
+            before = b"[" if first else b","
+            for batch in batches:
+                for text in batch.column(0):
+                    own.update(before)
+                    own.update(text.as_py().encode())
+                    before = b","
+            if last:
+                own.update(b"]")
+            found = ([None if last else own.state()], [own.hexdigest() if last else None])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.string())], names=["state", "digest"])
+
+        read = chunks.where(F.col("part").between(link[0].part, link[-1].part)).coalesce(1).sortWithinPartitions("part", "chunk")
+        state, digest = read.select("text").mapInArrow(absorbed, "state binary, digest string").first()
+        state = None if state is None else bytes(state)
+    return sum(p.compared for p in parts), sum(p.roots for p in parts), digest
+
+
+def root_digest(steps: DataFrame, widths: dict[str, int], fields: tuple[str, ...] = ROOT_FIELDS, parts: int | None = None) -> DataFrame:
     """One row: pool_ids, compared_root_count, unique_root_count and canonical_sha256, the SHA-256 of the shared roots.
 
-    That is of their canonical JSON in order of task and root, one list. A digest is one value of all rows in order: they
-    are sorted with what memory there is and streamed through one task. Reading it raises if roots differ.
+    That is of their canonical JSON in order of task and root, one list. A digest is one value of all rows in order, so
+    they are sorted by ranges, in `parts` of them, and stored in order as chunks, which a chain of tasks of bounded input
+    absorbs. The chain runs when the query is built. Reading the row raises if roots differ.
     """
-    pools = list(widths)
+    spark, pools = steps.sparkSession, list(widths)
     base = steps.where((F.col("depth") == 0) & (F.col("pool_id") == pools[0]))
     shared = pools[1:]
     top = max([widths[p] for p in shared], default=0)
-    kinds = base.select("task_id", *fields).schema
-    own = base.where(F.col("root_index") < top).select("task_id", "root_index", canonical_json(F.struct("task_id", *fields), kinds).alias("json"))
-    compared = sum((F.when(F.col("root_index") < widths[p], 1).otherwise(0) for p in shared), F.lit(0))
-
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, n, pairs = hashlib.sha256(b"["), 0, 0
-        for batch in batches:
-            pairs += sum(batch.column(1).to_pylist())
-            for text in batch.column(0).to_pylist():
-                digest.update(("," if n else "").encode() + text.encode())
-                n += 1
-        digest.update(b"]")
-        yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([n]), pa.array([digest.hexdigest()])], names=["compared_root_count", "unique_root_count", "canonical_sha256"])
-
-    ordered = own.withColumn("compared", compared.cast("long")).repartition(1).sortWithinPartitions("task_id", "root_index").select("json", "compared")
-    one = ordered.mapInArrow(streamed, "compared_root_count long, unique_root_count long, canonical_sha256 string")
+    named = tuple(dict.fromkeys(("task_id", *fields)))
+    kinds = base.select(*named).schema
+    compared = sum((F.when(F.col("root_index") < widths[p], 1).otherwise(0) for p in shared), F.lit(0)).cast("long")
+    own = base.where(F.col("root_index") < top).select(*dict.fromkeys((*named, "root_index")))
+    ranged = own.repartitionByRange(*([parts] if parts else []), "task_id", "root_index").sortWithinPartitions("task_id", "root_index")
+    texts = ranged.select(canonical_object(kinds).alias("json"), compared.alias("compared"))
+    with scratch(spark):
+        path = new_path(spark, "root-chunks")
+        texts.mapInArrow(partial(_chunks, size=CHUNK, part=LINK), CHUNKS).write.partitionBy("part").parquet(path)
+        pairs, roots, digest = _chained_digest(spark.read.schema(CHUNKS).parquet(path))
+    found = {"compared_root_count": F.lit(pairs).cast("long"), "unique_root_count": F.lit(roots).cast("long"), "canonical_sha256": F.lit(digest)}
+    one = spark.range(0, 1, 1, 1).select(*[c.alias(n) for n, c in found.items()])
     checked = guarded(one, root_differences(steps, widths, fields), "shared roots")
     return checked.select(F.array(*map(F.lit, pools)).alias("pool_ids"), "*")
 

@@ -656,7 +656,8 @@ j as (select task_id, root_index, '{{"candidate_index":' || candidate_index || '
 select ['4x1', '2x2'] as pool_ids, count(*) as compared_root_count, count(*) as unique_root_count, sha256('[' || string_agg(t, ',' order by task_id, root_index) || ']') as canonical_sha256 from j""")
 def shared_root_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of the roots that both policies share, equal in all fields."""
-    return trajectory.root_digest(_root_steps(spark, sf_dir, False), {"4x1": 4, "2x2": 2})
+    parts = views.parts_of(table(spark, sf_dir, "lineitem"))
+    return trajectory.root_digest(_root_steps(spark, sf_dir, False), {"4x1": 4, "2x2": 2}, parts=parts)
 
 
 # Clusters and shards ------------------------------------------------------------------------------------------------
