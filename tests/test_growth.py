@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialspark import queries
 from trialspark.functions import canonical, pycode, sha256
-from trialspark.operators import bootstrap, clustering, integrity, trajectory
+from trialspark.operators import bootstrap, clustering, integrity, metrics, trajectory
 from trialspark.sources import bundles
 
 
@@ -121,3 +121,17 @@ def test_a_digest_is_a_chain_of_bounded_tasks(spark, monkeypatch):
     assert (none.compared_root_count, none.unique_root_count, none.canonical_sha256) == (0, 0, hashlib.sha256(b"[]").hexdigest())
     monkeypatch.setattr(sha256, "library", lambda: None)  # without OpenSSL the whole list is one link
     assert trajectory.root_digest(own, {"4x1": 4, "2x2": 2}, ("x",), parts=3).first() == got and len(kept[-1]) == 1
+
+
+def test_diagnostics_deal_rows_to_parts_that_grow(spark, sf):
+    """Labels meet candidates by task alone, codes are grouped in as many parts as asked for, and figures are as plain ones."""
+    plan = plan_of(queries.QUERIES["pool_diagnostics"](spark, sf))
+    assert set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))) == {"l_orderkey", "_code, _slice", "_code"} and "Expand" not in plan
+    kind = "task_id long, candidate_index long, code string, output_tokens long, total_tokens long, base_passed boolean"
+    rows = [(1, 0, "a", 5, 1, True), (1, 1, " ", 9, 2, None), (2, 0, "a", 9, 3, False), (2, 1, None, None, 4, True), (3, 0, "z", 1, 5, True), (None, 0, "y", 1, 6, True), (2, None, "x", 1, 7, True)]
+    labels = [(1, 0, True), (1, 1, None), (2, 0, False), (2, 0, True), (2, 1, False), (4, 0, True), (None, 0, True)]
+    pool, hidden = spark.createDataFrame(rows, kind), spark.createDataFrame(labels, "task_id long, candidate_index long, plus_passed boolean")
+    got = metrics.pool_diagnostics(pool, hidden, 9, (2, 2), parts=7)
+    assert "_code#" in plan_of(got) and ", 7)" in plan_of(got)
+    assert tuple(got.first()) == (5, 2, 1, 0.25, 3, 0.75, 2, 0.5, 0.5, 13, None)
+    assert tuple(metrics.pool_diagnostics(pool.where("task_id = 3"), hidden, 9).first()) == (0, 0, 0, 0.0, 0, 0.0, 0, 0.0, 0.0, None, None)

@@ -9,6 +9,8 @@ from trialspark.functions.scalars import as_rate, pass_at_k, rate
 from trialspark.operators import ranges
 
 MISSING = "unknown"
+#: Slices in which copies of a code are summed before they meet.
+COPY_SLICES = 64
 
 
 def hidden_pass(public: Column, hidden: Column) -> Column:
@@ -100,21 +102,38 @@ def experiment_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(solution_costs(results, keys), keys)
 
 
-def pool_diagnostics(candidates: DataFrame, hidden: DataFrame, cap: int, pilot: tuple[int, int] = (5, 4)) -> DataFrame:
-    """Counts and rates over a whole pool; the pilot gate is null unless the pool has the pilot's tasks and size."""
-    blank = F.col("code").rlike(r"^\s*$")
-    joined = candidates.join(hidden, ["task_id", "candidate_index"])
-    out = joined.agg(
-        F.count("*").alias("n_candidates"),
-        F.count_distinct("task_id").alias("n_tasks"),
-        F.count_if(blank).alias("empty_code"),
-        rate(blank).alias("empty_code_rate"),
-        F.count_if(F.col("output_tokens") >= cap).alias("at_cap"),
-        rate(F.col("output_tokens") >= cap).alias("at_cap_rate"),
-        F.count_distinct(F.sha2(F.col("code").cast("binary"), 256)).alias("unique_codes"),
-        rate(F.col("base_passed")).alias("base_rate"),
-        rate(F.col("plus_passed")).alias("plus_rate"),
-        F.sum("total_tokens").alias("sum_tokens"),
+def pool_diagnostics(candidates: DataFrame, hidden: DataFrame, cap: int, pilot: tuple[int, int] = (5, 4), parts: int | None = None) -> DataFrame:
+    """Counts and rates over a whole pool; the pilot gate is null unless the pool has the pilot's tasks and size.
+
+    A task's few labels are joined as one list by task alone, where candidates and labels are dealt by task. Rows are then
+    summed by the code's digest, in `parts` partitions, copies of a code by slices first, and tasks are counted by their
+    first rows: no task holds more of either as the pool grows, if parts grow with it.
+    """
+    index, blank, capped = F.col("candidate_index"), F.col("code").rlike(r"^\s*$"), F.col("output_tokens") >= cap
+    labels = hidden.groupBy("task_id").agg(F.collect_list(F.struct(index, "plus_passed")).alias("_labels"))
+    labelled = candidates.join(labels, "task_id").withColumn("_label", F.explode(F.filter("_labels", lambda x: x["candidate_index"] == index)))
+    first = F.row_number().over(Window.partitionBy("task_id").orderBy("candidate_index")) == 1
+    flags = {"empty_code": blank, "at_cap": capped, "base": F.col("base_passed"), "plus": F.col("_label.plus_passed")}
+    digest = F.unhex(F.sha2(F.col("code").cast("binary"), 256)).alias("_code")
+    slice_ = F.pmod(F.xxhash64("task_id"), F.lit(COPY_SLICES)).alias("_slice")
+    rows = labelled.select(digest, slice_, first.alias("_first"), *[c.alias(n) for n, c in flags.items()], "total_tokens")
+    counts = {"n": F.count("*"), "tasks": F.count_if("_first"), "tokens": F.sum("total_tokens")} | {f"{n}_of": F.count(n) for n in flags} | {n: F.count_if(n) for n in flags}
+    dealt = [parts] if parts else []
+    by_slice = rows.repartition(*dealt, "_code", "_slice").groupBy("_code", "_slice").agg(*[c.alias(n) for n, c in counts.items()])
+    by_code = by_slice.repartition(*dealt, "_code").groupBy("_code").agg(*[F.sum(n).alias(n) for n in counts])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    share = lambda n: F.coalesce(F.try_divide(F.sum(n).cast("double"), F.sum(f"{n}_of").cast("double")), F.lit(0.0))
+    out = by_code.agg(
+        total("n").alias("n_candidates"),
+        total("tasks").alias("n_tasks"),
+        total("empty_code").alias("empty_code"),
+        share("empty_code").alias("empty_code_rate"),
+        total("at_cap").alias("at_cap"),
+        share("at_cap").alias("at_cap_rate"),
+        F.count("_code").alias("unique_codes"),
+        share("base").alias("base_rate"),
+        share("plus").alias("plus_rate"),
+        F.sum("tokens").alias("sum_tokens"),
     )
     is_pilot = (F.col("n_tasks") == pilot[0]) & (F.col("n_candidates") == pilot[0] * pilot[1])
     return out.withColumn("pilot_gate", F.when(is_pilot, (F.col("empty_code") == 0) & (F.col("base_rate") > 0)))

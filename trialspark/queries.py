@@ -196,7 +196,8 @@ def fixed_sample_pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CAND} select count(*) as n_candidates, count(distinct task_id) as n_tasks, count(*) filter (trim(code) = '') as empty_code, avg(cast(trim(code) = '' as integer)) as empty_code_rate, count(*) filter (output_tokens >= 250) as at_cap,
   avg(cast(output_tokens >= 250 as integer)) as at_cap_rate, count(distinct sha256(code)) as unique_codes, avg(cast(base_passed as integer)) as base_rate, avg(cast(plus_passed as integer)) as plus_rate, cast(sum(total_tokens) as bigint) as sum_tokens, cast(null as boolean) as pilot_gate from pool""")
 def pool_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pool_diagnostics(views.pool(spark, sf_dir), views.pool_hidden(spark, sf_dir), 250)
+    parts = views.parts_of(table(spark, sf_dir, "lineitem"))
+    return metrics.pool_diagnostics(views.pool(spark, sf_dir), views.pool_hidden(spark, sf_dir), 250, parts=parts)
 
 
 STATS = f"""{ATT}, s as (select policy_name as operator, verification_passed as success, total_tokens, case when verification_passed then null when event_id % 2 = 0 then 'wrong_answer' else 'timeout' end as error_type, event_id from attempts where budget_name = 'full'),
