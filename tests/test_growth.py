@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from trialspark import queries
 from trialspark.functions import canonical, pycode, sha256
-from trialspark.operators import bootstrap, clustering, integrity, metrics, trajectory
-from trialspark.sources import bundles
+from trialspark.operators import bootstrap, clustering, integrity, metrics, selection, trajectory
+from trialspark.sources import bundles, views
 
 
 def plan_of(df) -> str:
@@ -41,6 +41,40 @@ def test_parts_of_a_group_are_bounded(monkeypatch):
     assert len(parts) <= bootstrap.PARTS and sum(count for _, count, _, _ in parts) == 100
 
 
+def test_words_of_a_large_group_are_jumped_to():
+    """A part's state is made from the seed, not by making the words of all parts before it."""
+    parts = list(bootstrap.spread_of(5_000, 400, 7, 100_000))
+    assert 1 < len(parts) <= bootstrap.WORD_PARTS
+    plain, numbers = bootstrap.Words.seeded(7), 0
+    for place, state, words in parts:
+        made = plain.run(words)
+        assert (bootstrap.Words(state).run(100) == made[:100]).all(), place
+        numbers += int((made < 5_000 << 19).sum())
+    assert numbers >= 5_000 * 400
+
+
+def test_intervals_read_their_rows_once(spark):
+    """Groups, their places and all measures come from one list of values, shuffled once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = [(i, s, k, i % 3 == 0, float(i % 2)) for i in range(200) for s in ("a", "b") for k in (1, 2)]
+    frame = spark.createDataFrame(rows, "task_id long, selector_name string, k long, selected_plus_passed boolean, selection_regret double")
+    observed = frame.withColumn("selection_regret", F.udf(seen, "double")("selection_regret"))
+    assert selection.summary_intervals(observed, 3, 50).count() == 4
+    assert read.value == len(rows)
+
+
+def test_cuts_of_ranges_are_looked_for_in_the_files(spark, sf):
+    """What is asked of a task is asked of its lines, before they are dealt and numbered."""
+    few = views.pool(spark, sf).where(F.pmod(F.xxhash64("task_id"), F.lit(50_000)) == 0).select("task_id")
+    dealt = plan_of(few).split("Exchange")[1]
+    assert "xxhash64" in dealt
+
+
 def test_a_study_draws_its_differences_once(spark, sf):
     assert plan_of(queries.QUERIES["trajectory_study_comparisons"](spark, sf)).count("MapInArrow") == 3
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark import queries
-from trialspark.operators import bootstrap, curves, ranges
+from trialspark.operators import bootstrap, curves, ranges, selection
 
 
 @pytest.fixture
@@ -101,6 +101,33 @@ def test_intervals_in_parts_and_blocks_are_the_plain_loop(spark, monkeypatch, dr
     assert got == {g: pytest.approx(plain(own, 60, 7)) for g, own in groups.items()}
 
 
+@pytest.mark.parametrize("values", [2**20, 400])
+def test_large_groups_are_cut_at_words(spark, monkeypatch, values):
+    """Parts end anywhere in a resample, whatever the values; a group of one whole value draws nothing."""
+    monkeypatch.setattr(bootstrap, "DRAWS", 10_000)
+    monkeypatch.setattr(bootstrap, "VALUES", values)
+    monkeypatch.setattr(bootstrap, "WORDS", 1_500)
+    monkeypatch.setattr(ranges, "ROWS", 100)
+    rng = random.Random(4)
+    groups = {"quarters": [rng.randint(-4, 4) / 4 for _ in range(1_700)], "three": [float(rng.randint(-1, 1)) for _ in range(2_048)], "two": [rng.choice((-2.0, 5.0)) for _ in range(1_600)]}
+    groups |= {"whole": [3.0] * 1_900, "half": [0.5] * 1_600, "none": [None] * 1_600}
+    rows = [(g, i, v) for g, own in groups.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "g string, p long, v double").orderBy(F.rand(3))
+    got = {r.g: (r.ci_low, r.ci_high) for r in bootstrap.exact_intervals(df, ["g"], "v", "p", F.length("g"), 60).collect()}
+    assert got == {g: pytest.approx(plain(own, 60, len(g))) for g, own in groups.items() if g != "none"}
+
+
+def test_candidates_as_bits_or_as_a_map(spark):
+    rng = random.Random(2)
+    pool = spark.createDataFrame([(t, i, rng.choice((True, False, None))) for t in range(40) for i in range(4)], "task_id long, candidate_index long, base_passed boolean")
+    labels = spark.createDataFrame([(t, i, rng.choice((True, False, None))) for t in range(40) for i in range(4)], "task_id long, candidate_index long, plus_passed boolean")
+    bits = selection.observations(pool, labels, [1, 4]).collect()
+    maps = selection.observations(pool, labels, [1, 4, 70], pool_size=70).where("k < 70").collect()
+    assert len(bits) == 160 and sorted(map(str, bits)) == sorted(map(str, maps))
+    with pytest.raises(Exception, match="two candidates of one index"):
+        selection.observations(pool.union(pool.limit(1)), labels, [1, 4]).collect()
+
+
 def test_a_million_values(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "DRAWS", 2**21)
     monkeypatch.setattr(bootstrap, "VALUES", 2**18)

@@ -24,30 +24,30 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
 
 
-def _range_of(value: Column, cuts: Column) -> Column:
-    """How many of the sorted cuts are at most value, by bisection."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+def _halves(cuts: Column) -> Column:
+    """The powers of two from that of at most the number of cuts down to 1: made once for a group, not for each row."""
+    return F.transform(F.sequence(F.floor(F.log2(F.size(cuts))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
 
-    def halved(a: Column, _: Column) -> Column:
-        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        below = F.get(cuts, middle) <= value
-        moved = F.struct(F.when(below, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(middle).alias("hi"))
-        return F.when(a["lo"] < a["hi"], moved).otherwise(a)
 
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + F.lit(1.0))).cast("int") + 1)
-    return F.aggregate(steps, start, halved, lambda a: a["lo"])
+def _range_of(value: Column, cuts: Column, halves: Column) -> Column:
+    """How many of the sorted cuts are at most value, by bisection: a number that grows by each power of two that it can."""
+    return F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(cuts, at + half - 1) <= value, half).otherwise(0))
 
 
-def with_ranges(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def with_ranges(df: DataFrame, keys: list[str], order: str, large_only: bool = True) -> DataFrame:
     """df with RANGE: rows of a group in a lower range come before those of a higher one; equal values share a range.
 
-    Values of order that many rows of a group share are one range: sum them up first.
+    Values of order that many rows of a group share are one range: sum them up first. With large_only false, groups are
+    not counted first, which spares a pass over df, and a group of any size can have a cut.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS)
     chosen = df.select(*keys, order).where(F.pmod(F.xxhash64(order), F.lit(ROWS)) == 0)
-    cuts = joined(chosen, F.broadcast(large), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
+    if large_only:
+        large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS)
+        chosen = joined(chosen, F.broadcast(large), keys, "left_semi")
+    cuts = chosen.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
+    cuts = cuts.where(F.size("_cuts") > 0).withColumn("_halves", _halves(F.col("_cuts")))
     found = joined(df, F.broadcast(cuts), keys, "left")
-    return found.withColumn(RANGE, F.when(F.col("_cuts").isNull(), 0).otherwise(_range_of(F.col(order), F.col("_cuts")))).drop("_cuts")
+    return found.withColumn(RANGE, F.when(F.col("_cuts").isNull(), 0).otherwise(_range_of(F.col(order), F.col("_cuts"), F.col("_halves")))).drop("_cuts", "_halves")
 
 
 def running_sums(ranged: DataFrame, keys: list[str], order: str, values: dict[str, str]) -> DataFrame:

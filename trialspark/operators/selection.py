@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_rate, pass_at_k
-from trialspark.operators.bootstrap import exact_intervals
+from trialspark.operators.bootstrap import exact_intervals, measured_intervals
 from trialspark.plans.hidden import public_only
 
 
@@ -28,26 +28,27 @@ def _prefixes(candidates: DataFrame, ks: list[int]) -> DataFrame:
     return candidates.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in ks]), lambda k: F.col("candidate_index") < k)))
 
 
-def _first_sample() -> Column:
+def _first_sample(inside: Column) -> Column:
     return F.lit(0).cast("long")
 
 
-def _first_base_pass() -> Column:
-    return F.coalesce(F.min(F.when(F.col("base_passed"), F.col("candidate_index"))), F.lit(0)).cast("long")
+def _first_base_pass(inside: Column) -> Column:
+    return F.coalesce(F.min(F.when(inside & F.col("base_passed"), F.col("candidate_index"))), F.lit(0)).cast("long")
 
 
-#: Selectors as aggregates over a prefix's public columns, so that one pass serves all of them.
+#: Selectors as aggregates over the public columns of a task's candidates inside a prefix, so that one pass serves all of
+#: them and all prefixes.
 SELECTORS = {"first_base_pass": _first_base_pass, "first_sample": _first_sample}
 
 
 def first_sample(candidates: DataFrame, ks: list[int]) -> DataFrame:
     """(task_id, k, selected_index): the first candidate."""
-    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_sample().alias("selected_index"))
+    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_sample(F.lit(True)).alias("selected_index"))
 
 
 def first_base_pass(candidates: DataFrame, ks: list[int]) -> DataFrame:
     """(task_id, k, selected_index): the first publicly passing candidate of the prefix, the first of all if none passes."""
-    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_base_pass().alias("selected_index"))
+    return public_only(_prefixes(candidates, ks)).groupBy("task_id", "k").agg(_first_base_pass(F.lit(True)).alias("selected_index"))
 
 
 def custom_selector(choose: Callable[[pd.DataFrame], int]) -> Callable[[DataFrame, list[int]], DataFrame]:
@@ -67,40 +68,60 @@ def custom_selector(choose: Callable[[pd.DataFrame], int]) -> Callable[[DataFram
     return select
 
 
-def _by_index(value: str) -> Column:
-    """candidate_index -> value over a task's candidates, of which a pool has a bounded few."""
-    return F.map_from_entries(F.collect_list(F.struct("candidate_index", value)))
+#: Candidates of a task that are kept as bits of a number.
+BITS = 63
+
+
+def _by_index(value: str, most: int) -> Column:
+    """A boolean of a task's first `most` candidates, for _at(): as bits, which any hash aggregate holds, or a map of more."""
+    if most > BITS:
+        return F.map_from_entries(F.collect_list(F.struct("candidate_index", value)))
+    own, bit = F.col("candidate_index") < most, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("candidate_index").cast("int"))
+    of = lambda c: F.coalesce(F.bit_or(F.when(own & c, bit)), F.lit(0).cast("long"))
+    return F.struct(of(F.lit(True)).alias("seen"), of(F.col(value).isNotNull()).alias("known"), of(F.col(value)).alias("true"), F.count_if(own).alias("rows"))
+
+
+def _at(by: str, index: Column, most: int) -> Column:
+    """The value of a candidate in a _by_index() column, null if there is none; candidates are distinct."""
+    if most > BITS:
+        return F.col(by)[index]
+    is_set = lambda part: F.call_function("shiftright", F.col(by)[part], index.cast("int")).bitwiseAND(1) == 1
+    distinct = F.bit_count(F.col(by)["seen"]) == F.col(by)["rows"]
+    return F.when(~distinct, F.raise_error(F.lit("a task has two candidates of one index")).cast("boolean")).when(is_set("known"), is_set("true"))
 
 
 def observations(candidates: DataFrame, hidden: DataFrame, ks: list[int], custom: dict | None = None, pool_size: int = 4) -> DataFrame:
     """One row for each task, k and selector; Pass@k counts correct candidates in the whole pool.
 
-    Public columns are read once and hidden ones once, each summed by task, and the two sums are joined: choices are
-    made before that join. custom is a dict of functions of (candidates, ks) in place of SELECTORS.
+    Public columns are read once and hidden ones once, each summed by task, and the two sums, a row a task, are joined:
+    choices are made before that join. custom is a dict of functions of (candidates, ks) in place of SELECTORS.
     """
     ks = eligible_ks(ks, pool_size)
-    public = public_only(_prefixes(candidates, ks)).groupBy("task_id", "k")
+    most, index = max(ks, default=0), F.col("candidate_index")
+    first_correct = F.min(F.when(F.col("plus_passed"), F.col("candidate_index")))
+    labels = hidden.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("plus_passed").alias("correct_in_pool"), first_correct.alias("first_correct"), _by_index("plus_passed", most).alias("plus"))
+    labels = labels.withColumns({f"_pass_{k}": pass_at_k(F.col("n"), F.col("correct_in_pool"), F.lit(k)) for k in ks})
+    public = public_only(candidates).groupBy("task_id")
     if custom is None:
-        named = public.agg(_by_index("base_passed").alias("base"), *[of().alias(name) for name, of in SELECTORS.items()])
-        choices = F.explode(F.array(*[F.struct(F.lit(n).alias("selector_name"), F.col(n).alias("selected_index")) for n in SELECTORS]))
-        chosen = named.select("task_id", "k", "base", choices.alias("s")).select("task_id", "k", "base", "s.*")
+        selected = [of(index < k).alias(f"_{name}_{k}") for k in ks for name, of in SELECTORS.items()]
+        own = public.agg(_by_index("base_passed", most).alias("base"), *[F.count_if(index < k).alias(f"_in_{k}") for k in ks], *selected)
+        each = [F.when(F.col(f"_in_{k}") > 0, F.struct(F.lit(k).cast("long").alias("k"), F.lit(n).alias("selector_name"), F.col(f"_{n}_{k}").alias("selected_index"))) for k in ks for n in SELECTORS]
+        chosen = own.join(labels, "task_id").withColumn("_s", F.explode(F.array_compact(F.array(*each)))).select("*", "_s.*")
     else:
         picks = [select(candidates, ks).withColumn("selector_name", F.lit(name)) for name, select in custom.items()]
-        chosen = public.agg(_by_index("base_passed").alias("base")).join(reduce(DataFrame.unionByName, picks), ["task_id", "k"])
-    first_correct = F.min(F.when(F.col("plus_passed"), F.col("candidate_index")))
-    labels = hidden.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("plus_passed").alias("correct_in_pool"), first_correct.alias("first_correct"), _by_index("plus_passed").alias("plus"))
-    joined = chosen.join(labels, "task_id").withColumn("prefix_has_correct", F.coalesce(F.col("first_correct") < F.col("k"), F.lit(False)))
-    plus = F.col("plus")[F.col("selected_index")]
+        chosen = public.agg(_by_index("base_passed", most).alias("base")).join(reduce(DataFrame.unionByName, picks), "task_id").join(labels, "task_id")
+    joined = chosen.withColumn("prefix_has_correct", F.coalesce(F.col("first_correct") < F.col("k"), F.lit(False)))
+    plus = _at("plus", F.col("selected_index"), most)
     return joined.select(
         "task_id",
         "selector_name",
         "k",
         "selected_index",
-        F.col("base")[F.col("selected_index")].alias("selected_base_passed"),
+        _at("base", F.col("selected_index"), most).alias("selected_base_passed"),
         plus.alias("selected_plus_passed"),
         "correct_in_pool",
         "prefix_has_correct",
-        pass_at_k(F.col("n"), F.col("correct_in_pool"), F.col("k")).alias("pass_at_k"),
+        reduce(lambda a, k: F.when(F.col("k") == k, F.col(f"_pass_{k}")).otherwise(a), ks, F.lit(None).cast("double")).alias("pass_at_k"),
         (as_rate(F.col("prefix_has_correct")) - as_rate(plus)).alias("selection_regret"),
     )
 
@@ -168,14 +189,10 @@ def summary_intervals(observed: DataFrame, seed: int = 0, resamples: int = 10_00
 
     Group g of the selectors and k's in order draws with seed + 2 g and seed + 2 g + 1.
     """
-    groups = _numbered(observed.select("selector_name", "k"), "selector_name", "k")
-    measured = F.array(
-        F.struct(F.lit("plus").alias("measure"), as_rate(F.col("selected_plus_passed")).alias("value"), F.lit(0).alias("more")),
-        F.struct(F.lit("regret").alias("measure"), F.col("selection_regret").alias("value"), F.lit(1).alias("more")),
-    )
-    long = observed.select("selector_name", "k", position, F.explode(measured).alias("m")).join(F.broadcast(groups), ["selector_name", "k"])
-    drawn = exact_intervals(long.select("selector_name", "k", position, "place", "m.*"), ["selector_name", "k", "measure"], "value", position, seed + 2 * F.col("place") + F.col("more"), resamples)
-    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, F.col(c))).alias(f"{measure}_{c}")
+    place = F.dense_rank().over(Window.orderBy("selector_name", "k")) - 1
+    measures = {"plus": as_rate(F.col("selected_plus_passed")), "regret": F.col("selection_regret")}
+    drawn = measured_intervals(observed, ["selector_name", "k"], measures, position, seed + 2 * place + F.col("_more"), resamples)
+    of = lambda measure, c: F.max(F.when(F.col("_measure") == measure, F.col(c))).alias(f"{measure}_{c}")
     return drawn.groupBy("selector_name", "k").agg(*[of(m, c) for m in ("plus", "regret") for c in ("ci_low", "ci_high")])
 
 

@@ -39,12 +39,13 @@ def by_key(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line as a candidate of its order, numbered in the fixed order, with public and hidden columns."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("task_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     base = F.col("l_returnflag") != "R"
-    lines = by_key(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
-        F.col("l_orderkey").alias("task_id"),
+    # named before the windows, so that what is asked of a task is asked of the lines in the files
+    lines = by_key(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumnRenamed("l_orderkey", "task_id").select(
+        "task_id",
         (F.row_number().over(order) - 1).cast("long").alias("candidate_index"),
-        F.count("*").over(Window.partitionBy("l_orderkey")).alias("n_candidates"),
+        F.count("*").over(Window.partitionBy("task_id")).alias("n_candidates"),
         base.alias("base_passed"),
         (base & (F.col("l_linestatus") == "F")).alias("plus_passed"),
         F.col("l_quantity").cast("long").alias("input_tokens"),
